@@ -1,8 +1,13 @@
-"""The Snowball English stemmer (Porter 2) as staged column expressions."""
+"""The Snowball English stemmer (Porter 2), applied to token arrays in Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Fixed values of the published algorithm: irregular words, words left alone after step 1a, and the suffix
 # tables of steps 2 to 4 (suffix -> replacement).
@@ -27,113 +32,115 @@ STEP_4 = {
         "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti",
         "ous", "ive", "ize", "ion")
 }
-VOWELS = "aeiouy"
-LETTERS = "abcdefghijklmnopqrstuvwxyzY"
-LONG_HEADS = {"gener": 5, "commun": 6, "arsen": 5}
+VOWELS = frozenset("aeiouy")
+LONG_HEADS = ("gener", "commun", "arsen")
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-LI_LETTERS = tuple("cdeghkmnrt")
-
-
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
-def _drop(word: Column, n) -> Column:
-    return F.left(word, F.length(word) - n)
-
-
-def _suffix(word: Column, suffixes) -> Column:
-    """The longest of the suffixes that the word ends with, else empty."""
-    longest_first = sorted(suffixes, key=len, reverse=True)
-    return F.coalesce(*[F.when(F.endswith(word, F.lit(s)), s) for s in longest_first], F.lit(""))
-
-
-def _classes(word: Column) -> Column:
-    """The word with `v` for vowels and `c` for other letters."""
-    return F.translate(word, LETTERS, "".join("v" if x in VOWELS else "c" for x in LETTERS))
-
-
-def _after_vowel_other(classes: Column, start: Column, length: Column) -> Column:
-    """Characters up to the first non-vowel that follows a vowel, counted from the start of the word."""
-    found = F.position(F.lit("vc"), classes, start + 1)
-    return F.when(found > 0, found + 1).otherwise(length)
-
-
-def _ends_short(word: Column, classes: Column) -> Column:
-    """Whether the word ends in a short syllable; `classes` may go on beyond the end of the word."""
-    n = F.length(word)
-    return ((n == 2) & (F.left(classes, F.lit(2)) == "vc")) | (
-        (n > 2) & (F.substring(classes, n - 2, F.lit(3)) == "cvc") & ~F.right(word, F.lit(1)).isin("w", "x", "Y"))
-
-
-def _suffix_step(df: DataFrame, table: dict[str, str], region: str, allowed) -> DataFrame:
-    """Replace the longest suffix of the table where it lies in the region and `allowed` holds."""
-    df = df.withColumn("_end", _suffix(F.col("_w"), table)).withColumn("_cut", _drop(F.col("_w"), F.length("_end")))
-    end, cut = F.col("_end"), F.col("_cut")
-    fits = (end != "") & (F.length(cut) >= F.col(region)) & allowed(end, cut)
-    return df.withColumn("_w", F.when(fits, F.concat(cut, _lookup(table)[end])).otherwise(F.col("_w")))
-
-
-def stem(df: DataFrame, column: str) -> DataFrame:
-    """Replace a column of lower-case a-z words by their stems.
-
-    Every step is its own projection, so each intermediate word is computed once; all steps stay in generated code
-    and compare bytes instead of running regular expressions.
+LI_LETTERS = frozenset("cdeghkmnrt")
+CACHE_WORDS = 1_000_000
+
+
+def _region(word: str, start: int) -> int:
+    """Where the region after the first non-vowel that follows a vowel begins."""
+    for i in range(start + 1, len(word)):
+        if word[i] not in VOWELS and word[i - 1] in VOWELS:
+            return i + 1
+    return len(word)
+
+
+def _ends_short(word: str) -> bool:
+    if len(word) == 2:
+        return word[0] in VOWELS and word[1] not in VOWELS
+    return (len(word) > 2 and word[-3] not in VOWELS and word[-2] in VOWELS and word[-1] not in VOWELS
+            and word[-1] not in "wxY")
+
+
+def _longest(word: str, suffixes) -> str:
+    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
+
+
+def _has_vowel(text: str) -> bool:
+    return not VOWELS.isdisjoint(text)
+
+
+def _plural(word: str) -> str:
+    end = _longest(word, ("sses", "ied", "ies", "us", "ss", "s"))
+    if end == "sses":
+        return word[:-2]
+    if end in ("ied", "ies"):
+        return word[:-2] if len(word) > 4 else word[:-1]
+    return word[:-1] if end == "s" and _has_vowel(word[:-2]) else word
+
+
+def _past(word: str, r1: int) -> str:
+    end = _longest(word, ("eedly", "eed", "ingly", "ing", "edly", "ed"))
+    cut = word[:len(word) - len(end)]
+    if end.startswith("eed"):
+        return cut + "ee" if len(cut) >= r1 else word
+    if not end or not _has_vowel(cut):
+        return word
+    if cut.endswith(("at", "bl", "iz")):
+        return cut + "e"
+    if cut.endswith(DOUBLES):
+        return cut[:-1]
+    return cut + "e" if len(cut) <= r1 and _ends_short(cut) else cut
+
+
+def _replace(word: str, table: dict[str, str], region: int, allowed) -> str:
+    end = _longest(word, table)
+    cut = word[:len(word) - len(end)]
+    return cut + table[end] if end and len(cut) >= region and allowed(end, cut) else word
+
+
+def stem_word(word: str) -> str:
+    """Stem of one lower-case a-z word."""
+    if len(word) <= 2:
+        return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    w = re.sub("(^|[aeiouy])y", r"\1Y", word) if "y" in word else word
+    r1 = next((len(head) for head in LONG_HEADS if w.startswith(head)), None) or _region(w, 0)
+    r2 = _region(w, r1)
+    w = _plural(w)
+    if w not in LEFT_ALONE:
+        w = _past(w, r1)
+        if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWELS:
+            w = w[:-1] + "i"
+        w = _replace(w, STEP_2, r1, lambda end, cut: (
+            cut.endswith("l") if end == "ogi" else cut[-1:] in LI_LETTERS if end == "li" else True))
+        w = _replace(w, STEP_3, r1, lambda end, cut: end != "ative" or len(cut) >= r2)
+        w = _replace(w, STEP_4, r2, lambda end, cut: end != "ion" or cut.endswith(("s", "t")))
+        cut = w[:-1]
+        if w.endswith("e"):
+            w = cut if len(cut) >= r2 or (len(cut) >= r1 and not _ends_short(cut)) else w
+        elif w.endswith("ll") and len(cut) >= r2:
+            w = cut
+    return w.replace("Y", "y")
+
+
+def stem_tokens(df: DataFrame, column: str) -> DataFrame:
+    """Replace the words of a token array by their stems.
+
+    Arrow batches are dictionary-encoded, so Python sees each distinct word of a batch once, and only those that the
+    task has not stemmed before.
     """
-    word, end, cut, classes = F.col("_w"), F.col("_end"), F.col("_cut"), F.col("_classes")
-    others = [c for c in df.columns if c != column]
-    first = F.col(column)
-    df = df.withColumn("_w", F.when(F.contains(first, F.lit("y")), F.regexp_replace(
-        first, f"(^|[{VOWELS}])y", "$1Y")).otherwise(first))
-    df = df.withColumn("_classes", _classes(word))
-    heads = [F.when(F.startswith(word, F.lit(head)), n) for head, n in LONG_HEADS.items()]
-    df = df.withColumn("_r1", F.coalesce(*heads, _after_vowel_other(classes, F.lit(0), F.length(word))))
-    df = df.withColumn("_r2", _after_vowel_other(classes, F.col("_r1"), F.length(word)))
-
-    df = df.withColumn("_end", _suffix(word, ("sses", "ied", "ies", "us", "ss", "s")))
-    vowel_before = F.contains(F.left(classes, F.length(word) - 2), F.lit("v"))
-    df = df.withColumn("_w", (
-        F.when(end == "sses", _drop(word, 2))
-        .when(end.isin("ied", "ies"), F.when(F.length(word) > 4, _drop(word, 2)).otherwise(_drop(word, 1)))
-        .when((end == "s") & vowel_before, _drop(word, 1))
-        .otherwise(word)))
-    df = df.withColumn("_stop", word.isin(*LEFT_ALONE)).withColumn("_kept", word)
-
-    df = df.withColumn("_end", _suffix(word, ("eedly", "eed", "ingly", "ing", "edly", "ed")))
-    df = df.withColumn("_cut", _drop(word, F.length(end)))
-    tail = F.right(cut, F.lit(2))
-    repaired = (
-        F.when(tail.isin("at", "bl", "iz"), F.concat(cut, F.lit("e")))
-        .when(tail.isin(*DOUBLES), _drop(cut, 1))
-        .when((F.length(cut) <= F.col("_r1")) & _ends_short(cut, classes), F.concat(cut, F.lit("e")))
-        .otherwise(cut))
-    df = df.withColumn("_w", (
-        F.when(end.isin("eed", "eedly"),
-               F.when(F.length(cut) >= F.col("_r1"), F.concat(cut, F.lit("ee"))).otherwise(word))
-        .when((end != "") & F.contains(F.left(classes, F.length(cut)), F.lit("v")), repaired)
-        .otherwise(word)))
-    last, before = F.right(word, F.lit(1)), F.substring(classes, F.length(word) - 1, F.lit(1))
-    df = df.withColumn("_w", F.when(
-        last.isin("y", "Y") & (F.length(word) > 2) & (before == "c"), F.concat(_drop(word, 1), F.lit("i"))
-    ).otherwise(word))
-
-    df = _suffix_step(df, STEP_2, "_r1", lambda end, cut: (
-        F.when(end == "ogi", F.endswith(cut, F.lit("l")))
-        .when(end == "li", F.right(cut, F.lit(1)).isin(*LI_LETTERS)).otherwise(F.lit(True))))
-    df = _suffix_step(df, STEP_3, "_r1", lambda end, cut: (end != "ative") | (F.length(cut) >= F.col("_r2")))
-    df = _suffix_step(df, STEP_4, "_r2", lambda end, cut: (end != "ion") | F.right(cut, F.lit(1)).isin("s", "t"))
-
-    df = df.withColumn("_cut", _drop(word, 1)).withColumn("_classes", _classes(word))
-    in_r1, in_r2 = F.length(cut) >= F.col("_r1"), F.length(cut) >= F.col("_r2")
-    df = df.withColumn("_w", (
-        F.when(F.endswith(word, F.lit("e")) & (in_r2 | (in_r1 & ~_ends_short(cut, classes))), cut)
-        .when(F.endswith(word, F.lit("ll")) & in_r2, cut)
-        .otherwise(word)))
-    result = (
-        F.when(F.length(column) <= 2, F.col(column))
-        .otherwise(F.coalesce(
-            F.when(F.col(column).isin(*IRREGULAR), _lookup(IRREGULAR)[F.col(column)]),
-            F.when(F.col("_stop"), F.translate(F.col("_kept"), "Y", "y")).otherwise(F.translate(word, "Y", "y")))))
-    # A one-element explode keeps filters on the stem above these projections; pushed below, Spark would replace each
-    # column by its definition, step by step, in one enormous expression.
-    return df.select(*others, F.explode_outer(F.array(result)).alias(column))
+    place = df.columns.index(column)
+
+    def stem_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            lists = batch.column(place)
+            words = lists.flatten().dictionary_encode()
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            stems = []
+            for word in words.dictionary.to_pylist():
+                if word not in known:
+                    known[word] = stem_word(word)
+                stems.append(known[word])
+            values = pa.array(stems, pa.string()).take(words.indices)
+            offsets = pc.subtract(lists.offsets, lists.offsets[0])
+            columns = batch.columns
+            columns[place] = pa.ListArray.from_arrays(offsets, values)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(stem_batches, df.schema)

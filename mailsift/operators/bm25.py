@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
-from ..functions.stem import stem as stem_words
+from ..functions.stem import stem_tokens
 from ..functions.text import index_tokens
 from .joins import join_small
 from .ranking import top_k
@@ -32,9 +32,10 @@ class Index:
         return row["n"], (row["tokens"] or 0) / max(row["n"], 1)
 
 
-def _tokenised(df: DataFrame, text_columns, stop_words) -> DataFrame:
-    text = F.concat_ws(" ", *[F.col(c) for c in text_columns])
-    return df.select("no", index_tokens(text, stop_words).alias("tokens"))
+def tokenised(df: DataFrame, key: str, text: Column, stop_words, stem: bool) -> DataFrame:
+    """(key, tokens): index words of the text in order, stemmed if wanted."""
+    tokens = df.select(key, index_tokens(text, stop_words).alias("tokens"))
+    return stem_tokens(tokens, "tokens") if stem else tokens
 
 
 def build_index(mail: DataFrame, fields=C.INDEX_FIELDS, stop_words=C.STOP_WORDS, stem: bool = True) -> Index:
@@ -43,14 +44,14 @@ def build_index(mail: DataFrame, fields=C.INDEX_FIELDS, stop_words=C.STOP_WORDS,
     Document lengths come from the token arrays, without a shuffle.  Postings are counted per (no, term), an even
     key however common a word is.  Document frequencies add up inside each task before they are shuffled.
     """
-    tokens = _tokenised(mail, [f for f in fields if f in mail.columns], stop_words)
-    docs = tokens.select("no", F.size("tokens").cast("long").alias("length"))
+    present = [f for f in fields if f in mail.columns]
+    text = F.concat_ws(" ", *[F.col(f) for f in present])
+    docs = mail.select("no", F.size(index_tokens(text, stop_words)).cast("long").alias("length"))
     # `explode` would make Spark test for empty arrays first, below the joins, and so tokenise every text twice.
-    words = tokens.select("no", F.size("tokens").cast("long").alias("length"), F.explode_outer("tokens").alias("term"))
-    words = words.where(F.col("term").isNotNull())
-    if stem:
-        words = stem_words(words, "term")
-    postings = words.groupBy("no", "length", "term").agg(F.count("*").alias("tf")).select("term", "no", "tf", "length")
+    words = tokenised(mail, "no", text, stop_words, stem).select(
+        "no", F.size("tokens").cast("long").alias("length"), F.explode_outer("tokens").alias("term"))
+    postings = (words.where(F.col("term").isNotNull()).groupBy("no", "length", "term")
+                .agg(F.count("*").alias("tf")).select("term", "no", "tf", "length"))
     return Index(postings, document_frequency(postings), docs, tuple(stop_words), stem)
 
 
@@ -90,10 +91,9 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 def query_words(queries: DataFrame, stop_words=C.STOP_WORDS, stem: bool = True) -> DataFrame:
     """Distinct index terms of every query: (query_id, term)."""
-    words = queries.select("query_id", F.explode(index_tokens(F.col("query_text"), stop_words)).alias("term"))
-    if stem:
-        words = stem_words(words, "term")
-    return words.distinct()
+    words = tokenised(queries, "query_id", F.col("query_text"), stop_words, stem)
+    return words.select("query_id", F.explode_outer("tokens").alias("term")).where(
+        F.col("term").isNotNull()).distinct()
 
 
 def match_scores(index: Index, queries: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
