@@ -45,9 +45,10 @@ def apply_overrides(files: DataFrame, overrides: DataFrame) -> DataFrame:
 def link_map(files: DataFrame) -> DataFrame:
     """Add the position of each file in its key, by title, and the number of files of the key.
 
-    All titles of a key share their first 12 characters; the next ones cut the key into ordered parts.
+    The first characters of the titles cut a key into ordered parts: titles begin with the 12 characters of their key,
+    a separator, and only then differ.
     """
-    part = F.substring("title", 13, 3)
+    part = F.substring("title", 1, 16)
     placed = position_in_group(files, ["linkkey"], [F.col("title"), F.col("id")], part, "position")
     counts = files.groupBy("linkkey").agg(F.count("*").alias("files"))
     return join_spread(placed, counts, ["linkkey"], "id")

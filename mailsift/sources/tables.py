@@ -20,13 +20,15 @@ def clean_names(names: list[str]) -> list[str]:
     return result
 
 
-def read_export(spark: SparkSession, path: str, title_rows: int = C.TITLE_ROWS, sep: str = ",") -> DataFrame:
+def read_export(spark: SparkSession, path: str | list[str], title_rows: int = C.TITLE_ROWS, sep: str = ",",
+                header_path: str | None = None) -> DataFrame:
     """A CSV export with title rows above its header: every column text, blank rows dropped.
 
+    An export in several files has its header in the file `header_path`.
     Only the first lines come to the driver, to learn the names.  All rows are then read in parallel; splits have
     no row numbers, so the title and header rows are recognised by their values.
     """
-    head = list(csv.reader([row.value for row in spark.read.text(path).head(title_rows + 1)], delimiter=sep))
+    head = list(csv.reader([row.value for row in spark.read.text(header_path or path).head(title_rows + 1)], delimiter=sep))
     names = clean_names(head[title_rows])
     rows = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names), sep=sep, quote='"', escape='"')
     for cells in head:

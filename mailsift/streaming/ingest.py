@@ -16,7 +16,8 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int =
 def keep_once(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """The first row of each key.  The state of a key is dropped once the watermark has passed it by `delay`, so state
     stays as large as the window of possible repeats."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def clean_once(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
