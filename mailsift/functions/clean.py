@@ -67,6 +67,8 @@ def site_key(c: Column) -> Column:
 def site_code(c: Column, sites=C.SITES) -> Column:
     """The code of a site alias, NULL for text that is no alias."""
     pairs = {alias.lower(): code for code, (_, aliases) in sites.items() for alias in aliases}
+    if not pairs:
+        return F.lit(None).cast("string")
     lookup = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
     return lookup[site_key(c)]
 
