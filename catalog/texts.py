@@ -254,15 +254,15 @@ ENTRIES = {
         SELECT query_id, array_to_string(terms, '|') AS terms FROM i"""),
     "mask_text": (mask_text, f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents"),
     "mask_addresses": (mask_addresses, f"""WITH {MAIL_SQL} SELECT no, left(senderemail, 1) || '****@' ||
-        split_part(senderemail, '@', 2) || '; ' || sendername || ', ' || CASE WHEN recipientto IS NULL THEN '' ELSE
-        'd****@' || split_part(recipientto, '@', 2) END AS masked FROM mail"""),
+        split_part(senderemail, '@', 2) || '; ' || sendername || CASE WHEN recipientto IS NULL THEN ',' ELSE
+        ', d****@' || split_part(recipientto, '@', 2) END AS masked FROM mail"""),
     "snippets": (snippets, rf"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')},
         {identifier_ctes('queries', 'i')},
-        terms AS (SELECT query_id, CASE WHEN len(terms) > 0 THEN terms ELSE {distinct_sql('w')} END AS t FROM
+        wanted AS (SELECT query_id, CASE WHEN len(terms) > 0 THEN terms ELSE {distinct_sql('w')} END AS t FROM
                   (SELECT query_id, terms, {TERM_SQL.format('query_text')} AS w FROM i)),
         best AS ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 5, 'query_id, no')}),
         parts AS (SELECT b.query_id, b.no, t.t, {SENTENCES_SQL.replace("{0}", "m.plaintextbody")} AS s
-                  FROM best b JOIN mail m USING (no) JOIN terms t USING (query_id)),
+                  FROM best b JOIN mail m USING (no) JOIN wanted t USING (query_id)),
         sentences AS (SELECT query_id, no, t, unnest(s) AS sentence, unnest(range(len(s))) AS idx FROM parts),
         scored AS (SELECT *, 2.0 * len(list_filter(t, lambda x: {names_sql('sentence', 'x')})) AS hits FROM sentences),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY
