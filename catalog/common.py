@@ -265,8 +265,8 @@ def bm25_sql(queries: str, name: str, suffix: str = "") -> str:
         f"{p} AS (SELECT query_id, unnest({tokens_sql('query_text')}) AS raw FROM {queries})",
         stem_sql(p, p),
         f"{name}_terms AS (SELECT DISTINCT query_id, term FROM {p} JOIN {p}_stem USING (raw))",
-        f"""{name} AS (SELECT q.query_id, p.no, sum(log10((t.n - d.df + 0.5) / (d.df + 0.5) + 1)
-              * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.length / t.mean))) AS bm25_score
+        f"""{name} AS (SELECT q.query_id, p.no, round(sum(log10((t.n - d.df + 0.5) / (d.df + 0.5) + 1)
+              * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.length / t.mean))), 9) AS bm25_score
             FROM {name}_terms q JOIN postings p USING (term) JOIN terms d USING (term), totals t
             GROUP BY q.query_id, p.no)""",
     ])

@@ -11,7 +11,7 @@ from mailsift.plans import search as plans
 from .common import (DECISIONS, ENTITIES, GLOSSARY, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL, QUERIES, SYNONYMS,
                      TIME_SQL, bm25_sql, index, mail, quoted, sql_view, table, tidy, tokens_sql, top_sql, view)
 from .text_search import TERM_SQL, distinct_sql, lists_sql, SYNONYM_SQL
-from .texts import (CHUNK_SQL, DOMAIN_MARKED, compact_sql, identifier_ctes, marked_sql, mask_sql, names_sql, unmarked_sql)
+from .texts import (CHUNK_SQL, DOMAIN_MARKED, ENTITY_MARKED, compact_sql, identifier_ctes, marked_sql, mask_sql, names_sql, unmarked_sql)
 
 DIM = 64
 
@@ -190,7 +190,7 @@ def rrf_fusion(spark, sf_dir):
 # --- whole searches ------------------------------------------------------------------------------------------
 
 def rerank_full(spark, sf_dir):
-    ranked = fusion.rerank(_hits(spark, sf_dir))
+    ranked = fusion.rerank(_hits(spark, sf_dir).drop("query_text"), view(spark, sf_dir, QUERIES))
     return tidy(ranked.select("query_id", "no", "field_match", "entity_match", "recency_score", "decision_signal", "score",
                               "position"))
 
@@ -271,7 +271,7 @@ def eval_export(spark, sf_dir):
 
 COSINE = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 PAIRS_SQL = f"""pairs AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS no,
-    {COSINE.format('q.embedding', 'v.embedding')} AS cosine_score FROM embeddings q, embeddings v)"""
+    round({COSINE.format('q.embedding', 'v.embedding')}, 9) AS cosine_score FROM embeddings q, embeddings v)"""
 NEAR_SQL = PAIRS_SQL.replace("embeddings q,", "(SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q,")
 BY_COSINE = "round(cosine_score, 9) DESC, no"
 
@@ -357,8 +357,8 @@ AGE_SQL = f"""CASE WHEN {TIME_SQL} IS NULL THEN 9999 ELSE
 
 
 def rrf_sql(value, order="DESC"):
-    return (f"CASE WHEN {value} IS NULL THEN 0.0 ELSE 1.0 / (60 + rank() OVER (PARTITION BY query_id ORDER BY {value} {order} "
-            f"NULLS LAST)) END")
+    return (f"CASE WHEN {value} IS NULL THEN 0.0 ELSE 1.0 / (60 + rank() OVER (PARTITION BY query_id "
+            f"ORDER BY round({value}, 9) {order} NULLS LAST)) END")
 
 
 def rerank_ctes(candidates, queries, exact_columns=False):
@@ -483,7 +483,11 @@ ENTRIES = {
         {top_hits('asked', 'hits', 20)}, {terms_ctes('asked')}
         SELECT h.query_id, m.no, {reason_sql('w.terms').replace("coalesce(no,", "coalesce(m.no,")} AS match_reason
         FROM hits_top h JOIN mail m USING (no) JOIN wanted w USING (query_id)"""),
-    "entity_score": (entity_score, None),
+    "entity_score": (entity_score, f"""WITH {INDEX_SQL}, {QUERIES_CTE}, {top_hits('queries', 'hits', 20)},
+        {terms_ctes('queries')}, valued AS (SELECT *, {entity_list_sql(ENTITY_MARKED, list(ENTITY_MARKED))} AS ents
+        FROM wanted)
+        SELECT h.query_id, m.no, round({entity_match_sql('w.ents', 'w.words')}, 6) AS entity_match FROM hits_top h
+        JOIN mail m USING (no) JOIN valued w USING (query_id)"""),
     "rrf_fusion": (rrf_fusion, f"""WITH {INDEX_SQL}, {QUERIES_CTE}, {top_hits('queries', 'hits', 50)}, {NEAR_SQL},
         near AS ({top_sql('pairs', BY_COSINE, 50)}),
         both_ AS (SELECT query_id, no, bm25_score, cosine_score FROM hits_top FULL JOIN near USING (query_id, no))

@@ -269,8 +269,8 @@ ENTRIES = {
                    hits + greatest(0.0, 2.0 - idx * 0.1) DESC, idx) AS r FROM scored WHERE hits > 0),
         joined AS (SELECT query_id, no, any_value(t) AS t, string_agg(sentence, ' ' ORDER BY r) AS s FROM ranked
                    WHERE r <= 3 GROUP BY query_id, no)
-        SELECT query_id, no, list_reduce(list_concat([{mask_sql('s')}], t), lambda acc, x: regexp_replace(acc,
-            '(?i)(' || x || ')', '**\1**', 'g')) AS snippet FROM joined"""),
+        SELECT b.query_id, b.no, coalesce(list_reduce(list_concat([{mask_sql('s')}], t), lambda acc, x: regexp_replace(acc,
+            '(?i)(' || x || ')', '**\1**', 'g')), '') AS snippet FROM best b LEFT JOIN joined j USING (query_id, no)"""),
     "entities": (entity_values, f"WITH {MAIL_SQL}, {entity_ctes('mail', ENTITY_TEXT_SQL, 'e')} "
                                 "SELECT no, tag, position, value FROM e"),
     "entity_chips": (entity_chips, f"""WITH {MAIL_SQL}, {entity_ctes('mail', HEADER_TEXT_SQL, 'h')},

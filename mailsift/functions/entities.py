@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as C
 from .clean import strip, text_or_empty
-from .text import mask_text
+from .text import bind, mask_text
 
 
 def tag_values(c: Column, tag: str, patterns=C.ENTITY_PATTERNS, limit: int | None = C.MAX_ENTITY_VALUES) -> Column:
@@ -30,21 +30,23 @@ def _values(entities: Column, tag: str) -> Column:
 
 def merge_entities(maps: list[Column], tags=tuple(C.ENTITY_PATTERNS), limit: int = C.MAX_ENTITY_VALUES) -> Column:
     """One map with the values of all maps, earlier maps first."""
-    entries = F.array(*[
-        F.struct(
-            F.lit(tag).alias("key"),
-            F.slice(F.array_distinct(F.concat(*[_values(m, tag) for m in maps])), 1, limit).alias("value"))
-        for tag in tags])
-    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+    def merged(sources: Column) -> Column:
+        entries = F.array(*[
+            F.struct(F.lit(tag).alias("key"), F.slice(F.array_distinct(F.concat(*[
+                _values(sources[f"m{i}"], tag) for i in range(len(maps))])), 1, limit).alias("value"))
+            for tag in tags])
+        return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+
+    return bind(F.struct(*[m.alias(f"m{i}") for i, m in enumerate(maps)]), merged)
 
 
 def chip_text(entities: Column, limit: int = C.MAX_CHIP_VALUES) -> Column:
     """`[Tag: a, b, c]` for every tag, in the fixed order."""
-    chips = [
-        F.when(F.size(_values(entities, tag)) > 0, F.concat(
-            F.lit(f"[{tag}: "), F.array_join(F.slice(_values(entities, tag), 1, limit), ", "), F.lit("]")))
-        for tag in C.CHIP_ORDER]
-    return F.concat_ws(" ", *chips)
+    def chip(found: Column, tag: str) -> Column:
+        return F.when(F.size(_values(found, tag)) > 0, F.concat(
+            F.lit(f"[{tag}: "), F.array_join(F.slice(_values(found, tag), 1, limit), ", "), F.lit("]")))
+
+    return bind(entities, lambda found: F.concat_ws(" ", *[chip(found, tag) for tag in C.CHIP_ORDER]))
 
 
 def issue_text(subject: Column, cases: Column) -> Column:

@@ -6,57 +6,63 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as C
 from .clean import strip, text_or_empty
-from .text import query_terms
+from .text import bind, query_terms
 
 
 def _texts(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def _entry_hit(lower_query: Column, key: str, variants, english) -> Column:
-    hit = F.lit(False)
-    for word in dict.fromkeys(w.lower() for w in (key, *variants, *english)):
-        hit = hit | F.contains(lower_query, F.lit(word))
-    return hit
+def _entries(glossary, pick) -> Column:
+    """The glossary as one constant: for each entry the words that trigger it and the words it gives."""
+    return F.array(*[
+        F.struct(_texts(list(dict.fromkeys(w.lower() for w in triggers))).alias("triggers"), _texts(pick(given)).alias("words"))
+        for triggers, given in glossary])
 
 
-def _collect(lower_query: Column, glossary, pick) -> list[Column]:
-    none = F.array().cast("array<string>")
-    return [F.when(_entry_hit(lower_query, key, *entry), _texts(pick(entry))).otherwise(none)
-            for key, entry in glossary.items()]
+def _glossary_entries(glossary):
+    return [((key, *variants, *english), (variants, english)) for key, (variants, english) in glossary.items()]
+
+
+def _collect(lower_query: Column, entries: Column) -> Column:
+    """The words of all entries with a trigger in the query, in table order."""
+    hits = F.filter(entries, lambda e: F.exists(e["triggers"], lambda w: F.contains(lower_query, w)))
+    return F.flatten(F.transform(hits, lambda e: e["words"]))
 
 
 def variants(c: Column, glossary=C.GLOSSARY, limit: int = C.MAX_EXPANSIONS) -> Column:
     """The query itself and the variants of every glossary entry it touches, in glossary order."""
-    query = strip(text_or_empty(c))
-    found = F.concat(F.array(query), *_collect(F.lower(query), glossary, lambda e: e[0]))
+    table = _entries(_glossary_entries(glossary), lambda entry: entry[0])
+    found = bind(strip(text_or_empty(c)), lambda q: F.concat(
+        F.array(q), bind(F.lower(q), lambda lower: _collect(lower, table))))
     return F.slice(F.array_distinct(F.filter(found, lambda v: v != "")), 1, limit)
 
 
 def english_terms(c: Column, glossary=C.GLOSSARY, limit: int = C.MAX_EXPANSIONS) -> Column:
     """The English terms of every glossary entry the query touches, in glossary order."""
-    found = F.concat(*_collect(F.lower(strip(text_or_empty(c))), glossary, lambda e: e[1]))
+    table = _entries(_glossary_entries(glossary), lambda entry: entry[1])
+    found = bind(F.lower(text_or_empty(c)), lambda lower: _collect(lower, table))
     return F.slice(F.array_distinct(found), 1, limit)
 
 
 def rewrite_terms(c: Column, glossary=C.GLOSSARY, synonyms=C.SYNONYMS, limit: int = C.REWRITE_TERMS) -> Column:
     """The query's words followed by glossary terms and synonyms; words that differ by case only count once."""
-    lower = F.lower(text_or_empty(c))
-    none = F.array().cast("array<string>")
-    found = F.concat(
-        query_terms(c),
-        *_collect(lower, glossary, lambda e: e[1][:C.REWRITE_TERMS_PER_HIT]),
-        *[F.when(F.contains(lower, F.lit(word)), _texts(words)).otherwise(none) for word, words in synonyms.items()])
-    lowered = F.transform(found, F.lower)
-    first = F.filter(F.transform(found, lambda w, i: F.when(F.array_position(lowered, F.lower(w)) == i + 1, w)),
-                     lambda w: w.isNotNull())
-    return F.slice(first, 1, limit)
+    terms = _entries(_glossary_entries(glossary), lambda entry: entry[1][:C.REWRITE_TERMS_PER_HIT])
+    others = _entries([((word,), words) for word, words in synonyms.items()], lambda words: words)
+    found = bind(F.lower(text_or_empty(c)), lambda lower: F.concat(
+        query_terms(c), _collect(lower, terms), _collect(lower, others)))
+
+    def first_spellings(words: Column) -> Column:
+        return bind(F.transform(words, F.lower), lambda lowered: F.filter(
+            words, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1))
+
+    return F.slice(bind(found, first_spellings), 1, limit)
 
 
 def rewrite(c: Column, glossary=C.GLOSSARY, synonyms=C.SYNONYMS) -> Column:
     """The rewritten query, its terms joined by OR; the query itself when it has no terms."""
-    terms = rewrite_terms(c, glossary, synonyms)
-    return F.when(F.size(terms) > 0, F.array_join(terms, " OR ")).otherwise(text_or_empty(c))
+    return bind(rewrite_terms(c, glossary, synonyms), lambda terms: F.when(
+        F.size(terms) > 0, F.array_join(terms, " OR ")).otherwise(text_or_empty(c)))
 
 
 def fallback_tokens(c: Column, limit: int = 4, shortest: int = 3) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -10,6 +11,11 @@ from .. import constants as C
 from .clean import strip, text_or_empty
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value worked out once, however often the body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _fold_table() -> tuple[str, str]:
     """Lower-case letters that decompose to an ASCII letter, and those letters; combining marks go last."""
     accented, plain = [], []
@@ -91,32 +97,46 @@ def identifier_variants(c: Column) -> Column:
 
 def identifier_terms(c: Column, limit: int = C.MAX_IDENTIFIER_TERMS) -> Column:
     """Identifier-like parts of a query with all their spellings; empty when the query names no identifier."""
-    text = strip(text_or_empty(c))
-    codes = code_variants(text)
-    numbers = F.when(F.size(codes) == 0, _matches(text, C.LONG_NUMBER)).otherwise(F.array().cast("array<string>"))
-    marked_words = F.filter(query_terms(text), lambda w: w.rlike(r"(?U)[\d/-]"))
-    seeds = F.concat(
-        codes, numbers, _matches(text, C.JOINED_CODE), _matches(text, C.LETTER_DIGIT_CODE),
-        _matches(text, C.PREFIXED_CODE), marked_words,
-    )
-    found = F.array_distinct(F.flatten(F.transform(F.array_distinct(seeds), identifier_variants)))
-    return F.slice(found, 1, limit)
+    none = F.array().cast("array<string>")
+
+    def seeds(text: Column) -> Column:
+        marked_words = F.filter(query_terms(text), lambda w: w.rlike(r"(?U)[\d/-]"))
+        return bind(code_variants(text), lambda codes: F.concat(
+            codes, F.when(F.size(codes) == 0, _matches(text, C.LONG_NUMBER)).otherwise(none),
+            _matches(text, C.JOINED_CODE), _matches(text, C.LETTER_DIGIT_CODE), _matches(text, C.PREFIXED_CODE),
+            marked_words))
+
+    found = F.transform(F.array_distinct(bind(strip(text_or_empty(c)), seeds)), identifier_variants)
+    return F.slice(F.array_distinct(F.flatten(found)), 1, limit)
 
 
 def search_terms(c: Column) -> Column:
     """Identifier terms if the query has any, else its query terms."""
-    identifiers = identifier_terms(c)
-    return F.when(F.size(identifiers) > 0, identifiers).otherwise(query_terms(c))
+    return bind(identifier_terms(c), lambda found: F.when(F.size(found) > 0, found).otherwise(query_terms(c)))
 
 
 def has_hangul(c: Column) -> Column:
     return text_or_empty(c).rlike(C.HANGUL)
 
 
-def names_term(lower_text: Column, compact_text: Column, term: Column) -> Column:
+def searchable(c: Column) -> Column:
+    """The two forms of a text that terms are looked up in: lower case, and letters and digits only."""
+    return F.struct(F.lower(c).alias("lower"), compact(c).alias("compact"))
+
+
+def term_forms(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lower(t).alias("lower"), compact(t).alias("compact")))
+
+
+def names_term(text: Column, term: Column) -> Column:
     """Whether a text holds a term, as written or with everything but letters and digits removed."""
-    bare = compact(term)
-    return ((term != "") & F.contains(lower_text, F.lower(term))) | ((bare != "") & F.contains(compact_text, bare))
+    return ((term["lower"] != "") & F.contains(text["lower"], term["lower"])) | (
+        (term["compact"] != "") & F.contains(text["compact"], term["compact"]))
+
+
+def names_any(c: Column, forms: Column) -> Column:
+    """Whether a text holds one of the terms, given by their forms."""
+    return bind(searchable(c), lambda text: F.exists(forms, lambda t: names_term(text, t)))
 
 
 def mask_text(c: Column) -> Column:
@@ -139,29 +159,33 @@ def sentences(c: Column) -> Column:
 
 
 def scored_sentences(body: Column, terms: Column) -> Column:
-    """(score, idx, sentence) of every sentence that names a term: 2 per term plus a bonus for early sentences."""
-    parts = F.transform(sentences(body), lambda s, i: F.struct(
-        (2.0 * F.size(F.filter(terms, lambda t: names_term(F.lower(s), compact(s), t)))).alias("hits"),
-        i.alias("idx"), s.alias("sentence")))
-    return F.transform(F.filter(parts, lambda p: p["hits"] > 0), lambda p: F.struct(
-        (p["hits"] + F.greatest(F.lit(0.0), 2.0 - p["idx"] * 0.1)).alias("score"),
-        p["idx"].alias("idx"), p["sentence"].alias("sentence")))
+    """(order, idx, sentence) of every sentence that names a term; `order` is minus the score: 2 per term plus a bonus
+    for early sentences."""
+    def scored(forms: Column, sentence: Column, idx: Column) -> Column:
+        hits = bind(searchable(sentence), lambda text: F.size(F.filter(forms, lambda t: names_term(text, t))))
+        return F.when(hits > 0, F.struct(
+            (-(2.0 * hits + F.greatest(F.lit(0.0), 2.0 - idx * 0.1))).alias("order"), idx.alias("idx"),
+            sentence.alias("sentence")))
+
+    found = bind(term_forms(terms), lambda forms: F.transform(sentences(body), lambda s, i: scored(forms, s, i)))
+    return F.array_compact(found)
 
 
 def snippet(body: Column, terms: Column, sentences_kept: int = 3, context: int = 150) -> Column:
-    """The best sentences for the terms, masked, with each term in `**`; else the text around the first hit."""
-    text = strip(squeeze(text_or_empty(body)))
-    ranked = F.array_sort(F.transform(scored_sentences(body, terms), lambda p: F.struct(
-        (-p["score"]).alias("order"), p["idx"].alias("idx"), p["sentence"].alias("sentence"))))
-    best = F.array_join(F.transform(F.slice(ranked, 1, sentences_kept), lambda p: p["sentence"]), " ")
-    first_hit = F.array_min(F.filter(
-        F.transform(terms, lambda t: F.position(F.lower(t), F.lower(text))), lambda p: p > 0))
-    start = F.greatest(F.lit(0), first_hit - 1 - context)
-    stop = F.least(F.length(text), first_hit - 1 + context)
-    around = F.concat(
-        F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, stop - start),
-        F.when(stop < F.length(text), "...").otherwise(""))
-    chosen = F.when(F.size(ranked) > 0, best).otherwise(F.coalesce(around, F.lit("")))
+    """The best sentences for the terms, masked, with each term in `**`; else the text around the first hit, if any."""
+    def around() -> Column:
+        text = strip(squeeze(text_or_empty(body)))
+        hits = F.filter(F.transform(terms, lambda t: F.position(F.lower(t), F.lower(text))), lambda p: p > 0)
+        start = F.greatest(F.lit(0), F.array_min(hits) - 1 - context)
+        stop = F.least(F.length(text), F.array_min(hits) - 1 + context)
+        cut = F.concat(
+            F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, stop - start),
+            F.when(stop < F.length(text), "...").otherwise(""))
+        return F.when(F.size(hits) > 0, cut).otherwise("")
+
+    ranked = F.slice(F.array_sort(scored_sentences(body, terms)), 1, sentences_kept)
+    chosen = bind(ranked, lambda best: F.when(
+        F.size(best) > 0, F.array_join(F.transform(best, lambda p: p["sentence"]), " ")).otherwise(around()))
     return highlight(mask_text(chosen), terms)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as C
 from ..functions.expand import english_terms, fallback_tokens, variants
 from ..functions.text import has_hangul
+from ..storage import materialise
 from .bm25 import Index, match_scores, by_score
 from .containment import find_terms, text_fields
 from .joins import join_small
@@ -55,21 +56,22 @@ def fallback_search(mail: DataFrame, index: Index, queries: DataFrame, found: Da
     """Further steps for the queries without a row in `found`: (query_id, no, stage, position).
 
     Stage `token`: BM25 on the first tokens of queries with at least two.  Stage `ilike_fb`: substrings of the first
-    tokens.  Each stage sees only the queries that are still empty.
+    tokens.  Each stage sees only the queries that are still empty, so its input is written before the next one starts.
     """
-    empty = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    columns = ["query_id", "no", "stage", "position"]
+    empty = materialise(queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), "empty")
+    if empty.isEmpty():
+        return empty.sparkSession.createDataFrame([], "query_id long, no string, stage string, position int")
     tokens = fallback_tokens(F.col("query_text"))
     wordy = empty.where(~has_hangul(F.col("query_text")) & (F.size(tokens) >= 2))
-    by_token = top_k(
+    by_token = materialise(top_k(
         match_scores(index, wordy.select("query_id", F.array_join(tokens, " OR ").alias("query_text"))),
-        ["query_id"], by_score("bm25_score"), k, rank="position")
+        ["query_id"], by_score("bm25_score"), k, rank="position").withColumn("stage", F.lit("token")), "token-hits")
     still_empty = empty.join(by_token.select("query_id").distinct(), "query_id", "left_anti")
     parts = F.when(F.size(tokens) > 0, tokens).otherwise(F.array("query_text"))
     by_part = substring_matches(mail, still_empty, parts).join(mail.select("no", "deliverytime"), "no")
-    by_part = top_k(by_part, ["query_id"], newest_first(), k, rank="position")
-    columns = ["query_id", "no", "stage", "position"]
-    return (by_token.withColumn("stage", F.lit("token")).select(*columns)
-            .unionByName(by_part.withColumn("stage", F.lit("ilike_fb")).select(*columns)))
+    by_part = top_k(by_part, ["query_id"], newest_first(), k, rank="position").withColumn("stage", F.lit("ilike_fb"))
+    return by_token.select(*columns).unionByName(by_part.select(*columns))
 
 
 def key_decisions(mail: DataFrame, index: Index, query: str = C.KEY_DECISION_QUERY,

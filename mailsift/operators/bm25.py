@@ -13,6 +13,9 @@ from .joins import join_small
 from .ranking import top_k
 
 POSTING_BUCKETS = 64
+# Sums depend in their last digits on the order in which partial sums meet.  Scores are kept to nine places, so that
+# equal scores are equal on every run and share their rank.
+SCORE_PLACES = 9
 
 
 @dataclass(frozen=True)
@@ -113,12 +116,11 @@ def match_scores(index: Index, queries: DataFrame, k1: float = C.BM25_K1, b: flo
     hits = join_small(index.postings, weighted, keys, spread="no")
     part = (F.col("idf") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length))))
-    return hits.groupBy("query_id", "no").agg(F.sum(part).alias("bm25_score"))
+    return hits.groupBy("query_id", "no").agg(F.round(F.sum(part), SCORE_PLACES).alias("bm25_score"))
 
 
 def by_score(score: str, key: str = "no") -> list:
-    """Best score first; scores are compared to nine places, so that summation order decides nothing."""
-    return [F.round(score, 9).desc_nulls_last(), F.col(key)]
+    return [F.col(score).desc_nulls_last(), F.col(key)]
 
 
 def search(index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.clean import id_key, id_value, text_or_empty
-from ..functions.text import compact, identifier_terms, names_term, search_terms
+from ..functions.clean import any_of, id_key, id_value, text_or_empty
+from ..functions.text import (bind, identifier_terms, names_any, names_term, search_terms, searchable,
+                              term_forms)
+from ..storage import materialise
 from .containment import find_terms, text_fields
 from .joins import join_small
 from .ranking import newest_first, top_k
@@ -28,7 +30,11 @@ def find_matches(mail: DataFrame, queries: DataFrame, fields=C.EXACT_FIELDS) ->
     Tier 0: a term is the id.  Tier 1: a term occurs in a field other than the body, spelled in any way.  Tier 2: in
     the body only.
     """
-    terms = identifier_queries(queries).select("query_id", F.explode("terms").alias("term"))
+    return _matches(mail, materialise(identifier_queries(queries), "identifiers"), fields)
+
+
+def _matches(mail: DataFrame, asked: DataFrame, fields) -> DataFrame:
+    terms = asked.select("query_id", F.explode("terms").alias("term"))
     by_id = (mail.select("no", id_key(F.col("no")).alias("key"))
              .join(terms.select("query_id", id_value(F.col("term")).alias("key")).distinct(), "key")
              .select("query_id", "no", F.lit(0).alias("tier")))
@@ -43,18 +49,17 @@ def find_matches(mail: DataFrame, queries: DataFrame, fields=C.EXACT_FIELDS) ->
 
 def _raise_tier(df: DataFrame) -> DataFrame:
     """A mail found by its body counts as tier 1 where a strong field holds a term in another spelling."""
-    strong = F.lit(False)
-    for field in (f for f in C.STRONG_FIELDS if f in df.columns):
-        text = text_or_empty(F.col(field))
-        strong = strong | F.exists("terms", lambda t: names_term(F.lower(text), compact(text), t))
+    strong = bind(term_forms(F.col("terms")), lambda forms: any_of([
+        names_any(text_or_empty(F.col(f)), forms) for f in C.STRONG_FIELDS if f in df.columns]))
     return df.withColumn("exact_tier", F.when((F.col("exact_tier") == 2) & strong, 1).otherwise(F.col("exact_tier")))
 
 
 def exact_search(mail: DataFrame, queries: DataFrame, limit: int = C.RESULT_LIMIT) -> DataFrame:
     """The newest `limit` mails per identifier query, best tier first, with rank, score and reason."""
-    found = find_matches(mail, queries)
+    asked = materialise(identifier_queries(queries), "identifiers")
+    found = _matches(mail, asked, C.EXACT_FIELDS)
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns]
-    rows = found.join(mail.select(columns), "no").join(identifier_queries(queries), "query_id")
+    rows = found.join(mail.select(columns), "no").join(asked, "query_id")
     rows = top_k(rows, ["query_id"], newest_first(), limit)
     rows = _raise_tier(rows).withColumn("exact_score", F.lit(1.0))
     reason = match_reason(rows, F.col("terms"))
@@ -65,27 +70,29 @@ def exact_search(mail: DataFrame, queries: DataFrame, limit: int = C.RESULT_LIMI
 
 def match_reason(df: DataFrame, terms: Column) -> Column:
     """`label:term` for the first field that holds each of the first terms."""
-    labels = [(F.col(f), label) for f, label in C.FIELD_LABELS.items() if f in df.columns]
+    present = {f: label for f, label in C.FIELD_LABELS.items() if f in df.columns}
+    texts = F.struct(*[searchable(text_or_empty(F.col(f))).alias(f) for f in present])
 
-    def reason(term: Column) -> Column:
-        held = [F.when(names_term(F.lower(text_or_empty(c)), compact(text_or_empty(c)), term),
-                       F.concat(F.lit(label + ":"), term)) for c, label in labels]
-        return F.coalesce(*held)
+    def reason(fields: Column, term: Column) -> Column:
+        return F.coalesce(*[F.when(names_term(fields[f], term), F.concat(F.lit(label + ":"), term["term"]))
+                            for f, label in present.items()])
 
-    reasons = F.filter(F.transform(F.slice(terms, 1, C.MAX_REASON_TERMS), reason), lambda r: r.isNotNull())
+    first = term_forms(F.slice(terms, 1, C.MAX_REASON_TERMS))
+    reasons = F.array_compact(bind(texts, lambda fields: F.transform(first, lambda t: reason(fields, t))))
     return F.array_join(F.slice(F.array_distinct(reasons), 1, C.MAX_REASONS), ", ")
 
 
 def field_match(df: DataFrame, terms: Column, weights=C.FIELD_WEIGHTS) -> Column:
     """Sum of the weights of the fields that hold one of the first terms, at most 1."""
-    wanted = F.slice(terms, 1, C.MAX_FIELD_TERMS)
-    score = F.lit(0.0)
-    for field, weight in weights.items():
-        if field in df.columns:
-            text = text_or_empty(F.col(field))
-            held = F.exists(wanted, lambda t: names_term(F.lower(text), compact(text), t))
-            score = score + F.when(held, weight).otherwise(0.0)
-    return F.least(score, F.lit(1.0))
+    def total(forms: Column) -> Column:
+        score = F.lit(0.0)
+        for field, weight in weights.items():
+            if field in df.columns:
+                held = names_any(text_or_empty(F.col(field)), forms)
+                score = score + F.when(held, weight).otherwise(0.0)
+        return F.least(score, F.lit(1.0))
+
+    return bind(term_forms(F.slice(terms, 1, C.MAX_FIELD_TERMS)), total)
 
 
 def merge_exact(primary: DataFrame, exact: DataFrame) -> DataFrame:

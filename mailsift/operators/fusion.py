@@ -1,7 +1,7 @@
 """Rank fusion: signals of candidate mails, their weighted sum, and the final order.
 
-Candidates are (query_id, query_text, no, mail columns, bm25_score, cosine_score, exact_rank, exact_score, exact_tier,
-match_reason); missing signal columns count as not found.  There are at most a few hundred candidates per query,
+Candidates are (query_id, no, mail columns, bm25_score, cosine_score, exact_rank, exact_score, exact_tier, match_reason),
+queries are (query_id, query_text); missing signal columns count as not found.  There are at most a few hundred candidates per query,
 because every search that feeds this step ends in a top-k cut; the rank operators hold for groups of any size all
 the same.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions.clean import text_or_empty, timestamp
 from ..functions.entities import decision_signal, entity_map
-from ..functions.text import identifier_terms, query_terms, search_terms
+from ..functions.text import identifier_terms, query_terms
 from .exact import field_match, match_reason
 from .ranking import competition_rank, scale_min_max
 
@@ -74,16 +74,17 @@ def _with_missing(df: DataFrame) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def signals(candidates: DataFrame) -> DataFrame:
-    """Add every signal of the fused score.
-
-    The query's terms and entities are worked out once per query, in the row, before the candidates are compared.
-    """
-    df = _with_missing(candidates)
+def query_features(queries: DataFrame) -> DataFrame:
+    """What the signals need to know of a query, worked out once per query: identifiers, words, terms, entities."""
     text = F.col("query_text")
-    df = df.withColumns({
-        "_identifiers": identifier_terms(text), "_words": query_terms(text), "_entities": entity_map(text)})
-    df = df.withColumn("_terms", F.when(F.size("_identifiers") > 0, F.col("_identifiers")).otherwise(F.col("_words")))
+    df = queries.select("query_id", identifier_terms(text).alias("_identifiers"), query_terms(text).alias("_words"),
+                        entity_map(text).alias("_entities"))
+    return df.withColumn("_terms", F.when(F.size("_identifiers") > 0, F.col("_identifiers")).otherwise(F.col("_words")))
+
+
+def signals(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Add every signal of the fused score."""
+    df = _with_missing(candidates).join(query_features(queries), "query_id")
     df = df.withColumn("_age", age_days(timestamp(F.col("deliverytime"))))
     dated = F.max(timestamp(F.col("deliverytime"))).over(Window.partitionBy(*QUERY)).isNotNull()
     return df.withColumns({
@@ -116,13 +117,14 @@ def fused_score(weights=C.FUSION_WEIGHTS) -> Column:
     return score
 
 
-def rerank(candidates: DataFrame, weights=C.FUSION_WEIGHTS, tier_first: str | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, queries: DataFrame, weights=C.FUSION_WEIGHTS,
+           tier_first: str | None = None) -> DataFrame:
     """Candidates with their fused score and final position.
 
     Identifier queries with exact hits are ordered by tier and exact rank first.  `tier_first` names a column that
     goes before the score for all queries, for searches whose tiers must stay together.
     """
-    df = signals(candidates).withColumn("score", fused_score(weights))
+    df = signals(candidates, queries).withColumn("score", fused_score(weights))
     any_exact = F.max(F.col("exact_rank").isNotNull()).over(Window.partitionBy(*QUERY))
     by_identifier = (F.size("_identifiers") > 0) & any_exact
     df = df.withColumns({
@@ -135,6 +137,3 @@ def rerank(candidates: DataFrame, weights=C.FUSION_WEIGHTS, tier_first: str | No
     return df.withColumn("position", F.row_number().over(order)).drop(
         "_identifiers", "_words", "_entities", "_terms", "_age", "_tier", "_exact")
 
-
-def with_terms(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("terms", search_terms(F.col("query_text")))

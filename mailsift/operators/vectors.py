@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
 from ..functions.text import index_tokens
-from .bm25 import by_score
+from .bm25 import SCORE_PLACES, by_score
 from .joins import is_small
 from .ranking import top_k
 
@@ -80,17 +80,16 @@ def _units(vectors) -> np.ndarray:
 
 
 def _best_pairs(query_ids, queries: np.ndarray, keys, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The best `k` keys per query; equal scores, to nine places, go by key."""
+    """The best `k` keys per query; equal scores go by key."""
     keys = np.asarray(keys, dtype=object)
     parts = []
     for start in range(0, len(queries), QUERY_ROWS):
-        scores = queries[start:start + QUERY_ROWS] @ vectors.T
-        rounded = np.round(scores, 9)
+        scores = np.round(queries[start:start + QUERY_ROWS] @ vectors.T, SCORE_PLACES)
         cut = min(k, scores.shape[1])
-        worst = -np.partition(-rounded, cut - 1, axis=1)[:, cut - 1]
-        row, column = np.nonzero(rounded >= worst[:, None])
+        worst = -np.partition(-scores, cut - 1, axis=1)[:, cut - 1]
+        row, column = np.nonzero(scores >= worst[:, None])
         if len(row) > cut * len(scores):  # ties at the cut
-            order = np.lexsort((keys[column].astype(str), -rounded[row, column], row))
+            order = np.lexsort((keys[column].astype(str), -scores[row, column], row))
             row, column = row[order], column[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             row, column = row[place < cut], column[place < cut]

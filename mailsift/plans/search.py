@@ -28,7 +28,10 @@ def primary_hits(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.R
         plain = plain.withColumn("query_text", rewrite(F.col("query_text"), glossary, synonyms))
     by_words = search(index, plain, k).select(
         "query_id", "no", "bm25_score", F.lit(0).alias("tier"), F.lit("bm25").alias("mode"))
-    by_glossary = bilingual_search(mail, index, queries.where(hangul), k, glossary).select(
+    foreign = queries.where(hangul)
+    if foreign.isEmpty():
+        return by_words
+    by_glossary = bilingual_search(mail, index, foreign, k, glossary).select(
         "query_id", "no", "bm25_score", "tier", F.lit("glossary").alias("mode"))
     return by_words.unionByName(by_glossary)
 
@@ -46,8 +49,7 @@ def keyword_search(mail: DataFrame, index: Index, queries: DataFrame, k: int = C
     hits = found.unionByName(fallback, allowMissingColumns=True).withColumn(
         "mode", F.coalesce("mode", F.lit("exact")))
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns and c != "no"]
-    candidates = hits.join(mail.select("no", *columns), "no").join(queries.select("query_id", "query_text"), "query_id")
-    return rerank(candidates)
+    return rerank(hits.join(mail.select("no", *columns), "no"), queries)
 
 
 def hybrid_search(mail: DataFrame, index: Index, queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame,
@@ -64,8 +66,7 @@ def hybrid_search(mail: DataFrame, index: Index, queries: DataFrame, query_vecto
     by_words = search(index, asked, 2 * k).select("query_id", "no", "bm25_score")
     hits = by_vector.drop("position").join(by_words, ["query_id", "no"], "full_outer")
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns and c != "no"]
-    candidates = hits.join(mail.select("no", *columns), "no").join(asked.select("query_id", "query_text"), "query_id")
-    return rerank(candidates).where(F.col("position") <= k)
+    return rerank(hits.join(mail.select("no", *columns), "no"), asked).where(F.col("position") <= k)
 
 
 def presented(results: DataFrame, mail: DataFrame, queries: DataFrame) -> DataFrame:
@@ -73,15 +74,17 @@ def presented(results: DataFrame, mail: DataFrame, queries: DataFrame) -> DataFr
 
     Bodies are joined to the ranked results only.
     """
-    rows = (results.drop("query_text").join(queries.select("query_id", "query_text"), "query_id")
+    text = F.col("query_text")
+    asked = queries.select("query_id", search_terms(text).alias("_terms"), entity_map(text).alias("_asked"))
+    rows = (results.join(asked, "query_id")
             .join(mail.select("no", "plaintextbody"), "no", "left"))
     header = F.concat_ws(" ", *[F.col(c) for c in (
         "subject", "sendername", "company_name", "site", "stage", C.CASES, "plaintextbody") if c in rows.columns])
-    chips = chip_text(merge_entities([entity_map(F.col("query_text")), entity_map(header)]))
+    chips = chip_text(merge_entities([F.col("_asked"), entity_map(header)]))
     rows = rows.withColumns({
-        "snippet": snippet(F.col("plaintextbody"), search_terms(F.col("query_text"))), "entities": chips})
+        "snippet": snippet(F.col("plaintextbody"), F.col("_terms")), "entities": chips})
     shown = mail_display_columns(rows.columns)
     for name in ("senderemail", "recipientto"):
         if name in rows.columns:
             shown[name] = mask_addresses(F.col(name))
-    return rows.drop("plaintextbody").withColumns(shown).withColumn("no", id_value(F.col("no")))
+    return rows.drop("plaintextbody", "_terms", "_asked").withColumns(shown).withColumn("no", id_value(F.col("no")))
