@@ -8,6 +8,7 @@ from mailsift import constants as C
 from mailsift.functions import chunking, entities, text
 from mailsift.operators import bm25, containment, evaluate, exact, fusion, ranking, vectors
 from mailsift.plans import search as plans
+from mailsift.storage import materialise
 from .common import (DECISIONS, ENTITIES, GLOSSARY, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL, QUERIES, SYNONYMS,
                      TIME_SQL, bm25_sql, index, mail, quoted, sql_view, table, tidy, tokens_sql, top_sql, view)
 from .text_search import TERM_SQL, distinct_sql, lists_sql, SYNONYM_SQL
@@ -140,6 +141,7 @@ def rrf_score(spark, sf_dir):
     scores = bm25.match_scores(index(spark, sf_dir), view(spark, sf_dir, QUERIES)).withColumn(
         "bm25_score", F.round("bm25_score", 3))
     scores = scores.withColumn("bm25_score", F.when(F.pmod(F.col("no").cast("bigint"), F.lit(17)) != 0, F.col("bm25_score")))
+    scores = materialise(scores, "scores")
     return tidy(fusion.rrf(scores, "bm25_score", "rrf").select("query_id", "no", "rrf"))
 
 

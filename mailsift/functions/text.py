@@ -195,13 +195,25 @@ def highlight(c: Column, terms: Column) -> Column:
 
 
 def chunks(c: Column, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, limit: int | None = None) -> Column:
-    """Overlapping pieces of the stripped text; one piece when it fits, none when it is empty."""
-    text = strip(text_or_empty(c))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(max(1, size - overlap)))
-    pieces = F.transform(starts, lambda s: F.substring(text, s, F.lit(size)))
-    pieces = F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
-    pieces = F.filter(pieces, lambda p: p != "")
-    return F.slice(pieces, 1, limit) if limit else pieces
+    """Overlapping pieces of the stripped text; one piece when it fits, none when it is empty.
+
+    Counting characters starts at the beginning of a text each time, so a long text is first cut into blocks of a
+    hundred pieces, and the pieces are cut from their block.
+    """
+    step = max(1, size - overlap)
+    block = 100 * step
+
+    def pieces(text: Column) -> Column:
+        return F.flatten(F.transform(
+            F.sequence(F.lit(1), F.length(text), F.lit(block)),
+            lambda b: bind(F.substring(text, b, F.lit(block + overlap)), lambda part: F.transform(
+                F.sequence(F.lit(1), F.least(F.length(text) - b + 1, F.lit(block)), F.lit(step)),
+                lambda s: F.substring(part, s, F.lit(size))))))
+
+    found = bind(strip(text_or_empty(c)), lambda text: (
+        F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text))
+        .otherwise(pieces(text))))
+    return F.slice(found, 1, limit) if limit else found
 
 
 def header_text(columns: list[Column], size: int = C.CHUNK_SIZE) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import constants as C
 from ..functions.stem import stem_tokens
 from ..functions.text import index_tokens
+from ..storage import materialise
 from .joins import join_small
 from .ranking import top_k
 
@@ -113,7 +114,8 @@ def match_scores(index: Index, queries: DataFrame, k1: float = C.BM25_K1, b: flo
     if index.buckets:
         weighted = weighted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
         keys = ["bucket", "term"]
-    hits = join_small(index.postings, weighted, keys, spread="no")
+    # Written once: its size is checked before the join that may broadcast it.
+    hits = join_small(index.postings, materialise(weighted, "query-terms"), keys, spread="no")
     part = (F.col("idf") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length))))
     return hits.groupBy("query_id", "no").agg(F.round(F.sum(part), SCORE_PLACES).alias("bm25_score"))

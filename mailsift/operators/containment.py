@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import materialise
+
 TERMS_PER_SCAN = 200_000
 
 
@@ -30,7 +32,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, terms_per_scan: int = TERMS_P
     same time, so the work grows with the text and the hits, not with texts x terms.  A scan carries at most
     `terms_per_scan` terms; more terms are shared out by hash over several scans, none is left out.
     """
-    terms = terms.select(F.lower("term").alias("term")).where(F.col("term") != "").distinct()
+    terms = materialise(terms.select(F.lower("term").alias("term")).where(F.col("term") != "").distinct(), "terms")
     scans = -(-terms.count() // terms_per_scan) or 1
     parts = [_scan(texts, terms.where(F.pmod(F.xxhash64("term"), F.lit(scans)) == i)) for i in range(scans)]
     result = parts[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import id_number, timestamp
+from ..storage import materialise
 from .joins import join_spread
 
 
@@ -68,7 +69,7 @@ def competition_rank(
     counts = counts.join(ends, keys)
     step = F.when(F.col("_high") > F.col("_low"),
                   (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (buckets - 1)).otherwise(0.0)
-    counts = counts.withColumn("_bucket", F.floor(step))
+    counts = materialise(counts.withColumn("_bucket", F.floor(step)), "value-counts")
     sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

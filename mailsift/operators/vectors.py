@@ -7,6 +7,7 @@ rows per query only.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,21 +23,32 @@ from .ranking import top_k
 BLOCK_ROWS = 4096
 BROADCAST_QUERIES = 4096
 QUERY_ROWS = 512
+KNOWN_WORDS = 1_000_000
 PAIR_SCHEMA = "query_id long, key string, cosine_score double"
 
 
 # --- embedding -------------------------------------------------------------------------------------------
 
-def hashed_words(c: Column, width: int = C.EMBED_DIM) -> Column:
-    """Dimension of every index word of the text, by hash."""
-    return F.transform(index_tokens(c, ()), lambda w: (
-        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % width).cast("int"))
+def word_vectors(width: int) -> Callable[[pd.Series], np.ndarray]:
+    """An encoder of token lists: unit vectors of word counts, each word in the dimension given by its hash."""
+    slots: dict[str, int] = {}
 
+    def slot(word: str) -> int:
+        if word not in slots:
+            slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
+        return slots[word]
 
-def word_vectors(slots: pd.Series, width: int) -> list[np.ndarray]:
-    """Unit vectors of word counts."""
-    counts = (np.bincount(np.asarray(s, dtype=np.int64), minlength=width).astype("float64") for s in slots)
-    return [c / (np.linalg.norm(c) or 1.0) for c in counts]
+    def encode(lists: pd.Series) -> np.ndarray:
+        if len(slots) > KNOWN_WORDS:
+            slots.clear()
+        rows = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+        codes, words = pd.factorize(np.concatenate([np.asarray(words, dtype=object) for words in lists]))
+        places = np.array([slot(w) for w in words], dtype=np.int64)[codes] if len(codes) else codes
+        counts = np.bincount(rows * width + places, minlength=len(lists) * width).reshape(len(lists), width)
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True).astype("float64"))
+        return counts / np.where(norms == 0, 1.0, norms)
+
+    return encode
 
 
 def embed(df: DataFrame, text: str, vector: str = "vector", width: int = C.EMBED_DIM,
@@ -44,17 +56,16 @@ def embed(df: DataFrame, text: str, vector: str = "vector", width: int = C.EMBED
     """Add a unit vector per text.
 
     `encoder` turns a series of texts into vectors and runs once per Arrow batch, which is where a sentence model
-    plugs in.  Without one, words are hashed to dimensions inside the JVM and only counted in Python.
+    plugs in.  Without one, the JVM cuts texts into words and Python counts the words of a batch in one go.
     """
-    if encoder is None:
-        column, encode = hashed_words(F.col(text), width), lambda batch: word_vectors(batch, width)
-    else:
-        column, encode = F.col(text), encoder
+    column = F.col(text) if encoder else index_tokens(F.col(text), ())
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder or word_vectors(width)
         for batch in batches:
-            yield pd.Series([np.asarray(v, dtype="float32") for v in encode(batch)])
+            made = np.asarray(encode(batch), dtype="float32") if len(batch) else []
+            yield pd.Series(list(made), dtype=object)
 
     return df.withColumn(vector, vectors(column))
 
