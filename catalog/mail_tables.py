@@ -9,7 +9,7 @@ from mailsift.functions import clean
 from mailsift.operators import attachments, filters, incremental, ranking, threads
 from mailsift.sources import manifest, tables
 from mailsift.streaming import ingest
-from mailsift.storage import new_path
+from mailsift.storage import materialise, new_path
 from .common import (MAIL_COLUMNS, MAIL_RAW, MAIL_SQL, NEWEST_SQL, SITES, TIME_SQL, mail,
                      mail_raw, quoted, sql_view, strip_sql, table, tidy, top_sql, view)
 
@@ -278,7 +278,7 @@ def _overrides(spark, sf_dir):
 
 def _links(spark, sf_dir):
     files = attachments.apply_overrides(attachments.keyed_files(_listing(spark, sf_dir)), _overrides(spark, sf_dir))
-    return attachments.with_links(attachments.link_map(files))
+    return materialise(attachments.with_links(attachments.link_map(files)), "links")
 
 
 def link_map_build(spark, sf_dir):
@@ -315,7 +315,7 @@ FROM {pages}
 
 
 def link_extract(spark, sf_dir):
-    files = attachments.link_map(attachments.keyed_files(_listing(spark, sf_dir)))
+    files = materialise(attachments.link_map(attachments.keyed_files(_listing(spark, sf_dir))), "links")
     texts = view(spark, sf_dir, MENTIONS)
     return tidy(attachments.resolve_links(texts, "doc", ["first_text", "second_text"], files))
 

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions.clean import real_null, strip
-from .joins import join_spread
-from .ranking import keep_first, position_in_group, top_k
+from .ranking import keep_first, position_in_group
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +48,7 @@ def link_map(files: DataFrame) -> DataFrame:
     a separator, and only then differ.
     """
     part = F.substring("title", 1, 16)
-    placed = position_in_group(files, ["linkkey"], [F.col("title"), F.col("id")], part, "position")
-    counts = files.groupBy("linkkey").agg(F.count("*").alias("files"))
-    return join_spread(placed, counts, ["linkkey"], "id")
+    return position_in_group(files, ["linkkey"], [F.col("title"), F.col("id")], part, "position", size="files")
 
 
 def _url(template: str, file_id: Column) -> Column:

@@ -15,7 +15,8 @@ from ..functions.clean import text_or_empty, timestamp
 from ..functions.entities import decision_signal, entity_map
 from ..functions.text import identifier_terms, query_terms
 from .exact import field_match, match_reason
-from .ranking import competition_rank, scale_min_max
+from .joins import join_spread
+from .ranking import competition_rank
 
 QUERY = ["query_id"]
 
@@ -41,15 +42,24 @@ def age_days(time: Column) -> Column:
 
 
 def recency(df: DataFrame, time: str = "deliverytime", keys: list[str] = QUERY, spread: str = "no") -> DataFrame:
-    """1 for the newest mail of the query down to 0 for the oldest; 0 for all where no time can be read."""
+    """1 for the newest mail of the query down to 0 for the oldest; 0 for all where no time can be read.
+
+    For groups of any size.  Ages fall as times rise, so one aggregate of the times gives both ends of the scale.
+    """
     when = timestamp(F.col(time))
-    newest = df.groupBy(*keys).agg(F.max(when).alias("_newest"))
-    aged = df.join(newest, keys).withColumn("_age", F.coalesce(
-        F.floor((F.unix_micros("_newest") - F.unix_micros(when)) / 86_400_000_000),
-        F.lit(C.MISSING_AGE_DAYS)).cast("double"))
-    scaled = scale_min_max(aged, keys, "_age", "_scaled", spread)
-    return scaled.withColumn("recency_score", F.when(
-        F.col("_newest").isNotNull(), 1.0 - F.col("_scaled")).otherwise(0.0)).drop("_newest", "_age", "_scaled")
+    ends = df.groupBy(*keys).agg(F.max(when).alias("_newest"), F.min(when).alias("_oldest"),
+                                 F.count_if(when.isNull()).alias("_undated"))
+    oldest = F.when(F.col("_undated") > 0, F.greatest(_days("_newest", F.col("_oldest")), F.lit(C.MISSING_AGE_DAYS)))
+    ends = ends.withColumn("_high", F.coalesce(oldest, _days("_newest", F.col("_oldest"))))
+    age = F.coalesce(_days("_newest", when), F.lit(C.MISSING_AGE_DAYS))
+    score = (F.when(F.col("_newest").isNull(), 0.0).when(F.col("_high") == 0, 1.0)
+             .otherwise(1.0 - age / F.col("_high")))
+    return join_spread(df, ends, keys, spread).withColumn("recency_score", score).drop(
+        "_newest", "_oldest", "_undated", "_high")
+
+
+def _days(newest: str, time: Column) -> Column:
+    return F.floor((F.unix_micros(newest) - F.unix_micros(time)) / 86_400_000_000)
 
 
 def _scaled_in_candidates(value: Column) -> Column:

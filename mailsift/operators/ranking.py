@@ -39,8 +39,10 @@ def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best.select(*keys, *[F.col("_row")[n].alias(n) for n in names]).select(*df.columns)
 
 
-def position_in_group(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
-    """1-based position of each row in its group, for groups of any size.
+def position_in_group(
+    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str, size: str | None = None
+) -> DataFrame:
+    """1-based position of each row in its group, and the size of the group if wanted, for groups of any size.
 
     `bucket` must never fall as `order` rises.  A position is then the number of rows in lower buckets of the
     group plus the position inside the bucket, so no task ever sorts a whole group.
@@ -48,7 +50,8 @@ def position_in_group(df: DataFrame, keys: list[str], order: list[Column], bucke
     df = df.withColumn("_bucket", bucket)
     sizes = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    whole = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), *whole)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     joined = _join_null_safe(df, offsets, [*keys, "_bucket"])
     return joined.withColumn(name, F.col("_offset") + F.row_number().over(inside)).drop("_bucket", "_offset")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..functions.clean import text_or_empty
 from ..functions.text import index_tokens
 from .bm25 import SCORE_PLACES, by_score
 from .joins import is_small
@@ -58,7 +59,7 @@ def embed(df: DataFrame, text: str, vector: str = "vector", width: int = C.EMBED
     `encoder` turns a series of texts into vectors and runs once per Arrow batch, which is where a sentence model
     plugs in.  Without one, the JVM cuts texts into words and Python counts the words of a batch in one go.
     """
-    column = F.col(text) if encoder else index_tokens(F.col(text), ())
+    column = F.col(text) if encoder else index_tokens(text_or_empty(F.col(text)), ())
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

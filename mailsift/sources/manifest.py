@@ -17,8 +17,7 @@ def violations(files: DataFrame, manifest: DataFrame) -> DataFrame:
     wanted = manifest.select("name", F.lower(F.trim("sha256")).alias("wanted"), "max_bytes")
     checked = wanted.join(files, "name", "left")
     rules = [
-        (F.col("bytes").isNull(), "missing"),
-        (F.col("bytes") == 0, "empty"),
+        (F.coalesce("bytes", F.lit(0)) == 0, "missing or empty"),  # Spark lists no empty files
         ((F.col("max_bytes") > 0) & (F.col("bytes") > F.col("max_bytes")), "too large"),
         (F.coalesce(F.col("wanted"), F.lit("")) == "", "no checksum given"),
         ((F.col("wanted") != "") & (F.col("sha256") != F.col("wanted")), "checksum differs"),
