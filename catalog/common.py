@@ -92,6 +92,7 @@ ENTITIES = {
     "Ref": r"\b(?:CASE|LPO|MRR)[-:/\s]?[A-Z0-9][A-Z0-9\-/]{4,}\b|\b\d{8,}\b",
 }
 
+_mails: dict[tuple[str, str], str] = {}
 _indexes: dict[tuple[str, str], str] = {}
 
 
@@ -113,10 +114,20 @@ def mail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, MAIL_RAW)
 
 
-def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mail table, cleaned from its source tables."""
     return normalise(mail_raw(spark, sf_dir))
 
 
+def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored mail table, loaded once per session and directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _mails:
+        _mails[key] = new_path(spark, "mail")
+        fresh_mail(spark, sf_dir).write.parquet(_mails[key])
+    return spark.read.parquet(_mails[key])
+
+
 def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     """The stored index of the mail table, written once per session and directory."""
     key = (spark.sparkContext.applicationId, sf_dir)

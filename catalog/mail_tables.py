@@ -10,14 +10,14 @@ from mailsift.operators import attachments, filters, incremental, ranking, threa
 from mailsift.sources import manifest, tables
 from mailsift.streaming import ingest
 from mailsift.storage import materialise, new_path
-from .common import (MAIL_COLUMNS, MAIL_RAW, MAIL_SQL, NEWEST_SQL, SITES, TIME_SQL, mail,
-                     mail_raw, quoted, sql_view, strip_sql, table, tidy, top_sql, view)
+from .common import (MAIL_COLUMNS, MAIL_RAW, MAIL_SQL, NEWEST_SQL, SITES, TIME_SQL,
+                     fresh_mail, mail, mail_raw, quoted, sql_view, strip_sql, table, tidy, top_sql, view)
 
 ALL = ", ".join(MAIL_COLUMNS)
 
 
 def ingest_mail(spark, sf_dir):
-    return mail(spark, sf_dir)
+    return fresh_mail(spark, sf_dir)
 
 
 # Events without a user and a type stand for blank rows of an export.
@@ -53,20 +53,20 @@ def update_from_join(spark, sf_dir):
 
 
 def load_profile(spark, sf_dir):
-    return tidy(tables.load_profile(mail(spark, sf_dir), ["no", "site", "stage", "company_name", "deliverytime"]))
+    return tidy(tables.load_profile(fresh_mail(spark, sf_dir), ["no", "site", "stage", "company_name", "deliverytime"]))
 
 
 def bulk_append(spark, sf_dir):
     """Append the mail table by month, then count what a reader finds."""
     path = new_path(spark, "mail")
-    tables.append_mail(mail(spark, sf_dir), path)
+    tables.append_mail(fresh_mail(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"))
 
 
 def csv_export(spark, sf_dir):
     """Write results as CSV and read them back."""
     path = new_path(spark, "export")
-    tables.write_csv(mail(spark, sf_dir).select("no", "deliverytime", "company_name", "month"), path)
+    tables.write_csv(fresh_mail(spark, sf_dir).select("no", "deliverytime", "company_name", "month"), path)
     return spark.read.csv(path, header=True, schema="no string, deliverytime string, company_name string, month string",
                           escape='"')
 

@@ -8,6 +8,9 @@ from ..functions.clean import id_number, timestamp
 from ..storage import materialise
 from .joins import join_spread
 
+ROWS_PER_TASK = 1_000_000
+MAX_SALTS = 64
+
 
 def newest_first(time: str = "deliverytime", key: str = "no") -> list[Column]:
     return [timestamp(F.col(time)).desc_nulls_last(), id_number(F.col(key)).desc_nulls_last()]
@@ -81,7 +84,10 @@ def competition_rank(
     ranks = counts.join(offsets, [*keys, "_bucket"]).select(
         *keys, (F.col("_value") if ascending else -F.col("_value")).alias(value),
         (F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(name))
-    return join_spread(df, ranks, [*keys, value], spread, how="left")
+    # Rows meet their rank by value.  Only if one value is very frequent are its rows shared out over several tasks.
+    heaviest = counts.agg(F.max("_n")).first()[0] or 0
+    salts = min(MAX_SALTS, 1 + heaviest // ROWS_PER_TASK)
+    return join_spread(df, ranks, [*keys, value], spread, salts, how="left")
 
 
 def scale_min_max(df: DataFrame, keys: list[str], value: str, name: str, spread: str = "no") -> DataFrame:

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as C
 from ..functions.clean import text_or_empty
@@ -30,26 +31,37 @@ PAIR_SCHEMA = "query_id long, key string, cosine_score double"
 
 # --- embedding -------------------------------------------------------------------------------------------
 
-def word_vectors(width: int) -> Callable[[pd.Series], np.ndarray]:
-    """An encoder of token lists: unit vectors of word counts, each word in the dimension given by its hash."""
-    slots: dict[str, int] = {}
-
-    def slot(word: str) -> int:
+def _word_counts(lists: pa.ListArray, slots: dict[str, int], width: int) -> np.ndarray:
+    """Word counts per list, each word in the dimension given by its hash; a distinct word is hashed once."""
+    words = lists.flatten().dictionary_encode()
+    for word in words.dictionary.to_pylist():
         if word not in slots:
             slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
-        return slots[word]
+    known = np.array([slots[w] for w in words.dictionary.to_pylist()], dtype=np.int64)
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    places = known[words.indices.to_numpy()] if len(known) else rows
+    return np.bincount(rows * width + places, minlength=len(lists) * width).reshape(len(lists), width)
+
 
-    def encode(lists: pd.Series) -> np.ndarray:
-        if len(slots) > KNOWN_WORDS:
-            slots.clear()
-        rows = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
-        codes, words = pd.factorize(np.concatenate([np.asarray(words, dtype=object) for words in lists]))
-        places = np.array([slot(w) for w in words], dtype=np.int64)[codes] if len(codes) else codes
-        counts = np.bincount(rows * width + places, minlength=len(lists) * width).reshape(len(lists), width)
-        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True).astype("float64"))
-        return counts / np.where(norms == 0, 1.0, norms)
+def _embed_words(df: DataFrame, text: str, vector: str, width: int) -> DataFrame:
+    """Unit vectors of word counts: the JVM cuts texts into words, Python counts the words of an Arrow batch at once."""
+    prepared = df.withColumn("_words", index_tokens(text_or_empty(F.col(text)), ()))
+    place = len(df.columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, int] = {}
+        for batch in batches:
+            if len(slots) > KNOWN_WORDS:
+                slots.clear()
+            counts = _word_counts(batch.column(place), slots, width)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True).astype("float64"))
+            units = (counts / np.where(norms == 0, 1.0, norms)).astype("float32")
+            ends = pa.array(np.arange(0, units.size + 1, width, dtype="int32"))
+            column = pa.ListArray.from_arrays(ends, pa.array(units.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], column], names=[*batch.schema.names[:place], vector])
 
-    return encode
+    schema = T.StructType([*df.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))])
+    return prepared.mapInArrow(count, schema)
 
 
 def embed(df: DataFrame, text: str, vector: str = "vector", width: int = C.EMBED_DIM,
@@ -57,18 +69,17 @@ def embed(df: DataFrame, text: str, vector: str = "vector", width: int = C.EMBED
     """Add a unit vector per text.
 
     `encoder` turns a series of texts into vectors and runs once per Arrow batch, which is where a sentence model
-    plugs in.  Without one, the JVM cuts texts into words and Python counts the words of a batch in one go.
+    plugs in.  Without one, words are hashed to dimensions and counted.
     """
-    column = F.col(text) if encoder else index_tokens(text_or_empty(F.col(text)), ())
+    if encoder is None:
+        return _embed_words(df, text, vector, width)
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder or word_vectors(width)
         for batch in batches:
-            made = np.asarray(encode(batch), dtype="float32") if len(batch) else []
-            yield pd.Series(list(made), dtype=object)
+            yield pd.Series([np.asarray(v, dtype="float32") for v in encoder(batch)], dtype=object)
 
-    return df.withColumn(vector, vectors(column))
+    return df.withColumn(vector, vectors(F.col(text)))
 
 
 # --- similarity ------------------------------------------------------------------------------------------
