@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions.clean import real_null, strip
+from .joins import join_spread
 from .ranking import keep_first, position_in_group
 
 
@@ -67,8 +68,10 @@ def with_links(files: DataFrame) -> DataFrame:
 
 def attach(mail: DataFrame, links: DataFrame) -> DataFrame:
     """Every file of every mail by link key; mails without a file keep one row without a link."""
-    wanted = mail.select("no", "linkkey")
-    return wanted.join(links, "linkkey", "left")
+    heads = links.where(F.col("position") == 1).select("linkkey", F.col("files").alias("_n"))
+    wanted = mail.select("no", "linkkey").join(heads, "linkkey", "left")
+    attached = join_spread(links, wanted.where(F.col("_n").isNotNull()), ["linkkey"], "id", rows="_n")
+    return attached.unionByName(wanted.where(F.col("_n").isNull()).drop("_n"), allowMissingColumns=True)
 
 
 def first_link(mail: DataFrame, links: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from .joins import join_small
 from .ranking import top_k
 
 POSTING_BUCKETS = 64
+DOCS_PER_FILE = 2_000_000
 # Sums depend in their last digits on the order in which partial sums meet.  Scores are kept to nine places, so that
 # equal scores are equal on every run and share their rank.
 SCORE_PLACES = 9
@@ -74,9 +75,10 @@ def extend_index(index: Index, new_mail: DataFrame, fields=C.INDEX_FIELDS) -> In
 
 def write_index(index: Index, path: str, buckets: int = POSTING_BUCKETS) -> None:
     """Write the index.  Postings are partitioned by a hash of the term, so that a search for a few terms reads a
-    few folders; the hash of `no` shares each folder out over several files, however common one term is."""
+    few folders; the hash of `no` shares each folder out over more files the more mails there are, however common one
+    term is."""
     postings = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
-    spread = F.pmod(F.hash("no"), F.lit(4))
+    spread = F.pmod(F.hash("no"), F.lit(1 + index.docs.count() // DOCS_PER_FILE))
     (postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     spark = index.postings.sparkSession

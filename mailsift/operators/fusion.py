@@ -48,13 +48,13 @@ def recency(df: DataFrame, time: str = "deliverytime", keys: list[str] = QUERY,
     """
     when = timestamp(F.col(time))
     ends = df.groupBy(*keys).agg(F.max(when).alias("_newest"), F.min(when).alias("_oldest"),
-                                 F.count_if(when.isNull()).alias("_undated"))
+                                 F.count_if(when.isNull()).alias("_undated"), F.count("*").alias("_n"))
     oldest = F.when(F.col("_undated") > 0, F.greatest(_days("_newest", F.col("_oldest")), F.lit(C.MISSING_AGE_DAYS)))
     ends = ends.withColumn("_high", F.coalesce(oldest, _days("_newest", F.col("_oldest"))))
     age = F.coalesce(_days("_newest", when), F.lit(C.MISSING_AGE_DAYS))
     score = (F.when(F.col("_newest").isNull(), 0.0).when(F.col("_high") == 0, 1.0)
              .otherwise(1.0 - age / F.col("_high")))
-    return join_spread(df, ends, keys, spread).withColumn("recency_score", score).drop(
+    return join_spread(df, ends, keys, spread, rows="_n").withColumn("recency_score", score).drop(
         "_newest", "_oldest", "_undated", "_high")
 
 

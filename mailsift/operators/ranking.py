@@ -8,9 +8,6 @@ from ..functions.clean import id_number, timestamp
 from ..storage import materialise
 from .joins import join_spread
 
-ROWS_PER_TASK = 1_000_000
-MAX_SALTS = 64
-
 
 def newest_first(time: str = "deliverytime", key: str = "no") -> list[Column]:
     return [timestamp(F.col(time)).desc_nulls_last(), id_number(F.col(key)).desc_nulls_last()]
@@ -83,11 +80,8 @@ def competition_rank(
               .rowsBetween(Window.unboundedPreceding, -1))
     ranks = counts.join(offsets, [*keys, "_bucket"]).select(
         *keys, (F.col("_value") if ascending else -F.col("_value")).alias(value),
-        (F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(name))
-    # Rows meet their rank by value.  Only if one value is very frequent are its rows shared out over several tasks.
-    heaviest = counts.agg(F.max("_n")).first()[0] or 0
-    salts = min(MAX_SALTS, 1 + heaviest // ROWS_PER_TASK)
-    return join_spread(df, ranks, [*keys, value], spread, salts, how="left")
+        (F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(name), "_n")
+    return join_spread(df, ranks, [*keys, value], spread, rows="_n", how="left")
 
 
 def scale_min_max(df: DataFrame, keys: list[str], value: str, name: str, spread: str = "no") -> DataFrame:
@@ -96,11 +90,11 @@ def scale_min_max(df: DataFrame, keys: list[str], value: str, name: str, spread:
     The two ends come from a partial aggregate and are joined back, so a large group is never gathered.
     """
     filled = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    ends = df.groupBy(*keys).agg(F.min(filled).alias("_low"), F.max(filled).alias("_high"))
+    ends = df.groupBy(*keys).agg(F.min(filled).alias("_low"), F.max(filled).alias("_high"), F.count("*").alias("_n"))
     scaled = (
         F.when(F.col("_high") > F.col("_low"), (filled - F.col("_low")) / (F.col("_high") - F.col("_low")))
         .otherwise(F.when(F.col("_high") != 0, 1.0).otherwise(0.0)))
-    return join_spread(df, ends, keys, spread).withColumn(name, scaled).drop("_low", "_high")
+    return join_spread(df, ends, keys, spread, rows="_n").withColumn(name, scaled).drop("_low", "_high")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.clean import id_key
-from .joins import join_spread
+from ..functions.clean import id_key, timestamp
+from ..storage import materialise
+from .joins import join_small, join_spread
 from .ranking import newest_first, oldest_first, position_in_group, top_k
-from ..functions.clean import timestamp
 
 
 def lookup_ids(mail: DataFrame, ids: DataFrame, column: str = "no") -> DataFrame:
@@ -25,18 +25,18 @@ def fetch_columns(hits: DataFrame, mail: DataFrame, columns: list[str]) -> DataF
 def case_threads(mail: DataFrame) -> DataFrame:
     """Every mail with its place in its case, oldest first.
 
-    Places are counted by month inside the case, so a case that holds a third of all mail is not sorted in one task.
+    Places are counted by hour inside the case, so a case that holds a third of all mail is not sorted in one task.
     """
     rows = mail.where(F.col("primary_case").isNotNull()).select("primary_case", "no", "deliverytime", "subject",
                                                                "sendername")
-    month = F.coalesce(F.date_format(timestamp(F.col("deliverytime")), "yyyyMM"), F.lit("999999"))
-    return position_in_group(rows, ["primary_case"], [*oldest_first(), F.col("no")], month, "place")
+    hour = F.coalesce(F.date_format(timestamp(F.col("deliverytime")), "yyyyMMddHH"), F.lit("9999999999"))
+    return position_in_group(rows, ["primary_case"], [*oldest_first(), F.col("no")], hour, "place")
 
 
 def case_thread(mail: DataFrame, seeds: DataFrame) -> DataFrame:
     """All mails of the cases of the seed mails, oldest first."""
     cases = mail.join(seeds.select("no"), "no", "left_semi").select("primary_case").distinct()
-    rows = mail.join(cases, "primary_case", "left_semi")
+    rows = join_small(mail, cases.where(F.col("primary_case").isNotNull()), ["primary_case"], spread="no")
     return rows.select("primary_case", "no", "deliverytime", "subject", "sendername").orderBy(
         "primary_case", *oldest_first())
 
@@ -47,10 +47,11 @@ def sender_history(mail: DataFrame, seeds: DataFrame, k: int = C.SENDER_HISTORY)
     The newest `k + 1` mails per sender are enough for all seeds of that sender, so the table is cut to those before
     it meets the seeds: a busy sender's mails are never paired with each other.
     """
-    history = top_k(mail.where(F.col("senderemail").isNotNull()), ["senderemail"], [*newest_first(), F.col("no")],
-                    k + 1, rank="_recent")
-    history = history.select("senderemail", "no", "deliverytime", "subject", "_recent")
-    asked = (mail.join(seeds.select("no"), "no", "left_semi").where(F.col("senderemail").isNotNull())
-             .select(F.col("no").alias("seed"), "senderemail"))
-    pairs = join_spread(asked, history, ["senderemail"], "seed").where(F.col("no") != F.col("seed"))
+    asked = materialise(
+        mail.join(seeds.select("no"), "no", "left_semi").where(F.col("senderemail").isNotNull())
+        .select(F.col("no").alias("seed"), "senderemail"), "seeds")
+    counts = asked.groupBy("senderemail").agg(F.count("*").alias("_n"))
+    sent = join_small(mail.select("senderemail", "no", "deliverytime", "subject"), counts, ["senderemail"], spread="no")
+    history = top_k(sent, ["senderemail"], [*newest_first(), F.col("no")], k + 1, rank="_recent")
+    pairs = join_spread(asked, history, ["senderemail"], "seed", rows="_n").where(F.col("no") != F.col("seed"))
     return top_k(pairs, ["seed"], [F.col("_recent")], k, rank="position").drop("_recent")

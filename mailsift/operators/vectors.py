@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .. import constants as C
 from ..functions.clean import text_or_empty
 from ..functions.text import index_tokens
+from ..storage import materialise
 from .bm25 import SCORE_PLACES, by_score
 from .joins import is_small
 from .ranking import top_k
@@ -125,6 +126,12 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vector").isNotNull()).select(F.col("no").cast("string").alias("key"), "vector")
 
 
+def _without_spare_copies(vectors: DataFrame, k: int) -> DataFrame:
+    """At most `k` rows of each distinct vector, those with the first keys: no others can be among the best `k`, since
+    equal scores go by key.  A group of copies of any size thus takes part with `k` rows."""
+    return top_k(vectors, ["vector"], [F.col("key")], k)
+
+
 def _queries(queries: DataFrame) -> DataFrame:
     return queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
 
@@ -159,6 +166,7 @@ def candidate_pairs(queries: DataFrame, vectors: DataFrame, k: int, block_rows:
     queries, vectors = _queries(queries), _keyed(vectors)
     if is_small(queries, broadcast_queries):
         return _score_against_all(queries, vectors, k)
+    vectors = materialise(_without_spare_copies(vectors, k), "vectors")
     query_blocks = -(-queries.count() // block_rows)
     vector_blocks = max(1, -(-vectors.count() // block_rows))
     left = queries.withColumn("qb", _spread("query_id", query_blocks)).withColumn("vb", _copies(vector_blocks))
@@ -196,7 +204,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | N
 
 
 def similar_documents(vectors: DataFrame, k: int = C.SIMILAR_DOCUMENTS) -> DataFrame:
-    """The nearest `k` other documents of every document."""
+    """The nearest `k` other documents of every document.
+
+    Exact for a whole table means work in the square of its size; for very many documents ask for some of them with
+    `nearest`, or use `nearest_approximate`.
+    """
     queries = vectors.select(F.col("no").cast("long").alias("query_id"), "vector")
     pairs = candidate_pairs(queries, vectors, k + 1)
     return best_pairs(pairs.where(F.col("key") != F.col("query_id").cast("string")), k)
@@ -246,7 +258,7 @@ def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, width: i
     Scores are exact; a true neighbour is missed only when no table brings it together with the query.  Signatures
     shared by many vectors are cut into blocks of about `block_rows`, so a bucket of any size is scored in parts.
     """
-    held = signatures(_keyed(vectors), tables, bits, width)
+    held = signatures(_without_spare_copies(_keyed(vectors), k), tables, bits, width)
     asked = probes(signatures(_queries(queries), tables, bits, width), bits)
     sizes = held.groupBy("table", "code").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("parts"))
     asked_sizes = asked.groupBy("table", "code").agg(

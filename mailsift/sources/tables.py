@@ -62,8 +62,8 @@ def select_present(df: DataFrame, columns=C.RESULT_COLUMNS, optional=C.OPTIONAL_
 
 
 def append_mail(df: DataFrame, path: str) -> None:
-    """Append clean mail to a table partitioned by month."""
-    df.write.mode("append").partitionBy("month").parquet(path)
+    """Append clean mail to a table partitioned by month.  Rebalancing gives months of any size files of one size."""
+    df.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -162,7 +162,13 @@ def hot(spark):
     return spark.createDataFrame(rows, "g string, no string, v double").repartition(6)
 
 
-def test_ranks_of_a_large_group(hot):
+@pytest.fixture(params=[10**6, 20])
+def rows_per_task(request, monkeypatch):
+    """With few rows per task, the keys of the test tables count as heavy."""
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", request.param)
+
+
+def test_ranks_of_a_large_group(hot, rows_per_task):
     frame = hot.toPandas()
     for ascending in (True, False):
         got = ranking.competition_rank(hot, ["g"], "v", "r", ascending, buckets=8).toPandas().set_index("no").r
@@ -170,7 +176,7 @@ def test_ranks_of_a_large_group(hot):
         pd.testing.assert_series_equal(got.sort_index().astype(float), want.sort_index(), check_names=False)
 
 
-def test_scaling(hot):
+def test_scaling(hot, rows_per_task):
     frame = hot.toPandas()
     got = ranking.scale_min_max(hot, ["g"], "v", "s").toPandas().set_index("no").s
     filled = frame.assign(v=frame.v.fillna(0))
@@ -259,7 +265,7 @@ def test_accepted_specifications(mail):
     assert filters.refine(mail, "user[12]").count() == 80 and filters.refine(mail, "user[12]", literal=True).count() == 0
 
 
-def test_threads(spark, mail, mails):
+def test_threads(spark, mail, mails, rows_per_task):
     seeds = spark.createDataFrame([("1",), ("3",)], "no string")
     thread = threads.case_thread(mail, seeds).collect()
     assert {r.no for r in thread} == {m["no"] for m in mails if m["primary_case"] in ("CASE-HOT", "C3")}
@@ -280,7 +286,7 @@ def test_incremental(spark):
     assert {r.no: r.e for r in incremental.update_column(table, staged, "no", "e").collect()} == {"1": None, "2": [1.0]}
 
 
-def test_attachments(spark, tmp_path):
+def test_attachments(spark, tmp_path, rows_per_task):
     listing = tmp_path / "listing"
     listing.mkdir()
     (listing / "a.json").write_text('{"files": [{"id": "f1", "title": "fff2f051e10c_b.pdf"},\n'
@@ -294,6 +300,11 @@ def test_attachments(spark, tmp_path):
     got = {(r.linkkey, r.position): (r.id, r.label) for r in links.collect()}
     assert got == {("fff2f051e10c", 1): ("f2", "PDF part 1"), ("fff2f051e10c", 2): ("f1", "PDF part 2"),
                    ("0123456789ab", 1): ("f4", "PDF part 1"), ("0123456789ab", 2): ("f5", "PDF part 2")}
+    mails = spark.createDataFrame([("1", "fff2f051e10c"), ("2", "0123456789ab"), ("3", "ffffffffffff"), ("4", None)],
+                                  "no string, linkkey string")
+    assert sorted((r.no, r.id) for r in attachments.attach(mails, links).collect() if r.id) == [
+        ("1", "f1"), ("1", "f2"), ("2", "f4"), ("2", "f5")]
+    assert sorted(r.no for r in attachments.attach(mails, links).collect() if not r.id) == ["3", "4"]
     texts = spark.createDataFrame([(1, "None", "see fff2f051e10c"), (2, "x", "https://x/?id=" + "a" * 25),
                                    (3, None, "nothing")], "doc int, a string, b string")
     found = attachments.resolve_links(texts, "doc", ["a", "b"], links)
