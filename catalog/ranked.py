@@ -223,6 +223,12 @@ def presented_results(spark, sf_dir):
                              "entities"))
 
 
+def display_results(spark, sf_dir):
+    shown = plans.presented(_keyword(spark, sf_dir, IDENTIFIER_QUERIES), mail(spark, sf_dir),
+                            view(spark, sf_dir, IDENTIFIER_QUERIES))
+    return tidy(shown.select("query_id", "no", "position", "month", "deliverytime", "senderemail", "recipientto"))
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------
 
 EVAL_QUERIES = """SELECT item_id AS query_id, text AS query_text,
@@ -511,6 +517,11 @@ ENTRIES = {
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, round(cosine_score, 6) AS cosine_score,
                round(score, 6) AS score, position FROM ranked WHERE position <= 10"""),
     "presented_results": (presented_results, None),
+    "display_results": (display_results, f"""WITH {KEYWORD_SQL} SELECT query_id, no, position,
+        left(month, 4) || '-' || substring(month, 5) AS month,
+        coalesce(strftime({TIME_SQL}, '%Y-%m-%d %H:%M:%S'), deliverytime, '') AS deliverytime,
+        left(senderemail, 1) || '****@' || split_part(senderemail, '@', 2) AS senderemail,
+        coalesce('d****@' || split_part(recipientto, '@', 2), '') AS recipientto FROM ranked"""),
     "eval_recall": (eval_recall, f"WITH {EVAL_SQL} SELECT mode, query_id, round(recall, 6) AS recall FROM measured"),
     "eval_mrr": (eval_mrr, f"WITH {EVAL_SQL} SELECT mode, query_id, round(mrr, 6) AS mrr FROM measured"),
     "eval_report": (eval_report, f"""WITH {EVAL_SQL}, sums AS (SELECT mode, category, avg(recall) AS recall, avg(mrr) AS mrr,
