@@ -112,6 +112,12 @@ def exact_matches(spark, sf_dir):
     return tidy(found.groupBy("query_id").agg(F.count("*").alias("matches")))
 
 
+def total_matches(spark, sf_dir):
+    q = view(spark, sf_dir, IDENTIFIER_QUERIES)
+    primary = bm25.match_counts(bm25.match_scores(index(spark, sf_dir), q))
+    return exact.total_matches(primary, bm25.match_counts(exact.find_matches(mail(spark, sf_dir), q)))
+
+
 def merge_exact(spark, sf_dir):
     q = view(spark, sf_dir, IDENTIFIER_QUERIES)
     primary = bm25.search(index(spark, sf_dir), q, 20).select("query_id", "no", "bm25_score")
@@ -140,7 +146,7 @@ def rrf_score(spark, sf_dir):
     """Reciprocal ranks of every match, not of a cut list: groups of any size."""
     scores = bm25.match_scores(index(spark, sf_dir), view(spark, sf_dir, QUERIES)).withColumn(
         "bm25_score", F.round("bm25_score", 3))
-    scores = scores.withColumn("bm25_score", F.when(F.pmod(F.col("no").cast("bigint"), F.lit(17)) != 0, F.col("bm25_score")))
+    scores = scores.withColumn("bm25_score", F.when(F.col("bm25_score") > 0.4, F.col("bm25_score")))
     scores = materialise(scores, "scores")
     return tidy(fusion.rrf(scores, "bm25_score", "rrf").select("query_id", "no", "rrf"))
 
@@ -465,6 +471,9 @@ ENTRIES = {
         CAST(exact_tier AS BIGINT) AS exact_tier, exact_rank, match_reason FROM exact"""),
     "exact_matches": (exact_matches, f"""WITH {MAIL_SQL}, {exact_ctes(50)} SELECT query_id, count(*) AS matches FROM found
         GROUP BY query_id"""),
+    "total_matches": (total_matches, f"""WITH {INDEX_SQL}, {exact_ctes(50)}, {bm25_sql('asked', 'hits')}
+        SELECT query_id, greatest(a.n, b.n) AS matches FROM (SELECT query_id, count(*) AS n FROM hits GROUP BY 1) a
+        FULL JOIN (SELECT query_id, count(*) AS n FROM found GROUP BY 1) b USING (query_id)"""),
     "merge_exact": (merge_exact, f"""WITH {INDEX_SQL}, {exact_ctes(20)}, {top_hits('asked', 'hits', 20)}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, CAST(exact_tier AS BIGINT) AS exact_tier, exact_rank,
                CASE WHEN exact_rank IS NULL THEN NULL ELSE CAST(1 AS DOUBLE) END AS exact_score
@@ -472,7 +481,7 @@ ENTRIES = {
     "containment_pairs": (containment_pairs, """SELECT DISTINCT d.doc_id, md5(lower(b.text)) AS passage FROM benchmark b
         JOIN documents d ON contains(lower(d.text), lower(b.text))"""),
     "rrf_score": (rrf_score, f"""WITH {INDEX_SQL}, {QUERIES_CTE}, {bm25_sql('queries', 'hits')},
-        cut AS (SELECT query_id, no, CASE WHEN CAST(no AS BIGINT) % 17 <> 0 THEN round(bm25_score, 3) END AS s FROM hits)
+        cut AS (SELECT query_id, no, CASE WHEN round(bm25_score, 3) > 0.4 THEN round(bm25_score, 3) END AS s FROM hits)
         SELECT query_id, no, round(CAST({rrf_sql('s')} AS DOUBLE), 6) AS rrf FROM cut"""),
     "rrf_events": (rrf_events, """SELECT event_id, CASE WHEN value > 1 THEN rank() OVER (PARTITION BY event_type, value > 1
         ORDER BY value) END AS rank FROM events"""),

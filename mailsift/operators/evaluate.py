@@ -6,11 +6,19 @@ number of mails.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 
 
+def read_query_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation queries from JSON lines (id, category, query, expected_nos): the queries and the long truth table."""
+    schema = "id string, category string, query string, expected_nos array<string>, notes string"
+    rows = spark.read.schema(schema).json(path)
+    queries = rows.select(F.col("id").alias("query_id"), "category", F.col("query").alias("query_text"))
+    return queries, rows.select(F.col("id").alias("query_id"), F.explode("expected_nos").alias("no"))
+
+
 def scores(queries: DataFrame, results: DataFrame, truth: DataFrame, modes: list[str],
            k: int = C.EVAL_TOP_K) -> DataFrame:
     """Per mode and query: result count, recall@k and MRR@k; both are NULL for a query without truth."""

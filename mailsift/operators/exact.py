@@ -105,5 +105,12 @@ def merge_exact(primary: DataFrame, exact: DataFrame) -> DataFrame:
     return joined
 
 
+def total_matches(primary: DataFrame, exact: DataFrame) -> DataFrame:
+    """Matches per query when both searches ran: the larger of the two counts.  Both are (query_id, matches)."""
+    other = exact.withColumnRenamed("matches", "_exact")
+    return primary.join(other, "query_id", "full_outer").select(
+        "query_id", F.greatest("matches", "_exact").alias("matches"))
+
+
 def with_search_terms(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", search_terms(F.col("query_text")))

@@ -325,6 +325,13 @@ def test_evaluation(spark):
     assert evaluate.zero_result_rate(evaluate.scores(queries, results, truth, ["m"])).first().zero_result_rate == 1.0
 
 
+def test_query_set(spark, tmp_path):
+    (tmp_path / "q.json").write_text('{"id": "q1", "category": "x", "query": "alpha", "expected_nos": ["1", "2"]}\n'
+                                     '{"id": "q2", "category": "x", "query": "beta", "expected_nos": []}\n')
+    queries, truth = evaluate.read_query_set(spark, str(tmp_path / "q.json"))
+    assert queries.count() == 2 and sorted(map(tuple, truth.collect())) == [("q1", "1"), ("q1", "2")]
+
+
 def test_sources(spark, mail, tmp_path):
     assert tables.clean_names(["No.", "Sender Name", "", "sender-name", None]) == [
         "no", "sender_name", "col_unknown", "sender_name_4", "col_unknown_5"]

@@ -64,7 +64,7 @@ def test_code_variants(spark):
     ("LPO-1088", ["LPO-1088", "lpo1088"], []),
     ("5000684244", ["5000684244"], []),
     ("MRR-2025-001", ["MRR-2025-001", "mrr2025001", "MRR-2025"], []),
-    ("HVDC-ADOPT-SEI-0008", ["HVDC-ADOPT-SEI-0008", "SEI-0008"], []),
+    ("CASE-ADOPT-SEI-0008", ["CASE-ADOPT-SEI-0008", "SEI-0008"], []),
     ("demurrage claim", [], ["demurrage"]),
 ])
 def test_identifier_terms(spark, query, some, none):
