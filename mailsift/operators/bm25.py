@@ -112,12 +112,17 @@ def match_scores(index: Index, queries: DataFrame, k1: float = C.BM25_K1, b: flo
     words = query_words(queries, index.stop_words, index.stemmed)
     idf = F.log10((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = words.join(index.terms, "term").select("term", "query_id", idf.alias("idf"))
-    keys = ["term"]
+    keys, postings = ["term"], index.postings
     if index.buckets:
-        weighted = weighted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
         keys = ["bucket", "term"]
+        weighted = weighted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
     # Written once: its size is checked before the join that may broadcast it.
-    hits = join_small(index.postings, materialise(weighted, "query-terms"), keys, spread="no")
+    weighted = materialise(weighted, "query-terms")
+    if index.buckets:
+        # At most as many numbers as there are buckets; only the folders of these are listed and read.
+        asked = [row.bucket for row in weighted.select("bucket").distinct().collect()]
+        postings = postings.where(F.col("bucket").isin(asked))
+    hits = join_small(postings, weighted, keys, spread="no")
     part = (F.col("idf") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length))))
     return hits.groupBy("query_id", "no").agg(F.round(F.sum(part), SCORE_PLACES).alias("bm25_score"))

@@ -1,7 +1,10 @@
 """Operators against brute force, on small tables with one very large group."""
 
+import contextlib
+import io
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -74,6 +77,16 @@ def test_bm25_stored_index_and_salted_join(spark, mail, mails, monkeypatch):
         assert got == want
 
 
+def test_a_search_reads_the_folders_of_its_words_only(spark, mail):
+    path = new_path(spark, "index")
+    bm25.write_index(bm25.build_index(mail), path, buckets=16)
+    one = spark.createDataFrame([(1, "customs")], "query_id long, query_text string")
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        bm25.match_scores(bm25.read_index(spark, path), one).explain("formatted")
+    assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d+\)\]", text.getvalue())
+
+
 def test_index_extension_equals_a_full_build(mail):
     old = mail.where("cast(no as int) < 50")
     grown = bm25.extend_index(bm25.build_index(old), mail)
