@@ -251,7 +251,7 @@ def probes(df: DataFrame, bits: int) -> DataFrame:
     return df.withColumn("code", F.explode(F.transform(flips, lambda f: F.col("code").bitwiseXOR(f.cast("long")))))
 
 
-def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 8, bits: int = 8,
+def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 8, bits: int = 6,
                         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest `k` among the vectors that share a signature, or one with a single bit changed, with the query.
 
