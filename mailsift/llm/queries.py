@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pseudonyms, url_rules
+from . import decontaminate, pseudonyms, substrings, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -35,6 +35,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_RULES, mined).drop("url")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, keep_text=False)
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
@@ -46,6 +51,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES = {
     "op1_url_filter": (op1_url_filter, None),
+    "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_pseudonyms": (op3_pseudonyms, None),
     "op8_decontaminate": (op8_decontaminate, None),
 }
