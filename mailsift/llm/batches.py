@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,28 +25,50 @@ ONCE, TWICE, MARK = 0, 1, 2
 
 
 def blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A stored table (block, keys array<key type>, texts array<string>, n_bytes) of all rows of `df`."""
-    kind = df.schema[key].dataType.simpleString()
+    """A stored table (block, keys, lengths, texts, n_bytes) of all rows of `df`; see `texts_of`.  Keys are text."""
+
+    def block(number, keys, texts, size) -> pd.DataFrame:
+        lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8").tobytes()
+        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(t for t in texts if t is not None))
+        return pd.DataFrame({"block": [number], "keys": [keys], "lengths": [lengths], "texts": [packed], "n_bytes": [size]})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         keys, texts, size = [], [], 0
         for frame in frames:
             for k, t in zip(frame["_key"].tolist(), frame["_text"].tolist()):
-                keys.append(None if pd.isna(k) else k)
+                t = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else None
+                keys.append(k if isinstance(k, str) else None)
                 texts.append(t)
-                size += 2 * len(t or "") + 64 if t and not t.isascii() else len(t or "") + 64
-                if size >= block_bytes:
-                    yield pd.DataFrame({"block": [number], "keys": [keys], "texts": [texts], "n_bytes": [size]})
+                size += len(t or b"")
+                if size + 16 * len(texts) >= block_bytes:
+                    yield block(number, keys, texts, size)
                     number, keys, texts, size = number + 1, [], [], 0
         if keys:
-            yield pd.DataFrame({"block": [number], "keys": [keys], "texts": [texts], "n_bytes": [size]})
+            yield block(number, keys, texts, size)
 
     # Nullable whole numbers would become floating point in pandas; they travel as text.
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
-    packed = rows.mapInPandas(pack, "block long, keys array<string>, texts array<string>, n_bytes long")
-    return materialise(packed.select("block", F.col("keys").cast(f"array<{kind}>").alias("keys"), "texts", "n_bytes"),
-                       "blocks")
+    packed = rows.mapInPandas(pack, "block long, keys array<string>, lengths binary, texts binary, n_bytes long")
+    return materialise(packed, "blocks")
+
+
+def texts_of(row) -> list[bytes | None]:
+    """The texts of a block in order, in UTF-8."""
+    lengths = np.frombuffer(row["lengths"], "<i8")
+    data = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=int(np.maximum(lengths, 0).sum()) + 1)
+    ends = np.cumsum(np.maximum(lengths, 0)).tolist()
+    return [None if n < 0 else data[e - n:e] for n, e in zip(lengths.tolist(), ends)]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of equal-sized values, all first bytes first: even high bytes then compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
 def parts_of(table: DataFrame, keys_per_byte: float, part_keys: int = PART_KEYS) -> int:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pseudonyms, substrings, url_rules
+from . import decontaminate, html_text, packing, pseudonyms, substrings, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -18,6 +18,13 @@ URL_RULES = (
 PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "change me")
 
 
+def vocabulary() -> str:
+    """The place of the public vocabulary; workers read the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,13 +52,23 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
 ENTRIES = {
     "op1_url_filter": (op1_url_filter, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_pseudonyms": (op3_pseudonyms, None),
+    "op5_html_text": (op5_html_text, None),
     "op8_decontaminate": (op8_decontaminate, None),
+    "op10_packing": (op10_packing, None),
 }

@@ -69,10 +69,10 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class Texts:
-    """The words of a list of texts: `hashes` of all words in order, `bounds[i]:bounds[i + 1]` those of text i."""
+    """The words of a list of texts (str, UTF-8 bytes or None): `hashes` of all words in order, `bounds[i]:bounds[i + 1]` those of text i."""
 
     def __init__(self, texts, lower: bool = False):
-        encoded = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+        encoded = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         parts, counts = [], np.zeros(len(encoded), np.int64)
         at = 0
         while at < len(encoded):
