@@ -80,7 +80,9 @@ class WordParts:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order and the bounds of each text's ids."""
         encoded = [t.encode("utf-8", "replace") for t in texts]
-        data = words.lower_ascii(np.frombuffer(b" ".join(encoded), np.uint8))
+        data = np.frombuffer(b" ".join(encoded), np.uint8)
+        if not any(b"<|" in e for e in encoded):  # special tokens are found before the vocabulary lowers letters
+            data = words.lower_ascii(data)
         starts, ends = self.cuts(data)
         limits = np.cumsum([len(e) + 1 for e in encoded])
         per_text = np.diff(np.searchsorted(starts, limits), prepend=0)
@@ -120,9 +122,9 @@ def pieces(
     docs: DataFrame, vocabulary: str, end_id: int = 2, key: str = "doc_id", text: str = "text", length: int = LENGTH,
     with_ids: bool = False,
 ) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens, row[, ids]): the pieces of every row's ids, `end_id` last.
+    """(key, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every row's ids, `end_id` last.
 
-    Long documents are cut at multiples of `length`.  `row` is equal for the pieces of one row.
+    Long documents are cut at multiples of `length`.
     """
     kind = docs.schema[key].dataType.simpleString()
 

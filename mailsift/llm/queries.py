@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, packing, pseudonyms, substrings, url_rules
+from . import decontaminate, html_text, near_dedup, packing, pseudonyms, substrings, topk, toxicity, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -18,6 +18,23 @@ URL_RULES = (
 PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "change me")
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * r.c[i])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.c) = len(r.c) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def vocabulary() -> str:
     """The place of the public vocabulary; workers read the same path."""
     import public_tokenizers
@@ -52,14 +69,29 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
@@ -68,7 +100,10 @@ ENTRIES = {
     "op1_url_filter": (op1_url_filter, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_pseudonyms": (op3_pseudonyms, None),
+    "op4_near_dedup": (op4_near_dedup, None),
     "op5_html_text": (op5_html_text, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_decontaminate": (op8_decontaminate, None),
+    "op9_topk": (op9_topk, TOP_K_SQL),
     "op10_packing": (op10_packing, None),
 }
