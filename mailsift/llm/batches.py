@@ -24,33 +24,40 @@ PART_KEYS = 1_000_000
 ONCE, TWICE, MARK = 0, 1, 2
 
 
-def blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A stored table (block, keys, lengths, texts, n_bytes) of all rows of `df`; see `texts_of`.  Keys are text."""
+def blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, extra=None) -> DataFrame:
+    """A stored table (block, keys, lengths, texts, n_bytes) of all rows of `df`; see `texts_of`.  Keys are text.
 
-    def block(number, keys, texts, size) -> pd.DataFrame:
+    `extra` is a text column that is carried along, as `extra`.
+    """
+
+    def block(number, keys, texts, size, more) -> pd.DataFrame:
         lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8").tobytes()
         packed = zstandard.ZstdCompressor(level=3).compress(b"".join(t for t in texts if t is not None))
-        return pd.DataFrame({"block": [number], "keys": [keys], "lengths": [lengths], "texts": [packed], "n_bytes": [size]})
+        return pd.DataFrame({"block": [number], "keys": [keys], "lengths": [lengths], "texts": [packed], "n_bytes": [size],
+                             "extra": [more]})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
-        keys, texts, size = [], [], 0
+        keys, texts, size, more = [], [], 0, []
         for frame in frames:
-            for k, t in zip(frame["_key"].tolist(), frame["_text"].tolist()):
+            for k, t, e in zip(frame["_key"].tolist(), frame["_text"].tolist(), frame["_extra"].tolist()):
                 t = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else None
                 keys.append(k if isinstance(k, str) else None)
                 texts.append(t)
+                more.append(e)
                 size += len(t or b"")
                 if size + 16 * len(texts) >= block_bytes:
-                    yield block(number, keys, texts, size)
-                    number, keys, texts, size = number + 1, [], [], 0
+                    yield block(number, keys, texts, size, more)
+                    number, keys, texts, size, more = number + 1, [], [], 0, []
         if keys:
-            yield block(number, keys, texts, size)
+            yield block(number, keys, texts, size, more)
 
     # Nullable whole numbers would become floating point in pandas; they travel as text.
-    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
-    packed = rows.mapInPandas(pack, "block long, keys array<string>, lengths binary, texts binary, n_bytes long")
-    return materialise(packed, "blocks")
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"),
+                     (F.lit(None).cast("string") if extra is None else extra).alias("_extra"))
+    packed = rows.mapInPandas(
+        pack, "block long, keys array<string>, lengths binary, texts binary, n_bytes long, extra array<string>")
+    return materialise(packed.drop("extra") if extra is None else packed, "blocks")
 
 
 def texts_of(row) -> list[bytes | None]:

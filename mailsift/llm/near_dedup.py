@@ -9,9 +9,9 @@
 4. Links are confirmed on whole sets.
 
 In a band's bucket every member is first compared with the bucket's leader, which is another member in each band.
-Confirmed links give components.  Members of one bucket that are still in different components are then compared with
-each other, block by block, so no link between components is lost; members of one component need no more links.  A
-bucket of any size is thus linear in its members as long as they hang together.
+Confirmed links give components.  Members of one cluster (nodes that hang together by sketches at a lower similarity) that
+are still in different components are then compared with each other, block by block, so no link between components is
+lost; members of one component need no more links.  A group of any size is linear in its members while it hangs together.
 
 Defined results: words are runs of `[^\\x20\\x09-\\x0D]` with A-Z in lower case; a text with fewer words than a shingle is
 one shingle; null texts and texts without words have an empty set and link with nothing; rows with a null key are kept,
@@ -29,16 +29,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..storage import materialise
 from . import words
 from .components import components
+from .spanning import alike, open_members, spanning_links
 
 SHINGLE = 4
 PERCENT = 80
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
 #: Candidates whose estimate is below this are not checked.  128 samples put the estimate of a similarity of 0.8 below it
-#: with a chance under 1e-6.
-SKETCH_LEAST = 0.55
-#: Members of a bucket that are compared with each other in one task.
-BUCKET_BLOCK = 512
+#: with a chance of about 1e-7.
+SKETCH_LEAST = 0.6
+#: Pairs from this estimate on belong to one cluster.
+CLUSTER_LEAST = 0.5
+#: Members of a cluster that are compared with each other in one task.
+BLOCK = 512
 
 
 def shingle_sets(texts: list, size: int) -> list[np.ndarray]:
@@ -155,11 +158,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = []
-            for x, y in zip(frame["set_a"], frame["set_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.isin(x, y, assume_unique=True).sum() if len(x) and len(y) else 0
-                good.append(100 * int(both) >= percent * (len(x) + len(y) - int(both)) and both > 0)
+            good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(frame["set_a"], frame["set_b"])]
             yield frame.loc[good, ["a", "b"]]
 
     rows = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
@@ -167,39 +167,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
 
 
-def _across(members: DataFrame, samples: int, least: float, block: int) -> DataFrame:
-    """Pairs (a, b) of bucket members in different components whose sketches are similar.
-
-    Members of a bucket are dealt into blocks; each pair of blocks is one group.  Buckets whose members hang together
-    have sent no rows.
-    """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
-    # block x meets all y: rows of block x go to the groups (x, y) with y >= x and (y, x) with y < x
-    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root", "sketch")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(frame["x"].iat[0]), int(frame["y"].iat[0])
-        left, right = frame[frame["own"] == x], frame[frame["own"] == y]
-        out = []
-        if len(left) and len(right):
-            bits = np.stack(right["sketch"].to_list()).view(np.uint64)
-            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-            for n, r, s in zip(left["node"], left["root"], left["sketch"]):
-                near = _estimate(bits, np.asarray(s).view(np.uint64), samples, bits.shape[1] * 64) >= least
-                for m in nodes[near & (roots != r)].tolist():
-                    if x != y or n < m:
-                        out.append((max(n, m), min(n, m)))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return met.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long").distinct()
-
-
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-    bands: int = BANDS, rows: int = ROWS, least: float = SKETCH_LEAST, bucket_block: int = BUCKET_BLOCK,
+    bands: int = BANDS, rows: int = ROWS, least: float = SKETCH_LEAST, block: int = BLOCK,
 ) -> DataFrame:
     """Every row's (key, n_shingles, component_id, kept, class_id).
 
@@ -227,8 +197,9 @@ def near_duplicates(
     near = (pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
             .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
             .select("a", "b", sketch_similarity(F.col("sa"), F.col("sb"), samples).alias("estimate"))
-            .where(F.col("estimate") >= least))
-    near = materialise(near, "near")
+            .where(F.col("estimate") >= CLUSTER_LEAST))
+    edges = materialise(near, "near")
+    near = edges.where(F.col("estimate") >= least)
     sets = materialise(_sets(docs, crowded.select("node").distinct(), key, text, size), "sets")
     # The most similar partner of each node first; the others only where that left two components.
     first = near.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", "m.b")
@@ -238,14 +209,14 @@ def near_duplicates(
     linked = materialise(linked.union(_confirmed(rest, sets, percent)), "confirmed")
     roots = components(linked)
     # What the leaders left apart.
-    standing = crowded.select("bucket", "node").join(roots, "node", "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = standing.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    open_ = materialise(standing.join(mixed, "bucket").join(sketches, "node"), "open")
-    across = materialise(_across(open_, samples, least, bucket_block).join(
-        near.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    open_ = open_members(edges, roots).join(sets, "node").join(sketches, "node")
+
+    def likely(own, others):
+        return _estimate(others, own, samples, SKETCH_BITS) >= least
+
+    across = materialise(spanning_links(open_, percent, block, likely), "across")
     if not across.isEmpty():
-        roots = components(linked.union(_confirmed(across, sets, percent)))
+        roots = components(linked.union(across))
     by_class = classes.select("set_id", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select(
         "set_id", "class_id", F.coalesce("root", "class_id").alias("root"))
     done = signed.select("node", "n_shingles", "set_id").join(by_class, "set_id", "left")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, near_dedup, packing, pseudonyms, substrings, topk, toxicity, url_rules
+from . import decontaminate, fuzzy_lines, html_text, near_dedup, packing, pseudonyms, substrings, topk, toxicity, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -77,6 +77,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -102,6 +106,7 @@ ENTRIES = {
     "op3_pseudonyms": (op3_pseudonyms, None),
     "op4_near_dedup": (op4_near_dedup, None),
     "op5_html_text": (op5_html_text, None),
+    "op6_line_dedup": (op6_line_dedup, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_decontaminate": (op8_decontaminate, None),
     "op9_topk": (op9_topk, TOP_K_SQL),

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import materialise
@@ -306,32 +307,41 @@ def _calibrate(model: Model, examples) -> Model:
     return model
 
 
+class Scorer:
+    """Scores and evidence of texts; equal vectors are scored once in a task."""
+
+    def __init__(self, model: Model, evidence: int = 3, held: int = 200_000):
+        self.model, self.evidence, self.held, self.seen = model, evidence, held, {}
+
+    def __call__(self, texts: list) -> list[tuple[float, list[dict]]]:
+        model = self.model
+        if model.index is None:
+            return [(model.base, [])] * len(texts)
+        out = []
+        for vector in unit_vectors(*model.terms.counts(texts), len(texts), model.idf):
+            name = tuple(vector.items())
+            if name not in self.seen:
+                if len(self.seen) >= self.held:
+                    self.seen.clear()
+                vote, place, cosine = model.vote(vector)
+                self.seen[name] = model.calibrated(vote), [
+                    {"cosine": float(c), "toxic": int(model.index.toxic[p]), "clean": int(model.index.clean[p])}
+                    for p, c in zip(place[:self.evidence], cosine[:self.evidence])]
+            out.append(self.seen[name])
+        return out
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3,
           evidence: int = 3) -> DataFrame:
     """Every row's (key, held_out, score, predicted, evidence): the nearest example vectors as
     array<struct<cosine, toxic, clean>> with their numbers of examples per label."""
     kind = docs.schema[key].dataType.simpleString()
-    seen: dict = {}
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model, evidence)
         for frame in frames:
-            texts = frame["_text"].tolist()
-            if model.index is None:
-                scores, shown = [model.base] * len(texts), [[]] * len(texts)
-            else:
-                scores, shown = [], []
-                for vector in unit_vectors(*model.terms.counts(texts), len(texts), model.idf):
-                    name = tuple(vector.items())
-                    if name not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        vote, place, cosine = model.vote(vector)
-                        seen[name] = model.calibrated(vote), [
-                            {"cosine": float(c), "toxic": int(model.index.toxic[p]), "clean": int(model.index.clean[p])}
-                            for p, c in zip(place[:evidence], cosine[:evidence])]
-                    scores.append(seen[name][0])
-                    shown.append(seen[name][1])
-            yield pd.DataFrame({"key": frame["_key"], "score": scores, "evidence": shown})
+            found = scorer(frame["_text"].tolist())
+            yield pd.DataFrame({"key": frame["_key"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     rows = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
     found = rows.mapInPandas(
@@ -339,3 +349,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return found.select(
         F.col("key").cast(kind).alias(key), held_out(F.col("key")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is below the threshold."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = scorer(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([s < threshold for s, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
