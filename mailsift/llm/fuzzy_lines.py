@@ -65,20 +65,38 @@ class Lines:
 
     def shingles(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of the line, hash) of all shingles of the lines `at`; a short line is one shingle."""
-        lengths = self.ends[at] - self.starts[at]
-        counts = np.maximum(lengths - size + 1, 1)
-        owner = np.repeat(np.arange(len(at)), counts)
-        first = np.cumsum(counts) - counts
-        begin = self.starts[at][owner] + (np.arange(len(owner)) - first[owner])
-        stop = np.minimum(begin + size, self.ends[at][owner])
-        return owner, words.span_hashes(self.sums, begin, stop)
+        return shingles(self.sums, self.starts[at], self.ends[at], size)
+
+
+def shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    every = words.rolling_hashes(sums, size)
+    lengths = ends - starts
+    counts = np.maximum(lengths - size + 1, 1)
+    owner = np.repeat(np.arange(len(starts)), counts)
+    begin = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    short = lengths < size
+    hashes = every[np.minimum(begin, max(len(every) - 1, 0))] if len(every) else np.zeros(len(owner), np.uint64)
+    if short.any():
+        which = short[owner]
+        hashes[which] = words.span_hashes(sums, starts[short], ends[short])
+    return owner, hashes
+
+
+def line_sets(lines, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of lines in UTF-8."""
+    lengths = np.array([len(x) for x in lines], np.int64)
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    ends = np.cumsum(lengths)
+    owner, hashes = shingles(words.running(data), ends - lengths, ends, size)
+    cuts = np.searchsorted(owner, np.arange(len(lengths) + 1))
+    return [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def bands_of(owner: np.ndarray, hashes: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
     """The band hashes of `n` lines; one row per line."""
     samples = bands * rows
     grid = np.full(n * samples, EMPTY, np.uint32)
-    at = owner * samples + ((hashes >> np.uint64(32)) % np.uint64(samples)).astype(np.int64)
+    at = owner * samples + (((hashes >> np.uint64(32)) * np.uint64(samples)) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(grid, at, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
     grid = grid.reshape(n, samples)
     # an empty bin borrows from the next full one to its right, with the distance mixed in
@@ -104,7 +122,10 @@ def _keys(row, size: int, bands: int, rows: int):
 
 
 def _line_rows(table: DataFrame, size: int, bands: int, rows: int, parts: int) -> DataFrame:
-    """(name, buckets array<long>, set binary): one row per block and distinct line with a shared band."""
+    """(name, buckets array<long>, set binary): one row per block and distinct line with a shared band.
+
+    `set` is the line itself, an eighth of the size of its shingle hashes.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -112,24 +133,22 @@ def _line_rows(table: DataFrame, size: int, bands: int, rows: int, parts: int) -
                 lines, names, at, keys, _, place = _keys(row, size, bands, rows)
                 live = batches.read_bits(keys, row["bits"], parts)[place]
                 chosen = np.flatnonzero(live.any(axis=1))
-                owner, hashes = lines.shingles(at[chosen], size)
-                cuts = np.searchsorted(owner, np.arange(len(chosen) + 1))
+                raw = lines.data.tobytes()
                 yield pd.DataFrame({
                     "name": names[chosen].view(np.int64),
                     "buckets": [keys[place[i][live[i]]].view(np.int64).tolist() for i in chosen],
-                    "set": [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
+                    "set": [raw[a:b] for a, b in zip(lines.starts[at[chosen]].tolist(), lines.ends[at[chosen]].tolist())]})
 
     return table.mapInPandas(read, "name long, buckets array<long>, set binary")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """(a, b, percent): the exact similarity of the pairs, rounded down."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for x, y in zip(frame["set_a"], frame["set_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(line_sets(frame["set_a"].tolist(), size), line_sets(frame["set_b"].tolist(), size)):
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
@@ -159,17 +178,17 @@ def line_components(table: DataFrame, size: int, percent: int, bands: int, rows:
     pairs = materialise(pairs, "line-pairs")
     # The partner that shares most bands first, the others only where that left two components.
     first = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")
-    compared = materialise(_compared(first, sets), "line-links")
+    compared = materialise(_compared(first, sets, size), "line-links")
     roots = components(compared.where(F.col("percent") >= percent))
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     rest = (pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
             .select("a", "b").join(first, ["a", "b"], "left_anti"))
-    compared = materialise(compared.union(_compared(rest, sets)), "line-links")
+    compared = materialise(compared.union(_compared(rest, sets, size)), "line-links")
     linked = compared.where(F.col("percent") >= percent).select("a", "b")
     roots = components(linked)
     open_ = open_members(compared.where(F.col("percent") >= CLUSTER_PERCENT).select("a", "b"), roots).join(sets, "node")
-    across = materialise(spanning_links(open_, percent, block), "line-across")
+    across = materialise(spanning_links(open_, percent, block, unpack=lambda column: line_sets(column, size)), "line-across")
     return roots if across.isEmpty() else components(linked.union(across))
 
 

@@ -34,12 +34,17 @@ def open_members(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return standing.join(split.select("cluster", "n"), "cluster")
 
 
-def spanning_links(members: DataFrame, percent: int, block: int, likely=None) -> DataFrame:
+def packed_sets(column: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in column]
+
+
+def spanning_links(members: DataFrame, percent: int, block: int, likely=None, unpack=packed_sets) -> DataFrame:
     """Links (a, b) between components, from members (cluster, node, root, n, set[, sketch]).
 
     A cluster's members are dealt into blocks and each pair of blocks is one group, so a large cluster is many tasks.
     Inside a group components are joined as links are found, and only links that join two of them are sent: at most one
-    less than the members, however many pairs are alike.  `likely(sketch, sketches)` may rule pairs out first.
+    less than the members, however many pairs are alike.  `likely(sketch, sketches)` may rule pairs out first; `unpack` makes
+    sorted arrays of the values of `set`.
     """
     dealt = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = dealt.withColumn("own", F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int")).withColumn(
@@ -49,7 +54,7 @@ def spanning_links(members: DataFrame, percent: int, block: int, likely=None) ->
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = int(frame["x"].iat[0]), int(frame["y"].iat[0])
         frame = frame.drop_duplicates(["node", "own"]).sort_values(["own", "node"]).reset_index(drop=True)
-        sets = [np.frombuffer(s, np.uint64) for s in frame["set"]]
+        sets = unpack(frame["set"].tolist())
         nodes, own = frame["node"].to_numpy(np.int64), frame["own"].to_numpy()
         sizes = np.array([len(s) for s in sets])
         parent = {r: r for r in frame["root"].tolist()}

@@ -68,6 +68,15 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def rolling_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` bytes from each place on; equal to `span_hashes` of the same bytes."""
+    n = len(sums) - size
+    if n <= 0:
+        return np.empty(0, U64)
+    _, inverse = _power_tables(len(sums))
+    return mix((sums[size:] - sums[:n]) * inverse[:n])
+
+
 class Texts:
     """The words of a list of texts (str, UTF-8 bytes or None): `hashes` of all words in order, `bounds[i]:bounds[i + 1]` those of text i."""
 
