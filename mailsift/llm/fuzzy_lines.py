@@ -36,6 +36,8 @@ CLUSTER_PERCENT = 50
 BANDS, ROWS = 24, 4
 #: Members of a cluster that are compared with each other in one task.
 BLOCK = 512
+#: Text in one block; its shingles are arrays of eight bytes for each byte of it.
+BLOCK_BYTES = 1 << 19
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -133,6 +135,8 @@ def _line_rows(table: DataFrame, size: int, bands: int, rows: int, parts: int) -
                 lines, names, at, keys, _, place = _keys(row, size, bands, rows)
                 live = batches.read_bits(keys, row["bits"], parts)[place]
                 chosen = np.flatnonzero(live.any(axis=1))
+                if not len(chosen):
+                    continue
                 raw = lines.data.tobytes()
                 yield pd.DataFrame({
                     "name": names[chosen].view(np.int64),
@@ -247,7 +251,7 @@ def dedup_lines(
     """
     others = [f for f in docs.schema.fields if f.name not in (key, text)]
     extra = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in others])) if others else F.lit("{}")
-    table = batches.blocks(docs, key, text, extra=extra)
+    table = batches.blocks(docs, key, text, BLOCK_BYTES, extra)
     roots = materialise(line_components(table, size, percent, bands, rows, block), "line-roots")
     kept = _kept(table, roots)
     if others:

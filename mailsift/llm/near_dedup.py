@@ -115,12 +115,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, keys = frame["_text"].tolist(), frame["_key"].tolist()
-            at = 0
-            while at < len(texts):
-                upto, length = at, 0
-                while upto < len(texts) and (upto == at or length < words.CHUNK):
-                    length += len(texts[upto] or "")
-                    upto += 1
+            for at, upto in words.slices(texts):
                 sets = shingle_sets(texts[at:upto], size)
                 samples = min_hashes(sets, bands * rows)
                 band = np.zeros((len(sets), bands), np.uint64)
@@ -134,7 +129,6 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows
                     out.append((k, len(s), f"{len(s)}|{names[0]}|{names[1]}" if len(s) else f"0|{k}",
                                 band[i].tolist() if len(s) else [], sketches[i].view(np.int64).tolist()))
                 yield pd.DataFrame(out, columns=["node", "n_shingles", "set_id", "bands", "sketch"])
-                at = upto
 
     pairs = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
     return pairs.mapInPandas(sign, "node string, n_shingles long, set_id string, bands array<long>, sketch array<long>")
@@ -145,8 +139,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) ->
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = shingle_sets(frame["_text"].tolist(), size)
-            yield pd.DataFrame({"node": frame["_key"], "set": [s.tobytes() for s in sets]})
+            texts = frame["_text"].tolist()
+            for a, b in words.slices(texts):
+                yield pd.DataFrame({"node": frame["_key"].iloc[a:b],
+                                    "set": [s.tobytes() for s in shingle_sets(texts[a:b], size)]})
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
         wanted.withColumnRenamed("node", "_key"), "_key", "left_semi")

@@ -264,9 +264,10 @@ def train(
         total = np.zeros(len(terms.hashes), np.int64)
         n = 0
         for frame in frames:
-            _, term, _ = terms.counts(frame["_text"].tolist())
-            total += np.bincount(term, minlength=len(total))
-            n += len(frame)
+            texts = frame["_text"].tolist()
+            for a, b in words.slices(texts):
+                total += np.bincount(terms.counts(texts[a:b])[1], minlength=len(total))
+            n += len(texts)
         yield pd.DataFrame({"term": np.append(np.arange(len(total)), -1), "df": np.append(total, n)})
 
     df = {r["term"]: r["df"] for r in docs.select(F.col(text).alias("_text")).mapInPandas(
@@ -310,25 +311,27 @@ def _calibrate(model: Model, examples) -> Model:
 class Scorer:
     """Scores and evidence of texts; equal vectors are scored once in a task."""
 
-    def __init__(self, model: Model, evidence: int = 3, held: int = 200_000):
+    def __init__(self, model: Model, evidence: int = 3, held: int = 20_000):
         self.model, self.evidence, self.held, self.seen = model, evidence, held, {}
 
     def __call__(self, texts: list) -> list[tuple[float, list[dict]]]:
         model = self.model
         if model.index is None:
             return [(model.base, [])] * len(texts)
-        out = []
-        for vector in unit_vectors(*model.terms.counts(texts), len(texts), model.idf):
-            name = tuple(vector.items())
-            if name not in self.seen:
-                if len(self.seen) >= self.held:
-                    self.seen.clear()
-                vote, place, cosine = model.vote(vector)
-                self.seen[name] = model.calibrated(vote), [
-                    {"cosine": float(c), "toxic": int(model.index.toxic[p]), "clean": int(model.index.clean[p])}
-                    for p, c in zip(place[:self.evidence], cosine[:self.evidence])]
-            out.append(self.seen[name])
-        return out
+        return [self._of(v) for a, b in words.slices(texts)
+                for v in unit_vectors(*model.terms.counts(texts[a:b]), b - a, model.idf)]
+
+    def _of(self, vector: dict[int, float]) -> tuple[float, list[dict]]:
+        name = tuple(vector.items())
+        if name not in self.seen:
+            if len(self.seen) >= self.held:
+                self.seen.clear()
+            vote, place, cosine = self.model.vote(vector)
+            toxic, clean = self.model.index.toxic, self.model.index.clean
+            self.seen[name] = self.model.calibrated(vote), [
+                {"cosine": float(c), "toxic": int(toxic[p]), "clean": int(clean[p])}
+                for p, c in zip(place[:self.evidence], cosine[:self.evidence])]
+        return self.seen[name]
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3,

@@ -77,6 +77,18 @@ def rolling_hashes(sums: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * inverse[:n])
 
 
+def slices(texts: list, limit: int = CHUNK):
+    """(from, to) of consecutive texts that hold about `limit` characters together, one text at least."""
+    at = 0
+    while at < len(texts):
+        size, upto = 0, at
+        while upto < len(texts) and (upto == at or size < limit):
+            size += len(texts[upto] or "")
+            upto += 1
+        yield at, upto
+        at = upto
+
+
 class Texts:
     """The words of a list of texts (str, UTF-8 bytes or None): `hashes` of all words in order, `bounds[i]:bounds[i + 1]` those of text i."""
 
