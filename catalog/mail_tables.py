@@ -93,16 +93,17 @@ def manifest_check(spark, sf_dir):
 
 
 def stream_ingest_dedupe(spark, sf_dir):
-    """All events as a stream with repeated deliveries, each id kept once."""
+    """All events as a stream: newest files first, many batches, repeats across batches, unreadable times."""
     landing = new_path(spark, "landing")
     events = table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("no"), "ts", "event_type")
-    repeated = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    repeated.write.parquet(landing)
-    stream = ingest.read_landing(spark, landing, repeated.schema)
+        F.col("event_id").cast("string").alias("no"),
+        F.when(F.col("event_id") % 17 == 0, "unknown").otherwise(F.col("ts").cast("string")).alias("ts"), "event_type")
+    (events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+     .repartitionByRange(6, F.xxhash64("event_type", "no", F.rand(1))).write.parquet(landing))
+    stream = ingest.read_landing(spark, landing, spark.read.parquet(landing).schema, files_per_batch=2)
     out, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
-    ingest.append_stream(ingest.clean_once(stream, "no", "ts", "60 days"), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("no", "event_type")
+    ingest.append_new(stream, out, checkpoint, "no", "ts").awaitTermination()
+    return spark.read.parquet(out).select("no", "event_type", F.col("ts").isNotNull().alias("timed"))
 
 
 # --- filters -------------------------------------------------------------------------------------------------
@@ -379,7 +380,7 @@ ENTRIES = {
     "csv_export": (csv_export, f"WITH {MAIL_SQL} SELECT no, deliverytime, company_name, month FROM mail"),
     "manifest_check": (manifest_check, None),
     "stream_ingest_dedupe": (stream_ingest_dedupe,
-                             "SELECT CAST(event_id AS VARCHAR) AS no, event_type FROM events"),
+                             "SELECT CAST(event_id AS VARCHAR) AS no, event_type, event_id % 17 <> 0 AS timed FROM events"),
     "project_optional": (project_optional, f"WITH {MAIL_SQL} SELECT {', '.join(C.RESULT_COLUMNS)}, lpo_numbers, rowkey "
                                            "FROM mail"),
     "norm_ids": (norm_ids, rf"""WITH {RAW_SQL} SELECT regexp_replace(no, '\.0$', '') AS no,

@@ -10,6 +10,7 @@ from .. import constants as C
 from ..functions.stem import stem_tokens
 from ..functions.text import index_tokens
 from ..storage import materialise
+from .incremental import new_rows
 from .joins import join_small
 from .ranking import top_k
 
@@ -65,19 +66,26 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def extend_index(index: Index, new_mail: DataFrame, fields=C.INDEX_FIELDS) -> Index:
-    """The index with the mails it does not hold yet; known mails are neither read into it nor counted twice."""
-    fresh = new_mail.join(index.docs.select("no"), "no", "left_anti")
-    added = build_index(fresh, fields, index.stop_words, index.stemmed)
+    """The index with the mails it does not hold yet.
+
+    Known mails are neither read into it nor counted twice, and a mail that is delivered twice is one mail.
+    """
+    fresh = new_rows(new_mail, index.docs, "no", F.xxhash64(*new_mail.columns))
+    # Written once: a mail whose text differs between deliveries must be the same one in postings and docs.
+    added = build_index(materialise(fresh, "new-mail"), fields, index.stop_words, index.stemmed)
+    postings = added.postings
+    if index.buckets:
+        postings = postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
     terms = index.terms.unionByName(added.terms).groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(index.postings.unionByName(added.postings), terms, index.docs.unionByName(added.docs),
-                 index.stop_words, index.stemmed)
+    return Index(index.postings.unionByName(postings), terms, index.docs.unionByName(added.docs),
+                 index.stop_words, index.stemmed, index.buckets)
 
 
 def write_index(index: Index, path: str, buckets: int = POSTING_BUCKETS) -> None:
     """Write the index.  Postings are partitioned by a hash of the term, so that a search for a few terms reads a
     few folders; the hash of `no` shares each folder out over more files the more mails there are, however common one
-    term is."""
-    postings = index.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
+    term is.  An index that grows is written to a new path: it reads the old one."""
+    postings = index.postings.drop("bucket").withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
     spread = F.pmod(F.hash("no"), F.lit(1 + index.docs.count() // DOCS_PER_FILE))
     (postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
@@ -132,11 +140,17 @@ def by_score(score: str, key: str = "no") -> list:
     return [F.col(score).desc_nulls_last(), F.col(key)]
 
 
-def search(index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT) -> DataFrame:
-    """The best `k` mails of every query with their position."""
-    return top_k(match_scores(index, queries), ["query_id"], by_score("bm25_score"), k, rank="position")
+def only(scores: DataFrame, allowed: DataFrame | None, key: str = "no") -> DataFrame:
+    """The rows whose mail is allowed; all rows if nothing is said.  Scores keep the whole corpus as their basis."""
+    return scores if allowed is None else scores.join(allowed.select(key).distinct(), key, "left_semi")
+
+
+def search(index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
+    """The best `k` mails of every query with their position, among the `allowed` ones (a table with `no`)."""
+    scores = only(match_scores(index, queries), allowed)
+    return top_k(scores, ["query_id"], by_score("bm25_score"), k, rank="position")
 
 
-def match_counts(scores: DataFrame) -> DataFrame:
-    """Mails found per query."""
-    return scores.groupBy("query_id").agg(F.count("*").alias("matches"))
+def match_counts(scores: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Mails found per query, among the allowed ones."""
+    return only(scores, allowed).groupBy("query_id").agg(F.count("*").alias("matches"))

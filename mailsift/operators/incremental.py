@@ -14,8 +14,11 @@ def new_rows(incoming: DataFrame, held: DataFrame, key: str, order: Column) -> D
 
 
 def update_column(table: DataFrame, staged: DataFrame, key: str, column: str) -> DataFrame:
-    """The table with staged values where there are any and its own values elsewhere."""
-    values = staged.select(key, F.col(column).alias("_staged"))
+    """The table with staged values where there are any and its own values elsewhere.
+
+    A key that is staged several times counts once, with its largest value, so the table keeps its rows.
+    """
+    values = staged.where(F.col(column).isNotNull()).groupBy(key).agg(F.max(column).alias("_staged"))
     old = F.col(column) if column in table.columns else F.lit(None).cast(staged.schema[column].dataType)
     joined = table.join(values, key, "left").withColumn(column, F.coalesce("_staged", old)).drop("_staged")
     return joined.select(*dict.fromkeys([*table.columns, column]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.chunking import chunk_table
+from ..operators.incremental import new_rows
 from ..sources.tables import normalise
 
 
@@ -13,27 +14,37 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def keep_once(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """The first row of each key.  The state of a key is dropped once the watermark has passed it by `delay`, so state
-    stays as large as the window of possible repeats."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-
-
-def clean_once(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    return keep_once(normalise(stream).where(F.col(key).isNotNull()), key, time, delay)
-
-
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to a Parquet table and stop when everything that has arrived is loaded."""
     return (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
 
+def append_new(stream: DataFrame, path: str, checkpoint: str, key: str, time: str) -> StreamingQuery:
+    """Append the cleaned rows whose key the table does not hold, one per key and batch, and stop when all is loaded.
+
+    A key is looked up in the whole table, so a row is never too late, whatever the order of times.  Unreadable times
+    become NULL and their rows stay.  Each batch writes its own folder `batch=N` over itself: a batch that is run again
+    after a failure looks at the other folders only and writes the same rows.
+    """
+    def load(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        clean = normalise(rows).withColumn(time, F.col(time).try_cast("timestamp"))
+        held = spark.read.schema(clean.schema.add("batch", "long")).parquet(path).where(F.col("batch") != batch)
+        first = F.coalesce(F.col(time), F.lit("9999-12-31").cast("timestamp"))
+        new_rows(clean, held, key, first).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    spark = stream.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def load_mail(spark: SparkSession, landing: str, schema, mail_path: str, chunk_path: str, checkpoint: str,
-              time: str = "arrived", delay: str = "30 days") -> None:
+              time: str = "arrived", files_per_batch: int = 1000) -> None:
     """Load new mail, then the chunks of the new mail; both can be stopped and started again at any point."""
-    mail = clean_once(read_landing(spark, landing, schema), "no", time, delay)
-    append_stream(mail, mail_path, f"{checkpoint}/mail").awaitTermination()
+    landed = read_landing(spark, landing, schema, files_per_batch)
+    append_new(landed, mail_path, f"{checkpoint}/mail", "no", time).awaitTermination()
     loaded = spark.readStream.schema(spark.read.parquet(mail_path).schema).parquet(mail_path)
     append_stream(chunk_table(loaded), chunk_path, f"{checkpoint}/chunks").awaitTermination()
