@@ -19,6 +19,7 @@ an empty table gives no rows; all other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,44 +39,58 @@ BANDS, ROWS = 24, 4
 BLOCK = 512
 #: Text in one block; its shingles are arrays of eight bytes for each byte of it.
 BLOCK_BYTES = 1 << 19
+#: Text whose bands are made at a time: the arrays for it stay near the processor.
+SLICE_BYTES = 1 << 15
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
 class Lines:
-    """The lines of a block that take part: (document, place, start, end) in the joined bytes, and two hashes each."""
+    """The lines of a block that take part: (document, place, start, end) in the joined bytes, each text with a last `\\n`."""
 
     def __init__(self, row):
         texts = batches.texts_of(row)
-        keys = row["keys"]
-        self.data = np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8)
-        cuts = np.flatnonzero(self.data == 10)
-        starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(self.data)]])
-        lengths = np.array([len(t or b"") for t in texts], np.int64)
-        text_start = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.data = np.frombuffer(b"".join((t or b"") + b"\n" for t in texts), np.uint8)
+        ends = np.flatnonzero(self.data == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        text_start = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])
         doc = np.searchsorted(text_start, starts, side="right") - 1
-        doc = np.minimum(doc, len(texts) - 1)
         place = np.arange(len(starts)) - np.searchsorted(starts, text_start[:-1])[doc]
-        ink = np.concatenate([[0], np.cumsum(~words.blanks(self.data))])
-        use = (ink[ends] > ink[starts]) & np.array([k is not None for k in keys], bool)[doc]
+        ink = np.logical_or.reduceat(~words.blanks(self.data), starts)
+        use = ink & np.array([k is not None for k in row["keys"]], bool)[doc]
         self.doc, self.place, self.starts, self.ends = doc[use], place[use], starts[use], ends[use]
-        self.sums = words.running(self.data)
-        self.names = words.span_hashes(self.sums, self.starts, self.ends)
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return words.running(self.data)
+
+    @cached_property
+    def names(self) -> np.ndarray:
+        return words.span_hashes(self.sums, self.starts, self.ends)
 
     def distinct(self):
         """The first place of each distinct line, in order of its name."""
         return np.unique(self.names, return_index=True)
 
-    def shingles(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the line, hash) of all shingles of the lines `at`; a short line is one shingle."""
-        return shingles(self.sums, self.starts[at], self.ends[at], size)
+    def bands(self, at: np.ndarray, size: int, bands: int, rows: int) -> np.ndarray:
+        """The band hashes of the lines `at`; one row per line."""
+        out = np.empty((len(at), bands), np.uint64)
+        order = np.argsort(self.starts[at])
+        starts, ends = self.starts[at][order], self.ends[at][order]
+        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(self.data), SLICE_BYTES)), len(at)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[order[a:b]] = bands_of(*shingles(self.sums, starts[a:b], ends[a:b], size), b - a, bands, rows)
+        return out
 
 
 def shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    every = words.rolling_hashes(sums, size)
+    """(number of the line, hash) of all shingles of the lines, which are given in text order; a short line is one shingle."""
+    low, high = (int(starts[0]), int(ends[-1])) if len(starts) else (0, 0)
+    every = words.rolling_hashes(sums, size, low, high)
     lengths = ends - starts
     counts = np.maximum(lengths - size + 1, 1)
     owner = np.repeat(np.arange(len(starts)), counts)
-    begin = np.arange(len(owner)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    begin = np.arange(len(owner))
+    begin += np.repeat(starts - low - (np.cumsum(counts) - counts), counts)
     short = lengths < size
     hashes = every[np.minimum(begin, max(len(every) - 1, 0))] if len(every) else np.zeros(len(owner), np.uint64)
     if short.any():
@@ -102,10 +117,10 @@ def bands_of(owner: np.ndarray, hashes: np.ndarray, n: int, bands: int, rows: in
     np.minimum.at(grid, at, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
     grid = grid.reshape(n, samples)
     # an empty bin borrows from the next full one to its right, with the distance mixed in
-    place = np.where(grid != EMPTY, np.arange(samples), 2 * samples)
+    place = np.where(grid != EMPTY, np.arange(samples, dtype=np.int32), np.int32(2 * samples))
     double = np.concatenate([place, place + samples], axis=1)
     next_full = np.minimum.accumulate(double[:, ::-1], axis=1)[:, ::-1][:, :samples]
-    far = (next_full - np.arange(samples)).astype(np.uint64)
+    far = (next_full - np.arange(samples, dtype=np.int32)).astype(np.uint64)
     value = np.take_along_axis(grid, next_full % samples, axis=1).astype(np.uint64) + far * np.uint64(0x9E3779B97F4A7C15)
     out = np.zeros((n, bands), np.uint64)
     for r in range(rows):
@@ -117,8 +132,7 @@ def _keys(row, size: int, bands: int, rows: int):
     """The distinct band hashes of a block's distinct lines."""
     lines = Lines(row)
     names, at = lines.distinct()
-    grid = bands_of(*lines.shingles(at, size), len(at), bands, rows)
-    flat = grid.ravel()
+    flat = lines.bands(at, size, bands, rows).ravel()
     keys, flags, place = batches.distinct_keys(flat, np.repeat(np.arange(len(at)), bands))
     return lines, names, at, keys, flags, place.reshape(len(at), bands)
 

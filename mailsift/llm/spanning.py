@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..storage import materialise
 from .components import components
 
+#: Classes that the values of a set are counted by, for a bound on what two sets can have in common.
+CLASSES = 256
+
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets have `percent` of their union in common."""
@@ -57,28 +60,25 @@ def spanning_links(members: DataFrame, percent: int, block: int, likely=None, un
         sets = unpack(frame["set"].tolist())
         nodes, own = frame["node"].to_numpy(np.int64), frame["own"].to_numpy()
         sizes = np.array([len(s) for s in sets])
-        parent = {r: r for r in frame["root"].tolist()}
-        place = frame["root"].tolist()
+        counts = np.stack([np.bincount((s >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES)
+                           for s in sets]).astype(np.int32)
+        roots = frame["root"].to_numpy(np.int64).copy()
         sketches = np.stack(frame["sketch"].to_list()).view(np.uint64) if likely else None
-
-        def find(r):
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
         out = []
         right = np.flatnonzero(own == y)
         for i in np.flatnonzero(own == x).tolist():
             js = right if x != y else right[right > i]
+            js = js[roots[js] != roots[i]]
             small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
             js = js[100 * small >= percent * large]
             if likely and len(js):
                 js = js[likely(sketches[i], sketches[js])]
+            # two sets have no more in common than class by class
+            most = np.minimum(counts[js], counts[i]).sum(axis=1)
+            js = js[100 * most >= percent * (sizes[js] + sizes[i] - most)]
             for j in js.tolist():
-                a, b = find(place[i]), find(place[j])
-                if a != b and alike(sets[i], sets[j], percent):
-                    parent[max(a, b)] = min(a, b)
+                if roots[i] != roots[j] and alike(sets[i], sets[j], percent):
+                    roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
                     out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 

@@ -32,9 +32,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def blanks(data: np.ndarray) -> np.ndarray:
@@ -59,7 +62,10 @@ def running(data: np.ndarray) -> np.ndarray:
     powers, _ = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, U64)
     sums[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * powers[:len(data)], out=sums[1:])
+    terms = data.astype(U64)
+    terms += U64(1)
+    terms *= powers[:len(data)]
+    np.cumsum(terms, out=sums[1:])
     return sums
 
 
@@ -68,13 +74,19 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def rolling_hashes(sums: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the `size` bytes from each place on; equal to `span_hashes` of the same bytes."""
-    n = len(sums) - size
+def rolling_hashes(sums: np.ndarray, size: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The hash of the `size` bytes from each place on; equal to `span_hashes` of the same bytes.
+
+    Of all bytes, or of those from `start` to `stop`.
+    """
+    stop = len(sums) - 1 if stop is None else stop
+    n = stop - start - size + 1
     if n <= 0:
         return np.empty(0, U64)
     _, inverse = _power_tables(len(sums))
-    return mix((sums[size:] - sums[:n]) * inverse[:n])
+    out = sums[start + size:stop + 1] - sums[start:start + n]
+    out *= inverse[start:start + n]
+    return mix(out)
 
 
 def slices(texts: list, limit: int = CHUNK):
