@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mailsift import constants as C
-from mailsift.operators import bm25
+from mailsift.operators import bm25, filters
 from mailsift.sources.tables import normalise
 from mailsift.storage import new_path
 
@@ -60,6 +60,12 @@ SELECT item_id AS query_id,
 FROM {benchmark}
 """
 
+# Every query names a case next to its text.
+CASE_QUERIES = """
+SELECT item_id AS query_id, concat('CASE-', lpad(CAST(item_id % 97 AS STRING), 4, '0'), ' ', text) AS query_text
+FROM {benchmark}
+"""
+
 # Two of three queries hold a Hangul word, which routes them to the glossary.
 MIXED_QUERIES = """
 SELECT item_id AS query_id,
@@ -138,6 +144,12 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return bm25.read_index(spark, _indexes[key])
 
 
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mails that the filters of the search page leave: by month, stage and sender."""
+    months = [f"{year}{month:02d}" for year in range(1993, 1997) for month in range(1, 13)]
+    return filters.search_filter(mail(spark, sf_dir), months=months, stages=["click", "view"], sender="@src1").select("no")
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT, doubles to six places, so that both engines print the same values."""
     def clean(field):
@@ -178,6 +190,9 @@ def _norm_sql(c: str) -> str:
 MAIL_SQL = (f"mail_raw AS ({sql_view(MAIL_RAW)}),\nmail AS (SELECT "
             + ", ".join(_norm_sql(c) for c in MAIL_COLUMNS) + " FROM mail_raw)")
 
+HELD_SQL = """held AS (SELECT * FROM mail WHERE month BETWEEN '199301' AND '199612' AND stage IN ('click', 'view')
+    AND senderemail ILIKE '%@src1%')"""
+
 TIME_SQL = "try_cast(deliverytime AS TIMESTAMP)"
 NEWEST_SQL = f"{TIME_SQL} DESC NULLS LAST, try_cast(no AS BIGINT) DESC NULLS LAST"
 

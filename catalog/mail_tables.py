@@ -83,6 +83,18 @@ def export_round_trip(spark, sf_dir):
     return tables.read_export(spark, [f"{path}/head", f"{path}/rows"], header_path=f"{path}/head")
 
 
+def export_text_cells(spark, sf_dir):
+    """Whole texts with line breaks as cells, and a row of data that equals the header."""
+    path = new_path(spark, "sheet")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "lang", "text")
+    names = spark.createDataFrame([("Doc ID", "Lang", "Text")], "doc_id string, lang string, text string")
+    spark.createDataFrame([("Documents,,",), ("all sources,,",), (",,",), ("Doc ID,Lang,Text",)],
+                          "value string").coalesce(1).write.text(f"{path}/head")
+    tables.write_csv(docs.unionByName(names), f"{path}/rows", header=False)
+    read = tables.read_export(spark, [f"{path}/head", f"{path}/rows"], header_path=f"{path}/head")
+    return read.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
 def manifest_check(spark, sf_dir):
     """The table files against a manifest with a wrong checksum and a missing file."""
     files = manifest.delivered_files(spark, sf_dir)
@@ -368,6 +380,8 @@ ENTRIES = {
                                              "b IS NOT NULL OR c IS NOT NULL"),
     "export_round_trip": (export_round_trip, "SELECT CAST(c_custkey AS VARCHAR) AS cust_no, c_name AS cust_name, "
                                              "c_nationkey || '.0' AS nation_key FROM customer"),
+    "export_text_cells": (export_text_cells, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, md5(text) AS text_md5 "
+                                             "FROM documents UNION ALL SELECT 'Doc ID', 'Lang', md5('Text')"),
     "incremental_new_rows": (incremental_new_rows, f"""SELECT no, CAST(min(CAST(delivery AS BIGINT)) AS VARCHAR) AS
         delivery, arg_min(stage, CAST(delivery AS BIGINT)) AS stage FROM ({sql_view(INCOMING)})
         WHERE no NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) GROUP BY no"""),

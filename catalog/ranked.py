@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from mailsift import constants as C
 from mailsift.functions import chunking, entities, text
 from mailsift.operators import bm25, containment, evaluate, exact, fusion, ranking, vectors
 from mailsift.plans import search as plans
 from mailsift.storage import materialise
-from .common import (DECISIONS, ENTITIES, GLOSSARY, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL, QUERIES, SYNONYMS,
-                     TIME_SQL, bm25_sql, index, mail, quoted, sql_view, table, tidy, tokens_sql, top_sql, view)
+from .common import (CASE_QUERIES, DECISIONS, ENTITIES, GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL,
+                     QUERIES, SYNONYMS, TIME_SQL, bm25_sql, held, index, mail, quoted, sql_view, table, tidy, tokens_sql, top_sql, view)
 from .text_search import TERM_SQL, distinct_sql, lists_sql, SYNONYM_SQL
 from .texts import (CHUNK_SQL, DOMAIN_MARKED, ENTITY_MARKED, compact_sql, identifier_ctes, marked_sql, mask_sql, names_sql, unmarked_sql)
 
 DIM = 64
+TABLES, BITS = 8, 6
 
 
 # --- vectors -------------------------------------------------------------------------------------------------
@@ -68,7 +71,16 @@ def vector_min_score(spark, sf_dir):
 
 
 def similar_docs(spark, sf_dir):
-    return tidy(vectors.similar_documents(_vectors(spark, sf_dir)))
+    found = vectors.similar_documents(_vectors(spark, sf_dir))
+    return tidy(found.withColumn("query_id", F.col("query_id").cast("bigint")))
+
+
+def _named(prefix, number):
+    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0"))
+
+
+def similar_docs_text_ids(spark, sf_dir):
+    return tidy(vectors.similar_documents(_vectors(spark, sf_dir).withColumn("no", _named("m", F.col("no")))))
 
 
 def chunk_search(spark, sf_dir):
@@ -78,12 +90,16 @@ def chunk_search(spark, sf_dir):
 
 
 def vector_lsh(spark, sf_dir):
-    return tidy(vectors.nearest_approximate(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 10, DIM))
+    return tidy(vectors.nearest_approximate(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 10, DIM, TABLES, BITS))
 
 
 def vector_lsh_recall(spark, sf_dir):
+    """Share of the exact neighbours that are found, and of all pairs that are scored for it."""
     q, v = _query_vectors(spark, sf_dir), _vectors(spark, sf_dir)
-    return tidy(vectors.recall_against(vectors.nearest_approximate(q, v, 10, DIM), vectors.nearest(q, v, 10)))
+    found = vectors.nearest_approximate(q, v, 10, DIM, TABLES, BITS)
+    work = vectors.scored_share(q, v, 10, DIM, TABLES, BITS).first()
+    return tidy(vectors.recall_against(found, vectors.nearest(q, v, 10)).withColumns(
+        {"scored": F.lit(work["scored"]), "share": F.lit(work["share"])}))
 
 
 def embed_documents(spark, sf_dir):
@@ -107,6 +123,11 @@ def exact_search(spark, sf_dir):
     return tidy(found.select("query_id", "no", "exact_tier", "exact_rank", "match_reason"))
 
 
+def filtered_exact_search(spark, sf_dir):
+    found = exact.exact_search(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES), 5, held(spark, sf_dir))
+    return tidy(found.select("query_id", "no", "exact_tier", "exact_rank", "match_reason"))
+
+
 def exact_matches(spark, sf_dir):
     found = exact.find_matches(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES))
     return tidy(found.groupBy("query_id").agg(F.count("*").alias("matches")))
@@ -221,6 +242,18 @@ def hybrid_search(spark, sf_dir):
     return tidy(found.select("query_id", "no", "bm25_score", "cosine_score", "score", "position"))
 
 
+def filtered_keyword_search(spark, sf_dir):
+    ranked = _keyword(spark, sf_dir, CASE_QUERIES, allowed=held(spark, sf_dir))
+    return tidy(ranked.select("query_id", "no", "mode", "exact_tier", "exact_rank", "score", "position"))
+
+
+def filtered_hybrid_search(spark, sf_dir):
+    found = plans.hybrid_search(mail(spark, sf_dir), index(spark, sf_dir), view(spark, sf_dir, QUERIES),
+                                _benchmark_vectors(spark, sf_dir), _vectors(spark, sf_dir), 10, glossary=GLOSSARY,
+                                synonyms=SYNONYMS, allowed=held(spark, sf_dir))
+    return tidy(found.select("query_id", "no", "bm25_score", "cosine_score", "score", "position"))
+
+
 def presented_results(spark, sf_dir):
     q = view(spark, sf_dir, IDENTIFIER_QUERIES)
     ranked = _keyword(spark, sf_dir, IDENTIFIER_QUERIES)
@@ -260,6 +293,20 @@ def _scores(spark, sf_dir):
     return evaluate.scores(view(spark, sf_dir, EVAL_QUERIES), _results(spark, sf_dir), _truth(spark, sf_dir), MODES)
 
 
+def eval_text_ids(spark, sf_dir):
+    """Words, chunks and mails against each other, with query ids that are text."""
+    queries = view(spark, sf_dir, EVAL_QUERIES).withColumn("query_id", _named("q", F.col("query_id")))
+    truth = _truth(spark, sf_dir).withColumn("query_id", _named("q", F.col("query_id")))
+    asked = _benchmark_vectors(spark, sf_dir).withColumn("query_id", _named("q", F.col("query_id")))
+    found = {"fts": bm25.search(index(spark, sf_dir), queries.select("query_id", "query_text"), 10),
+             "chunk": vectors.nearest_by_chunk(asked, _chunk_vectors(spark, sf_dir), 10),
+             "email": vectors.nearest(asked, _vectors(spark, sf_dir), 10)}
+    results = reduce(DataFrame.unionByName, [
+        df.select("query_id", "no", "position", F.lit(mode).alias("mode")) for mode, df in found.items()])
+    measured = evaluate.scores(queries, results, truth, list(found))
+    return tidy(measured.select("mode", "query_id", "result_count", "recall", "mrr"))
+
+
 def eval_recall(spark, sf_dir):
     return tidy(_scores(spark, sf_dir).select("mode", "query_id", "recall"))
 
@@ -299,28 +346,26 @@ FIELD_TEXTS = [f for f in C.EXACT_FIELDS if f != "case_numbers"]
 ID_ONLY = r"regexp_full_match({0}, '\d{{1,5}}|20\d{{2}}|20\d{{4}}')"
 
 
-def exact_ctes(k):
+def exact_ctes(k, queries=IDENTIFIER_QUERIES, mails="mail"):
     """CTEs ending in `exact` (query_id, no, exact_tier, exact_rank, match_reason)."""
     body = " OR ".join(f"contains(lower({f}), lower(t.term))" for f in FIELD_TEXTS if f != "plaintextbody")
     strong = " OR ".join(f"len(list_filter(terms, lambda x: {names_sql(f'coalesce({f}, chr(39))', 'x')})) > 0"
                          for f in FIELD_TEXTS if f != "plaintextbody")
     strong = strong.replace("chr(39)", "''")
-    return rf"""asked AS ({sql_view(IDENTIFIER_QUERIES)}), {identifier_ctes('asked', 'ident')},
+    return rf"""asked AS ({sql_view(queries)}), {identifier_ctes('asked', 'ident')},
     named AS (SELECT * FROM ident WHERE len(terms) > 0),
     one AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM named),
     found AS (SELECT query_id, no, min(tier) AS tier FROM (
-        SELECT t.query_id, m.no, 0 AS tier FROM one t JOIN mail m ON m.no = regexp_replace(t.term, '\.0$', '')
-        UNION ALL SELECT t.query_id, m.no, CASE WHEN {body} THEN 1 ELSE 2 END FROM one t JOIN mail m
+        SELECT t.query_id, m.no, 0 AS tier FROM one t JOIN {mails} m ON m.no = regexp_replace(t.term, '\.0$', '')
+        UNION ALL SELECT t.query_id, m.no, CASE WHEN {body} THEN 1 ELSE 2 END FROM one t JOIN {mails} m
             ON (NOT {ID_ONLY.replace("{0}", "t.term").replace("{{", "{").replace("}}", "}")})
             AND ({body} OR contains(lower(m.plaintextbody), lower(t.term)))) GROUP BY query_id, no),
-    newest AS (SELECT * FROM (SELECT f.query_id, f.tier, m.*, n.terms, row_number() OVER (PARTITION BY f.query_id ORDER BY
-        {NEWEST_SQL.replace("no AS", "m.no AS")}) AS rn FROM found f JOIN mail m USING (no) JOIN named n USING (query_id))
-        WHERE rn <= {k}),
-    tiers AS (SELECT *, CASE WHEN tier = 2 AND ({strong}) THEN 1 ELSE tier END AS exact_tier, {reason_sql('terms')} AS reason
-              FROM newest),
-    exact AS (SELECT query_id, no, exact_tier, row_number() OVER (PARTITION BY query_id ORDER BY exact_tier, {NEWEST_SQL})
-        AS exact_rank, 'exact identifier, ' || CASE WHEN reason <> '' THEN reason ELSE 'body' END AS match_reason
-        FROM tiers)"""
+    matched AS (SELECT f.query_id, f.tier, m.*, n.terms FROM found f JOIN mail m USING (no) JOIN named n USING (query_id)),
+    tiers AS (SELECT *, CASE WHEN tier = 2 AND ({strong}) THEN 1 ELSE tier END AS exact_tier FROM matched),
+    best AS (SELECT *, {reason_sql('terms')} AS reason FROM
+        ({top_sql('tiers', f'exact_tier, {NEWEST_SQL}', k, rank='exact_rank')})),
+    exact AS (SELECT query_id, no, exact_tier, exact_rank,
+        'exact identifier, ' || CASE WHEN reason <> '' THEN reason ELSE 'body' END AS match_reason FROM best)"""
 
 
 def reason_sql(terms):
@@ -420,6 +465,22 @@ REWRITTEN = f"""q0 AS ({sql_view(QUERIES)}),
 KEYWORD_SQL = f"""{INDEX_SQL}, {exact_ctes(20)}, {top_hits('asked', 'hits', 20)},
     joined AS (SELECT query_id, no, bm25_score, CAST(NULL AS DOUBLE) AS cosine_score, exact_tier, exact_rank, match_reason
                FROM hits_top FULL JOIN exact USING (query_id, no)), {rerank_ctes('joined', 'asked', True)}"""
+CHUNK_PAIRS_SQL = NEAR_SQL.replace("pairs AS", "chunk_pairs AS").replace(
+    "CAST(v.vec_id AS VARCHAR) AS no", "v.vec_id, (v.vec_id // 5) || '_body_' || (v.vec_id % 5) AS no")
+CHUNK_RESULTS_SQL = f"""{CHUNK_PAIRS_SQL}, chunk_best AS (SELECT query_id, CAST(vec_id // 5 AS VARCHAR) AS no,
+        max(cosine_score) AS cosine_score FROM ({top_sql('chunk_pairs', BY_COSINE, 100)}) GROUP BY 1, 2),
+    chunk_results AS ({top_sql('chunk_best', BY_COSINE, 10)})"""
+LSH_SQL = f"""{PAIRS_SQL},
+    slots AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+    planes AS (SELECT t, b, d, CASE WHEN left(md5(concat(t, ',', b, ',', d)), 1) < '8' THEN 1 ELSE -1 END AS s
+               FROM range({TABLES}) i(t), range({BITS}) j(b), range({DIM}) k(d)),
+    sides AS (SELECT vec_id, t, b, sum(x * s) > 0 AS above FROM slots JOIN planes USING (d) GROUP BY vec_id, t, b),
+    codes AS (SELECT vec_id, t, CAST(sum(CASE WHEN above THEN 1 << b ELSE 0 END) AS BIGINT) AS code FROM sides
+              GROUP BY vec_id, t),
+    flips AS (SELECT 0 AS f UNION ALL SELECT 1 << b FROM range({BITS}) j(b)),
+    asked AS (SELECT vec_id, t, xor(code, f) AS code FROM codes, flips),
+    met AS (SELECT q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS no FROM asked q JOIN codes v USING (t, code)),
+    near AS ({top_sql("(SELECT * FROM pairs JOIN (SELECT DISTINCT * FROM met) USING (query_id, no))", BY_COSINE, 10)})"""
 EVAL_SQL = f"""{INDEX_SQL}, {QUERIES_CTE}, {bm25_sql('queries', 'hits')}, {NEAR_SQL},
     results AS (SELECT 'fts' AS mode, query_id, no, position FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})
         UNION ALL SELECT 'email', query_id, no, position FROM ({top_sql('pairs', BY_COSINE, 10)})),
@@ -457,8 +518,16 @@ ENTRIES = {
         SELECT c.query_id, c.no, 'body_' || (c.vec_id % 5) AS section, d.text AS chunk_text, m.sendername,
                round(c.cosine_score, 6) AS cosine_score, c.position FROM cut c LEFT JOIN documents d ON d.doc_id = c.vec_id
         LEFT JOIN mail m ON m.no = c.no"""),
-    "vector_lsh": (vector_lsh, None),
-    "vector_lsh_recall": (vector_lsh_recall, None),
+    "similar_docs_text_ids": (similar_docs_text_ids, nearest_sql(5, "no <> query_id").replace(
+        "q.vec_id AS query_id, CAST(v.vec_id AS VARCHAR) AS no",
+        "'m' || lpad(CAST(q.vec_id AS VARCHAR), 6, '0') AS query_id, 'm' || lpad(CAST(v.vec_id AS VARCHAR), 6, '0') AS no")),
+    "vector_lsh": (vector_lsh, f"""WITH {LSH_SQL} SELECT query_id, no, round(cosine_score, 6) AS cosine_score, position
+        FROM near"""),
+    "vector_lsh_recall": (vector_lsh_recall, f"""WITH {LSH_SQL}, best AS ({top_sql('pairs', BY_COSINE, 10)})
+        SELECT round(avg(CASE WHEN n.no IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, count(*) AS pairs,
+               (SELECT count(*) FROM met) AS scored,
+               round((SELECT count(*) FROM met) / (SELECT CAST(count(*) AS DOUBLE) FROM pairs), 6) AS share
+        FROM best b LEFT JOIN near n USING (query_id, no)"""),
     "embed_documents": (embed_documents, f"""WITH {MAIL_SQL}, texts AS (SELECT no AS id, coalesce(subject, '') || ' ' ||
         coalesce(plaintextbody, '') AS text FROM mail), {EMBED_SQL}
         SELECT id AS no, slot, round(weight, 6) AS weight FROM weights"""),
@@ -469,6 +538,8 @@ ENTRIES = {
         GROUP BY t.id"""),
     "exact_search": (exact_search, f"""WITH {MAIL_SQL}, {exact_ctes(50)} SELECT query_id, no,
         CAST(exact_tier AS BIGINT) AS exact_tier, exact_rank, match_reason FROM exact"""),
+    "filtered_exact_search": (filtered_exact_search, f"""WITH {MAIL_SQL}, {HELD_SQL}, {exact_ctes(5, mails='held')}
+        SELECT query_id, no, CAST(exact_tier AS BIGINT) AS exact_tier, exact_rank, match_reason FROM exact"""),
     "exact_matches": (exact_matches, f"""WITH {MAIL_SQL}, {exact_ctes(50)} SELECT query_id, count(*) AS matches FROM found
         GROUP BY query_id"""),
     "total_matches": (total_matches, f"""WITH {INDEX_SQL}, {exact_ctes(50)}, {bm25_sql('asked', 'hits')}
@@ -525,12 +596,32 @@ ENTRIES = {
                        FULL JOIN near USING (query_id, no)), {rerank_ctes('candidates', 'asked')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, round(cosine_score, 6) AS cosine_score,
                round(score, 6) AS score, position FROM ranked WHERE position <= 10"""),
+    "filtered_keyword_search": (filtered_keyword_search, f"""WITH {INDEX_SQL}, {HELD_SQL},
+        {exact_ctes(20, CASE_QUERIES, 'held')}, {bm25_sql('asked', 'hits')},
+        hits_top AS ({top_sql('(SELECT * FROM hits WHERE no IN (SELECT no FROM held))', 'round(bm25_score, 9) DESC, no', 20,
+                              'query_id, no, bm25_score')}),
+        joined AS (SELECT query_id, no, bm25_score, CAST(NULL AS DOUBLE) AS cosine_score, exact_tier, exact_rank, match_reason
+                   FROM hits_top FULL JOIN exact USING (query_id, no)), {rerank_ctes('joined', 'asked', True)}
+        SELECT query_id, no, CASE WHEN bm25_score IS NULL THEN 'exact' ELSE 'bm25' END AS mode,
+               CAST(exact_tier AS BIGINT) AS exact_tier, exact_rank, round(score, 6) AS score, position FROM ranked"""),
+    "filtered_hybrid_search": (filtered_hybrid_search, f"""WITH {INDEX_SQL}, {HELD_SQL}, {REWRITTEN}, {bm25_sql('asked', 'hits')},
+        hits_top AS ({top_sql('(SELECT * FROM hits WHERE no IN (SELECT no FROM held))', 'round(bm25_score, 9) DESC, no', 20,
+                              'query_id, no, bm25_score')}), {NEAR_SQL},
+        near AS ({top_sql('(SELECT * FROM pairs WHERE no IN (SELECT no FROM held))', BY_COSINE, 20)}),
+        candidates AS (SELECT query_id, no, bm25_score, cosine_score, {NO_EXACT} FROM hits_top
+                       FULL JOIN near USING (query_id, no)), {rerank_ctes('candidates', 'asked')}
+        SELECT query_id, no, round(bm25_score, 6) AS bm25_score, round(cosine_score, 6) AS cosine_score,
+               round(score, 6) AS score, position FROM ranked WHERE position <= 10"""),
     "presented_results": (presented_results, None),
     "display_results": (display_results, f"""WITH {KEYWORD_SQL} SELECT query_id, no, position,
         left(month, 4) || '-' || substring(month, 5) AS month,
         coalesce(strftime({TIME_SQL}, '%Y-%m-%d %H:%M:%S'), deliverytime, '') AS deliverytime,
         left(senderemail, 1) || '****@' || split_part(senderemail, '@', 2) AS senderemail,
         coalesce('d****@' || split_part(recipientto, '@', 2), '') AS recipientto FROM ranked"""),
+    "eval_text_ids": (eval_text_ids, f"""WITH {EVAL_SQL.replace("['fts', 'email']", "['fts', 'chunk', 'email']").replace(
+        "results AS (", f"{CHUNK_RESULTS_SQL}, results AS (SELECT 'chunk' AS mode, query_id, no, position FROM chunk_results "
+        "UNION ALL ")} SELECT mode, 'q' || lpad(CAST(query_id AS VARCHAR), 6, '0') AS query_id, result_count,
+        round(recall, 6) AS recall, round(mrr, 6) AS mrr FROM measured"""),
     "eval_recall": (eval_recall, f"WITH {EVAL_SQL} SELECT mode, query_id, round(recall, 6) AS recall FROM measured"),
     "eval_mrr": (eval_mrr, f"WITH {EVAL_SQL} SELECT mode, query_id, round(mrr, 6) AS mrr FROM measured"),
     "eval_report": (eval_report, f"""WITH {EVAL_SQL}, sums AS (SELECT mode, category, avg(recall) AS recall, avg(mrr) AS mrr,

@@ -8,8 +8,8 @@ from mailsift import constants as C
 from mailsift.functions import expand, text
 from mailsift.functions.stem import stem_tokens
 from mailsift.operators import bilingual, bm25
-from .common import (GLOSSARY, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, MIXED_QUERIES, NEWEST_SQL, QUERIES, SYNONYMS,
-                     bm25_sql, index, mail, quoted, sql_view, stem_sql, table, tidy, tokens_sql, top_sql, view)
+from .common import (GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, MIXED_QUERIES, NEWEST_SQL, QUERIES, SYNONYMS,
+                     bm25_sql, held, index, mail, quoted, sql_view, stem_sql, table, tidy, tokens_sql, top_sql, view)
 
 
 def tokenize_terms(spark, sf_dir):
@@ -57,6 +57,16 @@ def bm25_search(spark, sf_dir):
     return tidy(found.select("query_id", "no", "bm25_score", "position"))
 
 
+def filtered_bm25_search(spark, sf_dir):
+    found = bm25.search(index(spark, sf_dir), view(spark, sf_dir, QUERIES), 10, held(spark, sf_dir))
+    return tidy(found.select("query_id", "no", "bm25_score", "position"))
+
+
+def filtered_match_count(spark, sf_dir):
+    scores = bm25.match_scores(index(spark, sf_dir), view(spark, sf_dir, QUERIES))
+    return tidy(bm25.match_counts(scores, held(spark, sf_dir)))
+
+
 def match_count(spark, sf_dir):
     return bm25.match_counts(bm25.match_scores(index(spark, sf_dir), view(spark, sf_dir, QUERIES)))
 
@@ -155,6 +165,13 @@ ENTRIES = {
     "bm25_search": (bm25_search, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position
         FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})"""),
+    "filtered_bm25_search": (filtered_bm25_search, f"""WITH {INDEX_SQL}, {HELD_SQL}, queries AS ({sql_view(QUERIES)}),
+        {bm25_sql('queries', 'hits')}
+        SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position FROM
+        ({top_sql('(SELECT * FROM hits WHERE no IN (SELECT no FROM held))', 'round(bm25_score, 9) DESC, no', 10)})"""),
+    "filtered_match_count": (filtered_match_count, f"""WITH {INDEX_SQL}, {HELD_SQL}, queries AS ({sql_view(QUERIES)}),
+        {bm25_sql('queries', 'hits')} SELECT query_id, count(*) AS matches FROM hits WHERE no IN (SELECT no FROM held)
+        GROUP BY query_id"""),
     "match_count": (match_count, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
         SELECT query_id, count(*) AS matches FROM hits GROUP BY query_id"""),
     "query_terms": (query_terms, f"""SELECT conv_id, turn, array_to_string({distinct_sql('t')}, ' ') AS terms FROM

@@ -43,13 +43,8 @@ def apply_overrides(files: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def link_map(files: DataFrame) -> DataFrame:
-    """Add the position of each file in its key, by title, and the number of files of the key.
-
-    The first characters of the titles cut a key into ordered parts: titles begin with the 12 characters of their key,
-    a separator, and only then differ.
-    """
-    part = F.substring("title", 1, 16)
-    return position_in_group(files, ["linkkey"], [F.col("title"), F.col("id")], part, "position", size="files")
+    """Add the position of each file in its key, by title, and the number of files of the key."""
+    return position_in_group(files, ["linkkey"], [F.col("title"), F.col("id")], None, "position", size="files")
 
 
 def _url(template: str, file_id: Column) -> Column:

@@ -8,7 +8,7 @@ from .. import constants as C
 from ..functions.expand import english_terms, fallback_tokens, variants
 from ..functions.text import has_hangul
 from ..storage import materialise
-from .bm25 import Index, match_scores, by_score
+from .bm25 import Index, match_scores, by_score, only
 from .containment import find_terms, text_fields
 from .joins import join_small
 from .ranking import newest_first, top_k
@@ -45,27 +45,33 @@ def bilingual_matches(mail: DataFrame, index: Index, queries: DataFrame, glossar
 
 
 def bilingual_search(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT,
-                     glossary=C.GLOSSARY) -> DataFrame:
-    """The best `k` per query: variant hits before English hits, newest first inside each tier."""
+                     glossary=C.GLOSSARY, allowed: DataFrame | None = None) -> DataFrame:
+    """The best `k` per query: variant hits before English hits, newest first inside each tier.
+
+    Only `allowed` mails (a table with `no`) take part; all do if nothing is said.
+    """
+    mail = only(mail, allowed)
     found = bilingual_matches(mail, index, queries, glossary).join(mail.select("no", "deliverytime"), "no")
     return top_k(found, ["query_id"], [F.col("tier"), *newest_first()], k, rank="position")
 
 
 def fallback_search(mail: DataFrame, index: Index, queries: DataFrame, found: DataFrame,
-                    k: int = C.RESULT_LIMIT) -> DataFrame:
+                    k: int = C.RESULT_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
     """Further steps for the queries without a row in `found`: (query_id, no, stage, position).
 
     Stage `token`: BM25 on the first tokens of queries with at least two.  Stage `ilike_fb`: substrings of the first
     tokens.  Each stage sees only the queries that are still empty, so its input is written before the next one starts.
     """
     columns = ["query_id", "no", "stage", "position"]
+    mail = only(mail, allowed)
     empty = materialise(queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), "empty")
     if empty.isEmpty():
-        return empty.sparkSession.createDataFrame([], "query_id long, no string, stage string, position int")
+        nothing = {"no": "string", "stage": "string", "position": "int"}
+        return empty.select("query_id", *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()])
     tokens = fallback_tokens(F.col("query_text"))
     wordy = empty.where(~has_hangul(F.col("query_text")) & (F.size(tokens) >= 2))
     by_token = materialise(top_k(
-        match_scores(index, wordy.select("query_id", F.array_join(tokens, " OR ").alias("query_text"))),
+        only(match_scores(index, wordy.select("query_id", F.array_join(tokens, " OR ").alias("query_text"))), allowed),
         ["query_id"], by_score("bm25_score"), k, rank="position").withColumn("stage", F.lit("token")), "token-hits")
     still_empty = empty.join(by_token.select("query_id").distinct(), "query_id", "left_anti")
     parts = F.when(F.size(tokens) > 0, tokens).otherwise(F.array("query_text"))

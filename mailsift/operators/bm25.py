@@ -31,11 +31,16 @@ class Index:
     stop_words: tuple[str, ...] = C.STOP_WORDS
     stemmed: bool = True
     buckets: int | None = None
+    counted: tuple[int, int] | None = None
 
     def totals(self) -> tuple[int, float]:
-        """Number of documents and their mean length: one row."""
-        row = self.docs.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
-        return row["n"], (row["tokens"] or 0) / max(row["n"], 1)
+        """Number of documents and their mean length; a stored index knows them, any other is counted."""
+        n, tokens = self.counted or _totals(self.docs)
+        return n, tokens / max(n, 1)
+
+
+def _totals(docs: DataFrame) -> tuple[int, int]:
+    return tuple(docs.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first())
 
 
 def tokenised(df: DataFrame, key: str, text: Column, stop_words, stem: bool) -> DataFrame:
@@ -92,15 +97,16 @@ def write_index(index: Index, path: str, buckets: int = POSTING_BUCKETS) -> None
     spark = index.postings.sparkSession
     document_frequency(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    settings = [(list(index.stop_words), index.stemmed, buckets)]
-    (spark.createDataFrame(settings, "stop_words array<string>, stemmed boolean, buckets int")
+    settings = [(list(index.stop_words), index.stemmed, buckets, *_totals(spark.read.parquet(f"{path}/docs")))]
+    (spark.createDataFrame(settings, "stop_words array<string>, stemmed boolean, buckets int, n long, tokens long")
      .write.mode("overwrite").parquet(f"{path}/settings"))
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     settings = spark.read.parquet(f"{path}/settings").first()
     return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-                 spark.read.parquet(f"{path}/docs"), tuple(settings["stop_words"]), settings["stemmed"], settings["buckets"])
+                 spark.read.parquet(f"{path}/docs"), tuple(settings["stop_words"]), settings["stemmed"], settings["buckets"],
+                 (settings["n"], settings["tokens"]))
 
 
 def query_words(queries: DataFrame, stop_words=C.STOP_WORDS, stem: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,10 +15,6 @@ TERMS_PER_SCAN = 200_000
 
 def _term_finder(terms: list[str]):
     """A function from a text to the numbers of the terms it holds."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {i for i, term in enumerate(terms) if term in text}
     machine = ahocorasick.Automaton()
     for i, term in enumerate(terms):
         machine.add_word(term, i)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
+from .ranking import running_count
 
 
 def read_query_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -56,8 +57,20 @@ def zero_result_rate(per_query: DataFrame, category: str = C.ZERO_RESULT_CATEGOR
 
 
 def percentiles(df: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
-    """Exact interpolated percentile of a measure per group."""
-    return df.groupBy(group).agg(F.percentile(value, share).alias("p95"), F.count("*").alias("n"))
+    """Exact interpolated percentile of a measure per group, for groups of any size.
+
+    Rows are counted per value, and the values at the two places around the percentile are picked by running counts.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    placed = running_count(counts, [group], [F.col("_value")], "_n", "_before", total="_filled")
+    place = F.lit(share) * (F.col("_filled") - 1)
+    ends = placed.groupBy(F.col(group).alias("_group")).agg(
+        F.max(F.when(F.col("_before") <= F.floor(place), F.col("_value"))).alias("_low"),
+        F.max(F.when(F.col("_before") <= F.ceil(place), F.col("_value"))).alias("_high"),
+        F.max(place - F.floor(place)).alias("_part"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    return sizes.join(ends, F.col(group).eqNullSafe(F.col("_group")), "left").select(
+        group, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("p95"), "n")
 
 
 def result_lists(queries: DataFrame, per_query: DataFrame, results: DataFrame, k: int = C.EVAL_TOP_K) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.clean import any_of, id_key, id_value, text_or_empty
 from ..functions.text import (bind, identifier_terms, names_any, names_term, search_terms, searchable,
                               term_forms)
 from ..storage import materialise
+from .bm25 import only
 from .containment import find_terms, text_fields
 from .joins import join_small
 from .ranking import newest_first, top_k
@@ -24,13 +25,13 @@ def _id_only(term: Column) -> Column:
     return term.rlike(r"^\d{1,5}$") | term.rlike(r"^20\d{2}$") | term.rlike(r"^20\d{4}$")
 
 
-def find_matches(mail: DataFrame, queries: DataFrame, fields=C.EXACT_FIELDS) -> DataFrame:
+def find_matches(mail: DataFrame, queries: DataFrame, fields=C.EXACT_FIELDS, allowed: DataFrame | None = None) -> DataFrame:
     """Every (query_id, no) where a term equals the id or occurs in a field, and the best tier of the pair.
 
     Tier 0: a term is the id.  Tier 1: a term occurs in a field other than the body, spelled in any way.  Tier 2: in
     the body only.
     """
-    return _matches(mail, materialise(identifier_queries(queries), "identifiers"), fields)
+    return _matches(only(mail, allowed), materialise(identifier_queries(queries), "identifiers"), fields)
 
 
 def _matches(mail: DataFrame, asked: DataFrame, fields) -> DataFrame:
@@ -54,18 +55,22 @@ def _raise_tier(df: DataFrame) -> DataFrame:
     return df.withColumn("exact_tier", F.when((F.col("exact_tier") == 2) & strong, 1).otherwise(F.col("exact_tier")))
 
 
-def exact_search(mail: DataFrame, queries: DataFrame, limit: int = C.RESULT_LIMIT) -> DataFrame:
-    """The newest `limit` mails per identifier query, best tier first, with rank, score and reason."""
+def exact_search(mail: DataFrame, queries: DataFrame, limit: int = C.RESULT_LIMIT,
+                 allowed: DataFrame | None = None) -> DataFrame:
+    """The first `limit` mails per identifier query, by tier and then newest first, with rank, score and reason.
+
+    Only `allowed` mails (a table with `no`) take part; all do if nothing is said.
+    """
+    mail = only(mail, allowed)
     asked = materialise(identifier_queries(queries), "identifiers")
     found = _matches(mail, asked, C.EXACT_FIELDS)
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns]
     rows = found.join(mail.select(columns), "no").join(asked, "query_id")
-    rows = top_k(rows, ["query_id"], newest_first(), limit)
-    rows = _raise_tier(rows).withColumn("exact_score", F.lit(1.0))
+    rows = top_k(_raise_tier(rows), ["query_id"], [F.col("exact_tier"), *newest_first()], limit, rank="exact_rank")
+    rows = rows.withColumn("exact_score", F.lit(1.0))
     reason = match_reason(rows, F.col("terms"))
-    rows = rows.withColumn("match_reason", F.concat(
-        F.lit("exact identifier, "), F.when(reason != "", reason).otherwise("body")))
-    return top_k(rows, ["query_id"], [F.col("exact_tier"), *newest_first()], limit, rank="exact_rank").drop("terms")
+    return rows.withColumn("match_reason", F.concat(
+        F.lit("exact identifier, "), F.when(reason != "", reason).otherwise("body"))).drop("terms")
 
 
 def match_reason(df: DataFrame, terms: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import id_number, timestamp
+from ..storage import materialise
 from .joins import join_spread
 
 
@@ -39,14 +40,14 @@ def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def position_in_group(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str, size: str | None = None
+    df: DataFrame, keys: list[str], order: list[Column], bucket: Column | None, name: str, size: str | None = None
 ) -> DataFrame:
     """1-based position of each row in its group, and the size of the group if wanted, for groups of any size.
 
-    `bucket` must never fall as `order` rises.  A position is then the number of rows in lower buckets of the
-    group plus the position inside the bucket, so no task ever sorts a whole group.
+    A position is the number of rows in lower buckets of the group plus the position inside the bucket, so no task ever
+    sorts a whole group.  `bucket` must never fall as `order` rises; without one the buckets are ranges of the order.
     """
-    df = df.withColumn("_bucket", bucket)
+    df = _ranges(df, keys, order) if bucket is None else df.withColumn("_bucket", bucket)
     sizes = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = [F.sum("_n").over(Window.partitionBy(*keys)).alias(size)] if size else []
@@ -56,30 +57,46 @@ def position_in_group(
     return joined.withColumn(name, F.col("_offset") + F.row_number().over(inside)).drop("_bucket", "_offset")
 
 
+def _ranges(df: DataFrame, keys: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
+    """Add `_bucket`, the number of the row's range in the order of keys and `order`, and write the table.
+
+    Spark draws the cuts from the data, so ranges are even however values are spread, and a large group has many.  The
+    table is written because another draw would give other cuts.
+    """
+    parts = [] if ranges is None else [ranges]
+    cut = df.repartitionByRange(*parts, *[F.col(k) for k in keys], *order)
+    return materialise(cut.withColumn("_bucket", F.spark_partition_id()), "ranges")
+
+
+def running_count(counts: DataFrame, keys: list[str], order: list[Column], count: str, name: str,
+                  total: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Add `name`, the sum of `count` over the earlier rows of the group, and `total`, the sum over all, if wanted.
+
+    For groups of any size: only the rows of one range are sorted together, and earlier ranges count as a whole.
+    """
+    counts = _ranges(counts, keys, order, ranges)
+    sizes = counts.groupBy(*keys, "_bucket").agg(F.sum(count).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum("_size").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"), *whole)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.col("_offset") + F.coalesce(F.sum(count).over(inside), F.lit(0))
+    return _join_null_safe(counts, offsets, [*keys, "_bucket"]).withColumn(name, earlier).drop("_bucket", "_offset")
+
+
 def competition_rank(
-    df: DataFrame, keys: list[str], value: str, name: str, ascending: bool = False, buckets: int = 256,
+    df: DataFrame, keys: list[str], value: str, name: str, ascending: bool = False, buckets: int | None = None,
     spread: str = "no",
 ) -> DataFrame:
     """Rank with equal values sharing the lowest rank; NULL values get no rank.  For groups of any size.
 
-    Values are cut into equal ranges between the group's minimum and maximum.  Rows are counted per value first,
-    so ties collapse before the shuffle, and only the values of one range are ever sorted together.
+    Rows are counted per value first, so ties collapse before the shuffle.  See `running_count` for `buckets`.
     """
     signed = F.col(value) if ascending else -F.col(value)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, signed.alias("_value")).agg(F.count("*").alias("_n"))
-    ends = counts.groupBy(*keys).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
-    counts = counts.join(ends, keys)
-    step = F.when(F.col("_high") > F.col("_low"),
-                  (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (buckets - 1)).otherwise(0.0)
-    counts = counts.withColumn("_bucket", F.floor(step))
-    sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = (Window.partitionBy(*keys, "_bucket").orderBy("_value")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.join(offsets, [*keys, "_bucket"]).select(
-        *keys, (F.col("_value") if ascending else -F.col("_value")).alias(value),
-        (F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(name), "_n")
+    counts = running_count(counts, keys, [F.col("_value")], "_n", "_before", ranges=buckets)
+    ranks = counts.select(*keys, (F.col("_value") if ascending else -F.col("_value")).alias(value),
+                          (F.col("_before") + 1).alias(name), "_n")
     return join_spread(df, ranks, [*keys, value], spread, rows="_n", how="left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.clean import id_key, timestamp
+from ..functions.clean import id_key
 from ..storage import materialise
 from .joins import join_small, join_spread
 from .ranking import newest_first, oldest_first, position_in_group, top_k
@@ -25,12 +25,12 @@ def fetch_columns(hits: DataFrame, mail: DataFrame, columns: list[str]) -> DataF
 def case_threads(mail: DataFrame) -> DataFrame:
     """Every mail with its place in its case, oldest first.
 
-    Places are counted by hour inside the case, so a case that holds a third of all mail is not sorted in one task.
+    Places are counted by ranges of the order, so a case that holds a third of all mail is not sorted in one task,
+    whether its mails have a time or not.
     """
     rows = mail.where(F.col("primary_case").isNotNull()).select("primary_case", "no", "deliverytime", "subject",
                                                                "sendername")
-    hour = F.coalesce(F.date_format(timestamp(F.col("deliverytime")), "yyyyMMddHH"), F.lit("9999999999"))
-    return position_in_group(rows, ["primary_case"], [*oldest_first(), F.col("no")], hour, "place")
+    return position_in_group(rows, ["primary_case"], [*oldest_first(), F.col("no")], None, "place")
 
 
 def case_thread(mail: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from .. import constants as C
 from ..functions.clean import text_or_empty
 from ..functions.text import index_tokens
 from ..storage import materialise
-from .bm25 import SCORE_PLACES, by_score
+from .bm25 import SCORE_PLACES, by_score, only
 from .joins import is_small
 from .ranking import top_k
 
@@ -27,7 +27,6 @@ BLOCK_ROWS = 4096
 BROADCAST_QUERIES = 4096
 QUERY_ROWS = 512
 KNOWN_WORDS = 1_000_000
-PAIR_SCHEMA = "query_id long, key string, cosine_score double"
 
 
 # --- embedding -------------------------------------------------------------------------------------------
@@ -133,19 +132,24 @@ def _without_spare_copies(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _queries(queries: DataFrame) -> DataFrame:
-    return queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    return queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+
+
+def _pair_schema(queries: DataFrame) -> T.StructType:
+    """Scored pairs; query ids keep their type."""
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                         T.StructField("key", T.StringType()), T.StructField("cosine_score", T.DoubleType())])
 
 
 def score_blocks(queries: DataFrame, vectors: DataFrame, blocks: list[str], k: int) -> DataFrame:
     """Score query blocks against vector blocks that share the block columns."""
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "cosine_score": []}).astype(
-                {"query_id": "int64", "key": "object", "cosine_score": "float64"})
+            return pd.DataFrame({"query_id": left.query_id.head(0), "key": right.key.head(0), "cosine_score": np.empty(0)})
         return _best_pairs(left.query_id, _units(left.vector), right.key, _units(right.vector), k)
 
     return (queries.groupBy(*blocks).cogroup(vectors.groupBy(*blocks))
-            .applyInPandas(score, PAIR_SCHEMA))
+            .applyInPandas(score, _pair_schema(queries)))
 
 
 def _spread(column: str, parts: int) -> Column:
@@ -177,7 +181,7 @@ def candidate_pairs(queries: DataFrame, vectors: DataFrame, k: int, block_rows:
 def _score_against_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     rows = queries.collect()
     if not rows:
-        return vectors.sparkSession.createDataFrame([], PAIR_SCHEMA)
+        return vectors.sparkSession.createDataFrame([], _pair_schema(queries))
     ids = vectors.sparkSession.sparkContext.broadcast(
         (np.array([r.query_id for r in rows]), _units([r.vector for r in rows])))
 
@@ -187,7 +191,7 @@ def _score_against_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFr
             if len(batch):
                 yield _best_pairs(query_ids, matrix, batch.key, _units(batch.vector), k)
 
-    return vectors.mapInPandas(score, PAIR_SCHEMA)
+    return vectors.mapInPandas(score, _pair_schema(queries))
 
 
 def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
@@ -195,9 +199,10 @@ def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.col("key").alias("no"), "cosine_score", "position")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """The exact nearest `k` vectors of every query; `min_score` leaves out weaker ones."""
-    pairs = candidate_pairs(queries, vectors, k)
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None,
+            allowed: DataFrame | None = None) -> DataFrame:
+    """The exact nearest `k` vectors of every query, among the `allowed` mails; `min_score` leaves out weaker ones."""
+    pairs = candidate_pairs(queries, only(vectors, allowed), k)
     if min_score is not None:
         pairs = pairs.where(F.col("cosine_score") >= min_score)
     return best_pairs(pairs, k)
@@ -209,17 +214,18 @@ def similar_documents(vectors: DataFrame, k: int = C.SIMILAR_DOCUMENTS) -> DataF
     Exact for a whole table means work in the square of its size; for very many documents ask for some of them with
     `nearest`, or use `nearest_approximate`.
     """
-    queries = vectors.select(F.col("no").cast("long").alias("query_id"), "vector")
+    queries = vectors.select(F.col("no").alias("query_id"), "vector")
     pairs = candidate_pairs(queries, vectors, k + 1)
     return best_pairs(pairs.where(F.col("key") != F.col("query_id").cast("string")), k)
 
 
 def nearest_by_chunk(queries: DataFrame, chunk_vectors: DataFrame, k: int,
-                     overfetch: int = C.CHUNK_OVERFETCH) -> DataFrame:
+                     overfetch: int = C.CHUNK_OVERFETCH, allowed: DataFrame | None = None) -> DataFrame:
     """The best `k` mails per query by their best chunk, among the best `k * overfetch` chunks.
 
     `chunk_vectors` has (no, chunk_id, section, chunk_text, vector).  Texts are joined to the surviving chunks only.
     """
+    chunk_vectors = only(chunk_vectors, allowed)
     chunks = chunk_vectors.select(F.col("chunk_id").alias("no"), "vector")
     hits = nearest(queries, chunks, k * overfetch).withColumnRenamed("no", "chunk_id")
     owners = chunk_vectors.select("chunk_id", "no", "section", "chunk_text")
@@ -232,9 +238,17 @@ def nearest_by_chunk(queries: DataFrame, chunk_vectors: DataFrame, k: int,
 
 # --- approximate search ----------------------------------------------------------------------------------
 
-def signatures(df: DataFrame, tables: int, bits: int, width: int, seed: int = 7) -> DataFrame:
-    """One row per vector and table with the signs of `bits` random projections: near vectors often agree."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, width))
+def planes_of(tables: int, bits: int, width: int) -> np.ndarray:
+    """Projections on vectors of 1 and -1: the sign comes from the md5 of `table,bit,dimension`."""
+    def sign(*place: int) -> int:
+        return 1 if hashlib.md5(",".join(map(str, place)).encode()).hexdigest()[0] < "8" else -1
+
+    return np.array([[[sign(t, b, d) for d in range(width)] for b in range(bits)] for t in range(tables)], float)
+
+
+def signatures(df: DataFrame, tables: int, bits: int, width: int) -> DataFrame:
+    """One row per vector and table with the signs of `bits` projections: near vectors often agree."""
+    planes = planes_of(tables, bits, width)
     powers = 2 ** np.arange(bits)
 
     @F.pandas_udf("array<long>")
@@ -251,15 +265,31 @@ def probes(df: DataFrame, bits: int) -> DataFrame:
     return df.withColumn("code", F.explode(F.transform(flips, lambda f: F.col("code").bitwiseXOR(f.cast("long")))))
 
 
-def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int = 8, bits: int = 6,
+def _met(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the vectors, and those that the queries look up."""
+    return (signatures(_without_spare_copies(_keyed(vectors), k), tables, bits, width),
+            probes(signatures(_queries(queries), tables, bits, width), bits))
+
+
+def scored_share(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int, bits: int) -> DataFrame:
+    """Pairs that `nearest_approximate` scores, by all pairs there are: its work against that of an exact search."""
+    held, asked = _met(queries, vectors, k, width, tables, bits)
+    left = asked.groupBy("table", "code").agg(F.count("*").alias("a"))
+    right = held.groupBy("table", "code").agg(F.count("*").alias("b"))
+    every = _queries(queries).count() * _keyed(vectors).count()
+    scored = left.join(right, ["table", "code"]).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("scored"))
+    return scored.withColumn("share", F.col("scored") / F.lit(float(max(every, 1))))
+
+
+def nearest_approximate(queries: DataFrame, vectors: DataFrame, k: int, width: int, tables: int, bits: int,
                         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest `k` among the vectors that share a signature, or one with a single bit changed, with the query.
 
-    Scores are exact; a true neighbour is missed only when no table brings it together with the query.  Signatures
-    shared by many vectors are cut into blocks of about `block_rows`, so a bucket of any size is scored in parts.
+    More bits score fewer pairs and find fewer neighbours, more tables both more; `scored_share` and `recall_against`
+    measure them.  Scores are exact; a true neighbour is missed only when no table brings it together with the query.
+    Signatures shared by many vectors are cut into blocks of about `block_rows`, so a bucket of any size is scored in parts.
     """
-    held = signatures(_without_spare_copies(_keyed(vectors), k), tables, bits, width)
-    asked = probes(signatures(_queries(queries), tables, bits, width), bits)
+    held, asked = _met(queries, vectors, k, width, tables, bits)
     sizes = held.groupBy("table", "code").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("parts"))
     asked_sizes = asked.groupBy("table", "code").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("query_parts"))

@@ -10,7 +10,7 @@ from ..functions.entities import chip_text, entity_map, merge_entities
 from ..functions.expand import rewrite
 from ..functions.text import has_hangul, mask_addresses, search_terms, snippet
 from ..operators.bilingual import bilingual_search, fallback_search
-from ..operators.bm25 import Index, search
+from ..operators.bm25 import Index, only, search
 from ..operators.exact import exact_search, merge_exact
 from ..operators.fusion import rerank
 from ..operators.vectors import nearest, nearest_by_chunk
@@ -20,50 +20,63 @@ HIT = ["query_id", "no", "bm25_score", "tier", "mode"]
 
 
 def primary_hits(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT,
-                 rewrite_queries: bool = False, glossary=C.GLOSSARY, synonyms=C.SYNONYMS) -> DataFrame:
+                 rewrite_queries: bool = False, glossary=C.GLOSSARY, synonyms=C.SYNONYMS,
+                 allowed: DataFrame | None = None) -> DataFrame:
     """Glossary search for Hangul queries and BM25 for all others, each on its own queries."""
     hangul = has_hangul(F.col("query_text"))
-    plain = queries.where(~hangul)
-    if rewrite_queries:
-        plain = plain.withColumn("query_text", rewrite(F.col("query_text"), glossary, synonyms))
-    by_words = search(index, plain, k).select(
+    plain = _asked(queries.where(~hangul), rewrite_queries, glossary, synonyms)
+    by_words = search(index, plain, k, allowed).select(
         "query_id", "no", "bm25_score", F.lit(0).alias("tier"), F.lit("bm25").alias("mode"))
     foreign = queries.where(hangul)
     if foreign.isEmpty():
         return by_words
-    by_glossary = bilingual_search(mail, index, foreign, k, glossary).select(
+    by_glossary = bilingual_search(mail, index, foreign, k, glossary, allowed).select(
         "query_id", "no", "bm25_score", "tier", F.lit("glossary").alias("mode"))
     return by_words.unionByName(by_glossary)
 
 
+def _asked(queries: DataFrame, rewrite_queries: bool, glossary, synonyms) -> DataFrame:
+    """The texts that BM25 is asked with: rewritten if wanted; queries for the glossary stay as they are."""
+    if not rewrite_queries:
+        return queries
+    text = F.col("query_text")
+    return queries.withColumn("query_text", F.when(has_hangul(text), text).otherwise(rewrite(text, glossary, synonyms)))
+
+
 def keyword_search(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT,
-                   rewrite_queries: bool = False, glossary=C.GLOSSARY, synonyms=C.SYNONYMS) -> DataFrame:
+                   rewrite_queries: bool = False, glossary=C.GLOSSARY, synonyms=C.SYNONYMS,
+                   allowed: DataFrame | None = None) -> DataFrame:
     """Primary hits, exact identifier hits laid over them, fallback steps for empty queries, then the rerank.
 
-    Hits are ids and scores until the last step; they are written once, because three later steps read them.
+    Hits are ids and scores until the last step; they are written once, because three later steps read them.  Only
+    `allowed` mails (a table with `no`) are hits of any step; scores keep the whole corpus as their basis.
     """
-    primary = primary_hits(mail, index, queries, k, rewrite_queries, glossary, synonyms)
+    mail = only(mail, allowed)
+    primary = primary_hits(mail, index, queries, k, rewrite_queries, glossary, synonyms, allowed)
     exact = exact_search(mail, queries, k)
     found = materialise(merge_exact(primary, exact), "hits")
-    fallback = fallback_search(mail, index, queries, found, k).select("query_id", "no", F.col("stage").alias("mode"))
+    fallback = fallback_search(mail, index, queries, found, k, allowed).select(
+        "query_id", "no", F.col("stage").alias("mode"))
     hits = found.unionByName(fallback, allowMissingColumns=True).withColumn(
         "mode", F.coalesce("mode", F.lit("exact")))
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns and c != "no"]
-    return rerank(hits.join(mail.select("no", *columns), "no"), queries)
+    return rerank(hits.join(mail.select("no", *columns), "no"), _asked(queries, rewrite_queries, glossary, synonyms))
 
 
 def hybrid_search(mail: DataFrame, index: Index, queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame,
-                  k: int, rewrite_queries: bool = True, glossary=C.GLOSSARY, synonyms=C.SYNONYMS) -> DataFrame:
+                  k: int, rewrite_queries: bool = True, glossary=C.GLOSSARY, synonyms=C.SYNONYMS,
+                  allowed: DataFrame | None = None) -> DataFrame:
     """Vector hits and BM25 hits in one candidate list, `2k` of each, fused and cut to `k`.
 
-    `vectors` may hold mails (no, vector) or chunks (no, chunk_id, section, chunk_text, vector).
+    `vectors` may hold mails (no, vector) or chunks (no, chunk_id, section, chunk_text, vector).  Only `allowed` mails
+    (a table with `no`) are hits of either search.
     """
     chunked = "chunk_id" in vectors.columns
-    by_vector = (nearest_by_chunk if chunked else nearest)(query_vectors, vectors, 2 * k)
+    by_vector = (nearest_by_chunk if chunked else nearest)(query_vectors, vectors, 2 * k, allowed=allowed)
     asked = queries
     if rewrite_queries:
         asked = queries.withColumn("query_text", rewrite(F.col("query_text"), glossary, synonyms))
-    by_words = search(index, asked, 2 * k).select("query_id", "no", "bm25_score")
+    by_words = search(index, asked, 2 * k, allowed).select("query_id", "no", "bm25_score")
     hits = by_vector.drop("position").join(by_words, ["query_id", "no"], "full_outer")
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns and c != "no"]
     return rerank(hits.join(mail.select("no", *columns), "no"), asked).where(F.col("position") <= k)

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
-from ..functions.clean import all_of, id_key, real_null
+from ..functions.clean import id_key, real_null
 
 
 def clean_names(names: list[str]) -> list[str]:
@@ -24,17 +24,23 @@ def read_export(spark: SparkSession, path: str | list[str], title_rows: int = C.
                 header_path: str | None = None) -> DataFrame:
     """A CSV export with title rows above its header: every column text, blank rows dropped.
 
-    An export in several files has its header in the file `header_path`.
-    Only the first lines come to the driver, to learn the names.  All rows are then read in parallel; splits have
-    no row numbers, so the title and header rows are recognised by their values.
+    `path` is one file, or several files and folders of rows alone; then the header is in the file `header_path`, one of
+    them.  Cells may hold line breaks, so a file is read by one task: a large export comes in many files.  Only the first
+    lines come to the driver, to learn the names.  Title and header rows are told by their number in their file.
     """
-    head = list(csv.reader([row.value for row in spark.read.text(header_path or path).head(title_rows + 1)], delimiter=sep))
-    names = clean_names(head[title_rows])
-    rows = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names), sep=sep, quote='"', escape='"')
-    for cells in head:
-        padded = [cell or None for cell in cells] + [None] * (len(names) - len(cells))
-        rows = rows.where(~all_of([F.col(n).eqNullSafe(F.lit(cell)) for n, cell in zip(names, padded)]))
-    return drop_blank_rows(rows)
+    header_path = header_path or (path if isinstance(path, str) else path[0])
+    lines = [row.value for row in spark.read.text(header_path).head(title_rows + 1)]
+    names = clean_names(next(csv.reader([lines[title_rows]], delimiter=sep)))
+
+    def rows(source) -> DataFrame:
+        return spark.read.csv(source, schema=", ".join(f"`{n}` string" for n in names), sep=sep, quote='"', escape='"',
+                              multiLine=True)
+
+    # Empty lines are no rows.  The header file is read by itself, so its rows are numbered from 0.
+    above = sum(line != "" for line in lines)
+    first = rows(header_path).withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") >= above).drop("_row")
+    others = [p for p in ([path] if isinstance(path, str) else path) if p != header_path]
+    return drop_blank_rows(first.unionByName(rows(others)) if others else first)
 
 
 def drop_blank_rows(df: DataFrame) -> DataFrame:
@@ -66,8 +72,9 @@ def append_mail(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """A CSV folder, with a header in each file.  Cells keep their spaces and line breaks (read them with `multiLine`)."""
+    df.write.mode("overwrite").csv(path, header=header, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def load_profile(mail: DataFrame, columns: list[str]) -> DataFrame:

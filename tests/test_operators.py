@@ -387,3 +387,81 @@ def test_network(mail):
     edges = analytics.network_edges(mail)
     assert [tuple(r) for r in edges.collect()] == [("Acme", "y", 60)]
     assert {r.node: r.degree for r in analytics.node_degrees(edges.withColumn("target", F.col("source"))).collect()} == {"Acme": 2}
+
+
+def mail_rows(spark, rows):
+    """A mail table from dictionaries; columns that a row does not name are NULL."""
+    names = list(dict.fromkeys([*C.RESULT_COLUMNS, "plaintextbody", "primary_case"]))
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], ", ".join(f"{n} string" for n in names))
+
+
+def test_filters_apply_before_the_cut(spark):
+    rows = [{"no": str(i), "subject": "crane", "plaintextbody": "crane CASE-0007 " * (61 - i),
+             "deliverytime": f"2025-01-01 {i // 60:02d}:{i % 60:02d}:00"} for i in range(60)]
+    table = mail_rows(spark, rows)
+    allowed = spark.createDataFrame([(str(i),) for i in range(30, 60)], "no string")
+    index = bm25.build_index(table)
+    queries = spark.createDataFrame([("q1", "crane"), ("q2", "case-0007"), ("q3", "ran"), ("q4", "통관 crane")],
+                                    "query_id string, query_text string")
+    found = plans.keyword_search(table, index, queries, 10, allowed=allowed).collect()
+    assert {q: sum(r.query_id == q for r in found) for q in ("q1", "q3")} == {"q1": 10, "q3": 10}
+    assert {r.query_id for r in found} >= {"q1", "q2", "q3"} and all(int(r.no) >= 30 for r in found)
+    assert bm25.match_counts(bm25.match_scores(index, queries.where("query_id = 'q1'")), allowed).first().matches == 30
+
+
+def test_best_tier_is_never_cut(spark):
+    rows = [{"no": "CASE-0007", "subject": "old", "deliverytime": "2020-01-01 00:00:00"}] + [
+        {"no": str(i), "subject": "new", "plaintextbody": "see CASE-0007", "deliverytime": "2025-01-01 00:00:00"}
+        for i in range(20)]
+    queries = spark.createDataFrame([(1, "CASE-0007")], "query_id long, query_text string")
+    found = exact.exact_search(mail_rows(spark, rows), queries, 3).orderBy("exact_rank").collect()
+    assert [r.exact_tier for r in found] == [0, 2, 2] and found[0].no == "CASE-0007"
+
+
+def test_ranks_with_an_outlier(spark):
+    values = [float(i // 2) for i in range(400)] + [1e15, None]
+    df = spark.createDataFrame([("g", str(i), v) for i, v in enumerate(values)], "g string, no string, v double")
+    got = ranking.competition_rank(df, ["g"], "v", "r", True).toPandas().set_index("no").r
+    want = pd.Series(values, [str(i) for i in range(len(values))]).rank(method="min")
+    pd.testing.assert_series_equal(got.sort_index().astype(float), want.sort_index(), check_names=False)
+
+
+def test_percentiles(spark):
+    groups = {"a": [5.0], "b": [1.0, 1.0, 9.0, 2.5, None], None: [float(i % 7) for i in range(200)], "c": [None]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    got = {r.g: (r.p95, r.n) for r in evaluate.percentiles(df, "g", "v").collect()}
+    for g, values in groups.items():
+        filled = [v for v in values if v is not None]
+        assert got[g][1] == len(values)
+        assert got[g][0] == (pytest.approx(np.percentile(filled, 95)) if filled else None)
+
+
+def test_places_in_an_undated_case(spark):
+    rows = [{"no": str(i), "primary_case": "C", "deliverytime": "unknown" if i % 3 else "2025-01-01 00:00:00"} for i in range(90)]
+    got = {r.no: r.place for r in threads.case_threads(mail_rows(spark, rows)).collect()}
+    want = sorted(range(90), key=lambda i: (i % 3 > 0, i))
+    assert got == {str(no): place for place, no in enumerate(want, 1)}
+
+
+def test_files_with_equal_title_heads(spark):
+    titles = [f"fff2f051e10c_document_number_{i:03d}.pdf" for i in range(50)]
+    files = spark.createDataFrame([("fff2f051e10c", str(i), t) for i, t in enumerate(titles)],
+                                  "linkkey string, id string, title string")
+    rows = attachments.link_map(files).collect()
+    assert {r.title: r.position for r in rows} == {t: i for i, t in enumerate(titles, 1)} and {r.files for r in rows} == {50}
+
+
+def test_ids_that_are_no_numbers(spark):
+    v = spark.createDataFrame([("m1", [1.0, 0.0]), ("m2", [0.9, 0.1]), ("m3", [0.0, 1.0])], "no string, vector array<float>")
+    found = vectors.similar_documents(v, 1).collect()
+    assert {(r.query_id, r.no) for r in found} == {("m1", "m2"), ("m2", "m1"), ("m3", "m2")}
+    work = vectors.scored_share(v.withColumnRenamed("no", "query_id"), v, 2, 2, tables=2, bits=1).first()
+    assert work.scored == 18 and work.share == 2.0  # one bit, two probes: every pair, in both tables
+
+
+def test_export_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "one.csv"
+    path.write_text('Title,\n,\n"x",\nNo.,Body\n1,"line one\nline two"\nNo.,Body\n2,"said ""no"",\n\n twice "\n,\n')
+    rows = tables.read_export(spark, str(path)).collect()
+    assert [(r["no"], r["body"]) for r in rows] == [
+        ("1", "line one\nline two"), ("No.", "Body"), ("2", 'said "no",\n\n twice ')]
