@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..storage import materialise
 from . import batches, words
-from .components import components
+from .components import between, components
 from .spanning import open_members, spanning_links
 
 SIZE = 8
@@ -198,16 +198,12 @@ def line_components(table: DataFrame, size: int, percent: int, bands: int, rows:
     first = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")
     compared = materialise(_compared(first, sets, size), "line-links")
     roots = components(compared.where(F.col("percent") >= percent))
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = (pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-            .select("a", "b").join(first, ["a", "b"], "left_anti"))
+    rest = between(pairs.select("a", "b"), roots).select("a", "b").join(first, ["a", "b"], "left_anti")
     compared = materialise(compared.union(_compared(rest, sets, size)), "line-links")
-    linked = compared.where(F.col("percent") >= percent).select("a", "b")
-    roots = components(linked)
+    roots = components(compared.where(F.col("percent") >= percent).select("a", "b"), roots)
     open_ = open_members(compared.where(F.col("percent") >= CLUSTER_PERCENT).select("a", "b"), roots).join(sets, "node")
     across = materialise(spanning_links(open_, percent, block, unpack=lambda column: line_sets(column, size)), "line-across")
-    return roots if across.isEmpty() else components(linked.union(across))
+    return components(across, roots)
 
 
 def _kept(table: DataFrame, roots: DataFrame) -> DataFrame:

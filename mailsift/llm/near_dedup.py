@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import materialise
 from . import words
-from .components import components
+from .components import between, components
 from .spanning import alike, open_members, spanning_links
 
 SHINGLE = 4
@@ -201,9 +201,8 @@ def near_duplicates(
     first = near.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", "m.b")
     linked = materialise(_confirmed(first, sets, percent), "confirmed")
     roots = components(linked)
-    rest = _apart(near.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
-    linked = materialise(linked.union(_confirmed(rest, sets, percent)), "confirmed")
-    roots = components(linked)
+    rest = between(near.select("a", "b"), roots).select("a", "b").join(first, ["a", "b"], "left_anti")
+    roots = components(_confirmed(rest, sets, percent), roots)
     # What the leaders left apart.
     open_ = open_members(edges, roots).join(sets, "node").join(sketches, "node")
 
@@ -211,8 +210,7 @@ def near_duplicates(
         return _estimate(others, own, samples, SKETCH_BITS) >= least
 
     across = materialise(spanning_links(open_, percent, block, likely), "across")
-    if not across.isEmpty():
-        roots = components(linked.union(across))
+    roots = components(across, roots)
     by_class = classes.select("set_id", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select(
         "set_id", "class_id", F.coalesce("root", "class_id").alias("root"))
     done = signed.select("node", "n_shingles", "set_id").join(by_class, "set_id", "left")
@@ -221,11 +219,3 @@ def near_duplicates(
         F.col("node").alias(key), "n_shingles", F.when(F.col("node").isNotNull(), component).alias("component_id"),
         F.coalesce(component == F.col("node"), F.lit(True)).alias("kept"),
         F.when(F.col("node").isNotNull(), F.coalesce("class_id", "node")).alias("class_id"))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components."""
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return (pairs.join(a, "a", "left").join(b, "b", "left")
-            .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))

@@ -29,7 +29,7 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def open_members(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(cluster, node, root, n) of the clusters of `edges` (a, b) that hold several components; n is their members' number."""
-    clusters = components(edges).withColumnRenamed("root", "cluster")
+    clusters = components(edges, roots).withColumnRenamed("root", "cluster")
     standing = materialise(clusters.join(roots, "node", "left").select(
         "cluster", "node", F.coalesce("root", "node").alias("root")), "clusters")
     split = standing.groupBy("cluster").agg(
