@@ -193,7 +193,20 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in as_rows(components.components(spark.createDataFrame(links, "a long, b long")))}
     assert got == {x: roots[x] for link in links for x in link if link[0] != link[1]} | {
         x: got[x] for x in got if roots[x] == got[x]}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    empty = spark.createDataFrame([], "a long, b long")
+    assert components.components(empty).count() == 0
+    # links found later, on top of known components: a chain, a star around the largest node, repeats and loops
+    early = links[:20] + [(99, x) for x in range(60, 80)]
+    late = links[20:] + [(7, 7), (99, 60), (99, 60)]
+    roots = union(100, early + late)
+    known = components.components(spark.createDataFrame(early, "a long, b long"))
+    got = as_rows(components.components(spark.createDataFrame(late, "a long, b long"), known))
+    nodes = {x for a, b in early + late for x in (a, b) if a != b}
+    assert len(got) == len(nodes) and {r["node"]: r["root"] for r in got} == {x: roots[x] for x in nodes}
+    unchanged = as_rows(components.components(empty, known))
+    early_roots = union(100, early)
+    assert sorted((r["node"], r["root"]) for r in unchanged) == sorted(
+        (x, early_roots[x]) for x in {x for a, b in early for x in (a, b) if a != b})
 
 
 def test_near_duplicates_against_brute_force(docs, empty):
