@@ -10,13 +10,22 @@ depends on the key and the kind only, so equal values stay equal in all document
 | email  | form                        | letters and digits before the `@`               |
 | secret | 32 to 128 hex digits        | hex digits                                      |
 | iban   | sum modulo 97               | letters and digits after the check digits       |
-| card   | Luhn sum, 13 to 19 digits   | all digits but the check digit                  |
+| card   | Luhn sum, 13 to 19 digits, at every start and length of a run of digits | all digits but the check digit |
 | ssn    | area, group, serial ranges  | area, group, serial within their ranges         |
 | phone  | 7 to 15 digits              | digits after the country code                   |
 | ip     | four octets                 | octets                                          |
-| date   | calendar, 1900-01-01 to 2100-05-01 | the day                                  |
+| date   | calendar, 1900-01-01 to 2100-05-01; day first, month first where that is no date | the day |
 
-Values of a form that fail their check are left alone.
+Values of a form that fail their check are left alone.  An IBAN ends where its country's length says; runs of other
+lengths are tested as a whole.
+
+A card may stand beside other numbers, so spans of whole digit groups at every start of a run are tested: single groups
+first, then the usual groupings, then the longest.  All groups of a span but the last have three digits or more, so that
+columns of small numbers are no cards; only a whole run may be grouped in any way.  Where a pseudonym would make an earlier span valid, it is permuted again until
+the run is read as before (cycle walking), and likewise a month-first date until it is no day-first one.  So `reveal`
+stays exact; in such a run, about one in ten with one earlier span, a card has another pseudonym than elsewhere, and a
+month-first date has another one than the same day in other forms.  After WALK turns, which takes a run with very many
+earlier spans, the last permutation stands.
 
 Defined results: a null text stays null with no kinds; an empty text stays empty; rows are never joined or dropped, so
 repeated rows and keys give equal rows; other columns of the input are passed through untouched.
@@ -31,18 +40,40 @@ ROUNDS = 8
 DATE_RADICES = (270, 271)
 DATE_START = "1900-01-01"
 
+#: Turns of cycle walking at most.
+WALK = 64
+#: Signs of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Usual groupings of cards: a digit that ends its group is `e`, any other one `a`.
+CARD_GROUPS = ("aaaeaaaeaaaeaaae", "aaaeaaaaaeaaaae", "aaaeaaaaaeaaae")
+
+
+def _iban_form(signs: int, lands: str) -> str:
+    groups, rest = divmod(signs - 4, 4)
+    tail = rf" ?[0-9A-Z]{{{rest}}}" if rest else ""
+    return rf"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{groups}}}{tail}"
+
+
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])(?:" + "|".join(_iban_form(n, lands) for n, lands in IBAN_LENGTHS.items())
+            + r"|[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}"
           r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:(?:19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20|21)[0-9]{2})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
              r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
+# A run of digits up to a value of another kind.  Each turn takes one sign, so that runs of any length need no stack.
+_PATTERNS["card"] = (r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9](?:[0-9 -](?<![ -](?![0-9]))(?<![ -](?="
+                     + "|".join(f"(?:{p})" for p in _PATTERNS.values()) + r")))++")
 PATTERN = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: Nothing can be found in a text without one of these.
 LIKELY = r"[0-9]{2}|@|[0-9a-fA-F]{32}"
@@ -138,13 +169,72 @@ def luhn_sum(digits: Column) -> Column:
         (n - i) % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(s: Column, key: str, reveal: bool) -> Column:
+def _walked(start: Column, turn, fits) -> Column:
+    """`turn` applied to `start` until the result fits, WALK times at most."""
+    def step(acc, _):
+        return F.when(acc["done"], acc).otherwise(
+            let(turn(acc["v"]), lambda v: F.struct(v.alias("v"), fits(v).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(start.alias("v"), F.lit(False).alias("done")), step,
+                       lambda acc: acc["v"])
+
+
+def _group_ends(s: Column) -> Column:
+    """For each digit `e` if it ends its group, else `a`."""
+    return _chars(F.translate(F.regexp_replace(F.regexp_replace(s, "[0-9](?=[0-9])", "a"), "[0-9]", "e"), " -", ""))
+
+
+def _card_spans(digits: Column, ends: Column) -> Column:
+    """The cards of a run as array<struct<rank, shorter, at>>: spans with a valid sum that overlap no earlier one."""
+    def at_start(at):
+        def span(n):
+            whole = F.array_join(F.slice(ends, at + 1, n), "")
+            rank = F.when(whole.rlike("^a+e$"), 0).when(whole.isin(*CARD_GROUPS), 1).otherwise(2)
+            form = whole.rlike("^(?:a{2,}e)*a*e$") | ((at == 0) & (n == F.size(ends)))
+            return F.when((F.get(ends, at + n - 1) == "e") & form
+                          & let(F.slice(digits, at + 1, n), lambda d: luhn_sum(d) == 0),
+                          F.struct(rank.alias("rank"), (-n).alias("shorter"), at.alias("at")))
+
+        return F.filter(F.transform(F.array(*[F.lit(n) for n in range(13, 20)]), span), lambda c: c.isNotNull())
+
+    starts = F.filter(F.transform(ends, lambda _, i: F.when((i == 0) | (F.get(ends, i - 1) == "e"), i)),
+                      lambda i: i.isNotNull())
+    found = F.array_sort(F.flatten(F.transform(starts, at_start)))
+
+    def choose(acc, c):
+        free = ~F.exists(acc, lambda o: (c["at"] < o["at"] - o["shorter"]) & (o["at"] < c["at"] - c["shorter"]))
+        return F.when(free, F.concat(acc, F.array(c))).otherwise(acc)
+
+    return F.aggregate(found, F.array().cast("array<struct<rank:int,shorter:int,at:int>>"), choose)
+
+
+def _cards(s: Column, key: str, reveal: bool) -> Column:
+    """struct(text, parts): a run of digits with pseudonyms of its cards, and these alone."""
     def hide(digits):
         body = F.slice(digits, F.lit(1), F.size(digits) - 1)
-        return let(permute(body, _tens(body), key, F.lit("card"), reveal), lambda moved: _refill(s, F.concat(
-            moved, F.array((10 - luhn_sum(F.concat(moved, F.array(F.lit(0))))) % 10))))
+        return let(permute(body, _tens(body), key, F.lit("card"), reveal), lambda moved: F.concat(
+            moved, F.array((10 - luhn_sum(F.concat(moved, F.array(F.lit(0))))) % 10)))
+
+    def run(digits, ends, spans):
+        def turn(now):
+            return F.aggregate(spans, now, lambda acc, c: F.concat(
+                F.slice(acc, F.lit(1), c["at"]), hide(F.slice(acc, c["at"] + 1, -c["shorter"])),
+                F.slice(acc, c["at"] - c["shorter"] + 1, F.size(acc))))
 
-    return let(_digits(s), lambda d: F.when((luhn_sum(d) == 0), hide(d)).otherwise(s))
+        places = F.filter(F.transform(_chars(s), lambda c, i: F.when(c.between("0", "9"), i)), lambda i: i.isNotNull())
+
+        def parts(text):
+            return let(places, lambda place: F.transform(
+                F.array_sort(F.transform(spans, lambda c: F.struct(c["at"].alias("at"), c["shorter"].alias("shorter")))),
+                lambda c: F.substr(text, F.get(place, c["at"]) + 1, F.get(place, c["at"] - c["shorter"] - 1)
+                                   - F.get(place, c["at"]) + 1)))
+
+        moved = _refill(s, _walked(digits, turn, lambda now: _card_spans(now, ends) == spans))
+        return F.when(F.size(spans) > 0, let(moved, lambda text: F.struct(text.alias("text"), parts(text).alias("parts")))
+                      ).otherwise(F.struct(s.alias("text"), F.array().cast("array<string>").alias("parts")))
+
+    return let(_digits(s), lambda d: let(_group_ends(s), lambda ends: let(
+        _card_spans(d, ends), lambda spans: run(d, ends, spans))))
 
 
 def _mod97(signs: Column) -> Column:
@@ -216,22 +306,31 @@ def _ssn(s: Column, key: str, reveal: bool) -> Column:
 def _date(s: Column, key: str, reveal: bool) -> Column:
     iso = s.rlike("^[0-9]{4}-")
     mark = F.substr(s, F.lit(3), F.lit(1))
-    text = F.when(iso, s).otherwise(F.concat_ws(
-        "-", F.substr(s, F.lit(7), F.lit(4)), F.substr(s, F.lit(4), F.lit(2)), F.substr(s, F.lit(1), F.lit(2))))
+    year, one, two = F.substr(s, F.lit(7), F.lit(4)), F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(4), F.lit(2))
+    day_first = F.when(iso, s).otherwise(F.concat_ws("-", year, two, one)).try_cast("date")
+    month_first = F.when(~iso, F.concat_ws("-", year, one, two)).try_cast("date")
     start = F.lit(DATE_START).cast("date")
     a, b = DATE_RADICES
 
-    def shown(new):
+    def shown(new, swapped):
+        day, month = F.date_format(new, "dd"), F.date_format(new, "MM")
         return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(
-            F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
+            F.when(swapped, month).otherwise(day), mark, F.when(swapped, day).otherwise(month), mark,
+            F.date_format(new, "yyyy")))
+
+    def hide(read):
+        swapped, day = read["swapped"], F.datediff(read["date"], start)
+
+        def turn(n):
+            moved = permute(F.array(F.floor(n / b).cast("int"), (n % b).cast("int")), F.array(F.lit(a), F.lit(b)), key,
+                            F.lit("date"), reveal)
+            return let(moved, lambda m: (F.get(m, F.lit(0)) * b + F.get(m, F.lit(1))).cast("int"))
 
-    def hide(day):
-        moved = permute(F.array(F.floor(day / b).cast("int"), (day % b).cast("int")), F.array(F.lit(a), F.lit(b)), key,
-                        F.lit("date"), reveal)
-        new = let(moved, lambda m: F.date_add(start, (F.get(m, F.lit(0)) * b + F.get(m, F.lit(1))).cast("int")))
-        return F.when(day.between(0, a * b - 1), let(new, shown)).otherwise(s)
+        # month first is read only where the day is no month
+        new = _walked(day, turn, lambda n: ~swapped | (F.dayofmonth(F.date_add(start, n)) > 12))
+        return F.when(day.between(0, a * b - 1), let(new, lambda n: shown(F.date_add(start, n), swapped))).otherwise(s)
 
-    return let(F.datediff(text.try_cast("date"), start), hide)
+    return let(F.struct(day_first.isNull().alias("swapped"), F.coalesce(day_first, month_first).alias("date")), hide)
 
 
 def kind_of(s: Column) -> Column:
@@ -243,12 +342,14 @@ def kind_of(s: Column) -> Column:
 
 
 def pseudonym(s: Column, kind: Column, key: str, reveal: bool = False) -> Column:
+    """struct(text, parts): the value with its pseudonyms, and these alone."""
     name = F.regexp_extract(s, "^[^@]*", 0)
-    return (F.when(kind == "email", F.concat(_by_class(name, key, "email", reveal), F.substr(s, F.length(name) + 1)))
+    text = (F.when(kind == "email", F.concat(_by_class(name, key, "email", reveal), F.substr(s, F.length(name) + 1)))
             .when(kind == "secret", _secret(s, key, reveal)).when(kind == "iban", _iban(s, key, reveal))
             .when(kind == "ip", _ip(s, key, reveal)).when(kind == "date", _date(s, key, reveal))
-            .when(kind == "ssn", _ssn(s, key, reveal)).when(kind == "phone", _phone(s, key, reveal))
-            .when(kind == "card", _card(s, key, reveal)).otherwise(s))
+            .when(kind == "ssn", _ssn(s, key, reveal)).when(kind == "phone", _phone(s, key, reveal)).otherwise(s))
+    return F.when(kind == "card", _cards(s, key, reveal)).otherwise(
+        let(text, lambda t: F.struct(t.alias("text"), F.array(t).alias("parts"))))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", reveal: bool = False) -> DataFrame:
@@ -257,7 +358,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", reveal: bool = F
 
     `key` is the secret of the permutation; give the same one to `reveal`.
     """
-    none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
+    none = F.array().cast("array<struct<kind:string,value:string,pseudonym:struct<text:string,parts:array<string>>>>")
 
     def hidden(s):
         return let(kind_of(s), lambda kind: F.struct(
@@ -267,12 +368,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", reveal: bool = F
         F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)), hidden)).otherwise(none)
 
     def filled(values):
-        fill = F.concat(F.transform(values, lambda h: h["pseudonym"]), F.array(F.lit("")))
+        fill = F.concat(F.transform(values, lambda h: h["pseudonym"]["text"]), F.array(F.lit("")))
         return F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), fill, lambda p, h: F.concat(p, h)), "")
 
     def result(values):
-        changed = F.transform(F.filter(values, lambda h: h["value"] != h["pseudonym"]),
-                              lambda h: F.struct(h["kind"].alias("kind"), h["pseudonym"].alias("pseudonym")))
+        changed = F.flatten(F.transform(
+            F.filter(values, lambda h: h["value"] != h["pseudonym"]["text"]),
+            lambda h: F.transform(h["pseudonym"]["parts"], lambda p: F.struct(h["kind"].alias("kind"), p.alias("pseudonym")))))
         return F.struct(F.when(F.size(values) > 0, filled(values)).otherwise(F.col(text)).alias("text"),
                         changed.alias("private"))
 

@@ -155,6 +155,25 @@ def test_pseudonyms_keep_form_and_come_back(spark):
             assert "token" in before or "ip" in before or form[0] == form[1]
 
 
+def test_private_values_beside_other_numbers_are_hidden(spark):
+    card, iban = "4111111111111111", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{card} 12/27", "4111 1111 1111 1111 123", "room 12 4111 1111 1111 1111", "1234 4111 1111 1111 1111 99 7",
+             f"{card} 5500-0000-0000-0004 378282246310005", "4111 1111 1111 1111 2024-01-02", f"{card} 078-05-1120",
+             f"{iban} FROM JOHN", f"{iban} 4111 1111 1111 1111", "on 12/25/1990 and 25/12/1990", "1 " * 20000 + card]
+    texts += [f"{n:04d} 4111 1111 1111 1111" for n in range(40)] + [f"{m:02d}/{d}/1990" for m in (1, 6, 12) for d in (13, 20, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pseudonyms.pseudonymise(df, "key").cache()
+    shown = {r["doc_id"]: r["text"] for r in as_rows(pseudonyms.pseudonymise(hidden.select("doc_id", "text"), "key", reveal=True))}
+    for r in as_rows(hidden):
+        before = texts[r["doc_id"]]
+        assert shown[r["doc_id"]] == before and r["n_private"] >= 1
+        for secret in (card, "4111 1111 1111 1111", "5500-0000", "378282246310005", "2024-01-02", "078-05-1120", "WEST", "/1990"):
+            assert secret not in r["text"]
+        assert ("JOHN" in before) == ("FROM JOHN" in r["text"])
+    counts = {r["doc_id"]: r["n_private"] for r in as_rows(hidden)}
+    assert [counts[i] for i in (4, 5, 6, 8, 9)] == [3, 2, 2, 2, 2]
+
+
 def test_equal_values_stay_linked(spark):
     rows = [(1, "4111111111111111"), (2, "x 4111-1111-1111-1111 y")]
     got = [re.sub("[^0-9]", "", r["text"]) for r in as_rows(
