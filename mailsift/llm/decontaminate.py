@@ -5,13 +5,19 @@ items and of documents meet by equality; around each meeting the tokens are comp
 A document is contaminated by an item when `window` aligned tokens (all tokens of a shorter item) agree in at least
 `similarity` of the places, so single replaced words do not hide a passage.
 
-Tokens are runs of `[^\\x20\\x09-\\x0D]` with A-Z in lower case.  Defined results: null or empty texts, and items
-shorter than a seed, meet nothing; rows without a key are left out; repeated keys give one row per key and item; an
+Items shorter than the window have masks of their own, made for their length and the words that may be replaced
+(`short_masks`), which meet every such case; where no word may be replaced, the mask is the whole item.  Only the lengths
+that the benchmark holds are looked for.
+
+Tokens are runs of `[^\\x20\\x09-\\x0D]` with A-Z in lower case.  Defined results: null or empty texts meet nothing; rows without a key are left out; repeated keys give one row per key and item; an
 empty table gives no rows.  Other columns of either table are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.joins import is_small
@@ -25,6 +31,20 @@ SIMILARITY = 0.8
 MAX_SEED_ROWS = 500_000
 
 
+def short_masks(size: int, similarity: float = SIMILARITY) -> list[tuple[int, ...]]:
+    """Offsets from the start of an item of `size` tokens that meet it however many of its tokens may be replaced.
+
+    With t replaced tokens, two of t + 2 blocks stay whole, so each pair of blocks is a mask.
+    """
+    t = size - ceil(size * similarity - 1e-9)
+    if t == 0:
+        return [tuple(range(size))]
+    n = min(t + 2, size)
+    cuts = [size * i // n for i in range(n + 1)]
+    parts = [tuple(range(a, b)) for a, b in zip(cuts, cuts[1:])]
+    return [tuple(x for part in chosen for x in part) for chosen in combinations(parts, n - t)]
+
+
 def token_hashes(text: Column) -> Column:
     words = F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -38,10 +58,9 @@ def seeds(tokens: Column, mask: tuple[int, ...]) -> Column:
         lambda i: F.xxhash64(*[F.get(tokens, i + o) for o in mask]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _places(df: DataFrame, keep: list[str], masks) -> DataFrame:
+def _places(df: DataFrame, keep: list[str], masks, of_mask=lambda n, m: seeds(F.col("tokens"), m)) -> DataFrame:
     """One row (mask, at, seed) for each place of each mask."""
-    per_mask = F.array(*[F.struct(F.lit(n).alias("mask"), seeds(F.col("tokens"), m).alias("seeds"))
-                         for n, m in enumerate(masks)])
+    per_mask = F.array(*[F.struct(F.lit(n).alias("mask"), of_mask(n, m).alias("seeds")) for n, m in enumerate(masks)])
     return (df.select(*keep, F.explode(per_mask).alias("m"))
             .select(*keep, "m.mask", F.posexplode("m.seeds").alias("at", "seed")))
 
@@ -56,10 +75,21 @@ def overlaps(
     beyond that both sides are shuffled on the seed.
     """
     items = benchmark.where(F.col(item).isNotNull()).select(
-        F.col(item).alias("_item"), token_hashes(F.col(text)).alias("tokens")).where(
-        F.size("tokens") > min(max(m) for m in masks))
+        F.col(item).alias("_item"), token_hashes(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
     items = materialise(items.distinct(), "benchmark-tokens")
-    planted = materialise(_places(items, ["_item"], masks).select(
+    short = sorted(r[0] for r in items.select(F.size("tokens")).where(F.size("tokens") < window).distinct().collect())
+    own = [(size, m) for size in short for m in short_masks(size, similarity)]
+    every = [*masks, *[m for _, m in own]]
+
+    def item_seeds(n, mask):
+        # long items are met at all places, a short one at its start by the masks of its length
+        size = F.size("tokens")
+        if n < len(masks):
+            return F.when(size >= window, seeds(F.col("tokens"), mask)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(size == own[n - len(masks)][0], F.slice(seeds(F.col("tokens"), mask), 1, 1)).otherwise(
+            F.array().cast("array<bigint>"))
+
+    planted = materialise(_places(items, ["_item"], every, item_seeds).select(
         "mask", "seed", "_item", F.col("at").alias("item_at")).distinct(), "benchmark-seeds")
     if is_small(planted, MAX_SEED_ROWS):
         planted = F.broadcast(planted)
@@ -67,7 +97,7 @@ def overlaps(
         F.col(key).alias("_key"), token_hashes(F.col(text)).alias("tokens"))
     span = max(max(m) for m in masks) + 1
     reach = window - 1
-    met = (_places(tokens, ["_key", "tokens"], masks).join(planted, ["mask", "seed"])
+    met = (_places(tokens, ["_key", "tokens"], every).join(planted, ["mask", "seed"])
            .select("_key", "_item", "at", "item_at",
                    # the tokens that any window around the seed can touch
                    F.slice("tokens", F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.lit(2 * reach + span)).alias("near"))

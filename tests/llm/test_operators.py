@@ -366,6 +366,39 @@ def test_masks_meet_every_window_with_two_replaced_tokens():
                    for s in range(decontaminate.WINDOW - max(m)))
 
 
+def test_short_masks_meet_every_tolerated_case():
+    import itertools
+    import math
+
+    for size in range(1, decontaminate.WINDOW):
+        masks = decontaminate.short_masks(size)
+        for bad in itertools.combinations(range(size), size - math.ceil(0.8 * size - 1e-9)):
+            assert any(not set(bad) & set(m) for m in masks)
+
+
+def test_short_items_against_brute_force(spark):
+    import itertools
+    import math
+
+    rng = random.Random(12)
+    items = {n: [f"q{n}t{i}" for i in range(n)] for n in range(1, 14)}
+    texts, want = [], set()
+    for n, item in items.items():
+        most = n - math.ceil(0.8 * n - 1e-9)
+        for k in range(most + 2):
+            for bad in itertools.combinations(range(n), k):
+                if k <= most:
+                    want.add((len(texts), n))
+                texts.append(" ".join([sentence(rng, 3), *["other" if i in bad else w for i, w in enumerate(item)], "end"]))
+    texts += [" ".join(items[8][:7]), " ".join(items[5]), "end"]  # an item cut off by the end of the text is none
+    want.add((len(texts) - 2, 5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    got = as_rows(decontaminate.overlaps(docs, bench))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert all(r["window"] == r["item_id"] and r["doc_start"] in (0, 3) and r["item_start"] == 0 for r in got)
+
+
 # --- top k ---------------------------------------------------------------------------------------------------------
 
 def test_top_k_against_brute_force(spark):
