@@ -10,8 +10,11 @@
 
 In a band's bucket every member is first compared with the bucket's leader, which is another member in each band.
 Confirmed links give components.  Members of one cluster (nodes that hang together by sketches at a lower similarity) that
-are still in different components are then compared with each other, block by block, so no link between components is
-lost; members of one component need no more links.  A group of any size is linear in its members while it hangs together.
+are still in different components are then compared with each other, block by block; members of one component need no more
+links.  A member of a bucket that its leader did not draw into a cluster (a stray) is compared with all members of the
+bucket that are in other components.  So every pair of documents that share a band is linked, in one component, or
+compared, and no link between components is lost.  A group of any size is linear in its members while it hangs together;
+a bucket costs its strays times its members.
 
 Defined results: words are runs of `[^\\x20\\x09-\\x0D]` with A-Z in lower case; a text with fewer words than a shingle is
 one shingle; null texts and texts without words have an empty set and link with nothing; rows with a null key are kept,
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..storage import materialise
 from . import words
 from .components import between, components
-from .spanning import alike, open_members, spanning_links
+from .spanning import alike, open_members, spanning_links, stray_links
 
 SHINGLE = 4
 PERCENT = 80
@@ -163,6 +166,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
 
 
+def _strays(crowded: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, stray, strays, n, root) of the buckets in which a stray has a member of another component beside the leader.
+
+    `crowded` are (bucket, node, leader); a stray is a member without an edge (a, b) to its leader.
+    """
+    drawn = crowded.where("node != leader").withColumns({"a": F.greatest("node", "leader"), "b": F.least("node", "leader")}).join(
+        edges.select("a", "b", F.lit(True).alias("drawn")), ["a", "b"], "left")
+    standing = drawn.select("bucket", "node", F.col("drawn").isNull().alias("stray")).join(roots, "node", "left").select(
+        "bucket", "node", "stray", F.coalesce("root", "node").alias("root"))
+    split = standing.groupBy("bucket").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
+        F.count_if("stray").alias("strays")).where("lo != hi and strays > 0")
+    return standing.join(split.select("bucket", "strays", "n"), "bucket")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
     bands: int = BANDS, rows: int = ROWS, least: float = SKETCH_LEAST, block: int = BLOCK,
@@ -211,6 +229,8 @@ def near_duplicates(
 
     across = materialise(spanning_links(open_, percent, block, likely), "across")
     roots = components(across, roots)
+    strays = materialise(_strays(crowded, edges, roots), "strays").join(sets, "node").join(sketches, "node")
+    roots = components(materialise(stray_links(strays, percent, block, likely), "stray-links"), roots)
     by_class = classes.select("set_id", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select(
         "set_id", "class_id", F.coalesce("root", "class_id").alias("root"))
     done = signed.select("node", "n_shingles", "set_id").join(by_class, "set_id", "left")

@@ -41,6 +41,58 @@ def packed_sets(column: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in column]
 
 
+def _found(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray, percent: int, likely, unpack) -> pd.DataFrame:
+    """The links (a, b) that join components, of rows `left` of the frame with rows `right`; both in order."""
+    sets = unpack(frame["set"].tolist())
+    nodes = frame["node"].to_numpy(np.int64)
+    sizes = np.array([len(s) for s in sets])
+    counts = np.stack([np.bincount((s >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES)
+                       for s in sets]).astype(np.int32)
+    roots = frame["root"].to_numpy(np.int64).copy()
+    sketches = np.stack(frame["sketch"].to_list()).view(np.uint64) if likely else None
+    out = []
+    same = np.array_equal(left, right)
+    for i in left.tolist():
+        js = right[right > i] if same else right
+        js = js[roots[js] != roots[i]]
+        small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+        js = js[100 * small >= percent * large]
+        if likely and len(js):
+            js = js[likely(sketches[i], sketches[js])]
+        # two sets have no more in common than class by class
+        most = np.minimum(counts[js], counts[i]).sum(axis=1)
+        js = js[100 * most >= percent * (sizes[js] + sizes[i] - most)]
+        for j in js.tolist():
+            if roots[i] != roots[j] and alike(sets[i], sets[j], percent):
+                roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
+                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def stray_links(members: DataFrame, percent: int, block: int, likely=None, unpack=packed_sets) -> DataFrame:
+    """Links (a, b) between components, of each stray member of a bucket with all members of the bucket.
+
+    `members` are (bucket, node, stray, strays, n, root, set[, sketch]), `strays` and `n` the numbers in the bucket.  Strays
+    and members are dealt into blocks and each pair of blocks is one group, so a large bucket is many tasks.
+    """
+    name = F.xxhash64("node", "bucket")
+    rows, columns = F.ceil(F.col("strays") / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    fields = [c for c in ("node", "root", "set", "sketch") if c in members.columns]
+    as_stray = members.where("stray").select(
+        "bucket", F.lit(True).alias("left"), F.pmod(name, rows).cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), columns - 1)).alias("y"), *fields)
+    as_member = members.select(
+        "bucket", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("x"),
+        F.pmod(name, columns).cast("int").alias("y"), *fields)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["left", "node"]).reset_index(drop=True)
+        left = frame["left"].to_numpy(bool)
+        return _found(frame, np.flatnonzero(left), np.flatnonzero(~left), percent, likely, unpack)
+
+    return as_stray.unionByName(as_member).groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
+
+
 def spanning_links(members: DataFrame, percent: int, block: int, likely=None, unpack=packed_sets) -> DataFrame:
     """Links (a, b) between components, from members (cluster, node, root, n, set[, sketch]).
 
@@ -57,29 +109,7 @@ def spanning_links(members: DataFrame, percent: int, block: int, likely=None, un
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = int(frame["x"].iat[0]), int(frame["y"].iat[0])
         frame = frame.drop_duplicates(["node", "own"]).sort_values(["own", "node"]).reset_index(drop=True)
-        sets = unpack(frame["set"].tolist())
-        nodes, own = frame["node"].to_numpy(np.int64), frame["own"].to_numpy()
-        sizes = np.array([len(s) for s in sets])
-        counts = np.stack([np.bincount((s >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES)
-                           for s in sets]).astype(np.int32)
-        roots = frame["root"].to_numpy(np.int64).copy()
-        sketches = np.stack(frame["sketch"].to_list()).view(np.uint64) if likely else None
-        out = []
-        right = np.flatnonzero(own == y)
-        for i in np.flatnonzero(own == x).tolist():
-            js = right if x != y else right[right > i]
-            js = js[roots[js] != roots[i]]
-            small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
-            js = js[100 * small >= percent * large]
-            if likely and len(js):
-                js = js[likely(sketches[i], sketches[js])]
-            # two sets have no more in common than class by class
-            most = np.minimum(counts[js], counts[i]).sum(axis=1)
-            js = js[100 * most >= percent * (sizes[js] + sizes[i] - most)]
-            for j in js.tolist():
-                if roots[i] != roots[j] and alike(sets[i], sets[j], percent):
-                    roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
-                    out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
+        own = frame["own"].to_numpy()
+        return _found(frame, np.flatnonzero(own == x), np.flatnonzero(own == y), percent, likely, unpack)
 
     return met.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")

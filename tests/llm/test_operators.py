@@ -244,6 +244,30 @@ def test_near_duplicates_against_brute_force(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_pairs_whose_leaders_are_unlike_both_are_found(spark):
+    import numpy as np
+
+    rng = random.Random(14)
+    base = sentence(rng, 60, 100000)
+    # the leader of the only shared bucket, 0, is unlike the two documents that are alike
+    rows = [(0, "stranger one " + sentence(rng, 60, 100000)), (1, base), (2, base + " end"), (3, sentence(rng, 50, 100000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.shingle_sets([t for _, t in rows], 4)
+    sketch = near_dedup.odd_sketches(near_dedup.min_hashes(sets, 128))
+    members = spark.createDataFrame(
+        [(7, k, 0) for k, _ in rows], "bucket long, node long, leader long")
+    edges = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    strays = near_dedup._strays(members, edges, roots).join(spark.createDataFrame(
+        [(k, bytearray(s.tobytes()), h.view(np.int64).tolist()) for (k, _), s, h in zip(rows, sets, sketch)],
+        "node long, set binary, sketch array<long>"), "node")
+    for block in (1, 2, 512):
+        links = {(r["a"], r["b"]) for r in as_rows(near_dedup.stray_links(strays, 80, block))}
+        assert links == {(2, 1)}
+    got = {r["doc_id"]: r["component_id"] for r in as_rows(near_dedup.near_duplicates(docs))}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_lines_against_brute_force(spark, empty):
     rng = random.Random(8)
     base = [sentence(rng, 30, 5000) for _ in range(6)]
