@@ -298,6 +298,17 @@ def test_marked_pages():
     assert [t for s, t in html_text.blocks(page) if s == html_text.TEXT] == ["Head &amp; 1", "First line", "Second <i> x"]
 
 
+@pytest.mark.parametrize("silent, shown", [
+    ("<svg class='i'/>", ["a", "b", "c"]), ("<math/>", ["a", "b", "c"]), ("<svg viewBox='0'>", ["a", "b", "c"]),
+    ("<iframe src='x'>", ["a", "b", "c"]), ("<script src='x' />", ["a", "b", "c"]), ("<script>var p", ["a"]),
+    ("<svg><text>t</text></svg>", ["a", "b", "c"]), ("<object>t</object>", ["a", "b", "c"])])
+def test_silent_elements_cut_no_text_after_them(silent, shown):
+    page = f"<article><p>a</p>{silent}<p>b</p><p>c</p></article>"
+    assert [t for s, t in html_text.blocks(page) if s == html_text.TEXT] == shown
+    icon = "<article><p>a</p><svg/><p>b</p><svg><text>t</text></svg><p>c</p></article>"
+    assert [t for s, t in html_text.blocks(icon) if s == html_text.TEXT] == ["a", "b", "c"]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(60):
