@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fuzzy_lines, html_text, near_dedup, packing, pseudonyms, substrings, topk, toxicity, url_rules
+from . import decontaminate, fuzzy_lines, html_text, near_dedup, packing, pseudonyms, substrings, token_files, topk, toxicity, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -107,6 +107,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
 ENTRIES = {
     "op1_url_filter": (op1_url_filter, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -118,4 +122,5 @@ ENTRIES = {
     "op8_decontaminate": (op8_decontaminate, None),
     "op9_topk": (op9_topk, TOP_K_SQL),
     "op10_packing": (op10_packing, None),
+    "op12_token_files": (op12_token_files, None),
 }
