@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fuzzy_lines, html_text, near_dedup, packing, pseudonyms, substrings, token_files, topk, toxicity, url_rules
+from . import decontaminate, fuzzy_lines, html_text, near_dedup, packing, pseudonyms, ranked_terms, substrings, token_files, topk, toxicity, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -35,6 +35,31 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+stats AS (SELECT count(*) AS total_docs, CAST(sum(len(t)) AS BIGINT) AS total_terms FROM d WHERE len(t) > 0),
+held AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+tfs AS (SELECT doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * total_docs + 2) / (2 * df + 1))) AS BIGINT)
+           * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total_docs) // total_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN dfs USING (term), stats GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def vocabulary() -> str:
     """The place of the public vocabulary; workers read the same path."""
     import public_tokenizers
@@ -111,6 +136,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op13_ranked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_terms.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 ENTRIES = {
     "op1_url_filter": (op1_url_filter, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -123,4 +152,5 @@ ENTRIES = {
     "op9_topk": (op9_topk, TOP_K_SQL),
     "op10_packing": (op10_packing, None),
     "op12_token_files": (op12_token_files, None),
+    "op13_ranked_terms": (op13_ranked_terms, RANKED_SQL),
 }
