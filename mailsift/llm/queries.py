@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, fuzzy_lines, html_text, near_dedup, packing, pseudonyms, ranked_terms, substrings, token_files, topk, toxicity, url_rules
+from . import decontaminate, fuzzy_lines, hard_negatives, html_text, near_dedup, packing, pseudonyms, ranked_terms, substrings, token_files, topk, toxicity, url_rules
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -35,6 +35,30 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS vec_id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * r.c[i])) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id AND len(a.c) = len(r.c) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM pairs WHERE same)
+  WHERE place <= 5),
+ranked AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, CAST(row_number() OVER (
+           PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+  WHERE 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
 RANKED_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -132,6 +156,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
@@ -151,6 +181,7 @@ ENTRIES = {
     "op8_decontaminate": (op8_decontaminate, None),
     "op9_topk": (op9_topk, TOP_K_SQL),
     "op10_packing": (op10_packing, None),
+    "op11_hard_negatives": (op11_hard_negatives, NEGATIVES_SQL),
     "op12_token_files": (op12_token_files, None),
     "op13_ranked_terms": (op13_ranked_terms, RANKED_SQL),
 }
