@@ -41,7 +41,9 @@ from .words import slices
 END_ID = 2
 #: Characters of text in one range of keys, about, and ids in one file at most (a longer document is a file on its own).
 RANGE_CHARS = 24_000_000
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
+#: Ids that a reader decodes at a time, but for a longer document.
+DECODED_IDS = 1_000_000
 #: The table of the files' first places, beside the files; a leading underscore hides it from readers of the folder.
 STARTS = "_starts"
 #: Files that `tokens_at` names one by one; for more it reads the whole folder.
@@ -259,16 +261,21 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id", with_ids
         for frame in frames:
             for content in frame["content"]:
                 file = TokenFile(content)
-                ids = file.tokens(0, file.n_ids).astype("<u4")
                 at = file.starts
-                out = pd.DataFrame({
-                    "key": pd.array(file.keys, "Int64"), "range": file.range, "place": file.place, "before": at[:-1],
-                    "n_tokens": np.diff(at),
-                    "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]})
-                out.loc[file.null.astype(bool), "key"] = pd.NA
-                if with_ids:
-                    out["ids"] = [ids[a:b].astype(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield out
+                first = 0
+                while first < file.n_docs:
+                    upto = max(first + 1, int(np.searchsorted(at, at[first] + DECODED_IDS, "right")) - 1)
+                    upto = min(upto, file.n_docs)
+                    ids = file.tokens(int(at[first]), int(at[upto])).astype("<u4")
+                    own = np.split(ids, at[first + 1:upto] - at[first])
+                    out = pd.DataFrame({
+                        "key": pd.array(file.keys[first:upto], "Int64"), "range": file.range, "place": file.place,
+                        "before": at[first:upto], "n_tokens": [len(x) for x in own], "ids_crc32": [zlib.crc32(x) for x in own]})
+                    out.loc[file.null[first:upto].astype(bool), "key"] = pd.NA
+                    if with_ids:
+                        out["ids"] = [x.astype(np.int64) for x in own]
+                    yield out
+                    first = upto
 
     tail = ", ids array<bigint>" if with_ids else ""
     docs = _files(spark, path).select("content").mapInPandas(
