@@ -8,8 +8,8 @@ Vectors are whole numbers; scores are inner products.
 2. Interval arithmetic on a zone bounds the scores that an anchor can have in the block.  An anchor reads a block only if
    this interval meets one of its windows (a range of scores of which the first k are wanted) where it still matters.
 3. A search runs in two rounds.  The first reads, of each anchor, the block with the largest upper bound in each window;
-   the k-th score found there is a safe lower end of the window.  The second reads all other blocks whose intervals meet what
-   is left of a window, and sends only rows that do.
+   the k-th row found there is a safe end of the window, by score and then by key.  The second reads all blocks whose
+   intervals meet what is left of a window, and sends only rows that do.
 4. Positives are a search of the anchor's own label with an open window; negatives are one of the other labels with a window
    per positive.
 
@@ -170,23 +170,24 @@ def _groups(asked: DataFrame, group_anchors: int) -> DataFrame:
         frame = frame.sort_values("key")
         return pd.DataFrame([(int(frame["group"].iat[0]), int(frame["dims"].iat[0]), frame["key"].to_numpy("<i8").tobytes(),
                               frame["label"].to_numpy("<i8").tobytes(), _matrix(frame["v"]).astype("<i8").tobytes(),
-                              [list(map(int, w)) for w in frame["least"]], [list(map(int, w)) for w in frame["most"]])],
-                            columns=["group", "dims", "keys", "labels", "vectors", "least", "most"])
+                              *([list(map(int, w)) for w in frame[c]] for c in ("least", "most", "last")))],
+                            columns=["group", "dims", "keys", "labels", "vectors", "least", "most", "last"])
 
     return dealt.groupBy("group", "dims").applyInPandas(
         pack, "group long, dims long, keys binary, labels binary, vectors binary, "
-              "least array<array<bigint>>, most array<array<bigint>>")
+              "least array<array<bigint>>, most array<array<bigint>>, last array<array<bigint>>")
 
 
 def _windows(row) -> tuple[np.ndarray, ...]:
-    """Of a group: keys, labels, vectors, and the windows' ends, padded with windows without room."""
+    """Of a group: keys, labels, vectors, and the windows' ends and last keys, padded with windows without room."""
     keys, labels = np.frombuffer(row.keys, "<i8"), np.frombuffer(row.labels, "<i8")
     vectors = np.frombuffer(row.vectors, "<i8").reshape(len(keys), -1)
     width = max([len(w) for w in row.least], default=0)
     least, most = np.full((len(keys), width), HIGH), np.full((len(keys), width), LOW)
-    for i, (a, b) in enumerate(zip(row.least, row.most)):
-        least[i, :len(a)], most[i, :len(b)] = a, b
-    return keys, labels, vectors, least, most
+    last = np.full((len(keys), width), LOW)
+    for i, (a, b, c) in enumerate(zip(row.least, row.most, row.last)):
+        least[i, :len(a)], most[i, :len(b)], last[i, :len(c)] = a, b, c
+    return keys, labels, vectors, least, most, last
 
 
 def _blocks_to_read(groups: DataFrame, blocks: DataFrame, same_label: bool, best_only: bool, sheet_zones: int) -> DataFrame:
@@ -204,7 +205,7 @@ def _blocks_to_read(groups: DataFrame, blocks: DataFrame, same_label: bool, best
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                keys, labels, vectors, least, most = _windows(row)
+                keys, labels, vectors, least, most, _ = _windows(row)
                 names = np.array([z["block"] for z in row.zones], np.int64)
                 marks = np.array([z["label"] for z in row.zones], np.int64)
                 low, high = _matrix([z["low"] for z in row.zones]), _matrix([z["high"] for z in row.zones])
@@ -241,7 +242,7 @@ def _read(groups: DataFrame, blocks: DataFrame, chosen: DataFrame, k: int) -> Da
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                keys, _, vectors, least, most = _windows(row)
+                keys, _, vectors, least, most, last = _windows(row)
                 mine = np.frombuffer(row.anchors, "<i4")
                 names = np.frombuffer(row.block_keys, "<i8")
                 others = np.frombuffer(row.block_vectors, "<i8").reshape(len(names), -1).astype(np.float64)
@@ -255,6 +256,7 @@ def _read(groups: DataFrame, blocks: DataFrame, chosen: DataFrame, k: int) -> Da
                     own = keys[at][:, None] == names[None]
                     for w in range(least.shape[1]):
                         inside = (scores >= least[at, w, None]) & (scores <= most[at, w, None]) & ~own
+                        inside &= (scores > least[at, w, None]) | (names[None] <= last[at, w, None])
                         i, j = np.nonzero(inside)
                         value = scores[i, j]
                         order = np.lexsort((j, -value, i))
@@ -264,7 +266,7 @@ def _read(groups: DataFrame, blocks: DataFrame, chosen: DataFrame, k: int) -> Da
                         parts.append(np.stack([keys[at[i]], np.full(len(i), w), names[j], value[first]]))
                 yield pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["anchor", "window", "key", "score"])
 
-    return met.select("group", "dims", "anchors", "keys", "labels", "vectors", "least", "most", "block_keys",
+    return met.select("group", "dims", "anchors", "keys", "labels", "vectors", "least", "most", "last", "block_keys",
                       "block_vectors").mapInPandas(score, "anchor long, window long, key long, score long").withColumn(
         "window", F.col("window").cast("int"))
 
@@ -276,18 +278,22 @@ def search_windows(asked: DataFrame, blocks: DataFrame, k: int, same_label: bool
     `asked` is (key, label, v, least, most); window `i` holds the scores from least[i] to most[i].  Rows come from the
     anchor's label if `same_label`, else from all others; an anchor is no answer to itself.
     """
-    asked = materialise(asked, "anchors")
+    asked = materialise(asked.withColumn("last", F.transform("least", lambda x: F.lit(HIGH))), "anchors")
     order = [F.col("score").desc(), F.col("key")]
     groups = materialise(_groups(asked, group_anchors), "anchor-groups")
     first = materialise(_blocks_to_read(groups, blocks, same_label, True, sheet_zones), "first-blocks")
     seen = materialise(top_k(_read(groups, blocks, first, k), ["anchor", "window"], order, k), "first-found")
-    # k rows at this score or above are known: the window need not reach lower.
-    ends = seen.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(
-        F.col("n") >= k).groupBy(F.col("anchor").alias("key")).agg(
-        F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("ends"))
-    raised = F.transform("least", lambda x, i: F.greatest(x, F.coalesce(F.try_element_at("ends", i), x)))
-    narrowed = asked.join(ends, "key", "left").withColumn("least", F.when(
-        F.col("ends").isNull(), F.col("least")).otherwise(raised)).drop("ends")
+    # k rows up to this one are known: the window need not reach lower, nor, among equal scores, to larger keys.
+    kth = F.max(F.struct((-F.col("score")).alias("minus"), "key"))
+    ends = seen.groupBy("anchor", "window").agg(F.count("*").alias("n"), kth.alias("kth")).where(F.col("n") >= k).groupBy(
+        F.col("anchor").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("window", "kth"))).alias("ends"))
+
+    def end(i, field: str):
+        return F.try_element_at(F.coalesce("ends", F.create_map().cast(ends.schema["ends"].dataType)), i)[field]
+
+    narrowed = asked.join(ends, "key", "left").withColumns({
+        "least": F.transform("least", lambda x, i: F.coalesce(-end(i, "minus"), x)),
+        "last": F.transform("last", lambda x, i: F.coalesce(end(i, "key"), x))}).drop("ends")
     groups = materialise(_groups(narrowed, group_anchors), "narrow-groups")
     rest = materialise(_blocks_to_read(groups, blocks, same_label, False, sheet_zones), "further-blocks")
     return top_k(_read(groups, blocks, rest, k), ["anchor", "window"], order, k, rank="rank")

@@ -108,7 +108,7 @@ def test_zones_leave_out_most_blocks_of_clustered_vectors(spark):
         "most", F.array(F.lit(hard_negatives.HIGH)))
     best = hard_negatives.search_windows(asked, blocks, 3, True)
     ends = best.where("rank = 3").select("anchor", F.array("score").alias("least"))
-    narrow = asked.drop("least").join(ends, F.col("key") == F.col("anchor")).drop("anchor")
+    narrow = asked.withColumn("last", F.array(F.lit(hard_negatives.HIGH))).drop("least").join(ends, F.col("key") == F.col("anchor")).drop("anchor")
     chosen = hard_negatives._blocks_to_read(hard_negatives._groups(narrow, 100), blocks, True, False, 100)
     read = chosen.select(F.sum(F.octet_length("anchors") / 4)).first()[0]
     assert read < 0.35 * 32 * blocks.where("label = 0").count()  # of the anchor's own label
