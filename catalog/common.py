@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mailsift import constants as C
-from mailsift.operators import bm25, filters
+from mailsift.operators import bm25, filters, ngrams
+from mailsift.operators.containment import text_fields
 from mailsift.sources.tables import normalise
 from mailsift.storage import new_path
 
@@ -100,6 +101,7 @@ ENTITIES = {
 
 _mails: dict[tuple[str, str], str] = {}
 _indexes: dict[tuple[str, str], str] = {}
+_grams: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,6 +146,16 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return bm25.read_index(spark, _indexes[key])
 
 
+def grams(spark: SparkSession, sf_dir: str) -> ngrams.GramIndex:
+    """The stored 3-gram index of the mail fields that identifiers and substrings are looked up in."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _grams:
+        path = new_path(spark, "grams")
+        ngrams.write_grams(text_fields(mail(spark, sf_dir), "no", C.EXACT_FIELDS), path, buckets=8, parts=8)
+        _grams[key] = path
+    return ngrams.read_grams(spark, _grams[key])
+
+
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mails that the filters of the search page leave: by month, stage and sender."""
     months = [f"{year}{month:02d}" for year in range(1993, 1997) for month in range(1, 13)]

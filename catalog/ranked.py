@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift import constants as C
 from mailsift.functions import chunking, entities, text
-from mailsift.operators import bm25, containment, evaluate, exact, fusion, ranking, vectors
+from mailsift.operators import bm25, containment, evaluate, exact, fusion, ngrams, ranking, vectors
 from mailsift.plans import search as plans
-from mailsift.storage import materialise
+from mailsift.storage import materialise, new_path
 from .common import (CASE_QUERIES, DECISIONS, ENTITIES, GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL,
-                     QUERIES, SYNONYMS, TIME_SQL, bm25_sql, held, index, mail, quoted, sql_view, table, tidy, tokens_sql, top_sql, view)
+                     QUERIES, SYNONYMS, TIME_SQL, bm25_sql, grams, held, index, mail, quoted, sql_view, table, tidy, tokens_sql, top_sql, view)
 from .text_search import TERM_SQL, distinct_sql, lists_sql, SYNONYM_SQL
 from .texts import (CHUNK_SQL, DOMAIN_MARKED, ENTITY_MARKED, compact_sql, identifier_ctes, marked_sql, mask_sql, names_sql, unmarked_sql)
 
@@ -119,30 +119,34 @@ def embed_chunks(spark, sf_dir):
 # --- exact search --------------------------------------------------------------------------------------------
 
 def exact_search(spark, sf_dir):
-    found = exact.exact_search(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES), 50)
+    found = exact.exact_search(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES), 50,
+                               grams=grams(spark, sf_dir))
     return tidy(found.select("query_id", "no", "exact_tier", "exact_rank", "match_reason"))
 
 
 def filtered_exact_search(spark, sf_dir):
-    found = exact.exact_search(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES), 5, held(spark, sf_dir))
+    found = exact.exact_search(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES), 5, held(spark, sf_dir),
+                               grams(spark, sf_dir))
     return tidy(found.select("query_id", "no", "exact_tier", "exact_rank", "match_reason"))
 
 
 def exact_matches(spark, sf_dir):
-    found = exact.find_matches(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES))
+    found = exact.find_matches(mail(spark, sf_dir), view(spark, sf_dir, IDENTIFIER_QUERIES), grams=grams(spark, sf_dir))
     return tidy(found.groupBy("query_id").agg(F.count("*").alias("matches")))
 
 
 def total_matches(spark, sf_dir):
     q = view(spark, sf_dir, IDENTIFIER_QUERIES)
     primary = bm25.match_counts(bm25.match_scores(index(spark, sf_dir), q))
-    return exact.total_matches(primary, bm25.match_counts(exact.find_matches(mail(spark, sf_dir), q)))
+    return exact.total_matches(primary, bm25.match_counts(exact.find_matches(
+        mail(spark, sf_dir), q, grams=grams(spark, sf_dir))))
 
 
 def merge_exact(spark, sf_dir):
     q = view(spark, sf_dir, IDENTIFIER_QUERIES)
     primary = bm25.search(index(spark, sf_dir), q, 20).select("query_id", "no", "bm25_score")
-    merged = exact.merge_exact(primary, exact.exact_search(mail(spark, sf_dir), q, 20))
+    merged = exact.merge_exact(primary, exact.exact_search(mail(spark, sf_dir), q, 20,
+                                                           grams=grams(spark, sf_dir)))
     return tidy(merged.select("query_id", "no", "bm25_score", "exact_tier", "exact_rank", "exact_score"))
 
 
@@ -155,6 +159,26 @@ def containment_pairs(spark, sf_dir):
     return hits.select(F.col("key").cast("bigint").alias("doc_id"), F.md5("term").alias("passage")).distinct()
 
 
+def gram_containment(spark, sf_dir):
+    """Which mails hold which parts of benchmark texts in their bodies, by the 3-gram index: parts of 1 to 24 characters."""
+    parts = F.array(*[F.substring("text", 5, n) for n in (1, 2, 3, 4, 9, 24)])
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(parts).alias("term"))
+    hits = ngrams.find_terms(grams(spark, sf_dir), terms, ["plaintextbody"])
+    return hits.groupBy(F.md5("term").alias("part")).agg(F.count("*").alias("mails"), F.min("key").alias("first_no"))
+
+
+def gram_compact(spark, sf_dir):
+    """Mails whose case or order number holds the digits of a query's number, whatever signs stand between."""
+    path = new_path(spark, "compact-grams")
+    held = containment.text_fields(mail(spark, sf_dir), "no", ["hvdc_cases", "lpo_numbers"])
+    ngrams.write_grams(held, path, forms=ngrams.FORMS, buckets=8, parts=8)
+    numbers = F.array(F.concat(F.lit("lpo."), F.col("query_id") + 1000), F.concat(F.lit("e 00/"), F.col("query_id")),
+                      F.col("query_id").cast("string"))
+    asked = view(spark, sf_dir, QUERIES).select("query_id", F.explode(numbers).alias("term"))
+    hits = ngrams.find_terms(ngrams.read_grams(spark, path), asked.select("term"), form="compact")
+    return hits.join(asked, "term").select("query_id", "term", F.col("key").alias("no"), "field")
+
+
 # --- signals -------------------------------------------------------------------------------------------------
 
 def _hits(spark, sf_dir, queries=QUERIES, k=20):
@@ -227,7 +251,7 @@ def rerank_full(spark, sf_dir):
 def _keyword(spark, sf_dir, queries, **options):
     q = view(spark, sf_dir, queries)
     return plans.keyword_search(mail(spark, sf_dir), index(spark, sf_dir), q, 20, glossary=GLOSSARY, synonyms=SYNONYMS,
-                                **options)
+                                grams=grams(spark, sf_dir), **options)
 
 
 def rerank_identifier(spark, sf_dir):
@@ -551,6 +575,17 @@ ENTRIES = {
         FROM hits_top FULL JOIN exact USING (query_id, no)"""),
     "containment_pairs": (containment_pairs, """SELECT DISTINCT d.doc_id, md5(lower(b.text)) AS passage FROM benchmark b
         JOIN documents d ON contains(lower(d.text), lower(b.text))"""),
+    "gram_containment": (gram_containment, f"""WITH {MAIL_SQL}, parts AS (SELECT DISTINCT lower(substring(text, 5, n)) AS term
+        FROM benchmark, (VALUES (1), (2), (3), (4), (9), (24)) s(n))
+        SELECT md5(term) AS part, count(*) AS mails, min(no) AS first_no FROM parts JOIN mail
+        ON contains(lower(plaintextbody), term) GROUP BY term"""),
+    "gram_compact": (gram_compact, f"""WITH {MAIL_SQL}, queries AS ({sql_view(QUERIES)}),
+        asked AS (SELECT query_id, unnest(['lpo.' || (query_id + 1000), 'e 00/' || query_id, CAST(query_id AS VARCHAR)]) AS term
+                  FROM queries),
+        held AS (SELECT no, 'hvdc_cases' AS field, hvdc_cases AS text FROM mail
+                 UNION ALL SELECT no, 'lpo_numbers', lpo_numbers FROM mail)
+        SELECT query_id, term, no, field FROM asked JOIN held
+        ON contains({compact_sql('text')}, {compact_sql('term')})"""),
     "rrf_score": (rrf_score, f"""WITH {INDEX_SQL}, {QUERIES_CTE}, {bm25_sql('queries', 'hits')},
         cut AS (SELECT query_id, no, CASE WHEN round(bm25_score, 3) > 0.4 THEN round(bm25_score, 3) END AS s FROM hits)
         SELECT query_id, no, round(CAST({rrf_sql('s')} AS DOUBLE), 6) AS rrf FROM cut"""),

@@ -9,7 +9,7 @@ from mailsift.functions import expand, text
 from mailsift.functions.stem import stem_tokens
 from mailsift.operators import bilingual, bm25
 from .common import (GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, MIXED_QUERIES, NEWEST_SQL, QUERIES, SYNONYMS,
-                     bm25_sql, held, index, mail, quoted, sql_view, stem_sql, table, tidy, tokens_sql, top_sql, view)
+                     bm25_sql, grams, held, index, mail, quoted, sql_view, stem_sql, table, tidy, tokens_sql, top_sql, view)
 
 
 def tokenize_terms(spark, sf_dir):
@@ -96,7 +96,8 @@ def rewrite_query(spark, sf_dir):
 def bilingual_search(spark, sf_dir):
     q = view(spark, sf_dir, MIXED_QUERIES)
     hangul = q.where(text.has_hangul(F.col("query_text")))
-    found = bilingual.bilingual_search(mail(spark, sf_dir), index(spark, sf_dir), hangul, 50, GLOSSARY)
+    found = bilingual.bilingual_search(mail(spark, sf_dir), index(spark, sf_dir), hangul, 50, GLOSSARY,
+                                       grams=grams(spark, sf_dir))
     return tidy(found.select("query_id", "no", "tier", "bm25_score", "position"))
 
 
@@ -116,7 +117,7 @@ def fallback_search(spark, sf_dir):
     q = view(spark, sf_dir, HARD_QUERIES)
     first = bm25.match_scores(index(spark, sf_dir), q.withColumn("query_text", F.split_part(
         "query_text", F.lit(" "), F.lit(1))))
-    found = bilingual.fallback_search(mail(spark, sf_dir), index(spark, sf_dir), q, first, 20)
+    found = bilingual.fallback_search(mail(spark, sf_dir), index(spark, sf_dir), q, first, 20, grams=grams(spark, sf_dir))
     return tidy(found)
 
 

@@ -12,6 +12,7 @@ from ..storage import materialise
 from .bm25 import only
 from .containment import find_terms, text_fields
 from .joins import join_small
+from .ngrams import GramIndex, find_terms as find_by_grams
 from .ranking import newest_first, top_k
 
 
@@ -25,22 +26,31 @@ def _id_only(term: Column) -> Column:
     return term.rlike(r"^\d{1,5}$") | term.rlike(r"^20\d{2}$") | term.rlike(r"^20\d{4}$")
 
 
-def find_matches(mail: DataFrame, queries: DataFrame, fields=C.EXACT_FIELDS, allowed: DataFrame | None = None) -> DataFrame:
+def find_matches(mail: DataFrame, queries: DataFrame, fields=C.EXACT_FIELDS, allowed: DataFrame | None = None,
+                 grams: GramIndex | None = None) -> DataFrame:
     """Every (query_id, no) where a term equals the id or occurs in a field, and the best tier of the pair.
 
     Tier 0: a term is the id.  Tier 1: a term occurs in a field other than the body, spelled in any way.  Tier 2: in
-    the body only.
+    the body only.  `grams` is an index of the fields' texts (`ngrams.write_grams`); without one, all texts are read.
     """
-    return _matches(only(mail, allowed), materialise(identifier_queries(queries), "identifiers"), fields)
+    return _matches(only(mail, allowed), materialise(identifier_queries(queries), "identifiers"), fields, grams)
 
 
-def _matches(mail: DataFrame, asked: DataFrame, fields) -> DataFrame:
+def term_hits(mail: DataFrame, terms: DataFrame, fields, grams: GramIndex | None) -> DataFrame:
+    """(key, field, term) of the mails whose fields hold a term, by the index or, without one, by reading the fields."""
+    if grams is None:
+        return find_terms(text_fields(mail, "no", fields), terms)
+    return only(find_by_grams(grams, terms, [f for f in fields if f in mail.columns]),
+                mail.select(F.col("no").cast("string").alias("key")), "key")
+
+
+def _matches(mail: DataFrame, asked: DataFrame, fields, grams: GramIndex | None) -> DataFrame:
     terms = asked.select("query_id", F.explode("terms").alias("term"))
     by_id = (mail.select("no", id_key(F.col("no")).alias("key"))
              .join(terms.select("query_id", id_value(F.col("term")).alias("key")).distinct(), "key")
              .select("query_id", "no", F.lit(0).alias("tier")))
     wordy = terms.where(~_id_only(id_value(F.col("term")))).withColumn("term", F.lower("term")).distinct()
-    hits = find_terms(text_fields(mail, "no", fields), wordy.select("term"))
+    hits = term_hits(mail, wordy.select("term"), fields, grams)
     in_text = (join_small(hits, wordy, ["term"], spread="key")
                .select("query_id", F.col("key").alias("no"),
                        F.when(F.col("field") == "plaintextbody", 2).otherwise(1).alias("tier")))
@@ -56,14 +66,14 @@ def _raise_tier(df: DataFrame) -> DataFrame:
 
 
 def exact_search(mail: DataFrame, queries: DataFrame, limit: int = C.RESULT_LIMIT,
-                 allowed: DataFrame | None = None) -> DataFrame:
+                 allowed: DataFrame | None = None, grams: GramIndex | None = None) -> DataFrame:
     """The first `limit` mails per identifier query, by tier and then newest first, with rank, score and reason.
 
-    Only `allowed` mails (a table with `no`) take part; all do if nothing is said.
+    Only `allowed` mails (a table with `no`) take part; all do if nothing is said.  See `find_matches` for `grams`.
     """
     mail = only(mail, allowed)
     asked = materialise(identifier_queries(queries), "identifiers")
-    found = _matches(mail, asked, C.EXACT_FIELDS)
+    found = _matches(mail, asked, C.EXACT_FIELDS, grams)
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns]
     rows = found.join(mail.select(columns), "no").join(asked, "query_id")
     rows = top_k(_raise_tier(rows), ["query_id"], [F.col("exact_tier"), *newest_first()], limit, rank="exact_rank")

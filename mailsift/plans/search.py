@@ -13,6 +13,7 @@ from ..operators.bilingual import bilingual_search, fallback_search
 from ..operators.bm25 import Index, only, search
 from ..operators.exact import exact_search, merge_exact
 from ..operators.fusion import rerank
+from ..operators.ngrams import GramIndex
 from ..operators.vectors import nearest, nearest_by_chunk
 from ..storage import materialise
 
@@ -21,7 +22,7 @@ HIT = ["query_id", "no", "bm25_score", "tier", "mode"]
 
 def primary_hits(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT,
                  rewrite_queries: bool = False, glossary=C.GLOSSARY, synonyms=C.SYNONYMS,
-                 allowed: DataFrame | None = None) -> DataFrame:
+                 allowed: DataFrame | None = None, grams: GramIndex | None = None) -> DataFrame:
     """Glossary search for Hangul queries and BM25 for all others, each on its own queries."""
     hangul = has_hangul(F.col("query_text"))
     plain = _asked(queries.where(~hangul), rewrite_queries, glossary, synonyms)
@@ -30,7 +31,7 @@ def primary_hits(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.R
     foreign = queries.where(hangul)
     if foreign.isEmpty():
         return by_words
-    by_glossary = bilingual_search(mail, index, foreign, k, glossary, allowed).select(
+    by_glossary = bilingual_search(mail, index, foreign, k, glossary, allowed, grams).select(
         "query_id", "no", "bm25_score", "tier", F.lit("glossary").alias("mode"))
     return by_words.unionByName(by_glossary)
 
@@ -45,17 +46,18 @@ def _asked(queries: DataFrame, rewrite_queries: bool, glossary, synonyms) -> Dat
 
 def keyword_search(mail: DataFrame, index: Index, queries: DataFrame, k: int = C.RESULT_LIMIT,
                    rewrite_queries: bool = False, glossary=C.GLOSSARY, synonyms=C.SYNONYMS,
-                   allowed: DataFrame | None = None) -> DataFrame:
+                   allowed: DataFrame | None = None, grams: GramIndex | None = None) -> DataFrame:
     """Primary hits, exact identifier hits laid over them, fallback steps for empty queries, then the rerank.
 
     Hits are ids and scores until the last step; they are written once, because three later steps read them.  Only
-    `allowed` mails (a table with `no`) are hits of any step; scores keep the whole corpus as their basis.
+    `allowed` mails (a table with `no`) are hits of any step; scores keep the whole corpus as their basis.  With `grams`, a
+    gram index of the mails' texts, no step reads all texts.
     """
     mail = only(mail, allowed)
-    primary = primary_hits(mail, index, queries, k, rewrite_queries, glossary, synonyms, allowed)
-    exact = exact_search(mail, queries, k)
+    primary = primary_hits(mail, index, queries, k, rewrite_queries, glossary, synonyms, allowed, grams)
+    exact = exact_search(mail, queries, k, grams=grams)
     found = materialise(merge_exact(primary, exact), "hits")
-    fallback = fallback_search(mail, index, queries, found, k, allowed).select(
+    fallback = fallback_search(mail, index, queries, found, k, allowed, grams).select(
         "query_id", "no", F.col("stage").alias("mode"))
     hits = found.unionByName(fallback, allowMissingColumns=True).withColumn(
         "mode", F.coalesce("mode", F.lit("exact")))
