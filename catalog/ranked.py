@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift import constants as C
 from mailsift.functions import chunking, entities, text
-from mailsift.operators import bm25, containment, evaluate, exact, fusion, ngrams, ranking, vectors
+from mailsift.operators import bm25, containment, evaluate, exact, fusion, inverted_file, ngrams, ranking, vectors
 from mailsift.plans import search as plans
 from mailsift.storage import materialise, new_path
 from .common import (CASE_QUERIES, DECISIONS, ENTITIES, GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL,
@@ -89,6 +89,25 @@ def chunk_search(spark, sf_dir):
     return tidy(shown.select("query_id", "no", "section", "chunk_text", "sendername", "cosine_score", "position"))
 
 
+def chunk_search_few_owners(spark, sf_dir):
+    """A hundred vectors are the chunks of one mail: the best chunks of all belong to few mails, and k mails come back."""
+    owner = F.floor(F.col("vec_id") / 100).cast("string")
+    chunks = table(spark, sf_dir, "embeddings").select(
+        owner.alias("no"), F.concat_ws("/", owner, F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("chunk_id"),
+        F.lit("body").alias("section"), F.lit("").alias("chunk_text"), F.col("embedding").alias("vector"))
+    found = vectors.nearest_by_chunk(_query_vectors(spark, sf_dir), chunks, 4)
+    return tidy(found.select("query_id", "no", "chunk_id", "cosine_score", "position"))
+
+
+def vector_lists(spark, sf_dir):
+    """Nearest vectors by the inverted-file index: two probes, then the lists that may still matter."""
+    path = new_path(spark, "vector-lists")
+    inverted_file.write_lists(_vectors(spark, sf_dir), path, lists=16, buckets=8)
+    found = inverted_file.nearest_by_lists(
+        _query_vectors(spark, sf_dir), inverted_file.read_lists(spark, path), 10, probes=2, exact=True)
+    return tidy(found)
+
+
 def vector_lsh(spark, sf_dir):
     return tidy(vectors.nearest_approximate(_query_vectors(spark, sf_dir), _vectors(spark, sf_dir), 10, DIM, TABLES, BITS))
 
@@ -532,6 +551,14 @@ ENTRIES = {
     "vector_topk_blocks": (vector_topk_blocks, nearest_sql(10)),
     "vector_min_score": (vector_min_score, nearest_sql(10, "cosine_score >= 0.5")),
     "similar_docs": (similar_docs, nearest_sql(5, "no <> CAST(query_id AS VARCHAR)")),
+    "vector_lists": (vector_lists, nearest_sql(10)),
+    "chunk_search_few_owners": (chunk_search_few_owners, f"""WITH {PAIRS_SQL},
+        chunks AS (SELECT query_id, CAST(CAST(no AS BIGINT) // 100 AS VARCHAR) AS no, lpad(no, 9, '0') AS chunk,
+                          round(cosine_score, 9) AS cosine_score FROM pairs),
+        best AS (SELECT query_id, no, max(cosine_score) AS cosine_score,
+                        no || '/' || arg_min(chunk, (-cosine_score, chunk)) AS chunk_id FROM chunks GROUP BY query_id, no)
+        SELECT query_id, no, chunk_id, round(cosine_score, 6) AS cosine_score, position
+        FROM ({top_sql('best', BY_COSINE, 4)})"""),
     "chunk_search": (chunk_search, f"""WITH {MAIL_SQL}, {NEAR_SQL.replace("CAST(v.vec_id AS VARCHAR) AS no",
         "v.vec_id, (v.vec_id // 5) || '_body_' || (v.vec_id % 5) AS no")},
         top AS (SELECT query_id, vec_id, CAST(vec_id // 5 AS VARCHAR) AS no, cosine_score, position AS place FROM

@@ -102,32 +102,60 @@ def _units(vectors) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _best_pairs(query_ids, queries: np.ndarray, keys, vectors: np.ndarray, k: int) -> pd.DataFrame:
+def _first_k(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the `k` best scores of each row; equal scores go by the columns' names."""
+    cut = min(k, scores.shape[1])
+    worst = -np.partition(-scores, cut - 1, axis=1)[:, cut - 1]
+    row, column = np.nonzero(scores >= worst[:, None])
+    if len(row) > cut * len(scores):  # ties at the cut
+        order = np.lexsort((names[column].astype(str), -scores[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place < cut], column[place < cut]
+    return row, column
+
+
+def _best_pairs(query_ids, queries: np.ndarray, held: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best `k` keys per query; equal scores go by key."""
-    keys = np.asarray(keys, dtype=object)
+    keys, vectors = held.key.to_numpy(object), _units(held.vector)
     parts = []
     for start in range(0, len(queries), QUERY_ROWS):
         scores = np.round(queries[start:start + QUERY_ROWS] @ vectors.T, SCORE_PLACES)
-        cut = min(k, scores.shape[1])
-        worst = -np.partition(-scores, cut - 1, axis=1)[:, cut - 1]
-        row, column = np.nonzero(scores >= worst[:, None])
-        if len(row) > cut * len(scores):  # ties at the cut
-            order = np.lexsort((keys[column].astype(str), -scores[row, column], row))
-            row, column = row[order], column[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, column = row[place < cut], column[place < cut]
+        row, column = _first_k(scores, keys, k)
         parts.append(pd.DataFrame({
             "query_id": np.asarray(query_ids)[start + row], "key": keys[column], "cosine_score": scores[row, column]}))
     return pd.concat(parts)
 
 
+def _best_owners(query_ids, queries: np.ndarray, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best `k` owners per query by their best chunk; equal scores go by owner, and by chunk inside an owner."""
+    held = held.sort_values(["owner", "key"], kind="stable")
+    keys, vectors = held.key.to_numpy(object), _units(held.vector)
+    owners, first = np.unique(held.owner.to_numpy(str), return_index=True)
+    ends = np.append(first[1:], len(keys))
+    parts = []
+    for start in range(0, len(queries), QUERY_ROWS):
+        scores = np.round(queries[start:start + QUERY_ROWS] @ vectors.T, SCORE_PLACES)
+        best = np.maximum.reduceat(scores, first, axis=1)
+        row, column = _first_k(best, owners, k)
+        chunk = [a + scores[r, a:b].argmax() for r, a, b in zip(row, first[column], ends[column])]
+        parts.append(pd.DataFrame({
+            "query_id": np.asarray(query_ids)[start + row], "key": keys[chunk], "owner": owners[column],
+            "cosine_score": best[row, column]}))
+    return pd.concat(parts)
+
+
 def _keyed(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vector").isNotNull()).select(F.col("no").cast("string").alias("key"), "vector")
 
 
 def _without_spare_copies(vectors: DataFrame, k: int) -> DataFrame:
     """At most `k` rows of each distinct vector, those with the first keys: no others can be among the best `k`, since
-    equal scores go by key.  A group of copies of any size thus takes part with `k` rows."""
+    equal scores go by key.  A group of copies of any size thus takes part with `k` rows.  With owners, the first `k` of
+    each vector, each with its first key."""
+    if "owner" in vectors.columns:
+        firsts = vectors.groupBy("vector", "owner").agg(F.min("key").alias("key"))
+        return top_k(firsts, ["vector"], [F.col("owner")], k)
     return top_k(vectors, ["vector"], [F.col("key")], k)
 
 
@@ -135,21 +163,27 @@ def _queries(queries: DataFrame) -> DataFrame:
     return queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
 
 
-def _pair_schema(queries: DataFrame) -> T.StructType:
+def _pair_schema(queries: DataFrame, owned: bool = False) -> T.StructType:
     """Scored pairs; query ids keep their type."""
+    owner = [T.StructField("owner", T.StringType())] if owned else []
     return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
-                         T.StructField("key", T.StringType()), T.StructField("cosine_score", T.DoubleType())])
+                         T.StructField("key", T.StringType()), *owner, T.StructField("cosine_score", T.DoubleType())])
 
 
 def score_blocks(queries: DataFrame, vectors: DataFrame, blocks: list[str], k: int) -> DataFrame:
-    """Score query blocks against vector blocks that share the block columns."""
+    """Score query blocks against vector blocks that share the block columns.
+
+    A block emits its best `k` keys per query or, if the vectors have an `owner`, its best `k` owners.
+    """
+    schema = _pair_schema(queries, "owner" in vectors.columns)
+    best = _best_owners if "owner" in vectors.columns else _best_pairs
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left.query_id.head(0), "key": right.key.head(0), "cosine_score": np.empty(0)})
-        return _best_pairs(left.query_id, _units(left.vector), right.key, _units(right.vector), k)
+            return pd.DataFrame({f.name: pd.Series(dtype="float64" if f.name == "cosine_score" else "object") for f in schema})
+        return best(left.query_id, _units(left.vector), right, k)
 
-    return (queries.groupBy(*blocks).cogroup(vectors.groupBy(*blocks))
-            .applyInPandas(score, _pair_schema(queries)))
+    return queries.groupBy(*blocks).cogroup(vectors.groupBy(*blocks)).applyInPandas(score, schema)
 
 
 def _spread(column: str, parts: int) -> Column:
@@ -167,7 +201,22 @@ def candidate_pairs(queries: DataFrame, vectors: DataFrame, k: int, block_rows:
     Up to `broadcast_queries` queries travel to the vectors, which are then not shuffled at all.  More queries are
     cut into blocks, every vector block meets every query block once, and no block exceeds about `block_rows` rows.
     """
-    queries, vectors = _queries(queries), _keyed(vectors)
+    return _candidates(_queries(queries), _keyed(vectors), k, block_rows, broadcast_queries)
+
+
+def owner_pairs(queries: DataFrame, chunk_vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
+                broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """Per query, a set of (query_id, key, owner, cosine_score) that holds the best chunks of its exact best `k` owners.
+
+    Every block sends its best `k` owners: an owner among the best `k` of all has fewer than `k` owners before it in the
+    block of its best chunk.
+    """
+    held = chunk_vectors.where(F.col("vector").isNotNull() & F.col("no").isNotNull()).select(
+        F.col("chunk_id").cast("string").alias("key"), F.col("no").cast("string").alias("owner"), "vector")
+    return _candidates(_queries(queries), held, k, block_rows, broadcast_queries)
+
+
+def _candidates(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int, broadcast_queries: int) -> DataFrame:
     if is_small(queries, broadcast_queries):
         return _score_against_all(queries, vectors, k)
     vectors = materialise(_without_spare_copies(vectors, k), "vectors")
@@ -179,9 +228,11 @@ def candidate_pairs(queries: DataFrame, vectors: DataFrame, k: int, block_rows:
 
 
 def _score_against_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    schema = _pair_schema(queries, "owner" in vectors.columns)
+    best = _best_owners if "owner" in vectors.columns else _best_pairs
     rows = queries.collect()
     if not rows:
-        return vectors.sparkSession.createDataFrame([], _pair_schema(queries))
+        return vectors.sparkSession.createDataFrame([], schema)
     ids = vectors.sparkSession.sparkContext.broadcast(
         (np.array([r.query_id for r in rows]), _units([r.vector for r in rows])))
 
@@ -189,9 +240,9 @@ def _score_against_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFr
         query_ids, matrix = ids.value
         for batch in batches:
             if len(batch):
-                yield _best_pairs(query_ids, matrix, batch.key, _units(batch.vector), k)
+                yield best(query_ids, matrix, batch, k)
 
-    return vectors.mapInPandas(score, _pair_schema(queries))
+    return vectors.mapInPandas(score, schema)
 
 
 def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
@@ -219,21 +270,29 @@ def similar_documents(vectors: DataFrame, k: int = C.SIMILAR_DOCUMENTS) -> DataF
     return best_pairs(pairs.where(F.col("key") != F.col("query_id").cast("string")), k)
 
 
-def nearest_by_chunk(queries: DataFrame, chunk_vectors: DataFrame, k: int,
-                     overfetch: int = C.CHUNK_OVERFETCH, allowed: DataFrame | None = None) -> DataFrame:
-    """The best `k` mails per query by their best chunk, among the best `k * overfetch` chunks.
+def nearest_by_chunk(queries: DataFrame, chunk_vectors: DataFrame, k: int, overfetch: int | None = None,
+                     allowed: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+                     broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """The best `k` mails per query by their best chunk; `k` mails whenever there are as many.
 
-    `chunk_vectors` has (no, chunk_id, section, chunk_text, vector).  Texts are joined to the surviving chunks only.
+    `chunk_vectors` has (no, chunk_id, section, chunk_text, vector).  With `overfetch`, only the mails among the best
+    `k * overfetch` chunks take part, which are fewer than `k` where few mails own them.  Texts are joined to the surviving
+    chunks only.
     """
     chunk_vectors = only(chunk_vectors, allowed)
-    chunks = chunk_vectors.select(F.col("chunk_id").alias("no"), "vector")
-    hits = nearest(queries, chunks, k * overfetch).withColumnRenamed("no", "chunk_id")
-    owners = chunk_vectors.select("chunk_id", "no", "section", "chunk_text")
-    found = owners.join(hits, "chunk_id")
-    best = found.groupBy("query_id", "no").agg(
-        F.min_by(F.struct("chunk_id", "section", "chunk_text", "cosine_score"), "position").alias("best"))
-    rows = best.select("query_id", "no", "best.*")
-    return top_k(rows, ["query_id"], by_score("cosine_score"), k, rank="position")
+    if overfetch is None:
+        pairs = owner_pairs(queries, chunk_vectors, k, block_rows, broadcast_queries)
+        hits = pairs.select("query_id", F.col("key").alias("chunk_id"), F.col("owner").alias("no"), "cosine_score")
+    else:
+        chunks = chunk_vectors.select(F.col("chunk_id").alias("no"), "vector")
+        found = nearest(queries, chunks, k * overfetch).withColumnRenamed("no", "chunk_id").drop("position")
+        hits = found.join(chunk_vectors.select("chunk_id", "no"), "chunk_id")
+    best = hits.groupBy("query_id", "no").agg(F.min(F.struct((-F.col("cosine_score")).alias("minus"), "chunk_id")).alias("b"))
+    rows = best.select("query_id", "no", F.col("b.chunk_id").alias("chunk_id"), (-F.col("b.minus")).alias("cosine_score"))
+    cut = top_k(rows, ["query_id"], by_score("cosine_score"), k, rank="position")
+    texts = chunk_vectors.select("no", "chunk_id", "section", "chunk_text")
+    return cut.join(texts, ["no", "chunk_id"]).select(
+        "query_id", "no", "chunk_id", "section", "chunk_text", "cosine_score", "position")
 
 
 # --- approximate search ----------------------------------------------------------------------------------
