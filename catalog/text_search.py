@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from mailsift import constants as C
 from mailsift.functions import expand, text
 from mailsift.functions.stem import stem_tokens
-from mailsift.operators import bilingual, bm25
+from mailsift.operators import bilingual, block_bounds, bm25
+from mailsift.storage import new_path
 from .common import (GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, MIXED_QUERIES, NEWEST_SQL, QUERIES, SYNONYMS,
                      bm25_sql, grams, held, index, mail, quoted, sql_view, stem_sql, table, tidy, tokens_sql, top_sql, view)
 
@@ -57,6 +58,18 @@ def bm25_search(spark, sf_dir):
     return tidy(found.select("query_id", "no", "bm25_score", "position"))
 
 
+def _blocks(spark, sf_dir):
+    path = new_path(spark, "blocks")
+    block_bounds.write_blocks(index(spark, sf_dir), path, buckets=8, block_docs=32)
+    return block_bounds.read_blocks(spark, path)
+
+
+def bm25_blocks(spark, sf_dir):
+    """The BM25 search by upper bounds of blocks of mails."""
+    found = block_bounds.search_blocks(_blocks(spark, sf_dir), view(spark, sf_dir, QUERIES), 10)
+    return tidy(found.select("query_id", "no", "bm25_score", "position"))
+
+
 def filtered_bm25_search(spark, sf_dir):
     found = bm25.search(index(spark, sf_dir), view(spark, sf_dir, QUERIES), 10, held(spark, sf_dir))
     return tidy(found.select("query_id", "no", "bm25_score", "position"))
@@ -166,6 +179,9 @@ ENTRIES = {
     "bm25_search": (bm25_search, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position
         FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})"""),
+    "bm25_blocks": (bm25_blocks, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
+        SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position
+        FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})"""),
     "filtered_bm25_search": (filtered_bm25_search, f"""WITH {INDEX_SQL}, {HELD_SQL}, queries AS ({sql_view(QUERIES)}),
         {bm25_sql('queries', 'hits')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position FROM

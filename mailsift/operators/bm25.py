@@ -116,29 +116,37 @@ def query_words(queries: DataFrame, stop_words=C.STOP_WORDS, stem: bool = True)
         F.col("term").isNotNull()).distinct()
 
 
+def weighted_words(index: Index, queries: DataFrame) -> DataFrame:
+    """(term, query_id, idf[, bucket]) of the queries' words that the index has, written once.  The logarithm has base 10."""
+    n_docs, _ = index.totals()
+    words = query_words(queries, index.stop_words, index.stemmed)
+    idf = F.log10((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighted = words.join(index.terms, "term").select("term", "query_id", idf.alias("idf"))
+    if index.buckets:
+        weighted = weighted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
+    return materialise(weighted, "query-terms")
+
+
+def term_score(tf: Column, length: Column, mean_length: float, k1: float = C.BM25_K1, b: float = C.BM25_B) -> Column:
+    """What a word with weight 1 adds to the score; it rises with `tf` and falls with the length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(mean_length)))
+
+
 def match_scores(index: Index, queries: DataFrame, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
     """BM25 score of every mail that holds a term of the query: (query_id, no, bm25_score).
 
-    The logarithm has base 10.  Only postings of query terms take part: the weighted query terms are the small side
-    of the join, and each score is a partial sum before it is shuffled by (query_id, no).
+    Only postings of query terms take part: the weighted query terms are the small side of the join, whose size is checked
+    before it is broadcast, and each score is a partial sum before it is shuffled by (query_id, no).
     """
-    n_docs, mean_length = index.totals()
-    words = query_words(queries, index.stop_words, index.stemmed)
-    idf = F.log10((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = words.join(index.terms, "term").select("term", "query_id", idf.alias("idf"))
+    weighted = weighted_words(index, queries)
     keys, postings = ["term"], index.postings
     if index.buckets:
         keys = ["bucket", "term"]
-        weighted = weighted.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
-    # Written once: its size is checked before the join that may broadcast it.
-    weighted = materialise(weighted, "query-terms")
-    if index.buckets:
         # At most as many numbers as there are buckets; only the folders of these are listed and read.
         asked = [row.bucket for row in weighted.select("bucket").distinct().collect()]
         postings = postings.where(F.col("bucket").isin(asked))
     hits = join_small(postings, weighted, keys, spread="no")
-    part = (F.col("idf") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length))))
+    part = F.col("idf") * term_score(F.col("tf"), F.col("length"), index.totals()[1], k1, b)
     return hits.groupBy("query_id", "no").agg(F.round(F.sum(part), SCORE_PLACES).alias("bm25_score"))
 
 
