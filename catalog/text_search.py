@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mailsift import constants as C
 from mailsift.functions import expand, text
 from mailsift.functions.stem import stem_tokens
-from mailsift.operators import bilingual, block_bounds, bm25
+from mailsift.operators import bilingual, block_bounds, bm25, generations
 from mailsift.storage import new_path
 from .common import (GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, MIXED_QUERIES, NEWEST_SQL, QUERIES, SYNONYMS,
                      bm25_sql, grams, held, index, mail, quoted, sql_view, stem_sql, table, tidy, tokens_sql, top_sql, view)
@@ -70,6 +70,33 @@ def bm25_blocks(spark, sf_dir):
     return tidy(found.select("query_id", "no", "bm25_score", "position"))
 
 
+def _updated(spark, sf_dir):
+    """The path of an index that reaches the mail table by updates: stale, missing and surplus mails at first."""
+    m, path = mail(spark, sf_dir), new_path(spark, "generations")
+    number = F.expr("cast(no as bigint)")
+    stale = m.where(number % 3 != 0).withColumn("subject", F.when(number % 5 == 1, "stale words").otherwise(F.col("subject")))
+    surplus = m.where(number % 11 == 0).withColumn("no", F.concat(F.lit("x"), "no"))
+    generations.create(stale.unionByName(surplus), path, buckets=8, parts=8)
+    generations.update(spark, path, m.where(number % 5 == 1), m.where(number % 7 == 2))
+    generations.update(spark, path, m.where((number % 3 == 0) | (number % 7 == 2)), surplus)
+    return path
+
+
+def bm25_generations(spark, sf_dir):
+    """The BM25 search of an index that was updated twice: mails added, replaced, withdrawn and added again."""
+    found = bm25.search(generations.read(spark, _updated(spark, sf_dir)), view(spark, sf_dir, QUERIES), 10)
+    return tidy(found.select("query_id", "no", "bm25_score", "position"))
+
+
+def bm25_compacted(spark, sf_dir):
+    """Word counts and totals of the updated index after compaction."""
+    path = new_path(spark, "compacted")
+    generations.compact(spark, _updated(spark, sf_dir), path)
+    packed = generations.read(spark, path)
+    n, mean = packed.totals()
+    return tidy(packed.terms.select("term", "df", F.lit(n).cast("bigint").alias("n_docs"), F.lit(mean).alias("mean_length")))
+
+
 def filtered_bm25_search(spark, sf_dir):
     found = bm25.search(index(spark, sf_dir), view(spark, sf_dir, QUERIES), 10, held(spark, sf_dir))
     return tidy(found.select("query_id", "no", "bm25_score", "position"))
@@ -179,6 +206,11 @@ ENTRIES = {
     "bm25_search": (bm25_search, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position
         FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})"""),
+    "bm25_generations": (bm25_generations, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
+        SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position
+        FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})"""),
+    "bm25_compacted": (bm25_compacted, f"""WITH {INDEX_SQL} SELECT term, df, n AS n_docs, round(mean, 6) AS mean_length
+        FROM terms, totals"""),
     "bm25_blocks": (bm25_blocks, f"""WITH {INDEX_SQL}, queries AS ({sql_view(QUERIES)}), {bm25_sql('queries', 'hits')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, position
         FROM ({top_sql('hits', 'round(bm25_score, 9) DESC, no', 10)})"""),
