@@ -41,9 +41,9 @@ from .words import slices
 END_ID = 2
 #: Characters of text in one range of keys, about, and ids in one file at most (a longer document is a file on its own).
 RANGE_CHARS = 24_000_000
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 #: Ids that a reader decodes at a time, but for a longer document.
-DECODED_IDS = 1_000_000
+DECODED_IDS = 500_000
 #: The table of the files' first places, beside the files; a leading underscore hides it from readers of the folder.
 STARTS = "_starts"
 #: Files that `tokens_at` names one by one; for more it reads the whole folder.
