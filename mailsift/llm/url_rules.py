@@ -11,6 +11,7 @@ Defined results: a URL that is null or has no `://` has an empty host and path,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.ml.fpm import FPGrowth
@@ -68,34 +69,58 @@ def tokens(url: Column) -> Column:
     return F.when(url.contains("://"), found).otherwise(F.array().cast("array<string>"))
 
 
+def lower_bound(confidence: Column, rows: Column, z: float) -> Column:
+    """The least share that a sample of `rows` with the share `confidence` is likely to come from (Wilson's interval)."""
+    middle = confidence + z * z / (2 * rows)
+    spread = z * F.sqrt(confidence * (1 - confidence) / rows + z * z / (4 * rows * rows))
+    return (middle - spread) / (1 + z * z / rows)
+
+
+def _parts(items: Column) -> Column:
+    """All non-empty proper parts of a short array, in its order."""
+    masks = F.sequence(F.lit(1), F.greatest(F.lit(1), F.pow(F.lit(2), F.size(items)).cast("int") - 2))
+    return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
+
+
 def mine(
-    labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_rows: int = 20, max_tokens: int = 4
+    labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, risk: float = 0.05, max_tokens: int = 4
 ) -> DataFrame:
     """Rules (rule_id, items, confidence, support) for blocking, from labelled URLs (url, blocked boolean).
 
-    Supports are shares of all labelled URLs, so the number of rules does not grow with the input; `min_rows` blocked
-    URLs at least must hold a rule.  A rule is dropped if a rule over some of its items is at least as sure.
+    Supports are shares of all labelled URLs, so the number of rules does not grow with the input.  A rule must be surer than
+    the share of blocked URLs is: the lower end of its confidence, at the given risk of one false rule among all that are
+    tried, lies above that share.  So the rows that a rule needs follow from the data, whatever the size of the table.  A rule
+    is dropped if a rule over some of its items is at least as sure.
     """
+    spark = labelled.sparkSession
     baskets = labelled.where("blocked is not null").select(
         F.concat(tokens(F.coalesce("url", F.lit(""))),
                  F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     baskets = materialise(baskets, "url-baskets")
-    min_support = max(min_support, min_rows / max(baskets.count(), 1))
-    if min_support > 1:  # fewer labelled URLs than any rule needs
-        return baskets.sparkSession.createDataFrame(
-            [], "items array<string>, confidence double, support double, rule_id long")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = materialise(
+    n, blocked = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
+    none = spark.createDataFrame([], "items array<string>, confidence double, support double, rule_id long")
+    if not 0 < blocked < n:  # nothing to tell apart
+        return none
+    base = blocked / n
+    # A rule that is always right needs at least so many rows to be told from the base, at the risk for a single rule.
+    z = NormalDist().inv_cdf(1 - risk)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, z * z * base / (1 - base) / n),
+                     minConfidence=min_confidence).fit(baskets)
+    tried = materialise(
         model.associationRules
         .where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= max_tokens))
-        .select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules")
-    inside = F.size(F.array_except("b.items", "a.items")) == 0
-    # Rules that share an item are compared; a rule over some of the items shares one by definition.
-    shared = rules.alias("a").select(F.explode("items").alias("item"), "items", "confidence").alias("a").join(
-        rules.select(F.explode("items").alias("item"), "items", "confidence").alias("b"), "item")
-    weaker = shared.where(
-        inside & (F.size("b.items") < F.size("a.items")) & (F.col("b.confidence") >= F.col("a.confidence"))
-    ).select(F.col("a.items").alias("items")).distinct()
+        .select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-tried")
+    # Every combination that could have been a rule was tried, however sure it turned out to be.
+    m = model.freqItemsets.where((F.size("items") <= max_tokens) & ~F.array_contains("items", BLOCK)).count()
+    if not m:
+        return none
+    rows = F.round(F.col("support") * n / F.col("confidence"))
+    rules = tried.where(lower_bound(F.col("confidence"), rows, NormalDist().inv_cdf(1 - risk / m)) > base)
+    # Each rule names its parts, so no item that many rules share is a key.
+    named = rules.select("items", "confidence", F.explode(_parts(F.col("items"))).alias("part"))
+    weaker = named.where(F.size("part") < F.size("items")).alias("a").join(
+        rules.select(F.col("items").alias("part"), F.col("confidence").alias("other")), "part").where(
+        "other >= confidence").select("items").distinct()
     kept = rules.join(weaker, "items", "left_anti")
     return kept.withColumn("rule_id", F.xxhash64(F.array_join("items", "\n")))
 

@@ -101,6 +101,26 @@ def test_mined_url_rules(spark):
     assert got == {1: "block", 2: "allow", None: "allow"}
 
 
+def test_rules_need_no_fixed_number_of_rows(spark):
+    """Few rows are enough where they are sure, and many are not where chance would do as well."""
+    few = [(f"http://bad.example.net/x/{i}", True) for i in range(14)]
+    few += [(f"http://ok.example.org/{i}", False) for i in range(14)]
+    mined = url_rules.mine(spark.createDataFrame(few, "url string, blocked boolean"))
+    assert ("host=bad.example.net",) in {tuple(r["items"]) for r in as_rows(mined)}
+    rng = random.Random(3)
+    noise = [(f"http://h{'abcdefghij'[rng.randrange(10)]}.example.net/p{'klmnopqrst'[rng.randrange(10)]}/{i}", rng.random() < 0.5)
+             for i in range(400)]
+    assert url_rules.mine(spark.createDataFrame(noise, "url string, blocked boolean")).count() == 0
+    for same in (True, False):  # nothing to tell apart
+        assert url_rules.mine(spark.createDataFrame([(u, same) for u, _ in few], "url string, blocked boolean")).count() == 0
+
+
+def test_parts_of_a_rule(spark):
+    df = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],)], "items array<string>")
+    got = [sorted(map(tuple, r[0])) for r in df.select(url_rules._parts(F.col("items"))).collect()]
+    assert got == [[("a",)], [("a",), ("b",)], [("a",), ("a", "b"), ("a", "c"), ("b",), ("b", "c"), ("c",)]]
+
+
 def test_no_labels_mine_no_rules(spark):
     assert url_rules.mine(spark.createDataFrame([], "url string, blocked boolean")).count() == 0
 
