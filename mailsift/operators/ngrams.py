@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import compact
 from ..storage import materialise
-from .joins import is_small, join_small
-from .ranking import top_k
+from .joins import join_small
 
 SIZE = 3
 #: Bits of one character in a gram's number; code points are raised by one, so that 0 is the padding.
@@ -156,26 +155,31 @@ def lookups(index: GramIndex, terms: DataFrame, form: str = "lower", probes: int
     asked = materialise(_with_grams(given.where("shown != ''"), "shown", drop_text=False), "term-grams")
     known = index.grams.where(F.col("form") == form).select("gram", "df")
     short = F.char_length("shown") < SIZE
-    found = asked.where(~short).join(known, "gram", "left")
-    hopeless = found.where("df is null").select("term").distinct()
-    rare = top_k(found.join(hopeless, "term", "left_anti"), ["term"], [F.col("df"), F.col("gram")], probes, rank="place")
-    long = rare.withColumn("bit", F.pow(F.lit(2), F.col("place") - 1).cast("long"))
-    need = long.groupBy("term").agg(F.sum("bit").alias("need"))
-    long = long.join(need, "term").select("gram", "term", "shown", "bit", "need")
-    held = known.select("gram", F.explode(_pieces(F.col("gram"))).alias("piece"))
-    brief = asked.where(short).withColumnRenamed("gram", "piece").join(held, "piece").select(
-        "gram", "term", "shown", F.lit(1).cast("long").alias("bit"), F.lit(1).cast("long").alias("need"))
-    both = long.unionByName(brief).withColumn("form", F.lit(form)).withColumn("bucket", _bucket(index.buckets))
+    # A term has no more grams than characters; a gram that no text holds sorts first, without a count.
+    sorted_ = asked.where(~short).join(known, "gram", "left").groupBy("term", "shown").agg(
+        F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams")).where("grams[0].df is not null")
+    rare = sorted_.select("term", "shown", F.slice("grams", 1, probes).alias("rare"))
+    both = rare.select("term", "shown", (F.pow(F.lit(2), F.size("rare")).cast("long") - 1).alias("need"),
+                       F.posexplode("rare").alias("place", "g")).select(
+        F.col("g.gram").alias("gram"), "term", "shown", F.pow(F.lit(2), F.col("place")).cast("long").alias("bit"), "need")
+    if not asked.where(short).isEmpty():
+        held = known.select("gram", F.explode(_pieces(F.col("gram"))).alias("piece"))
+        one = F.lit(1).cast("long")
+        both = both.unionByName(asked.where(short).withColumnRenamed("gram", "piece").join(held, "piece").select(
+            "gram", "term", "shown", one.alias("bit"), one.alias("need")))
+    both = both.withColumn("form", F.lit(form)).withColumn("bucket", _bucket(index.buckets))
     return materialise(both.drop("form"), "gram-lookups")
 
 
 def asked_postings(index: GramIndex, wanted: DataFrame, form: str, fields=None) -> DataFrame:
     """The postings in the folders of the wanted grams; of few grams, also only the row groups that may hold them."""
-    # At most as many numbers as there are buckets.
-    rows = index.postings.where((F.col("form") == form) & F.col("bucket").isin(
-        [r["bucket"] for r in wanted.select("bucket").distinct().collect()]))
-    if is_small(wanted, NAMED_GRAMS):
-        rows = rows.where(F.col("gram").isin([r["gram"] for r in wanted.select("gram").distinct().collect()]))
+    named = wanted.select("bucket", "gram").distinct().limit(NAMED_GRAMS + 1).collect()
+    rows = index.postings.where(F.col("form") == form)
+    if len(named) <= NAMED_GRAMS:
+        rows = rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in named})) & F.col("gram").isin(
+            [r["gram"] for r in named]))
+    else:  # at most as many numbers as there are buckets
+        rows = rows.where(F.col("bucket").isin([r["bucket"] for r in wanted.select("bucket").distinct().collect()]))
     return rows if fields is None else rows.where(F.col("field").isin(list(fields)))
 
 
