@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..storage import materialise
 
@@ -24,40 +25,52 @@ PART_KEYS = 1_000_000
 ONCE, TWICE, MARK = 0, 1, 2
 
 
-def blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, extra=None) -> DataFrame:
+def blocks(df: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, extra: list[Column] | None = None) -> DataFrame:
     """A stored table (block, keys, lengths, texts, n_bytes) of all rows of `df`; see `texts_of`.  Keys are text.
 
-    `extra` is a text column that is carried along, as `extra`.
+    `extra` are columns that are carried along, as one Arrow stream per block: `extra`, a binary column.
     """
 
-    def block(number, keys, texts, size, more) -> pd.DataFrame:
+    carries, any_extra = extra is not None, bool(extra)
+
+    def block(number, keys, texts, size, more) -> pa.RecordBatch:
         lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8").tobytes()
         packed = zstandard.ZstdCompressor(level=3).compress(b"".join(t for t in texts if t is not None))
-        return pd.DataFrame({"block": [number], "keys": [keys], "lengths": [lengths], "texts": [packed], "n_bytes": [size],
-                             "extra": [more]})
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = {"block": pa.array([number], pa.int64()), "keys": pa.array([keys], pa.list_(pa.string())),
+                   "lengths": pa.array([lengths], pa.binary()), "texts": pa.array([packed], pa.binary()),
+                   "n_bytes": pa.array([size], pa.int64())}
+        if any_extra:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, more[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in more:
+                    stream.write_batch(part)
+            columns["extra"] = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        elif carries:
+            columns["extra"] = pa.array([b""], pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
+
+    def pack(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         keys, texts, size, more = [], [], 0, []
-        for frame in frames:
-            for k, t, e in zip(frame["_key"].tolist(), frame["_text"].tolist(), frame["_extra"].tolist()):
-                t = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else None
-                keys.append(k if isinstance(k, str) else None)
+        for batch in found:
+            others = batch.select(batch.schema.names[2:])
+            begin = 0
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                keys.append(k)
                 texts.append(t)
-                more.append(e)
                 size += len(t or b"")
                 if size + 16 * len(texts) >= block_bytes:
-                    yield block(number, keys, texts, size, more)
-                    number, keys, texts, size, more = number + 1, [], [], 0, []
+                    yield block(number, keys, texts, size, [*more, others.slice(begin, i + 1 - begin)])
+                    number, keys, texts, size, more, begin = number + 1, [], [], 0, [], i + 1
+            if begin < batch.num_rows:
+                more.append(others.slice(begin))
         if keys:
             yield block(number, keys, texts, size, more)
 
-    # Nullable whole numbers would become floating point in pandas; they travel as text.
-    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"),
-                     (F.lit(None).cast("string") if extra is None else extra).alias("_extra"))
-    packed = rows.mapInPandas(
-        pack, "block long, keys array<string>, lengths binary, texts binary, n_bytes long, extra array<string>")
-    return materialise(packed.drop("extra") if extra is None else packed, "blocks")
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).cast("string").cast("binary").alias("_text"),
+                     *(extra or []))
+    schema = "block long, keys array<string>, lengths binary, texts binary, n_bytes long"
+    return materialise(rows.mapInArrow(pack, schema + ", extra binary" if carries else schema), "blocks")
 
 
 def texts_of(row) -> list[bytes | None]:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.joins import join_small
 from ..storage import materialise
 from .components import components
 
@@ -37,6 +38,15 @@ def open_members(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return standing.join(split.select("cluster", "n"), "cluster")
 
 
+def open_clusters(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same, from known clusters (node, root); members of a large cluster are shared out over tasks."""
+    standing = materialise(clusters.withColumnRenamed("root", "cluster").join(roots, "node", "left").select(
+        "cluster", "node", F.coalesce("root", "node").alias("root")), "clusters")
+    split = standing.groupBy("cluster").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2")
+    return join_small(standing, split.select("cluster", "n"), ["cluster"], "node")
+
+
 def packed_sets(column: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in column]
 

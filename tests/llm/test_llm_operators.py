@@ -297,7 +297,7 @@ def test_lines_against_brute_force(spark, empty):
     lines = []
     for i, t in enumerate(texts):
         lines += [(i, p, x) for p, x in enumerate((t or "").split("\n")) if x.strip()]
-    sets = [{x.encode()[k:k + 8] for k in range(len(x.encode()) - 7)} or {x.encode()} for _, _, x in lines]
+    sets = [{x[k:k + 5] for k in range(len(x) - 4)} or {x} for _, _, x in lines]
     roots = union(len(lines), [(a, b) for a in range(len(lines)) for b in range(a)
                                if lines[a][2] == lines[b][2] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     gone = {lines[i][:2] for i in range(len(lines)) if roots[i] != i}
@@ -308,6 +308,102 @@ def test_lines_against_brute_force(spark, empty):
     assert fuzzy_lines.dedup_lines(empty).count() == 0
 
 
+def line_links(lines, size=5):
+    """The pairs of lines that are alike, by their sets of code points."""
+    sets = [{x[k:k + size] for k in range(len(x) - size + 1)} or {x} for x in lines]
+    return [(a, b) for a in range(len(lines)) for b in range(a)
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
+def test_line_sets_are_of_code_points():
+    rng = random.Random(3)
+    alphabet = "abcdef é한국어\U0001f600"
+    lines = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    lines += [x[:-1] + "z" for x in lines[::3]] + lines[:20] + ["a" * 70000, "b" * 300]
+    sets = [{x[k:k + 5] for k in range(len(x) - 4)} or {x} for x in lines]
+    packed = [x.encode() for x in lines]
+    assert [len(s) for s in fuzzy_lines.line_sets(packed, 5)] == [len(s) for s in sets]
+    assert fuzzy_lines.set_sizes(packed, 5).tolist() == [len(s) for s in sets]
+    other = packed[::-1]
+    assert fuzzy_lines.percents(packed, other, 5).tolist() == [
+        100 * len(a & b) // len(a | b) for a, b in zip(sets, sets[::-1])]
+
+
+def test_alike_lines_are_found_at_every_length(spark):
+    rng = random.Random(12)
+    lines = []
+    for low, high, letters in ((10, 30, "abcdefghij "), (30, 50, "abcdefghij "), (50, 80, "abcdefghij "),
+                               (80, 200, "abcdefghij "), (50, 80, "가나다라마바사아자차 ")):
+        for _ in range(60):
+            x = "".join(rng.choice(letters) for _ in range(rng.randrange(low, high))).strip() + "."
+            at = rng.choice((0, len(x) - 1, rng.randrange(len(x))))
+            lines += [x, x[:at] + "q" + x[at + 1:]]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    links = line_links(lines)
+    assert len(links) > 150
+    roots = union(len(lines), links)
+    found = {r["doc_id"] for r in as_rows(fuzzy_lines.dedup_lines(docs)) if r["n_removed"]}
+    assert found <= {i for i in range(len(lines)) if roots[i] != i}
+    for low, high in ((0, 50), (50, 80), (80, 300)):
+        gone = {i for i in range(len(lines)) if roots[i] != i and low <= len(lines[i]) < high}
+        assert len(found & gone) >= 0.95 * len(gone) > 0
+
+
+def test_lines_whose_leaders_are_unlike_both_are_found(spark):
+    """All lines share a long passage, so buckets are crowded, and pairs differ in one letter of their own part."""
+    rng = random.Random(14)
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60)).strip()
+    lines = []
+    for _ in range(150):
+        own = "".join(rng.choice("abcdefghijklmnop ") for _ in range(120)).strip()
+        lines += [passage + own, passage + own[:-1] + "Z"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    roots = union(len(lines), line_links(lines))
+    found = {r["doc_id"] for r in as_rows(fuzzy_lines.dedup_lines(docs)) if r["n_removed"]}
+    assert found == {i for i in range(len(lines)) if roots[i] != i} and len(found) >= 150
+
+
+def test_strays_of_small_and_large_buckets_meet(spark):
+    x = "the same long line of text with a number 1 in it and some more words"
+    lines = [x, x.replace("1", "2"), "something else that is not like the other two lines at all", "a fourth line, unlike"]
+    rows = [(7, i, len(t) - 4, i, i != 3) for i, t in enumerate(lines)]
+    strays = spark.createDataFrame(rows, "bucket long, node long, n_shingles long, root long, stray boolean").selectExpr(
+        "*", "3L as strays", "4L as n")
+    sets = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(lines)], "node long, `set` binary")
+    many = strays.withColumn("n", F.col("n") + fuzzy_lines.SMALL_BUCKET)
+    for members in (strays, many):
+        links = fuzzy_lines._links_of_strays(members, sets, 5, 80, 512)
+        assert {(r["a"], r["b"]) for r in as_rows(links)} == {(1, 0)}
+
+
+def test_lines_leave_other_columns_alone(spark):
+    line = "a line that stands in all of the texts"
+    docs = spark.sql(f"""SELECT id AS doc_id, CASE WHEN id = 3 THEN NULL ELSE '{line}\\nown ' || id END AS text,
+        TIMESTAMP '2020-01-01 01:02:03.123456' AS at, 7 AS n_lines, 'x' AS input_n_lines, map(id, double('NaN')) AS m,
+        CAST(1.10 AS DECIMAL(9, 2)) AS price, X'00ff' AS raw, CAST(NULL AS STRING) AS none, 'k' AS _key,
+        named_struct('a', array(id, NULL)) AS deep FROM range(5)""")
+    got = fuzzy_lines.dedup_lines(docs).orderBy("doc_id")
+    assert got.columns == ["doc_id", "text", "at", "input_input_n_lines", "input_n_lines", "m", "price", "raw", "none", "_key",
+                           "deep", "n_lines", "n_removed"]
+    for r, d in zip(got.collect(), docs.orderBy("doc_id").collect()):
+        assert (r["at"], r["input_input_n_lines"], r["price"], r["raw"], r["none"], r["deep"]) == (
+            d["at"], 7, d["price"], d["raw"], None, d["deep"]) and str(r["m"]) == str(d["m"])
+        assert r["n_lines"] == (0 if r["doc_id"] == 3 else 2)
+        assert r["text"] == {0: line + "\nown 0", 3: None}.get(r["doc_id"], f"own {r['doc_id']}")
+
+
+def test_lines_of_repeated_keys_do_not_depend_on_order(spark):
+    rows = [(1, "a line of two texts\nfirst"), (1, "a line of two texts\nsecond"), (1, "a line of two texts\nfirst"),
+            (None, "a line of two texts"), (0, "zero")]
+    results = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        results.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_removed"])
+                              for r in as_rows(fuzzy_lines.dedup_lines(docs))))
+    assert results[0] == results[1]
+    assert sum(r[3] for r in results[0]) == 3 and (True, 0, "a line of two texts", 0) in results[0]
+
+
 # --- pages ---------------------------------------------------------------------------------------------------------
 
 def test_marked_pages():
