@@ -297,7 +297,7 @@ def test_lines_against_brute_force(spark, empty):
     lines = []
     for i, t in enumerate(texts):
         lines += [(i, p, x) for p, x in enumerate((t or "").split("\n")) if x.strip()]
-    sets = [{x[k:k + 6] for k in range(len(x) - 5)} or {x} for _, _, x in lines]
+    sets = [{x[k:k + 8] for k in range(len(x) - 7)} or {x} for _, _, x in lines]
     roots = union(len(lines), [(a, b) for a in range(len(lines)) for b in range(a)
                                if lines[a][2] == lines[b][2] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     gone = {lines[i][:2] for i in range(len(lines)) if roots[i] != i}
