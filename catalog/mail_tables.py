@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailsift import constants as C
 from mailsift.functions import clean
-from mailsift.operators import attachments, filters, incremental, ranking, threads
+from mailsift.operators import attachments, filters, incremental, ranking, saved_specs, threads
 from mailsift.sources import manifest, tables
 from mailsift.streaming import ingest
 from mailsift.storage import materialise, new_path
@@ -219,6 +219,30 @@ def saved_search_match(spark, sf_dir):
     return filters.match_saved(mail(spark, sf_dir), SPECS)
 
 
+def saved_search_index(spark, sf_dir):
+    """Three saved specifications for each mail that is labelled as toxic, as a table, and those of `saved_search_match`."""
+    mails = mail(spark, sf_dir)
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(
+        F.col("doc_id").cast("string").alias("no")).distinct()
+    seeds = mails.join(labelled, "no", "left_semi")
+
+    def condition(field, op, *values):
+        held = F.array(*values) if op == "between" else values[0]
+        return F.to_json(F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), held.alias("value")))
+
+    def saved(name, logic, *conditions):
+        asked = F.format_string('{"logic": "%s", "filters": [%s]}', F.lit(logic), F.concat_ws(", ", *conditions))
+        return F.struct(F.concat(F.lit(f"{name}-"), "no").alias("spec"), asked.alias("definition"))
+
+    sender, time, month = F.col("senderemail"), F.col("deliverytime"), F.col("month")
+    made = seeds.where(sender.isNotNull() & time.isNotNull() & month.isNotNull()).select(F.explode(F.array(
+        saved("later", "and", condition("deliverytime", "gt", time), condition("senderemail", "eq", sender)),
+        saved("month", "and", condition("month", "between", month, month), condition("stage", "neq", F.lit("error"))),
+        saved("either", "or", condition("deliverytime", "eq", time), condition("senderemail", "ilike", F.upper(sender))),
+    )).alias("s")).select("s.*")
+    return saved_specs.match_table(mails, made.unionByName(saved_specs.spec_rows(spark, SPECS)))
+
+
 # --- joins and orders ----------------------------------------------------------------------------------------
 
 def fetch_bodies(spark, sf_dir):
@@ -426,6 +450,15 @@ ENTRIES = {
         FROM mail WHERE {SPEC_SQL["or"]} ORDER BY {NEWEST_SQL} LIMIT 50"""),
     "saved_search_match": (saved_search_match, f"WITH {MAIL_SQL} " + " UNION ALL ".join(
         f"SELECT '{name}' AS spec, no FROM mail WHERE {where}" for name, where in SPEC_SQL.items())),
+    "saved_search_index": (saved_search_index, f"WITH {MAIL_SQL}, seeds AS (SELECT * FROM mail WHERE senderemail IS NOT NULL "
+        "AND deliverytime IS NOT NULL AND month IS NOT NULL AND no IN "
+        "(SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)) "
+        "SELECT 'later-' || s.no AS spec, m.no FROM seeds s JOIN mail m ON m.senderemail = s.senderemail "
+        "AND m.deliverytime > s.deliverytime UNION ALL "
+        "SELECT 'month-' || s.no AS spec, m.no FROM seeds s JOIN mail m ON m.month = s.month AND m.stage <> 'error' UNION ALL "
+        "SELECT 'either-' || s.no AS spec, m.no FROM seeds s JOIN mail m ON m.deliverytime = s.deliverytime "
+        "OR contains(lower(m.senderemail), lower(s.senderemail)) UNION ALL " + " UNION ALL ".join(
+        f"SELECT '{name}' AS spec, no FROM mail WHERE {where}" for name, where in SPEC_SQL.items())),
     "fetch_bodies": (fetch_bodies, f"""WITH {MAIL_SQL} SELECT h.no, m.subject, m.plaintextbody FROM
         (SELECT CAST(doc_id AS VARCHAR) AS no FROM labels WHERE quality = 1) h LEFT JOIN mail m USING (no)"""),
     "case_thread": (case_thread, f"""WITH {MAIL_SQL} SELECT primary_case, no, deliverytime, subject, sendername FROM mail
