@@ -104,7 +104,7 @@ def manifest_check(spark, sf_dir):
     return manifest.violations(files, wanted.unionByName(extra))
 
 
-def stream_ingest_dedupe(spark, sf_dir):
+def _loaded_stream(spark, sf_dir, append):
     """All events as a stream: newest files first, many batches, repeats across batches, unreadable times."""
     landing = new_path(spark, "landing")
     events = table(spark, sf_dir, "events").select(
@@ -114,10 +114,18 @@ def stream_ingest_dedupe(spark, sf_dir):
      .repartitionByRange(6, F.xxhash64("event_type", "no", F.rand(1))).write.parquet(landing))
     stream = ingest.read_landing(spark, landing, spark.read.parquet(landing).schema, files_per_batch=2)
     out, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
-    ingest.append_new(stream, out, checkpoint, "no", "ts").awaitTermination()
+    append(stream, out, checkpoint, "no", "ts").awaitTermination()
     return spark.read.parquet(out).select("no", "event_type", F.col("ts").isNotNull().alias("timed"))
 
 
+def stream_ingest_dedupe(spark, sf_dir):
+    return _loaded_stream(spark, sf_dir, ingest.append_new)
+
+
+def stream_ingest_state(spark, sf_dir):
+    return _loaded_stream(spark, sf_dir, ingest.append_by_state)
+
+
 # --- filters -------------------------------------------------------------------------------------------------
 
 def project_optional(spark, sf_dir):
@@ -419,6 +427,8 @@ ENTRIES = {
     "manifest_check": (manifest_check, None),
     "stream_ingest_dedupe": (stream_ingest_dedupe,
                              "SELECT CAST(event_id AS VARCHAR) AS no, event_type, event_id % 17 <> 0 AS timed FROM events"),
+    "stream_ingest_state": (stream_ingest_state,
+                            "SELECT CAST(event_id AS VARCHAR) AS no, event_type, event_id % 17 <> 0 AS timed FROM events"),
     "project_optional": (project_optional, f"WITH {MAIL_SQL} SELECT {', '.join(C.RESULT_COLUMNS)}, lpo_numbers, rowkey "
                                            "FROM mail"),
     "norm_ids": (norm_ids, rf"""WITH {RAW_SQL} SELECT regexp_replace(no, '\.0$', '') AS no,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.chunking import chunk_table
 from ..operators.incremental import new_rows
@@ -48,3 +52,48 @@ def load_mail(spark: SparkSession, landing: str, schema, mail_path: str, chunk_p
     append_new(landed, mail_path, f"{checkpoint}/mail", "no", time).awaitTermination()
     loaded = spark.readStream.schema(spark.read.parquet(mail_path).schema).parquet(mail_path)
     append_stream(chunk_table(loaded), chunk_path, f"{checkpoint}/chunks").awaitTermination()
+
+
+def _as_text(column: Column, kind: T.DataType) -> Column:
+    return (F.unix_micros(column) if isinstance(kind, T.TimestampType) else column).cast("string")
+
+
+def _from_text(column: Column, kind: T.DataType) -> Column:
+    return F.timestamp_micros(column.cast("long")) if isinstance(kind, T.TimestampType) else column.cast(kind)
+
+
+def _first_of_key(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first row of a key that has no state yet; its state is the mark that it was taken."""
+    rows = pd.concat(list(frames))
+    if not state.exists:
+        state.update((True,))
+        yield rows.sort_values(["_order", "_tie"]).head(1)
+
+
+def first_rows(stream: DataFrame, key: str, time: str) -> DataFrame:
+    """The rows of a stream whose key comes for the first time, one per key; `time` must be a timestamp.
+
+    Of rows in one micro-batch the earliest is taken (those without a time last, ties by a hash of the row); rows without
+    a key never.  Keys taken are keyed state in the query's checkpoint, so a batch looks up its own keys only, however large
+    the table is, and no row is too late.  State is one mark per key and never expires: with very many keys the session
+    should name Spark's RocksDB state store.  Columns must be of plain types.
+    """
+    fields = stream.schema.fields
+    odd = [f.name for f in fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    if odd:
+        raise ValueError(f"columns of a nested or binary type: {', '.join(odd)}")
+    # Python sees text only, which keeps every value as it is.
+    order = F.coalesce(F.unix_micros(time), F.lit((1 << 63) - 1))
+    held = [_as_text(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)]
+    asked = stream.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("_key"), order.alias("_order"), F.xxhash64(*[f"`{f.name}`" for f in fields]).alias("_tie"),
+        *held)
+    first = asked.groupBy("_key").applyInPandasWithState(
+        _first_of_key, asked.schema, "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    return first.select([_from_text(F.col(f"c{i}"), f.dataType).alias(f.name) for i, f in enumerate(fields)])
+
+
+def append_by_state(stream: DataFrame, path: str, checkpoint: str, key: str, time: str) -> StreamingQuery:
+    """As `append_new`, into a table of its own, by keyed state instead of a look into the table; see `first_rows`."""
+    clean = normalise(stream).withColumn(time, F.col(time).try_cast("timestamp"))
+    return append_stream(first_rows(clean, key, time), path, checkpoint)
