@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from mailsift import constants as C
-from mailsift.functions import chunking, entities, text
-from mailsift.operators import bm25, containment, evaluate, exact, fusion, inverted_file, ngrams, ranking, vectors
+from mailsift.functions import chunking, clean, entities, text
+from mailsift.operators import bm25, containment, evaluate, exact, fusion, inverted_file, ngrams, ranking, threshold, vectors
 from mailsift.plans import search as plans
 from mailsift.storage import materialise, new_path
 from .common import (CASE_QUERIES, DECISIONS, ENTITIES, GLOSSARY, HELD_SQL, IDENTIFIER_QUERIES, INDEX_SQL, MAIL_SQL, NEWEST_SQL,
@@ -285,6 +285,16 @@ def hybrid_search(spark, sf_dir):
     return tidy(found.select("query_id", "no", "bm25_score", "cosine_score", "score", "position"))
 
 
+def fused_lists(spark, sf_dir):
+    """All hits of each benchmark text by score and by time, fused without reading both lists to the end."""
+    by_words = materialise(bm25.match_scores(index(spark, sf_dir), view(spark, sf_dir, QUERIES)), "all-hits")
+    times = mail(spark, sf_dir).select("no", F.unix_seconds(clean.timestamp(F.col("deliverytime"))).alias("score"))
+    lists = {"words": by_words.withColumnRenamed("bm25_score", "score"),
+             "time": by_words.select("query_id", "no").join(times, "no").withColumn("score", F.col("score").cast("double"))}
+    found = threshold.fused_top(threshold.write_ranks(lists), 10, {"words": 10.0, "time": 8.0})
+    return tidy(found.select("query_id", "no", "score", "position"))
+
+
 def filtered_keyword_search(spark, sf_dir):
     ranked = _keyword(spark, sf_dir, CASE_QUERIES, allowed=held(spark, sf_dir))
     return tidy(ranked.select("query_id", "no", "mode", "exact_tier", "exact_rank", "score", "position"))
@@ -658,6 +668,14 @@ ENTRIES = {
                        FULL JOIN near USING (query_id, no)), {rerank_ctes('candidates', 'asked')}
         SELECT query_id, no, round(bm25_score, 6) AS bm25_score, round(cosine_score, 6) AS cosine_score,
                round(score, 6) AS score, position FROM ranked WHERE position <= 10"""),
+    "fused_lists": (fused_lists, f"""WITH {INDEX_SQL}, {QUERIES_CTE}, {bm25_sql('queries', 'hits')},
+        by_words AS (SELECT query_id, no, rank() OVER (PARTITION BY query_id ORDER BY bm25_score DESC) AS r FROM hits),
+        timed AS (SELECT h.query_id, h.no, floor(epoch({TIME_SQL})) AS t FROM hits h JOIN mail m USING (no)),
+        by_time AS (SELECT query_id, no, rank() OVER (PARTITION BY query_id ORDER BY t DESC) AS r FROM timed
+                    WHERE t IS NOT NULL),
+        fused AS (SELECT query_id, no, round(10.0 / (60 + w.r) + coalesce(8.0 / (60 + t.r), 0), 9) AS score
+                  FROM by_words w LEFT JOIN by_time t USING (query_id, no))
+        SELECT query_id, no, round(score, 6) AS score, position FROM ({top_sql('fused', 'score DESC, no', 10)})"""),
     "filtered_keyword_search": (filtered_keyword_search, f"""WITH {INDEX_SQL}, {HELD_SQL},
         {exact_ctes(20, CASE_QUERIES, 'held')}, {bm25_sql('asked', 'hits')},
         hits_top AS ({top_sql('(SELECT * FROM hits WHERE no IN (SELECT no FROM held))', 'round(bm25_score, 9) DESC, no', 20,
