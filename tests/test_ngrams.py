@@ -5,6 +5,7 @@ import io
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,37 @@ def test_exact_search_by_index_and_by_scan(spark):
         by_index = exact.exact_search(mail, queries, 10, some, index)
         assert sorted(by_index.collect()) == sorted(by_scan.collect())
         assert by_scan.count() > 5
+
+
+def grams_of(text):
+    pieces = {text[i:i + n] for i in range(len(text)) for n in (1, 2, 3)}
+    return {int(g) for piece in pieces if piece for g in ngrams.gram_numbers(piece)}
+
+
+def test_packed_postings_in_small_slices(monkeypatch, rows):
+    """A row per gram, slice and field, however the texts fall into batches, chunks, slices and segments."""
+    monkeypatch.setattr(ngrams, "CHARS_AT_ONCE", 50)
+    monkeypatch.setattr(ngrams, "PAIRS_AT_ONCE", 400)
+    given = [("lower", f, 1 + i // 150, i % 150, t) for i, (_, f, t) in enumerate(rows) if t]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("form", "field", "chunk", "place", "text"), r)) for r in given[a:a + 40]])
+               for a in range(0, len(given), 40)]
+    out = [r for b in ngrams._pack(iter(batches)) for r in b.to_pylist()]
+    names = [(r["form"], r["field"], r["gram"], r["chunk"], r["slice"]) for r in out]
+    assert len(set(names)) == len(names) and len({n[3:] for n in names}) > 10
+    assert all(r["n"] == len(r["places"]) and r["places"] == sorted(set(r["places"])) for r in out)
+    got = [(r["field"], r["gram"], r["chunk"], p) for r in out for p in r["places"]]
+    assert len(got) == len(set(got))
+    assert set(got) == {(f, g, c, p) for _, f, c, p, t in given for g in grams_of(t)}
+
+
+def test_postings_are_lists_of_a_chunk(spark):
+    """Index and candidates have rows per gram and chunk, not per gram and text, and a repeated text comes back once."""
+    texts = spark.range(400).selectExpr("cast(id % 399 as string) AS key", "'body' AS field", "concat('the same words ', id % 2) AS text")
+    made = new_path(spark, "grams-test")
+    ngrams.write_grams(texts.coalesce(2), made, buckets=2, parts=2)
+    index = ngrams.read_grams(spark, made)
+    assert index.postings.count() <= 2 * index.grams.count() and index.postings.agg(F.sum("n")).first()[0] > 10_000
+    given = spark.createDataFrame([("same words 1",), ("e",)], "term string")
+    assert ngrams.candidates(index, ngrams.lookups(index, given)).count() <= 4
+    found = ngrams.find_terms(index, given).groupBy("term").count()
+    assert {r["term"]: r["count"] for r in found.collect()} == {"same words 1": 200, "e": 399}
