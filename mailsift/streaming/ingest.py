@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.chunking import chunk_table
 from ..operators.incremental import new_rows
 from ..sources.tables import normalise
 
+#: Tasks that a micro-batch's rows are shared out over by key; each holds its share.
+PARTS = 64
+
 
 def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -62,21 +65,26 @@ def _from_text(column: Column, kind: T.DataType) -> Column:
     return F.timestamp_micros(column.cast("long")) if isinstance(kind, T.TimestampType) else column.cast(kind)
 
 
-def _first_of_key(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first row of a key that has no state yet; its state is the mark that it was taken."""
-    rows = pd.concat(list(frames))
-    if not state.exists:
-        state.update((True,))
-        yield rows.sort_values(["_order", "_tie"]).head(1)
+def _first_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of every key among the rows of one task, by `_order` and `_tie`."""
+    held = list(batches)
+    if held:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows, [("_key", "ascending"), ("_order", "ascending"), ("_tie", "ascending")]))
+        keys = rows["_key"].combine_chunks()
+        new = pc.not_equal(keys.slice(1), keys.slice(0, max(0, len(keys) - 1)))
+        first = pa.concat_arrays([pa.array([True] * min(1, len(keys)), pa.bool_()), new])
+        yield from rows.filter(first).to_batches(max_chunksize=10_000)
 
 
-def first_rows(stream: DataFrame, key: str, time: str) -> DataFrame:
+def first_rows(stream: DataFrame, key: str, time: str, parts: int = PARTS) -> DataFrame:
     """The rows of a stream whose key comes for the first time, one per key; `time` must be a timestamp.
 
     Of rows in one micro-batch the earliest is taken (those without a time last, ties by a hash of the row); rows without
-    a key never.  Keys taken are keyed state in the query's checkpoint, so a batch looks up its own keys only, however large
-    the table is, and no row is too late.  State is one mark per key and never expires: with very many keys the session
-    should name Spark's RocksDB state store.  Columns must be of plain types.
+    a key never.  Rows of a key meet in one task of `parts`, which sorts its share of the batch at once; what is left has a
+    key once per batch, and Spark drops the keys of earlier batches.  Keys taken are keyed state in the query's checkpoint, so
+    a batch looks up its own keys only, however large the table is, and no row is too late.  State is one mark per key and
+    never expires: with very many keys the session should name Spark's RocksDB state store.  Columns must be of plain types.
     """
     fields = stream.schema.fields
     odd = [f.name for f in fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
@@ -88,8 +96,7 @@ def first_rows(stream: DataFrame, key: str, time: str) -> DataFrame:
     asked = stream.where(F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("_key"), order.alias("_order"), F.xxhash64(*[f"`{f.name}`" for f in fields]).alias("_tie"),
         *held)
-    first = asked.groupBy("_key").applyInPandasWithState(
-        _first_of_key, asked.schema, "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    first = asked.repartition(parts, "_key").mapInArrow(_first_of_keys, asked.schema).dropDuplicates(["_key"])
     return first.select([_from_text(F.col(f"c{i}"), f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 

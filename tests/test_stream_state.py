@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 
 from mailsift.streaming import ingest
@@ -49,3 +50,19 @@ def test_first_row_of_each_key_over_batches_and_restarts(spark, tmp_path):
 def test_nested_columns_are_refused(spark):
     with pytest.raises(ValueError, match="nested or binary type: tags"):
         ingest.first_rows(spark.createDataFrame([], "no string, arrived timestamp, tags array<string>"), "no", "arrived")
+
+
+def test_first_of_keys_in_one_task():
+    rows = [{"_key": k, "_order": o, "_tie": t, "c0": f"{k}{o}{t}"} for k in "bac" for o in (3, 1, 2) for t in (9, -1)]
+    batches = [pa.RecordBatch.from_pylist(rows[i:i + 4]) for i in range(0, len(rows), 4)]
+    out = [r["c0"] for b in ingest._first_of_keys(iter(batches)) for r in b.to_pylist()]
+    assert out == ["a1-1", "b1-1", "c1-1"]
+    assert list(ingest._first_of_keys(iter([]))) == [] and not sum(
+        b.num_rows for b in ingest._first_of_keys(iter([batches[0].slice(0, 0)])))
+
+
+def test_no_python_call_per_key(spark, tmp_path):
+    land(spark, f"{tmp_path}/landing", [(str(i % 3000), "2024-01-02", i, 0.1, None, "x") for i in range(6000)])
+    query = load(spark, tmp_path)
+    assert [s["operatorName"] for p in query.recentProgress for s in p["stateOperators"][:1]][0] == "dedupe"
+    assert len(loaded(spark, tmp_path)) == 3000
