@@ -57,3 +57,18 @@ def test_files_grow_in_number_not_in_size(spark, mail, monkeypatch):
     files = stored.postings.groupBy(F.input_file_name().alias("file")).count().collect()
     assert max(r["count"] for r in files) < 60 and len({re.search(r"bucket=\d+", r["file"])[0] for r in files}) == 2
     assert stored.postings.count() == 120 and stored.totals() == (60, 2.0)
+
+
+def test_a_word_is_shuffled_once_and_tasks_grow_with_the_hits(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "HITS_PER_TASK", 10)
+    many = spark.range(60).select(F.col("id").cast("string").alias("no"), F.lit("customs port").alias("plaintextbody"))
+    path = new_path(spark, "index")
+    bm25.write_index(bm25.build_index(many), path, buckets=4)
+    asked = spark.createDataFrame([(i, "customs") for i in range(5)], "query_id long, query_text string")
+    scores = bm25.match_scores(bm25.read_index(spark, path), asked)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        scores.explain("simple")
+    shuffles = re.findall(r"Exchange (\w+\(.*?\)), (\w+)", text.getvalue())
+    assert [(re.sub(r"#\d+", "", s), kind) for s, kind in shuffles] == [("hashpartitioning(no, 32)", "REPARTITION_BY_NUM")]
+    assert scores.count() == 300 and scores.select("bm25_score").distinct().count() == 1
