@@ -72,3 +72,12 @@ def test_a_word_is_shuffled_once_and_tasks_grow_with_the_hits(spark, monkeypatch
     shuffles = re.findall(r"Exchange (\w+\(.*?\)), (\w+)", text.getvalue())
     assert [(re.sub(r"#\d+", "", s), kind) for s, kind in shuffles] == [("hashpartitioning(no, 32)", "REPARTITION_BY_NUM")]
     assert scores.count() == 300 and scores.select("bm25_score").distinct().count() == 1
+
+
+def test_tasks_grow_with_the_files_whatever_the_session_says(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "DOCS_PER_FILE", 1)
+    many = spark.range(60).select(F.col("id").cast("string").alias("no"), F.lit("customs port").alias("plaintextbody"))
+    path = new_path(spark, "index")
+    bm25.write_index(bm25.build_index(many), path, buckets=4)
+    files = bm25.read_index(spark, path).postings.select(F.input_file_name()).distinct().count()
+    assert files > 8  # two words, up to 16 files each
