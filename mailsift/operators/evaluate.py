@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
+from ..storage import materialise
 from .ranking import running_count
 
 
@@ -22,10 +23,13 @@ def read_query_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def scores(queries: DataFrame, results: DataFrame, truth: DataFrame, modes: list[str],
            k: int = C.EVAL_TOP_K) -> DataFrame:
-    """Per mode and query: result count, recall@k and MRR@k; both are NULL for a query without truth."""
-    top = results.where(F.col("position") <= k)
+    """Per mode and query: result count, recall@k and MRR@k; both are NULL for a query without truth.
+
+    Results and truth are read twice each and stand for whole searches, so both are written once.
+    """
+    top = materialise(results.where(F.col("position") <= k), "results")
     asked = queries.select("query_id", "category", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
-    expected = truth.distinct()
+    expected = materialise(truth.distinct(), "truth")
     wanted = expected.groupBy("query_id").agg(F.count("*").alias("expected"))
     found = top.groupBy("mode", "query_id").agg(F.count("*").alias("result_count"))
     hits = top.join(expected, ["query_id", "no"]).groupBy("mode", "query_id").agg(
