@@ -7,7 +7,8 @@ for any number of them:
 2. Conditions are resolved against the distinct values of the fields.  Equalities are keys.  Substrings are looked for all
    at the same time.  Ranges become nodes of a binary tree over the order of all bounds, and a value meets the nodes above
    its place; so both are joins by equality.  The result is (field, value, specification).
-3. Rows meet it by (field, value), and the whole specification is checked on what was met.
+3. Rows meet it by (field, value), and what is left of the specification is checked on the row where it is met: its other
+   conditions (`and`), or that no earlier condition of it holds in another field (`or`), so that a pair comes once.
 
 A specification that only negations or no condition at all can reach is checked on every row, as nearly every row passes.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import constants as C
 from ..functions.clean import any_of
 from ..storage import materialise
-from .containment import find_terms, text_fields
+from .containment import find_terms
 from .filters import _parts, _problems
 from .joins import join_small
 from .ranking import running_count
@@ -77,8 +78,9 @@ def _holds(texts: Column, condition: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _chosen(table: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The conditions (spec, field, op, values, kind) by which specifications are reached, and those (spec) without one."""
+def _chosen(table: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The conditions (spec, field, op, values, kind) by which specifications are reached, what is left to check of those
+    (spec, logic, left), and the specifications (spec, logic, conditions) without such a condition."""
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("op")]
     one = table.select("spec", "logic", F.posexplode("conditions").alias("place", "c")).select(
         "spec", "logic", "place", "c.field", "c.op", "c.values")
@@ -90,7 +92,24 @@ def _chosen(table: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = F.when(F.col("logic") == "and", F.col("best.kind")).otherwise(F.col("worst"))
     reached = best.where(least != NEGATED).select("spec", F.col("best.place").alias("best_place"))
     met = one.join(reached, "spec").where((F.col("logic") == "or") | (F.col("place") == F.col("best_place")))
-    return met.select("spec", "field", "op", "values", "kind"), table.select("spec").join(reached, "spec", "left_anti")
+    others = F.filter("conditions", lambda c, i: (F.col("logic") == "or") | (i != F.col("best_place")))
+    return (met.select("spec", "field", "op", "values", "kind"),
+            table.join(reached, "spec").select("spec", "logic", others.alias("left")),
+            table.join(reached.select("spec"), "spec", "left_anti"))
+
+
+def _passes(field: Column) -> Column:
+    """Whether a row that meets a specification by its value of `field` passes what is `left` of it.
+
+    All conditions of an `or` are left: the row counts where the first of them that holds is one of the field.
+    """
+    def held(c: Column) -> Column:
+        return _holds(F.col("texts"), c)
+
+    left, count = F.col("left"), F.size("left")
+    rest = F.when(count == 0, True).when(count == 1, held(left[0])).otherwise(F.forall(left, held))
+    later = F.when(count == 2, left[1]["field"] == field).otherwise(F.filter(left, held)[0]["field"] == field)
+    return F.when(F.col("logic") == "or", F.when(held(left[0]), left[0]["field"] == field).otherwise(later)).otherwise(rest)
 
 
 def _equalities(conditions: DataFrame, *more: str) -> DataFrame:
@@ -166,23 +185,24 @@ def match_table(df: DataFrame, specs: DataFrame, key: str = "no") -> DataFrame:
     Names of specifications are unique.  Rows with equal or null keys are judged one by one.
     """
     table = materialise(parsed(specs), "specifications")
-    present = [f for f in C.FILTER_FIELDS if f in df.columns]
+    used = table.select(F.explode("conditions.field").alias("field")).distinct()
+    # At most as many as there are fields to filter by.
+    asked = {r["field"] for r in used.collect()}
+    present = [f for f in C.FILTER_FIELDS if f in df.columns and f in asked]
     pairs = [x for f in present for x in (F.lit(f), F.col(f).cast("string"))]
-    rows = df.select(F.col(key).alias("key"), F.create_map(*pairs).alias("texts"))
-    used = F.broadcast(table.select(F.explode("conditions.field").alias("field")).distinct())
-    cells = text_fields(df, key, present).withColumnRenamed("text", "value").join(used, "field", "left_semi")
+    texts = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    rows = df.select(F.col(key).alias("key"), texts.alias("texts"))
+    cells = rows.select("key", "texts", F.explode("texts").alias("field", "value")).where(F.col("value").isNotNull())
     values = materialise(cells.groupBy("field", "value").agg(F.count("*").alias("n")), "values")
-    conditions, always = _chosen(table, values)
+    conditions, left, always = _chosen(table, values)
     conditions = materialise(conditions, "reached-by")
     access = _equalities(conditions).select("field", "value", "spec").unionByName(
-        _substrings(conditions, values)).unionByName(_ranges(conditions, values)).distinct()
-    met = join_small(cells, materialise(access, "access"), ["field", "value"], "key").select("key", "spec")
-    lanes = always.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    any_row = rows.select("key", F.pmod(F.xxhash64("key"), F.lit(LANES)).cast("int").alias("lane"))
-    met = met.unionByName(join_small(any_row, lanes, ["lane"], "key").select("key", "spec")).distinct()
-    met = met.withColumnRenamed("key", "met_key")
-    judged = join_small(met.join(rows, F.col("met_key").eqNullSafe(F.col("key"))), table, ["spec"], "key")
+        _substrings(conditions, values)).unionByName(_ranges(conditions, values)).distinct().join(left, "spec")
+    met = join_small(cells, materialise(access, "access"), ["field", "value"], "key").where(_passes(F.col("field")))
+    lanes = materialise(always, "any-row").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    any_row = rows.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(LANES)).cast("int"))
     tests = F.transform("conditions", lambda c: _holds(F.col("texts"), c))
     passed = F.when(F.col("logic") == "or", any_of([F.size("conditions") == 0, F.exists(tests, lambda t: t)])).otherwise(
         F.forall(tests, lambda t: t))
-    return judged.where(passed).select("spec", F.col("key").alias(key))
+    judged = join_small(any_row, lanes, ["lane"], "key").where(passed)
+    return met.select("spec", F.col("key").alias(key)).unionByName(judged.select("spec", F.col("key").alias(key)))
