@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import ranked
 from mailsift import session
 from mailsift.operators import bm25
 
@@ -48,6 +49,11 @@ def test_more_allowed_mails_than_can_be_broadcast(spark, large_tables, monkeypat
     assert sorted(few) == sorted(bm25.search(index, asked, 100, allowed.union(allowed)).collect())
 
 
+@pytest.mark.parametrize("query", [ranked.rerank_full])
+def test_mails_are_not_shuffled_for_their_hits(spark, sf_dir, large_tables, query):
+    assert "hashpartitioning(no" not in plan(query(spark, sf_dir))
+
+
 def test_tasks_read_a_bounded_part(spark):
     key = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
