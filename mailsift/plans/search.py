@@ -13,6 +13,7 @@ from ..operators.bilingual import bilingual_search, fallback_search
 from ..operators.bm25 import Index, only, search
 from ..operators.exact import exact_search, merge_exact
 from ..operators.fusion import rerank
+from ..operators.joins import join_small
 from ..operators.ngrams import GramIndex
 from ..operators.vectors import nearest, nearest_by_chunk
 from ..storage import materialise
@@ -49,7 +50,8 @@ def keyword_search(mail: DataFrame, index: Index, queries: DataFrame, k: int = C
                    allowed: DataFrame | None = None, grams: GramIndex | None = None) -> DataFrame:
     """Primary hits, exact identifier hits laid over them, fallback steps for empty queries, then the rerank.
 
-    Hits are ids and scores until the last step; they are written once, because three later steps read them.  Only
+    Hits are ids and scores until the last step; they are written once, because later steps read them several times, and
+    travel to the mails, which are not shuffled.  Only
     `allowed` mails (a table with `no`) are hits of any step; scores keep the whole corpus as their basis.  With `grams`, a
     gram index of the mails' texts, no step reads all texts.
     """
@@ -59,10 +61,15 @@ def keyword_search(mail: DataFrame, index: Index, queries: DataFrame, k: int = C
     found = materialise(merge_exact(primary, exact), "hits")
     fallback = fallback_search(mail, index, queries, found, k, allowed, grams).select(
         "query_id", "no", F.col("stage").alias("mode"))
-    hits = found.unionByName(fallback, allowMissingColumns=True).withColumn(
-        "mode", F.coalesce("mode", F.lit("exact")))
+    hits = materialise(found.unionByName(fallback, allowMissingColumns=True).withColumn(
+        "mode", F.coalesce("mode", F.lit("exact"))), "all-hits")
+    return rerank(_with_mails(hits, mail), _asked(queries, rewrite_queries, glossary, synonyms))
+
+
+def _with_mails(hits: DataFrame, mail: DataFrame) -> DataFrame:
+    """Stored hits with the shown columns of their mails."""
     columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns and c != "no"]
-    return rerank(hits.join(mail.select("no", *columns), "no"), _asked(queries, rewrite_queries, glossary, synonyms))
+    return join_small(mail.select("no", *columns), hits, ["no"], spread="no")
 
 
 def hybrid_search(mail: DataFrame, index: Index, queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame,
@@ -79,9 +86,8 @@ def hybrid_search(mail: DataFrame, index: Index, queries: DataFrame, query_vecto
     if rewrite_queries:
         asked = queries.withColumn("query_text", rewrite(F.col("query_text"), glossary, synonyms))
     by_words = search(index, asked, 2 * k, allowed).select("query_id", "no", "bm25_score")
-    hits = by_vector.drop("position").join(by_words, ["query_id", "no"], "full_outer")
-    columns = [c for c in (*C.RESULT_COLUMNS, *C.OPTIONAL_COLUMNS) if c in mail.columns and c != "no"]
-    return rerank(hits.join(mail.select("no", *columns), "no"), asked).where(F.col("position") <= k)
+    hits = materialise(by_vector.drop("position").join(by_words, ["query_id", "no"], "full_outer"), "hits")
+    return rerank(_with_mails(hits, mail), asked).where(F.col("position") <= k)
 
 
 def presented(results: DataFrame, mail: DataFrame, queries: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def test_more_allowed_mails_than_can_be_broadcast(spark, large_tables, monkeypat
     assert sorted(few) == sorted(bm25.search(index, asked, 100, allowed.union(allowed)).collect())
 
 
-@pytest.mark.parametrize("query", [ranked.rerank_full])
+@pytest.mark.parametrize("query", [ranked.rerank_full, ranked.hybrid_search, ranked.filtered_hybrid_search])
 def test_mails_are_not_shuffled_for_their_hits(spark, sf_dir, large_tables, query):
     assert "hashpartitioning(no" not in plan(query(spark, sf_dir))
 
