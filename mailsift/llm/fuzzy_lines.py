@@ -147,7 +147,11 @@ def _sorted_sets(lines: list[bytes], size: int) -> np.ndarray:
     lengths = np.array([len(x) for x in lines], np.int64)
     data = np.frombuffer(b"".join(lines), np.uint8)
     ends = np.cumsum(lengths)
-    owner, hashes = shingles(data, words.running(data), ends - lengths, ends, size)
+    return _packed(*shingles(data, words.running(data), ends - lengths, ends, size))
+
+
+def _packed(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The distinct (number of the line, 54 bits of a shingle's hash), packed and in order."""
     values = np.sort((owner.astype(np.uint64) << np.uint64(64 - OWNER_BITS)) | (hashes >> np.uint64(OWNER_BITS)))
     return values[np.append(True, values[1:] != values[:-1])]
 
@@ -257,15 +261,17 @@ def _with_buckets(found: DataFrame, size: int, bands: int, rows: int) -> DataFra
     def band(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = frame["set"].tolist()
-            out = []
+            out, counts = [], []
             for a, b in _slices(np.array([len(x) for x in sets], np.int64)):
                 data = np.frombuffer(b"".join(sets[a:b]), np.uint8)
                 ends = np.cumsum([len(x) for x in sets[a:b]])
                 starts = np.append(0, ends[:-1])
-                keys = bands_of(*shingles(data, words.running(data), starts, ends, size), b - a, bands, rows).view(np.int64)
+                owner, hashes = shingles(data, words.running(data), starts, ends, size)
+                keys = bands_of(owner, hashes, b - a, bands, rows).view(np.int64)
+                counts.append(_counted(_packed(owner, hashes), b - a))
                 live = (frame["live"].to_numpy()[a:b, None] >> np.arange(bands)) & 1 > 0
                 out += [np.unique(k[use]) for k, use in zip(keys, live)]
-            yield pd.DataFrame({"node": frame["node"], "n": set_sizes(sets, size), "buckets": out, "set": sets})
+            yield pd.DataFrame({"node": frame["node"], "n": np.concatenate(counts), "buckets": out, "set": sets})
 
     return found.mapInPandas(band, "node long, n long, buckets array<long>, set binary")
 
@@ -283,13 +289,14 @@ def _compared(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     return rows.select("a", "b", "set_a", "set_b").mapInPandas(compare, "a long, b long, percent long")
 
 
-def _strays(apart: DataFrame, members: DataFrame, leaders: DataFrame, clusters: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, n_shingles, root, stray, strays, n) of the buckets (of `apart`) whose leader is in another cluster than
-    one of its members, without the leader; `strays` and `n` count the bucket's strays and rows."""
-    buckets = leaders.join(apart, "bucket", "left_semi")
-    of_leader = buckets.join(clusters.withColumnsRenamed({"node": "leader", "cluster": "lead"}), "leader", "left").select(
+def _strays(apart: DataFrame, members: DataFrame, clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, n_shingles, root, stray, strays, n) of the buckets (`apart`: bucket, leader) whose leader is in another
+    cluster than one of its members, without the leader; `strays` and `n` count the bucket's strays and rows."""
+    of_leader = apart.join(clusters.withColumnsRenamed({"node": "leader", "cluster": "lead"}), "leader", "left").select(
         "bucket", "leader", F.coalesce("lead", "leader").alias("lead"))
-    standing = members.join(of_leader, "bucket").where("node != leader").join(clusters, "node", "left").join(
+    # Few buckets are left apart as a rule: then they travel to the members, which are not shuffled.
+    of_leader = materialise(of_leader, "line-apart")
+    standing = join_small(members, of_leader, ["bucket"], "node").where("node != leader").join(clusters, "node", "left").join(
         roots, "node", "left").select(
         "bucket", "node", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"),
         (F.coalesce("cluster", "node") != F.col("lead")).alias("stray"))
@@ -329,8 +336,9 @@ def line_components(table: DataFrame, size: int, percent: int, bands: int, rows:
         "bucket", F.col("m.node").alias("leader"), "rows")
     # A pair shares at most one bucket per band.
     pairs = members.join(leaders, "bucket").where("node != leader").select(
-        F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), "bucket", "rows").groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.collect_list(F.when(F.col("rows") > 2, F.col("bucket"))).alias("buckets"))
+        F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), "bucket", "leader", "rows").groupBy(
+        "a", "b").agg(
+        F.count("*").alias("n"), F.collect_list(F.when(F.col("rows") > 2, F.struct("bucket", "leader"))).alias("buckets"))
     pairs = materialise(pairs, "line-pairs")
     # The partner that shares most bands first, the others only where that left two components.
     first = pairs.groupBy("a").agg(F.max(F.struct("n", "b")).alias("m")).select("a", "m.b")
@@ -343,9 +351,9 @@ def line_components(table: DataFrame, size: int, percent: int, bands: int, rows:
     clusters = components(compared.where(F.col("percent") >= CLUSTER_PERCENT).select("a", "b"), roots)
     across = spanning_links(open_clusters(clusters, roots).join(sets, "node"), percent, block,
                             unpack=lambda column: line_sets(column, size))
-    apart = between(pairs.where("size(buckets) > 0"), clusters).select(F.explode("buckets").alias("bucket")).distinct()
+    apart = between(pairs.where("size(buckets) > 0"), clusters).select(F.inline("buckets")).distinct()
     clusters = clusters.withColumnRenamed("root", "cluster")
-    strays = _strays(apart, members, leaders.where("rows > 2").drop("rows"), clusters, roots)
+    strays = _strays(apart, members, clusters, roots)
     links = across.union(_links_of_strays(strays, sets, size, percent, block))
     return components(materialise(links, "line-across"), roots)
 
