@@ -100,11 +100,11 @@ def parts_of(table: DataFrame, keys_per_byte: float, part_keys: int = PART_KEYS)
 
 def split_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts keys by part, the parts in that order, and where each part starts."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
+    # numbers of two bytes are sorted by their digits
+    part = (keys % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    sorted_part = part[order]
-    numbers, starts = np.unique(sorted_part, return_index=True)
-    return order, numbers, np.append(starts, len(keys))
+    numbers, starts = np.unique(part[order], return_index=True)
+    return order, numbers.astype(np.int64), np.append(starts, len(keys))
 
 
 Keys = Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]

@@ -5,8 +5,9 @@
    places (one-permutation MinHash).  With 24 bands of 4 bins, two lines at a similarity of 0.8 miss each other
    with a chance of about 3e-6; of 8,328 made-up pairs of lines of 5 to 150 letters at 0.80 to 0.88, with shingles of 5, none
    did.
-3. Bands that only one distinct line has are dropped before any line is sent (see `batches`).  A line is sent once per
-   block, with one bit per band that is left; its bands are made again where its copies have met.
+3. Each block sends the bands of its distinct lines, with 32 bits of the line's name, to the parts that bands belong to; bands
+   that lines of two names have come back.  Only lines with such a band are sent, once per block.  Two lines with the same
+   32 bits of name (a chance of 2e-10 for a pair) do not find each other by their bands.
 4. In each band's bucket members are compared with the bucket's leader, another one in each band, on whole sets.  Members
    of one cluster (lines that hang together at `CLUSTER_PERCENT`) that are left in different components are compared with
    each other in blocks.  A member of a bucket that is in another cluster than its leader (a stray) is compared with all
@@ -54,7 +55,7 @@ SMALL_BUCKET = 32
 #: Text in one block; its shingles are arrays of eight bytes for each byte of it.
 BLOCK_BYTES = 1 << 19
 #: Text whose bands are made at a time: the arrays for it stay near the processor.
-SLICE_BYTES = 1 << 15
+SLICE_BYTES = 1 << 16
 #: Lines whose sets are sorted at a time; their number goes into the upper bits of a shingle's hash.
 OWNER_BITS = 10
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -73,7 +74,10 @@ class Lines:
         text_start = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])])
         doc = np.searchsorted(text_start, starts, side="right") - 1
         place = np.arange(len(starts)) - np.searchsorted(starts, text_start[:-1])[doc]
-        ink = np.logical_or.reduceat(~words.blanks(self.data), starts)
+        # most lines begin with ink
+        ink = ~words.blanks(self.data[starts])
+        for k in np.flatnonzero(~ink & (ends > starts)).tolist():
+            ink[k] = not words.blanks(self.data[starts[k]:ends[k]]).all()
         use = ink & np.array([k is not None for k in row["keys"]], bool)[doc]
         self.doc, self.place, self.starts, self.ends = doc[use], place[use], starts[use], ends[use]
         self.text_start = text_start
@@ -91,6 +95,26 @@ class Lines:
         """The hash of the whole text of each line's document."""
         return words.span_hashes(self.sums, self.text_start[:-1], self.text_start[1:] - 1)[self.doc]
 
+    def without(self, gone: np.ndarray, known: list[bool]) -> pa.StringArray:
+        """All texts without the lines marked in `gone`; null where a text is not known."""
+        keep = np.ones(len(self.data), bool)
+        for a, b in zip(self.starts[gone].tolist(), self.ends[gone].tolist()):
+            keep[a:b + 1] = False
+        # of what is left of each text the last byte is its last line's end
+        left = np.add.reduceat(keep.view(np.int8), self.text_start[:-1], dtype=np.int64)
+        some, ends = left > 0, np.cumsum(left)
+        data = self.data[keep]
+        keep = np.ones(len(data), bool)
+        keep[ends[some] - 1] = False
+        raw, ends = data[keep].tobytes(), np.append(0, np.cumsum(left - some))
+        try:
+            self.data.tobytes().decode("utf-8")
+        except UnicodeDecodeError:
+            cuts = zip(ends[:-1].tolist(), ends[1:].tolist())
+            return pa.array([raw[a:b].decode("utf-8", "replace") if k else None for k, (a, b) in zip(known, cuts)], pa.string())
+        return pa.StringArray.from_buffers(
+            len(known), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw), pa.py_buffer(np.packbits(known, bitorder="little")))
+
     def distinct(self):
         """The first place of each distinct line, in order of its name."""
         return np.unique(self.names, return_index=True)
@@ -112,42 +136,44 @@ def shingles(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.nd
     low, high = (int(starts[0]), int(ends[-1])) if len(starts) else (0, 0)
     wide = data[low:high] >= 0x80
     if wide.any():
-        heads = np.append(low + np.flatnonzero(~wide | (data[low:high] >= 0xC0)), high)
-        first, last = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-        every = words.span_hashes(sums, heads[:-size], heads[size:])
+        heads = np.append(np.flatnonzero(~wide | (data[low:high] >= 0xC0)), high - low)
+        first, last = np.searchsorted(heads, starts - low), np.searchsorted(heads, ends - low)
+        every = words.hashes_between(sums, low, heads, size)
     else:
         first, last = starts - low, ends - low
         every = words.rolling_hashes(sums, size, low, high)
-    lengths = last - first
-    counts = np.maximum(lengths - size + 1, 1)
-    owner = np.repeat(np.arange(len(starts)), counts)
-    begin = np.arange(len(owner))
-    begin += np.repeat(first - (np.cumsum(counts) - counts), counts)
-    short = lengths < size
-    hashes = every[np.minimum(begin, max(len(every) - 1, 0))] if len(every) else np.zeros(len(owner), np.uint64)
+    counts = last - first - size + 1
+    short = counts < 1
+    runs = [every[a:b] for a, b in zip(first.tolist(), (first + np.maximum(counts, 0)).tolist())]
     if short.any():
-        which = short[owner]
-        hashes[which] = words.span_hashes(sums, starts[short], ends[short])
-    return owner, hashes
+        counts[short] = 1
+        names = words.span_hashes(sums, starts[short], ends[short])
+        for k, at in enumerate(np.flatnonzero(short).tolist()):
+            runs[at] = names[k:k + 1]
+    return np.repeat(np.arange(len(starts)), counts), np.concatenate(runs) if runs else np.empty(0, np.uint64)
 
 
-def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+def _slices(lengths: np.ndarray, owner_bits: int = OWNER_BITS) -> Iterator[tuple[int, int]]:
     """Ranges of lines that are worked on at a time."""
     total = np.cumsum(lengths)
     at = 0
     while at < len(lengths):
-        upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + 8 * SLICE_BYTES, side="right"))
-        upto = min(max(upto, at + 1), at + (1 << OWNER_BITS))
+        upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + 2 * SLICE_BYTES, side="right"))
+        upto = min(max(upto, at + 1), at + (1 << owner_bits))
         yield at, upto
         at = upto
 
 
+def _hashed(lines: list[bytes], size: int):
+    """(number of the line, hash) of all shingles of a slice of lines."""
+    ends = np.cumsum(np.array([len(x) for x in lines], np.int64))
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    return shingles(data, words.running(data), np.append(0, ends[:-1]), ends, size)
+
+
 def _sorted_sets(lines: list[bytes], size: int) -> np.ndarray:
     """The distinct (number of the line, 54 bits of a shingle's hash) of a slice of lines, packed and in order."""
-    lengths = np.array([len(x) for x in lines], np.int64)
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    ends = np.cumsum(lengths)
-    return _packed(*shingles(data, words.running(data), ends - lengths, ends, size))
+    return _packed(*_hashed(lines, size))
 
 
 def _packed(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -179,11 +205,18 @@ def set_sizes(lines: list[bytes], size: int) -> np.ndarray:
 def percents(left: list[bytes], right: list[bytes], size: int) -> np.ndarray:
     """The exact similarity of each line of `left` with that of `right`, in hundredths, rounded down."""
     out = []
-    for a, b in _slices(np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64)):
-        x, y = _sorted_sets(left[a:b], size), _sorted_sets(right[a:b], size)
-        met = np.sort(np.concatenate([x, y]))
-        both = _counted(met[1:][met[1:] == met[:-1]], b - a)
-        out.append(100 * both // (_counted(x, b - a) + _counted(y, b - a) - both))
+    for a, b in _slices(np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64), OWNER_BITS - 1):
+        # lines and their partners are 2 k and 2 k + 1: the side is the last bit, so equal values of a pair are neighbours
+        lines = [line for pair in zip(left[a:b], right[a:b]) for line in pair]
+        owner, hashes = _hashed(lines, size)
+        values = (hashes >> np.uint64(OWNER_BITS)) << np.uint64(1)
+        values |= owner.astype(np.uint64) & np.uint64(1)
+        values |= (owner >> 1).astype(np.uint64) << np.uint64(65 - OWNER_BITS)
+        values.sort()
+        values = values[np.append(True, values[1:] != values[:-1])] >> np.uint64(1)
+        pair = (values >> np.uint64(64 - OWNER_BITS)).astype(np.int64)
+        both = np.bincount(pair[1:][values[1:] == values[:-1]], minlength=b - a)
+        out.append(100 * both // (np.bincount(pair, minlength=b - a) - both))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
@@ -197,16 +230,22 @@ def bands_of(owner: np.ndarray, hashes: np.ndarray, n: int, bands: int, rows: in
     """The band hashes of `n` lines; one row per line."""
     samples = bands * rows
     grid = np.full(n * samples, EMPTY, np.uint32)
-    at = owner * samples + (((hashes >> np.uint64(32)) * np.uint64(samples)) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(grid, at, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
+    bins = hashes >> np.uint64(32)
+    bins *= np.uint64(samples)
+    bins >>= np.uint64(32)
+    at = owner * samples
+    at += bins.view(np.int64)
+    np.minimum.at(grid, at, hashes.astype(np.uint32))
     # an empty bin takes the sample of the first full one among bins drawn for it
     value, todo = grid.copy(), np.flatnonzero(grid == EMPTY)
+    bins = todo % samples
     for tried in range(PROBES):
-        bins = todo % samples
+        if not len(todo):
+            break
         seen = grid[todo - bins + _drawn(tried, samples)[bins]]
-        full = seen != EMPTY
-        value[todo[full]] = seen[full]
-        todo = todo[~full]
+        value[todo] = seen
+        left = np.flatnonzero(seen == EMPTY)
+        todo, bins = todo[left], bins[left]
     value = value.reshape(n, samples).astype(np.uint64)
     if len(todo):
         # very few are full: that of the next full one to its right
@@ -223,57 +262,110 @@ def bands_of(owner: np.ndarray, hashes: np.ndarray, n: int, bands: int, rows: in
     return words.mix(out + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _keys(row, size: int, bands: int, rows: int):
-    """The distinct band hashes of a block's distinct lines."""
-    lines = Lines(row)
-    names, at = lines.distinct()
-    flat = lines.bands(at, size, bands, rows).ravel()
-    keys, flags, place = batches.distinct_keys(flat, np.repeat(np.arange(len(at)), bands))
-    return lines, names, at, keys, flags, place.reshape(len(at), bands)
+def _live_bands(table: DataFrame, size: int, bands: int, rows: int, parts: int) -> DataFrame:
+    """(block, live array<struct<part, keys, names>>): the bands of each block's lines that another line has, too.
+
+    Each block sends the bands of its distinct lines to the part that a band belongs to: four bytes of the band's hash and four
+    of the line's.  The part sends back the bands that lines of two names have, so copies alone keep no band.
+    """
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, row in frame.iterrows():
+                lines = Lines(row)
+                names, at = lines.distinct()
+                flat = lines.bands(at, size, bands, rows).ravel()
+                order, numbers, starts = batches.split_parts(flat, parts)
+                keys = (flat >> np.uint64(32)).astype(np.uint32)[order]
+                short = np.repeat(names.astype(np.uint32), bands)[order]
+                cuts = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+                yield pd.DataFrame({"part": numbers, "block": row["block"], "keys": [keys[a:b].tobytes() for a, b in cuts],
+                                    "names": [short[a:b].tobytes() for a, b in cuts]})
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(k, np.uint32) for k in frame["keys"]]
+        keys, names = np.concatenate(own), np.frombuffer(b"".join(frame["names"]), np.uint32)
+        live = _among(keys, _with_two(keys, names))
+        ends = np.cumsum([0, *map(len, own)])
+        kept = np.append(0, np.cumsum(live))[ends]
+        keys, names, some = keys[live], names[live], np.flatnonzero(np.diff(kept))
+        return pd.DataFrame({
+            "block": frame["block"].to_numpy()[some], "part": frame["part"].to_numpy()[some],
+            "keys": [keys[kept[k]:kept[k + 1]].tobytes() for k in some],
+            "names": [names[kept[k]:kept[k + 1]].tobytes() for k in some]})
+
+    sent = table.mapInPandas(send, "part long, block long, keys binary, names binary")
+    met = sent.groupBy("part").applyInPandas(meet, "block long, part long, keys binary, names binary")
+    return met.groupBy("block").agg(F.collect_list(F.struct("part", "keys", "names")).alias("live"))
+
+
+def _with_two(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The keys that stand with more than one name, in order."""
+    pairs = np.sort((keys.astype(np.uint64) << np.uint64(32)) | names)
+    keys = (pairs[np.append(True, pairs[1:] != pairs[:-1])] >> np.uint64(32)).astype(np.uint32)
+    again = keys[1:][keys[1:] == keys[:-1]]
+    return again[np.append(True, again[1:] != again[:-1])] if len(again) else again
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each key is one of a few, which are in order."""
+    out = np.zeros(len(keys), bool)
+    if len(some):
+        # a look at the last bits leaves few to search for
+        seen = np.zeros(1 << 16, bool)
+        seen[some & np.uint32(0xFFFF)] = True
+        at = np.flatnonzero(seen[keys & np.uint32(0xFFFF)])
+        there = np.searchsorted(some, keys[at])
+        out[at] = some[np.minimum(there, len(some) - 1)] == keys[at]
+    return out
 
 
-def _line_rows(table: DataFrame, size: int, bands: int, rows: int, parts: int) -> DataFrame:
-    """(node, live, set binary): one row per block and distinct line with a shared band; `live` has a bit per such band.
+def _line_rows(table: DataFrame) -> DataFrame:
+    """(node, buckets array<long>, set binary) of table (..., live): one row per block and distinct line with a shared band.
 
     `set` is the line itself, an eighth of the size of its shingle hashes.
     """
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                lines, names, at, keys, _, place = _keys(row, size, bands, rows)
-                live = batches.read_bits(keys, row["bits"], parts)[place]
-                chosen = np.flatnonzero(live.any(axis=1))
-                if not len(chosen):
-                    continue
+    def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for row in batch.to_pylist():
+                lines = Lines(row)
+                names, at = lines.distinct()
+                buckets = np.concatenate([(np.frombuffer(x["keys"], np.uint32).astype(np.int64)) | (x["part"] << 32)
+                                          for x in row["live"]])
+                line, which = _places(names.astype(np.uint32), np.frombuffer(b"".join(x["names"] for x in row["live"]), np.uint32))
+                order = np.lexsort((buckets[which], line))
+                chosen, begin = np.unique(line[order], return_index=True)
                 raw = lines.data.tobytes()
-                yield pd.DataFrame({
-                    "node": names[chosen].view(np.int64),
-                    "live": live[chosen] @ (1 << np.arange(bands, dtype=np.int64)),
-                    "set": [raw[a:b] for a, b in zip(lines.starts[at[chosen]].tolist(), lines.ends[at[chosen]].tolist())]})
+                starts, ends = lines.starts[at[chosen]].tolist(), lines.ends[at[chosen]].tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[chosen].view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), pa.array(buckets[which][order])),
+                     pa.array([raw[a:b] for a, b in zip(starts, ends)], pa.binary())], names=["node", "buckets", "set"])
 
-    return table.mapInPandas(read, "node long, live long, set binary")
+    return table.mapInArrow(read, "node long, buckets array<long>, set binary")
 
 
-def _with_buckets(found: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(node, n, buckets array<long>, set) of lines (node, live, set): the number of their shingles and their shared bands."""
+def _places(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `names`, place in `asked`) of all that are equal."""
+    order = np.argsort(names)
+    low, high = (np.searchsorted(names[order], asked, side) for side in ("left", "right"))
+    which = np.repeat(np.arange(len(asked)), high - low)
+    into = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    return order[low[which] + into], which
 
-    def band(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = frame["set"].tolist()
-            out, counts = [], []
-            for a, b in _slices(np.array([len(x) for x in sets], np.int64)):
-                data = np.frombuffer(b"".join(sets[a:b]), np.uint8)
-                ends = np.cumsum([len(x) for x in sets[a:b]])
-                starts = np.append(0, ends[:-1])
-                owner, hashes = shingles(data, words.running(data), starts, ends, size)
-                keys = bands_of(owner, hashes, b - a, bands, rows).view(np.int64)
-                counts.append(_counted(_packed(owner, hashes), b - a))
-                live = (frame["live"].to_numpy()[a:b, None] >> np.arange(bands)) & 1 > 0
-                out += [np.unique(k[use]) for k, use in zip(keys, live)]
-            yield pd.DataFrame({"node": frame["node"], "n": np.concatenate(counts), "buckets": out, "set": sets})
-
-    return found.mapInPandas(band, "node long, n long, buckets array<long>, set binary")
+
+def _with_sizes(found: DataFrame, size: int) -> DataFrame:
+    """(node, n, buckets, set) of lines (node, buckets, set): n is the number of their shingles."""
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            n = set_sizes(batch.column("set").to_pylist(), size) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(n, pa.int64()), batch.column("buckets"), batch.column("set")],
+                names=["node", "n", "buckets", "set"])
+
+    return found.mapInArrow(count, "node long, n long, buckets array<long>, set binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
@@ -325,15 +417,18 @@ def line_components(table: DataFrame, size: int, percent: int, bands: int, rows:
     """(node, root) of every line of the blocks that is alike to another one; nodes are line hashes."""
     table = table.select("block", "keys", "lengths", "texts", "n_bytes")
     parts = batches.parts_of(table, 0.1)
-    hit = batches.shared(table.drop("n_bytes"), lambda row: _keys(row, size, bands, rows)[3:5], parts)
-    found = _line_rows(hit, size, bands, rows, parts).groupBy("node").agg(
-        F.bit_or("live").alias("live"), F.max("set").alias("set"))
-    found = materialise(_with_buckets(found, size, bands, rows), "lines")
+    live = _live_bands(table.drop("n_bytes"), size, bands, rows, parts)
+    # copies of a line have the same bands
+    found = _line_rows(table.drop("n_bytes").join(live, "block")).groupBy("node").agg(
+        F.max("buckets").alias("buckets"), F.max("set").alias("set"))
+    found = materialise(_with_sizes(found, size), "lines")
     sets = found.select("node", "set")
     members = found.select(F.explode("buckets").alias("bucket"), "node", "n")
-    order = F.struct(F.xxhash64("node", "bucket").alias("h"), "node")
-    leaders = members.groupBy("bucket").agg(F.min(order).alias("m"), F.count("*").alias("rows")).where("rows > 1").select(
-        "bucket", F.col("m.node").alias("leader"), "rows")
+    # The order of the nodes differs from bucket to bucket.
+    drawn = F.xxhash64("bucket")
+    leaders = members.groupBy("bucket").agg(
+        F.min(F.col("node").bitwiseXOR(drawn)).alias("least"), F.count("*").alias("rows")).where("rows > 1").select(
+        "bucket", F.col("least").bitwiseXOR(drawn).alias("leader"), "rows")
     # A pair shares at most one bucket per band.
     pairs = members.join(leaders, "bucket").where("node != leader").select(
         F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), "bucket", "leader", "rows").groupBy(
@@ -375,21 +470,17 @@ def _kept(table: DataFrame, roots: DataFrame, out: T.StructType) -> DataFrame:
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for row in batch.to_pylist():
+            for row, stay in zip(batch.drop_columns(["stay"]).to_pylist(), batch.column("stay")):
                 lines = Lines(row)
                 own = lines.doc * (1 << 32) + lines.place
-                gone = ~np.isin(own, np.array([x["doc"] * (1 << 32) + x["place"] for x in row["stay"] or []], np.int64))
+                gone = np.ones(len(own), bool)
+                if stay.is_valid:
+                    doc, place = (stay.values.field(x).to_numpy() for x in ("doc", "place"))
+                    gone[np.searchsorted(own, doc * (1 << 32) + place)] = False
                 n = len(row["keys"])
-                places: dict[int, set[int]] = {}
-                for d, p in zip(lines.doc[gone].tolist(), lines.place[gone].tolist()):
-                    places.setdefault(d, set()).add(p)
-                texts = []
-                for i, t in enumerate(batches.texts_of(row)):
-                    if i in places:
-                        t = b"\n".join(x for p, x in enumerate(t.split(b"\n")) if p not in places[i])
-                    texts.append(None if t is None else t.decode("utf-8", "replace"))
+                texts = lines.without(gone, [k >= 0 for k in np.frombuffer(row["lengths"], "<i8").tolist()])
                 more = pa.ipc.open_stream(row["extra"]).read_all().columns if row["extra"] else []
-                columns = [pa.array(row["keys"], pa.string()), pa.array(texts, pa.string()),
+                columns = [pa.array(row["keys"], pa.string()), texts,
                            *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in more],
                            pa.array(np.bincount(lines.doc, minlength=n), pa.int64()),
                            pa.array(np.bincount(lines.doc[gone], minlength=n), pa.int64())]

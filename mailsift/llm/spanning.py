@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +14,8 @@ from .components import components
 
 #: Classes that the values of a set are counted by, for a bound on what two sets can have in common.
 CLASSES = 256
+#: Pairs whose bounds are made at a time.
+PAIRS = 2048
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -53,29 +57,43 @@ def packed_sets(column: list[bytes]) -> list[np.ndarray]:
 
 def _found(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray, percent: int, likely, unpack) -> pd.DataFrame:
     """The links (a, b) that join components, of rows `left` of the frame with rows `right`; both in order."""
+    one, two = np.repeat(left, len(right)), np.tile(right, len(left))
+    if np.array_equal(left, right):
+        later = two > one
+        one, two = one[later], two[later]
+    return _joining(frame, one, two, percent, likely, unpack)
+
+
+def _joining(frame: pd.DataFrame, one: np.ndarray, two: np.ndarray, percent: int, likely, unpack) -> pd.DataFrame:
+    """The links (a, b) that join components, of the pairs of rows (one, two) in their order."""
+    roots = frame["root"].to_numpy(np.int64).copy()
+    apart = roots[one] != roots[two]
+    one, two = one[apart], two[apart]
     sets = unpack(frame["set"].tolist())
     nodes = frame["node"].to_numpy(np.int64)
-    sizes = np.array([len(s) for s in sets])
-    counts = np.stack([np.bincount((s >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES)
-                       for s in sets]).astype(np.int32)
-    roots = frame["root"].to_numpy(np.int64).copy()
-    sketches = np.stack(frame["sketch"].to_list()).view(np.uint64) if likely else None
+    sizes = np.array([len(s) for s in sets], np.int64)
+    near = 100 * np.minimum(sizes[one], sizes[two]) >= percent * np.maximum(sizes[one], sizes[two])
+    one, two = one[near], two[near]
+    if likely and len(one):
+        sketches = np.stack(frame["sketch"].to_list()).view(np.uint64)
+        cuts = np.flatnonzero(np.diff(one)) + 1
+        keep = np.concatenate([likely(sketches[i[0]], sketches[j]) for i, j in zip(np.split(one, cuts), np.split(two, cuts))])
+        one, two = one[keep], two[keep]
+    if not len(one):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    # two sets have no more in common than class by class
+    classes = (np.concatenate(sets) >> np.uint64(32)).astype(np.int64) % CLASSES
+    classes += np.repeat(np.arange(len(sets)) * CLASSES, sizes)
+    counts = np.bincount(classes, minlength=len(sets) * CLASSES).reshape(-1, CLASSES)
+    counts = counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int64)
+    most = np.concatenate([np.minimum(counts[one[k:k + PAIRS]], counts[two[k:k + PAIRS]]).sum(axis=1, dtype=np.int64)
+                           for k in range(0, len(one), PAIRS)])
+    near = 100 * most >= percent * (sizes[one] + sizes[two] - most)
     out = []
-    same = np.array_equal(left, right)
-    for i in left.tolist():
-        js = right[right > i] if same else right
-        js = js[roots[js] != roots[i]]
-        small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
-        js = js[100 * small >= percent * large]
-        if likely and len(js):
-            js = js[likely(sketches[i], sketches[js])]
-        # two sets have no more in common than class by class
-        most = np.minimum(counts[js], counts[i]).sum(axis=1)
-        js = js[100 * most >= percent * (sizes[js] + sizes[i] - most)]
-        for j in js.tolist():
-            if roots[i] != roots[j] and alike(sets[i], sets[j], percent):
-                roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
-                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+    for i, j in zip(one[near].tolist(), two[near].tolist()):
+        if roots[i] != roots[j] and alike(sets[i], sets[j], percent):
+            roots[roots == max(roots[i], roots[j])] = min(roots[i], roots[j])
+            out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -107,11 +125,11 @@ def spanning_links(members: DataFrame, percent: int, block: int, likely=None, un
     """Links (a, b) between components, from members (cluster, node, root, n, set[, sketch]).
 
     A cluster's members are dealt into blocks and each pair of blocks is one group, so a large cluster is many tasks.
-    Inside a group components are joined as links are found, and only links that join two of them are sent: at most one
-    less than the members, however many pairs are alike.  `likely(sketch, sketches)` may rule pairs out first; `unpack` makes
-    sorted arrays of the values of `set`.
+    Clusters of one block are worked on together, about a block of members at a time.  Inside a group components are joined
+    as links are found, and only links that join two of them are sent: at most one less than the members, however many
+    pairs are alike.  `likely(sketch, sketches)` may rule pairs out first; `unpack` makes sorted arrays of the values of `set`.
     """
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = members.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = dealt.withColumn("own", F.pmod(F.xxhash64("node", "cluster"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
         "x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other", "blocks", "n")
@@ -122,4 +140,35 @@ def spanning_links(members: DataFrame, percent: int, block: int, likely=None, un
         own = frame["own"].to_numpy()
         return _found(frame, np.flatnonzero(own == x), np.flatnonzero(own == y), percent, likely, unpack)
 
-    return met.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
+    def compare_small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_clusters(frames, block):
+            yield _joining(frame, *pairs_of(frame["cluster"].to_numpy()), percent, likely, unpack)
+
+    fields = [c for c in ("cluster", "node", "root", "set", "sketch") if c in members.columns]
+    small = members.where(F.col("n") <= block).select(*fields).repartition("cluster").sortWithinPartitions("cluster", "node")
+    large = met.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
+    return large.union(small.mapInPandas(compare_small, "a long, b long"))
+
+
+def whole_clusters(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Rows in order of `cluster`, in frames of at least `least` rows (but the last) that hold whole clusters."""
+    held = None
+    for frame in frames:
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        at = 0
+        for cut in (np.flatnonzero(np.diff(held["cluster"].to_numpy())) + 1).tolist():
+            if cut - at >= least:
+                yield held.iloc[at:cut].reset_index(drop=True)
+                at = cut
+        held = held.iloc[at:]
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)
+
+
+def pairs_of(clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (one, two), the earlier first, of equal values that stand together."""
+    ends = np.append(np.flatnonzero(np.diff(clusters)) + 1, len(clusters))
+    row = np.arange(len(clusters))
+    later = ends[np.searchsorted(ends, row, side="right")] - row - 1
+    one = np.repeat(row, later)
+    return one, one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later)

@@ -32,11 +32,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = x ^ (x >> U64(30))
+    high = x >> U64(30)
+    x = x ^ high
     x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
+    x ^= np.right_shift(x, U64(27), out=high)
     x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
+    x ^= np.right_shift(x, U64(31), out=high)
     return x
 
 
@@ -89,6 +90,15 @@ def rolling_hashes(sums: np.ndarray, size: int, start: int = 0, stop: int | None
     return mix(out)
 
 
+def hashes_between(sums: np.ndarray, start: int, places: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the bytes from each of the places (in order, counted from `start`) to the one `size` places on."""
+    _, inverse = _power_tables(len(sums))
+    there = sums[start:][places]
+    out = there[size:] - there[:-size]
+    out *= inverse[start:][places[:-size]]
+    return mix(out)
+
+
 def slices(texts: list, limit: int = CHUNK):
     """(from, to) of consecutive texts that hold about `limit` characters together, one text at least."""
     at = 0
