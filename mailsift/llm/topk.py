@@ -5,12 +5,13 @@ its segment scores, so each segment is a list of local scores:
 
 1. Each list sends its k best rows of each query.  The exact scores of these rows give a safe cutoff: the k-th best of them.
 2. A row at or above the cutoff has at least the uniform threshold, cutoff / segments, in some list (if all of its segment
-   scores were below, so would be their sum).  Each list sends all rows at or above the threshold.
+   scores were below, so would be their sum).  Each list sends all rows at or above the threshold; rows whose lists, all
+   known to the task, add up to less than the cutoff stay behind.
 3. The rows sent are resolved exactly, and the k best are ranked; ties go to the smaller key.
 
 Equal vectors are one row with their k + 1 smallest keys, which is exact because ties go by key; a vector that a third of
 all rows share is scored once.  Queries and rows meet in blocks: a grid of query blocks and row blocks, each pair one
-task's matrix product; only the rows that a phase sends leave it.
+task's matrix product, a slice of queries at a time; only the rows that a phase sends leave it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or row; an empty vector has no
 components and scores 0; vectors of different lengths have no product and do not meet; a query is no answer to itself; rows with equal
@@ -30,6 +31,9 @@ SCALE = 256
 #: Rows and queries in one block of the grid.
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 8_192
+#: Queries of a block that are scored at once, and the share of the norms by which rounding may change a score.
+QUERY_SLICE = 256
+SLACK = 1e-12
 
 
 def whole(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -40,7 +44,7 @@ def whole(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> Data
         F.col(key).cast("long").alias("key"), F.transform(numbers, lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def _matrix(rows, start: int, stop: int) -> np.ndarray:
+def _matrix(rows, start: int, stop: int | None) -> np.ndarray:
     """Exact in floating point while sums of products stay below 2^53."""
     return np.stack([r[start:stop] for r in rows]).astype(np.float64)
 
@@ -63,39 +67,58 @@ def _cuts(length: int, segments: int) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:]))
 
 
+def _list_scores(frame: pd.DataFrame, segments: int):
+    """(queries, their matrix, rows, their matrix, scores of each list) for vectors of one length, a slice of queries at a time.
+
+    Scores are made list by list as they are asked for, so a task holds the scores of one slice and not of a whole block.
+    """
+    for _, part in frame.groupby(frame["v"].map(len)):
+        q, r = part[part["side"]], part[~part["side"]]
+        if len(q) and len(r):
+            rows = _matrix(r["v"], 0, None)
+            cuts = _cuts(rows.shape[1], segments)
+            for start in range(0, len(q), QUERY_SLICE):
+                some = q.iloc[start:start + QUERY_SLICE]
+                asked = _matrix(some["v"], 0, None)
+                yield some, asked, r, rows, (asked[:, a:b] @ rows[:, a:b].T for a, b in cuts)
+
+
+def _pairs(out: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate([np.empty((2, 0), np.int64), *out], axis=1)
+    return pd.DataFrame({"query": both[0], "row": both[1]})
+
+
 def _local_best(k: int, segments: int):
     """Phase 1: the k best rows of each query in each list."""
     def find(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [np.empty((2, 0), np.int64)]
-        for _, part in frame.groupby(frame["v"].map(len)):
-            q, r = part[part["side"]], part[~part["side"]]
-            if len(q) and len(r):
-                ids, qid = r["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64)
-                for a, b in _cuts(len(q["v"].iat[0]), segments):
-                    scores = _matrix(q["v"], a, b) @ _matrix(r["v"], a, b).T
-                    best = np.argpartition(-scores, min(k, len(r)) - 1, axis=1)[:, :k]
-                    out.append(np.stack([np.repeat(qid, best.shape[1]), ids[best].ravel()]))
-        both = np.concatenate(out, axis=1)
-        return pd.DataFrame({"query": both[0], "row": both[1]})
+        out = []
+        for q, _, r, _, lists in _list_scores(frame, segments):
+            ids, qid = r["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64)
+            for scores in lists:
+                np.negative(scores, out=scores)
+                best = np.argpartition(scores, min(k, len(r)) - 1, axis=1)[:, :k]
+                out.append(np.stack([np.repeat(qid, best.shape[1]), ids[best].ravel()]))
+        return _pairs(out)
     return find
 
 
 def _above(segments: int):
-    """Phase 2: all rows of a query at or above its threshold in some list."""
+    """Phase 2: the rows of a query at or above its threshold in some list, without those whose lists add up to less than the
+    cutoff: they are known here, and phase 3 would resolve them for nothing."""
     def find(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [np.empty((2, 0), np.int64)]
-        for _, part in frame.groupby(frame["v"].map(len)):
-            q, r = part[part["side"]], part[~part["side"]]
-            if len(q) and len(r):
-                ids, qid = r["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64)
-                least = q["cutoff"].fillna(-np.inf).to_numpy()[:, None]
-                hit = np.zeros((len(q), len(r)), bool)
-                for a, b in _cuts(len(q["v"].iat[0]), segments):
-                    hit |= segments * (_matrix(q["v"], a, b) @ _matrix(r["v"], a, b).T) >= least
-                at = np.nonzero(hit)
-                out.append(np.stack([qid[at[0]], ids[at[1]]]))
-        both = np.concatenate(out, axis=1)
-        return pd.DataFrame({"query": both[0], "row": both[1]})
+        out = []
+        for q, asked, r, rows, lists in _list_scores(frame, segments):
+            ids, qid = r["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64)
+            least = q["cutoff"].fillna(-np.inf).to_numpy()[:, None]
+            hit, total = np.zeros((len(q), len(r)), bool), np.zeros((len(q), len(r)))
+            for scores in lists:
+                hit |= segments * scores >= least
+                total += scores
+            # Sums are exact but for very large numbers; what rounding could hide there is sent.
+            hit &= total >= least - SLACK * np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(rows, axis=1).max()
+            at = np.nonzero(hit)
+            out.append(np.stack([qid[at[0]], ids[at[1]]]))
+        return _pairs(out)
     return find
 
 
