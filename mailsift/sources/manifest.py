@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Larger files are not held in memory; Spark's reader cannot hold more than 2 GB at all.
+HELD_BYTES = 64 << 20
+#: Larger files that are read at the same time.
+STREAMS = 4
+
+
+def delivered_files(spark: SparkSession, path: str, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """Size and SHA-256 of every file.
 
-def delivered_files(spark: SparkSession, path: str) -> DataFrame:
-    """Size and SHA-256 of every file, computed where the file is read."""
+    Files of up to `held_bytes` are hashed by the tasks that read them.  Larger ones, whose paths are collected, are read as
+    streams by the driver, a few at a time and a few KB of each in memory: a checksum of a file cannot be shared out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    named = F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    small = files.where(F.col("length") <= held_bytes).select(
+        named, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > held_bytes).select(named, "length", "path").collect()
+    if not large:
+        return small
+    with ThreadPoolExecutor(STREAMS) as pool:
+        sums = list(pool.map(lambda row: _streamed_sha256(spark, row["path"]), large))
+    rows = [(row["name"], row["length"], value) for row, value in zip(large, sums)]
+    return small.unionByName(spark.createDataFrame(rows, "name string, bytes long, sha256 string"))
+
+
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def violations(files: DataFrame, manifest: DataFrame) -> DataFrame:
