@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import compact
-from ..storage import materialise
+from ..storage import materialise, packed, shuffles_freed
 from .joins import join_small
 
 SIZE = 3
@@ -197,28 +197,35 @@ def _texts(texts: DataFrame, forms) -> DataFrame:
 
 
 def _append(spark: SparkSession, shaped: DataFrame, path: str, buckets: int, parts: int) -> None:
-    """Write a batch.  The texts come last: a batch that was cut short is written again, as its keys are not yet known, and
-    what was written of it has keys in no chunk of another batch.
+    """Write a batch.  Its number in `batches` comes last: a batch that was cut short is written again, as its keys are not
+    yet known, and what was written of it has keys in no chunk of another batch.
 
-    The hash of the chunk shares a bucket out over more files the more texts there are, however common one gram is.
+    Texts are written first and once; all else is made from what was written, as places must not change.  The hash of the
+    chunk shares a bucket out over more files the more texts there are, however common one gram is.
     """
+    with shuffles_freed(spark):
+        _write_batch(spark, shaped, path, buckets, parts)
+
+
+def _write_batch(spark: SparkSession, shaped: DataFrame, path: str, buckets: int, parts: int) -> None:
     batch = uuid.uuid4().int >> 65
-    staged = materialise(_with_places(shaped), "gram-texts").withColumn("batch", F.lit(batch))
+    # A chunk is in one part: its texts are written where they were read.
+    placed = _with_places(shaped).withColumn("batch", F.lit(batch)).withColumn("part", _part(parts))
+    packed(placed).mode("append").partitionBy("part").parquet(f"{path}/texts")
+    staged = _read_texts(spark, path).where(F.col("batch") == batch)
     spread = 1 + staged.count() // TEXTS_PER_FILE
     postings = staged.select("form", "field", "chunk", "place", "text").mapInArrow(_pack, POSTINGS).withColumn(
         "batch", F.lit(batch)).withColumn("bucket", _bucket(buckets))
     piece = F.pmod(F.xxhash64("chunk", "slice"), F.lit(spread))
-    (postings.repartition("bucket", piece).sortWithinPartitions("bucket", "form", "gram")
-     .write.mode("append").partitionBy("bucket").parquet(f"{path}/postings"))
+    packed(postings.repartition("bucket", piece).sortWithinPartitions("bucket", "form", "gram")).mode("append").partitionBy(
+        "bucket").parquet(f"{path}/postings")
     written = _read_postings(spark, path).where(F.col("batch") == batch)
-    written.groupBy("form", "gram").agg(F.sum("n").alias("df")).write.mode("append").parquet(f"{path}/grams")
+    packed(written.groupBy("form", "gram").agg(F.sum("n").alias("df"))).mode("append").parquet(f"{path}/grams")
     in_order = F.array_sort(F.collect_list(F.struct("place", "key")))
-    (staged.groupBy("batch", "chunk").agg(in_order.alias("rows")).select("batch", "chunk", F.col("rows.key").alias("keys"))
-     .write.mode("append").parquet(f"{path}/keys"))
+    packed(staged.groupBy("batch", "chunk").agg(in_order.alias("rows")).select(
+        "batch", "chunk", F.col("rows.key").alias("keys"))).mode("append").parquet(f"{path}/keys")
     repeated = not staged.groupBy("form", "field", "key").count().where("count > 1").isEmpty()
     spark.createDataFrame([(batch, repeated)], "batch long, repeated boolean").write.mode("append").parquet(f"{path}/batches")
-    # A chunk is in one part: its texts are written where they were read.
-    (staged.withColumn("part", _part(parts)).write.mode("append").partitionBy("part").parquet(f"{path}/texts"))
 
 
 def write_grams(texts: DataFrame, path: str, forms=("lower",), buckets: int = BUCKETS, parts: int = PARTS) -> None:
@@ -233,13 +240,18 @@ def _read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{POSTINGS}, batch long, bucket int").parquet(f"{path}/postings")
 
 
+def _read_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{TEXTS}, batch long, part int").parquet(f"{path}/texts")
+
+
 def read_grams(spark: SparkSession, path: str) -> GramIndex:
     settings = spark.read.parquet(f"{path}/settings").first()
     grams = spark.read.parquet(f"{path}/grams").groupBy("form", "gram").agg(F.sum("df").alias("df"))
-    texts = spark.read.schema(f"{TEXTS}, batch long, part int").parquet(f"{path}/texts")
-    repeats = spark.read.parquet(f"{path}/batches").agg(F.max("repeated")).first()[0]
-    return GramIndex(_read_postings(spark, path), grams, texts, spark.read.parquet(f"{path}/keys"),
-                     settings["buckets"], settings["parts"], tuple(settings["forms"]), repeats)
+    batches = spark.read.parquet(f"{path}/batches").collect()  # one row per batch that was written to the end
+    whole = F.col("batch").isin([r["batch"] for r in batches])
+    return GramIndex(_read_postings(spark, path), grams, _read_texts(spark, path).where(whole),
+                     spark.read.parquet(f"{path}/keys").where(whole), settings["buckets"], settings["parts"],
+                     tuple(settings["forms"]), any(r["repeated"] for r in batches))
 
 
 def extend_grams(spark: SparkSession, path: str, texts: DataFrame) -> None:
