@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..storage import materialise
 from .bm25 import only
 from .ranking import top_k
-from .vectors import BLOCK_ROWS, _keyed, _queries, _units, best_pairs, score_blocks
+from .vectors import BLOCK_ROWS, _copies, _keyed, _queries, _spread, _units, best_pairs, group_counts, score_groups
 
 #: Vectors that centroids are trained on, at most; the number of centroids is bounded by it too.
 SAMPLE_ROWS = 100_000
@@ -90,8 +90,13 @@ def read_lists(spark: SparkSession, path: str) -> VectorLists:
 
 
 def _probed(index: VectorLists, queries: DataFrame, probes: int) -> DataFrame:
-    """(query_id, vector, list, further): the nearest lists of each query or, where a query has a `least` score, those beyond
-    the nearest that may hold a vector with that score."""
+    """(query_id, vector, list): the nearest lists of each query, as `_wanted` gives them."""
+    return _wanted(index, queries, probes).select("query_id", "vector", F.explode("lists").alias("list"))
+
+
+def _wanted(index: VectorLists, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, vector, near, lists): the nearest lists of each query or, where a query has a `least` score, those beyond
+    the nearest that may hold a vector with that score; `near` is the nearest."""
     sent = queries.sparkSession.sparkContext.broadcast((index.numbers, index.centroids, index.radii))
     again = "least" in queries.columns
 
@@ -110,14 +115,13 @@ def _probed(index: VectorLists, queries: DataFrame, probes: int) -> DataFrame:
                 # A zero vector, on either side, has an angle to nothing: its scores are 0.
                 zero = ~np.array([np.any(v) for v in batch.vector])
                 wanted |= (zero | (batch.least.to_numpy() <= SLACK))[:, None] & ~_first(order, probes)
-            row, column = np.nonzero(wanted)
-            yield pd.DataFrame({"query_id": batch.query_id.to_numpy()[row], "vector": batch.vector.to_numpy()[row],
-                                "list": numbers[column]})
+            lists = pd.Series([numbers[w] for w in wanted], dtype=object, index=batch.index)
+            yield batch[["query_id", "vector"]].assign(near=numbers[order[:, 0]], lists=lists)[wanted.any(axis=1)]
 
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
     columns = ["query_id", "vector", *(["least"] if again else [])]
     return queries.select(*columns).mapInPandas(
-        choose, f"query_id {kinds['query_id']}, vector {kinds['vector']}, list int")
+        choose, f"query_id {kinds['query_id']}, vector {kinds['vector']}, near int, lists array<int>")
 
 
 def _first(order: np.ndarray, probes: int) -> np.ndarray:
@@ -127,24 +131,32 @@ def _first(order: np.ndarray, probes: int) -> np.ndarray:
 
 
 def _scored(index: VectorLists, asked: DataFrame, k: int, allowed: DataFrame | None, block_rows: int) -> DataFrame:
-    """Scored pairs of the queries and the vectors of their lists.  A long list, or one that many queries ask for, is cut into
-    blocks, and only folders of asked lists are read."""
-    asked = materialise(asked, "probes")
-    counts = asked.groupBy("list").agg(F.count("*").alias("n"))
-    sizes = asked.sparkSession.createDataFrame(
-        [(int(a), int(b)) for a, b in zip(index.numbers, index.sizes)], "list int, size long")
-    parts = counts.join(sizes, "list").select(
-        "list", F.ceil(F.col("size") / block_rows).cast("int").alias("parts"),
-        F.ceil(F.col("n") / block_rows).cast("int").alias("query_parts"))
-    folders = [r["bucket"] for r in counts.select(F.pmod("list", F.lit(index.buckets)).alias("bucket")).distinct().collect()]
+    """Scored pairs of the queries and the vectors of their lists, or of the `list` that each row names.
+
+    Queries with the same nearest list are in one group or in neighbouring ones; a group gets the vectors of the lists that
+    its queries ask for, and only folders of asked lists are read.
+    """
+    if "list" in asked.columns:
+        asked = asked.select("query_id", "vector", F.col("list").alias("near"), F.array("list").alias("lists"))
+    asked = materialise(asked.withColumnRenamed("lists", "codes"), "probes")
+    query_groups, vector_groups = group_counts(asked, index.vectors, block_rows)
+    counts = asked.groupBy("near").agg(F.count("*").alias("n")).orderBy("near").collect()  # as many as there are lists
+    sizes = [r["n"] for r in counts]
+    starts = np.cumsum([0, *sizes])[:-1].tolist()
+    per_group = -(-sum(sizes) // query_groups)
+    places = asked.sparkSession.createDataFrame(
+        [(r["near"], start, r["n"]) for r, start in zip(counts, starts)], "near int, start long, n long")
+    place = F.col("start") + F.pmod(F.xxhash64("query_id"), F.col("n"))
+    grouped = asked.join(places, "near").select("query_id", "vector", "codes", F.floor(place / per_group).cast("int").alias("qg"))
+    wants = materialise(grouped.select("qg", F.explode("codes").alias("list")).distinct(), "group-lists")
+    folders = [r["bucket"] for r in wants.select(F.pmod("list", F.lit(index.buckets)).alias("bucket")).distinct().collect()]
     held = only(index.vectors.where(F.col("bucket").isin(folders)), None if allowed is None else allowed.select(
         F.col("no").cast("string").alias("key")), "key")
-    left = (asked.join(parts, "list").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int"))
-            .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    right = (held.join(parts, "list").withColumn("vb", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1))))
-    blocks = ["list", "qb", "vb"]
-    return score_blocks(left.select("query_id", "vector", *blocks), right.select("key", "vector", *blocks), blocks, k)
+    right = held.join(wants, "list").select("key", "vector", "qg", F.array("list").alias("codes")).withColumn(
+        "vg", _spread("key", vector_groups))
+    group = (F.col("qg") * vector_groups + F.col("vg")).alias("group")
+    left = grouped.withColumn("vg", _copies(vector_groups))
+    return score_groups(left.select("*", group), right.select("*", group), query_groups * vector_groups, k, block_rows)
 
 
 def nearest_by_lists(queries: DataFrame, index: VectorLists, k: int, probes: int, exact: bool = False,
@@ -154,7 +166,7 @@ def nearest_by_lists(queries: DataFrame, index: VectorLists, k: int, probes: int
     Lists do not overlap, so no pair is scored twice.  Only `allowed` mails (a table with `no`) take part.
     """
     asked = _queries(queries)
-    pairs = _scored(index, _probed(index, asked, probes), k, allowed, block_rows)
+    pairs = _scored(index, _wanted(index, asked, probes), k, allowed, block_rows)
     if not exact:
         return best_pairs(pairs, k)
     pairs = materialise(pairs, "first-probes")
@@ -162,7 +174,7 @@ def nearest_by_lists(queries: DataFrame, index: VectorLists, k: int, probes: int
         F.count("*").alias("n"), F.min("cosine_score").alias("kth"))
     least = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(-2.0))  # too few found: every list may matter
     bounded = asked.join(ends, "query_id", "left").select("query_id", "vector", F.coalesce(least, F.lit(-2.0)).alias("least"))
-    further = _scored(index, _probed(index, bounded, probes), k, allowed, block_rows)
+    further = _scored(index, _wanted(index, bounded, probes), k, allowed, block_rows)
     return best_pairs(pairs.unionByName(further), k)
 
 
